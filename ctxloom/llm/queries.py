@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from ctxloom.llm import fingerprint
+from ctxloom.llm import fingerprint, mixing, packing
 
 QUERIES = {
     "op1_fingerprint": fingerprint.op1_fingerprint,
+    "op2_mix": mixing.op2_mix,
+    "op3_pack": packing.op3_pack,
 }
 
 ORACLE_SQL: dict[str, str] = {}
