@@ -21,18 +21,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ctxloom.llm.common import table
-from ctxloom.llm.wordhash import gram_hashes, text_buffer, word_bounds, word_hashes
+from ctxloom.llm.wordhash import gram_hashes, slices, text_buffer, word_bounds, word_hashes
 
 BITS = 64
 #: A term's greatest weight.
 MOST = 24
 #: Terms whose bits are unpacked at a time.
-STEP = 1 << 16
+STEP = 1 << 14
 
 
 def simhash(column: pa.Array) -> np.ndarray:
     """uint64 fingerprint of each text."""
     data, offsets = text_buffer(column)
+    return np.concatenate([_simhash(data, offsets[i : j + 1]) for i, j in slices(offsets)] or [np.zeros(0, np.uint64)])
+
+
+def _simhash(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     starts, ends, first = word_bounds(data, offsets)
     words = word_hashes(data, starts, ends)
     single = gram_hashes(words, 1)

@@ -52,6 +52,15 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), offsets
 
 
+def slices(offsets: np.ndarray, most: int = 2 * SEGMENT):
+    """Ranges of texts of about most bytes at most, or one text."""
+    i, n = 0, len(offsets) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1)
+        yield i, min(j, n)
+        i = j
+
+
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and per text the index of its first word (one more entry than texts)."""
     low, high = int(offsets[0]), int(offsets[-1])
