@@ -1,7 +1,7 @@
 """Order-preserving packing of token streams into fixed windows.
 
 Documents keep their order within a partition of the input and form one stream of ids.  The stream is cut at document
-ends (free), at sentence ends (SENTENCE) or, where neither comes for LONG ids, inside a sentence (HARD), so that
+ends (free), at sentence ends (SENTENCE) or, every EVERY ids of a longer sentence, inside it (HARD), so that
 padding plus these truncation penalties is least.  With f[j] the least cost of the stream up to boundary j,
 f[j] = min over i within a window of f[i] + size - (pos[j] - pos[i]) + penalty[j]; f[i] + pos[i] does not depend on j,
 so a monotone queue gives each minimum in constant amortised time.  The programme runs over blocks of BLOCK ids; the
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from ctxloom.llm.common import table
 
 SIZE = 2048
-SENTENCE, HARD = 8.0, 32.0
-LONG, EVERY = 512, 128
+SENTENCE, HARD = 4.0, 12.0
+EVERY = 16
 BLOCK = 1 << 20
 #: Words whose ids a worker keeps at least.
 CACHE = 250_000
@@ -118,8 +118,9 @@ def boundaries(ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray) -> tuple
     penalty[doc_ends] = 0
     penalty[[0, len(ids)]] = 0
     pos = np.flatnonzero(np.isfinite(penalty))
-    for k in np.flatnonzero(np.diff(pos) > LONG):
-        penalty[pos[k] + EVERY : pos[k + 1] : EVERY] = HARD
+    steps = (np.diff(pos) - 1) // EVERY
+    inner = np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps, steps) + 1
+    penalty[np.repeat(pos[:-1], steps) + EVERY * inner] = HARD
     pos = np.flatnonzero(np.isfinite(penalty))
     return pos.tolist(), penalty[pos].tolist()
 
