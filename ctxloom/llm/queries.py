@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from ctxloom.llm import fingerprint, mixing, packing
+from ctxloom.llm import fingerprint, mixing, packing, quality
 
 QUERIES = {
     "op1_fingerprint": fingerprint.op1_fingerprint,
     "op2_mix": mixing.op2_mix,
     "op3_pack": packing.op3_pack,
+    "op4_quality": quality.op4_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
