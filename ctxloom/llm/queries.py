@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from ctxloom.llm import fingerprint, mixing, packing, quality
+from ctxloom.llm import fingerprint, mixing, neighbours, packing, quality
 
 QUERIES = {
     "op1_fingerprint": fingerprint.op1_fingerprint,
     "op2_mix": mixing.op2_mix,
     "op3_pack": packing.op3_pack,
     "op4_quality": quality.op4_quality,
+    "op9_nearest": neighbours.op9_nearest,
 }
 
 ORACLE_SQL: dict[str, str] = {}
