@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from ctxloom.llm import archive, fingerprint, mixing, neighbours, packing, quality
+from ctxloom.llm import archive, fingerprint, mixing, neighbours, packing, personal, quality
 
 QUERIES = {
     "op1_fingerprint": fingerprint.op1_fingerprint,
     "op2_mix": mixing.op2_mix,
     "op3_pack": packing.op3_pack,
     "op4_quality": quality.op4_quality,
+    "op5_personal": personal.op5_personal,
     "op6_warc": archive.op6_warc,
     "op9_nearest": neighbours.op9_nearest,
 }
