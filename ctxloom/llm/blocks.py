@@ -33,7 +33,7 @@ def unzipped(data: bytes) -> bytes:
 
 def blocks_of(batches):
     """(number, ids, data, offsets) of each block of (doc_id, text) batches."""
-    number = TaskContext.get().partitionId() << 32
+    number = TaskContext.get().partitionId() << 20
     for batch in batches:
         data, offsets = text_buffer(batch.column(1))
         for i, j in slices(offsets, BLOCK):
@@ -43,8 +43,9 @@ def blocks_of(batches):
 
 
 def repeated(blocks: DataFrame, hashes: str) -> DataFrame:
-    """(block, found): which of the block's uint64 hashes (a binary column) occur more than once in all blocks, as
-    binary columns in an array; blocks without any are missing."""
+    """(block, found, totals): which of the block's uint64 hashes (a binary column) occur more than once in all blocks,
+    and how often (uint32; a block counts 255 times at most), as binary arrays of one order; blocks without any are
+    missing."""
     spark = blocks.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     edges = np.array([(i << 64) // n for i in range(1, n)], np.uint64)
@@ -68,7 +69,7 @@ def repeated(blocks: DataFrame, hashes: str) -> DataFrame:
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 found, counts = np.unique(np.frombuffer(data.as_buffer(), np.uint64), return_counts=True)
-                held.append((block, found, counts > 1))
+                held.append((block, found, np.minimum(counts, 255).astype(np.uint8)))
                 size += len(found)
                 if size >= GATHER:
                     yield from rows()
@@ -81,23 +82,23 @@ def repeated(blocks: DataFrame, hashes: str) -> DataFrame:
 
         def rows():
             hashed = np.concatenate([np.frombuffer(h, np.uint64) for _, _, h, _ in held])
-            many = np.concatenate([np.frombuffer(m, np.bool_) for *_, m in held])
+            many = np.concatenate([np.frombuffer(m, np.uint8) for *_, m in held])
             order = np.argsort(hashed, kind="stable")
             ordered = hashed[order]
             new = np.r_[True, ordered[1:] != ordered[:-1]]
             group = np.cumsum(new) - 1
-            keep = (np.bincount(group) > 1) | (np.bincount(group, weights=many[order]) > 0)
-            hit = np.zeros(len(hashed), dtype=bool)
-            hit[order] = keep[group]
+            total = np.zeros(len(hashed), np.uint32)
+            total[order] = np.bincount(group, weights=many[order])[group]
+            hit = total > 1
             out, low = [], 0
             for blocks_, sizes, _, _ in held:
                 for block, size in zip(blocks_, sizes):
-                    own = hashed[low : low + size][hit[low : low + size]]
-                    if len(own):
-                        out.append((block, own.tobytes()))
+                    own = hit[low : low + size]
+                    if own.any():
+                        out.append((block, hashed[low : low + size][own].tobytes(), total[low : low + size][own].tobytes()))
                     low += size
             for i in range(0, len(out), 4096):
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[i : i + 4096]), [pa.int64(), pa.binary()])], names=["block", "found"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[i : i + 4096]), [pa.int64(), pa.binary(), pa.binary()])], names=["block", "found", "totals"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -110,8 +111,9 @@ def repeated(blocks: DataFrame, hashes: str) -> DataFrame:
             yield from rows()
 
     dealt = blocks.select("block", F.col(hashes).alias("hashes")).mapInArrow(deal, "range int, blocks array<long>, sizes array<int>, hashes binary, many binary")
-    met = dealt.repartition(n, "range").sortWithinPartitions("range").mapInArrow(meet, "block long, found binary")
-    return met.groupBy("block").agg(F.collect_list("found").alias("found"))
+    met = dealt.repartition(n, "range").sortWithinPartitions("range").mapInArrow(meet, "block long, found binary, totals binary")
+    both = F.collect_list(F.struct("found", "totals"))
+    return met.groupBy("block").agg(both.alias("both")).select("block", F.col("both.found").alias("found"), F.col("both.totals").alias("totals"))
 
 
 def known(found, values: np.ndarray) -> np.ndarray:

@@ -17,6 +17,7 @@ import hashlib
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -242,7 +243,7 @@ def redact(docs: DataFrame, mask: str = "<{}>") -> DataFrame:
     model = learn(stage(extract(docs), "personal"))
 
     @F.pandas_udf("string")
-    def masked(texts):
+    def masked(texts: pd.Series) -> pd.Series:
         def of(text):
             if text is None:
                 return None

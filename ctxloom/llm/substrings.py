@@ -107,9 +107,9 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 at = np.flatnonzero(known(row["found"], short))
                 yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), pa.array([at.astype(np.uint32).tobytes()], pa.binary()), pa.array([np.r_[before[at], after[at]].tobytes()], pa.binary())], names=["block", "kept", "both"])
 
-    level1 = texts.select("block", "short", "before", "after").join(repeated(texts, "short"), "block").mapInArrow(second, "block long, kept binary, both binary")
+    level1 = texts.select("block", "short", "before", "after").join(repeated(texts, "short").drop("totals"), "block").mapInArrow(second, "block long, kept binary, both binary")
     level1, _ = stage_bucketed(level1, "level1", "block")
-    level2 = level1.join(repeated(level1, "both"), "block").select("block", "kept", "both", "found")
+    level2 = level1.join(repeated(level1, "both").drop("totals"), "block").select("block", "kept", "both", "found")
 
     def third(batches):
         for batch in batches:
@@ -159,7 +159,7 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 done = [_result(ident, data[offsets[i] : offsets[i + 1]].tobytes(), gone[bounds[i] : bounds[i + 1]]) for i, ident in enumerate(row["ids"])]
                 yield pa.RecordBatch.from_arrays([pa.array([done], done_type)], names=["done"])
 
-    rest = level3.select("block", "ids", "texts", "offsets", "starts", "full").filter("size(ids) > 0").join(repeated(level3, "full"), "block", "left").select("ids", "texts", "offsets", "starts", "full", "found").mapInArrow(last, f"done {DONE}")
+    rest = level3.select("block", "ids", "texts", "offsets", "starts", "full").filter("size(ids) > 0").join(repeated(level3, "full").drop("totals"), "block", "left").select("ids", "texts", "offsets", "starts", "full", "found").mapInArrow(last, f"done {DONE}")
     rows = level3.select("done").unionByName(rest)
     return rows.select(F.explode("done").alias("d")).select(F.col("d.id").alias("doc_id"), F.col("d.words").alias("n_words"), F.col("d.removed").alias("n_removed"), F.col("d.sha").alias("kept_sha256"))
 
