@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ctxloom.llm import archive, fingerprint, mixing, nearjoin, neighbours, packing, personal, quality, substrings
+from ctxloom.llm import archive, fingerprint, mixing, nearjoin, neighbours, packing, personal, quality, substrings, toxicity
 
 QUERIES = {
     "op1_fingerprint": fingerprint.op1_fingerprint,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_personal": personal.op5_personal,
     "op6_warc": archive.op6_warc,
     "op7_near_duplicates": nearjoin.op7_near_duplicates,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_nearest": neighbours.op9_nearest,
     "op10_substrings": substrings.op10_substrings,
 }
