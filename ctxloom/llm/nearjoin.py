@@ -10,9 +10,11 @@ asks for more matches before a pair is verified.
    repeated members goes.  The order is now by that count, rare first, and each class chooses the l of least estimated
    cost: the entries it will meet, and the pairs those can make, weighed by the cost of verifying one.
 3. Links.  Members of a group that are already joined need no further link, so rounds of stars come first: in each
-   index list one class is the pivot and every class is verified with the pivot it meets most.  Then every pair of
-   classes of two components that matches in l places, the lesser of the two classes' l, is verified.  So no link
-   between components is lost, and a group of copies is never expanded into its pairs.
+   index list one class is the pivot (first the one with the fewest members of its own, the likely original) and
+   every class is verified with the pivot it meets most.  Then every pair of classes of two components that matches in
+   l places, the lesser of the two classes' l, is verified: pairs of short lists as rows, those that meet in a long
+   list in tiles (see _tiles).  So no link between components is lost, and a group of copies is never expanded into
+   its pairs.
 
 Verification compares the whole sets of 64-bit hashes.  Components are spread by least labels with pointer jumping;
 links, labels and sets stay distributed.
@@ -32,8 +34,8 @@ from ctxloom.llm.wordhash import gram_hashes, mix, word_bounds, word_hashes
 
 SHINGLE = 5
 PERCENT = 80
-#: Rounds of stars before the remaining pairs.
-STARS = 2
+#: Rounds of stars before the remaining pairs, index entries of a long list, classes of a chunk.
+STARS, HOT, CHUNK = 2, 32, 1024
 #: Cost of verifying a pair, in index entries, for each member of a set.
 VERIFY = 0.05
 #: Lengths of match tried.
@@ -135,7 +137,7 @@ def choose(n: int, counts: np.ndarray) -> tuple[int, int]:
 
 
 def _indexed(blocks: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cid, n, l, members binary, index array<long>) of each class that may have a partner."""
+    """(cid, n, l, alone double, members binary, index array<long>) of each class that may have a partner."""
     chosen = classes.select(F.shiftright("cid", _PLACE).alias("block"), F.col("cid").bitwiseAND(F.lit((1 << _PLACE) - 1)).cast("int").alias("place")).groupBy("block").agg(F.sort_array(F.collect_list("place")).alias("places"))
 
     def sets(batches):
@@ -167,11 +169,11 @@ def _indexed(blocks: DataFrame, classes: DataFrame) -> DataFrame:
                         continue
                     rare = np.lexsort((shared, times[times > 1]))
                     match, length = choose(high - low, times[times > 1][rare])
-                    out.append(((row["block"] << _PLACE) + place, high - low, match, own.tobytes(), shared[rare][:length].view(np.int64)))
+                    out.append(((row["block"] << _PLACE) + place, high - low, match, 1 - len(shared) / (high - low), own.tobytes(), shared[rare][:length].view(np.int64)))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())])], names=["cid", "n", "l", "members", "index"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.binary(), pa.list_(pa.int64())])], names=["cid", "n", "l", "alone", "members", "index"])
 
-    return stage(held.join(repeated(held, "members"), "block").mapInArrow(index, "cid long, n long, l int, members binary, index array<long>"), "indexed")
+    return stage(held.join(repeated(held, "members"), "block").mapInArrow(index, "cid long, n long, l int, alone double, members binary, index array<long>"), "indexed")
 
 
 def linked(x: bytes, y: bytes) -> bool:
@@ -217,7 +219,7 @@ def _merge(labels: DataFrame, edges: DataFrame) -> DataFrame:
 def _class_labels(indexed: DataFrame) -> DataFrame:
     """(cid, label) of all indexed classes."""
     sets = indexed.select("cid", "members")
-    postings = indexed.select("cid", "n", "l", F.explode("index").alias("member"))
+    postings = indexed.select("cid", "n", "l", "alone", F.explode("index").alias("member"))
     labels = indexed.select("cid", F.col("cid").alias("label"))
 
     def fits(a, b):
@@ -225,18 +227,87 @@ def _class_labels(indexed: DataFrame) -> DataFrame:
 
     for turn in range(STARS):
         known_ = postings.join(labels, "cid") if turn else postings.withColumn("label", F.col("cid"))
-        pivots = known_.groupBy("member").agg(F.min_by(F.struct("cid", "n", "label"), F.xxhash64("cid", F.lit(turn))).alias("p"), F.count("*").alias("many")).filter("many > 1")
+        pivots = known_.groupBy("member").agg(F.min_by(F.struct("cid", "n", "label"), F.struct(*(["alone"] if turn == 0 else []), F.xxhash64("cid", F.lit(turn)))).alias("p"), F.count("*").alias("many")).filter("many > 1")
         met = known_.join(pivots, "member").filter((F.col("p.label") != F.col("label")) & fits(F.col("p.n"), F.col("n")))
         counted = met.groupBy("cid", F.col("p.cid").alias("pivot")).agg(F.count("*").alias("matches"))
         best = counted.groupBy("cid").agg(F.max_by("pivot", F.struct("matches", "pivot")).alias("pivot"))
         labels = _merge(labels, stage(_verified(best.select(F.col("pivot").alias("a"), F.col("cid").alias("b")), sets), "links"))
-    entries = stage(postings.join(labels, "cid"), "postings")
-    spread = entries.groupBy("member").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("member")
-    entries = entries.join(spread, "member")
-    left, right = (entries.select("member", *(F.col(c).alias(f"{c}{s}") for c in ("cid", "n", "l", "label"))) for s in "ab")
+    entries = postings.join(labels, "cid")
+    lists = stage(entries.groupBy("member").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).filter("low <> high").select("member", "size"), "lists")
+    entries = stage(entries.join(lists, "member"), "entries")
+    cold = entries.filter(F.col("size") <= HOT)
+    left, right = (cold.select("member", *(F.col(c).alias(f"{c}{s}") for c in ("cid", "n", "l", "label"))) for s in "ab")
     met = left.join(right, "member").filter((F.col("cida") < F.col("cidb")) & (F.col("labela") != F.col("labelb")) & fits(F.col("na"), F.col("nb")))
     pairs = met.groupBy(F.col("cida").alias("a"), F.col("cidb").alias("b")).agg(F.count("*").alias("matches"), F.min(F.least("la", "lb")).alias("need")).filter("matches >= need").select("a", "b")
-    return _merge(labels, stage(_verified(pairs, sets), "links"))
+    return _merge(labels, stage(_verified(pairs, sets).unionByName(_tiles(entries.filter(F.col("size") > HOT), sets)), "links"))
+
+
+def tile_links(cids, labels, sets: list[np.ndarray], sides: np.ndarray) -> list[tuple[int, int]]:
+    """Links between sets of different labels, one side with the other (or all with all on one side), no more than
+    join the labels: pairs of cids."""
+    root = {label: label for label in labels}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    n = np.array([len(s) for s in sets])
+    other = np.flatnonzero(sides == sides.max())
+    members = np.concatenate([sets[i] for i in other])
+    owner = np.repeat(np.arange(len(other)), n[other])
+    order = np.argsort(members, kind="stable")
+    members, owner = members[order], owner[order]
+    out = []
+    for i in np.flatnonzero(sides == sides.min()):
+        low, high = np.searchsorted(members, sets[i]), np.searchsorted(members, sets[i], side="right")
+        size = high - low
+        hit = owner[np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        shared = np.bincount(hit, minlength=len(other))
+        for j in other[100 * shared >= PERCENT * (n[i] + n[other] - shared)]:
+            x, y = find(labels[i]), find(labels[j])
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((cids[i], cids[j]))
+    return out
+
+
+def _tiles(entries: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between classes that meet in a long list.
+
+    Long lists that a class has in common are one cluster; a cluster's classes are dealt into chunks of CHUNK, and each
+    two chunks are a tile, compared within a task: no row is made for a pair that doesn't link, and of those that do
+    only enough to join their components."""
+    lowest = entries.groupBy("cid").agg(F.min("member").alias("low"))
+    named = components(entries.join(lowest, "cid").select(F.col("low").alias("a"), F.col("member").alias("b")).distinct())
+    own = lowest.join(named.toDF("low", "cluster"), "low", "left").select("cid", F.coalesce("cluster", "low").alias("cluster"))
+    own = stage(own.join(entries.select("cid", "label").distinct(), "cid"), "clusters")
+    sizes = own.groupBy("cluster").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    dealt = own.join(sizes, "cluster").withColumn("chunk", F.pmod(F.xxhash64("cid"), "chunks").cast("int")).join(sets, "cid")
+    dealt = dealt.select("cluster", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("with"), "chunk", "cid", "label", "members")
+    dealt = dealt.select("cluster", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"), "chunk", "cid", "label", "members")
+    n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches):
+        tile, rows = None, []
+
+        def links():
+            cids, labels, raw, chunks = zip(*rows)
+            found = tile_links(cids, labels, [np.frombuffer(m, np.uint64) for m in raw], np.array(chunks)) if len(set(labels)) > 1 and (tile[1] == tile[2] or len(set(chunks)) == 2) else []
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for cluster, i, j, chunk, cid, label, members in zip(*(c.to_pylist() for c in batch.columns)):
+                if (cluster, i, j) != tile:
+                    if rows:
+                        yield links()
+                    tile, rows = (cluster, i, j), []
+                rows.append((cid, label, members, chunk))
+        if rows:
+            yield links()
+
+    return dealt.repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
