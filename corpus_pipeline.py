@@ -1,13 +1,57 @@
-"""documents to packed training sequences, stage by stage."""
+"""documents to packed training sequences: reject poor texts, keep one of each near-duplicate group, mask personal
+data, mix the sources, pack.
+
+Each stage takes (spark, docs, sf_dir) and returns the columns of documents, the last one the pieces of sequences.
+run() writes each stage's rows to the shared folder and reads them again for the next."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ctxloom.llm import common, mixing, nearjoin, packing, personal, quality
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the discriminant rejects go; null and empty texts are among those it rejects or keeps by score."""
+    return quality.keep_good(docs, common.table(spark, sf_dir, "labels"))
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, the one with the least id; equal rows are one document.  Rows without an id
+    stay where no document with an id is in their group."""
+    kept = nearjoin.near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept"]), "left_semi").dropDuplicates(["doc_id", "text"])
+
+
+def personal_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every span of personal data gives way to its kind's mask."""
+    return personal.redact(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; equal rows as often as the one taken most."""
+    return mixing.apply_mix(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_stage),
+    ("personal", personal_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
+
+#: SQL can't express the discriminant; tests/llm compares each stage with a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, function in STAGES:
-        docs = function(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for name, function in STAGES[:-1]:
+        docs = common.stage(function(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -106,14 +106,18 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_budget: int = DP_
     return taken + knapsack(sizes, counts - taken, rest)
 
 
+def draw_of(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), "doc_id", "source", "text")
+
+
 def mix(docs: DataFrame, size: Column, seed: int = 17, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies): how often the mix takes each row of docs.
+    """(doc_id, source, size, source_size, target, draw, copies): how often the mix takes each row of docs.
 
     Sources are a short list by nature and come to the driver as (source, size) rows; all else stays distributed.  A
     null source is a source of its own, the last.  Rows of size 0 are never taken.  Equal rows may differ in copies,
     but their sum is fixed; reruns agree.  No rows: no rows.
     """
-    rows = stage(docs.select("doc_id", "source", size.alias("size"), F.xxhash64(F.lit(seed), "doc_id", "source", "text").alias("draw")), "mix")
+    rows = stage(docs.select("doc_id", "source", size.alias("size"), draw_of(seed).alias("draw")), "mix")
     spark = docs.sparkSession
     per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size")).collect()
     per_source.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-32-be")))
@@ -138,7 +142,14 @@ def mix(docs: DataFrame, size: Column, seed: int = 17, weights=WEIGHTS, share: f
     dealt = binned.join(quota, binned["source"].eqNullSafe(F.col("s2")) & (binned["size"] == F.col("z2")) & (binned["bin"] == F.col("b2")), "left")
     split = Window.partitionBy("source", "size", "bin").orderBy("draw", "doc_id")
     chosen = dealt.withColumn("more", (F.row_number().over(split) <= F.col("quota")).cast("int"))
-    return chosen.join(plan.withColumnRenamed("source", "s4"), chosen["source"].eqNullSafe(F.col("s4"))).select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("base") + F.coalesce("more", F.lit(0))).otherwise(0).alias("copies"))
+    return chosen.join(plan.withColumnRenamed("source", "s4"), chosen["source"].eqNullSafe(F.col("s4"))).select("doc_id", "source", "size", "source_size", "target", "draw", F.when(F.col("size") > 0, F.col("base") + F.coalesce("more", F.lit(0))).otherwise(0).alias("copies"))
+
+
+def apply_mix(docs: DataFrame, seed: int = 17) -> DataFrame:
+    """The rows of docs, with their columns, each as often as the mix takes it; equal rows as the one taken most."""
+    taken = mix(docs, word_count("text"), seed).filter("copies > 0").groupBy(F.col("doc_id").alias("mixed_id"), F.col("draw").alias("mixed_draw")).agg(F.max("copies").alias("mixed_copies"))
+    on = docs["doc_id"].eqNullSafe(taken["mixed_id"]) & (draw_of(seed) == taken["mixed_draw"])
+    return docs.join(taken, on).select(*docs.columns, F.explode(F.sequence(F.lit(1), "mixed_copies"))).drop("col")
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
