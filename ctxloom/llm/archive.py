@@ -5,14 +5,16 @@ what it wrote; a file counts only if the returned rows name it, so files of fail
 Reading: archives are streamed piece by piece into rows (record_id, chunk_no, chunk, size so far, digest so far, last),
 so neither side allocates a whole record; a record's last chunk carries its full size and SHA-1.
 
-Archives are plain WARC/1.1.  A response holds an HTTP header and the payload, a revisit the HTTP header alone; both
+Archives are WARC/1.1, each record a gzip member of its own.  A response holds an HTTP header and the payload, a revisit the HTTP header alone; both
 name the payload's SHA-1 (hex).  Files are reached through pyarrow.fs, local, HDFS, S3 or GCS alike.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
+import zlib
 
 import pyarrow as pa
 from pyarrow import fs
@@ -24,6 +26,8 @@ from ctxloom.llm.common import new_path, stage, table
 
 CHUNK = 1 << 16
 LEAST = 1000
+#: Of compression.
+LEVEL = 3
 DATE = "2024-01-01T00:00:00Z"
 #: Types of decided records.
 RECORD = "record_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload string"
@@ -72,7 +76,7 @@ def write(records: DataFrame, folder: str) -> DataFrame:
         disk, root = fs.FileSystem.from_uri(folder)
         disk.create_dir(root, recursive=True)
         context = TaskContext.get()
-        path = f"{root}/part-{context.partitionId():05d}-{context.taskAttemptId()}-{uuid.uuid4().hex[:8]}.warc"
+        path = f"{root}/part-{context.partitionId():05d}-{context.taskAttemptId()}-{uuid.uuid4().hex[:8]}.warc.gz"
         counts: dict[str, list[int]] = {}
         out = None
         for batch in batches:
@@ -80,12 +84,13 @@ def write(records: DataFrame, folder: str) -> DataFrame:
                 *fields, payload = (c[i] for c in batch.columns)
                 ident, url, kind, refers, size, digest = (f.as_py() for f in fields)
                 out = out or disk.open_output_stream(path, buffer_size=1 << 20)
-                out.write(head(ident, url, kind, refers, size, digest))
+                member = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+                out.write(member.compress(head(ident, url, kind, refers, size, digest)))
                 if kind == "response":
                     body = memoryview(payload.as_buffer()) if size else b""
                     for at in range(0, size, CHUNK):
-                        out.write(body[at : at + CHUNK])
-                out.write(b"\r\n\r\n")
+                        out.write(member.compress(body[at : at + CHUNK]))
+                out.write(member.compress(b"\r\n\r\n") + member.flush())
                 counted = counts.setdefault(kind, [0, 0])
                 counted[0] += 1
                 counted[1] += size
@@ -185,7 +190,7 @@ def read(spark: SparkSession, manifest: DataFrame, folder: str, batch: int = 64,
             for path in given.column(0).to_pylist():
                 held = []
                 with disk.open_input_stream(path, buffer_size=CHUNK) as source:
-                    for row in chunks_of(source):
+                    for row in chunks_of(gzip.GzipFile(fileobj=source)):
                         held.append((path, *row) if payloads else (path, *row[:4], None, *row[5:]))
                         if len(held) >= batch:
                             yield rows(held)
