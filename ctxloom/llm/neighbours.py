@@ -4,8 +4,8 @@ Vectors are kept in blocks with int8 codes, a scale each and the norm of what ro
 product of a block of queries and a block of candidates: integer products of the codes, exact in float, give the inner
 product up to |q||c - c'| + |q - q'||c'| (Cauchy-Schwarz).  A candidate whose upper bound lies below the k-th lower
 bound of its query can't be among the k nearest; the rest are recomputed from the original vectors in double precision
-and go to a heap of k per query.  Queries are dealt in slabs of SLAB; a task holds one slab and streams candidate
-blocks past it, so its memory doesn't grow with either side.
+and go to a heap of k per query.  Queries are dealt in slabs of SLAB, candidates in shares of about SHARE; a task holds one slab and streams
+a share's blocks past it, so its memory doesn't grow with either side.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ctxloom.llm.common import stage, table
 
 K = 20
-BLOCK, SLAB = 1024, 4096
+BLOCK, SLAB, SHARE = 1024, 4096, 8192
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -101,7 +101,7 @@ def nearest(vectors: DataFrame, is_query, k: int = K, ident: str = "vec_id", vec
     queries = asked.withColumn("slab", F.pmod(F.xxhash64("uid"), count).cast("int"))
     candidates = rows.filter(F.col("dims").isin(list(slabs))).withColumn("slab", F.explode(F.sequence(F.lit(0), count - 1)))
     # Each slab meets every candidate in `split` groups; a group holds the slab's queries and a share of the candidates.
-    split = max(1, parts // sum(slabs.values()))
+    split = max(1, -(-rows.count() // SHARE))
     queries = queries.select(*columns(0), F.explode(F.sequence(F.lit(0), F.lit(split - 1))).alias("share"))
     candidates = candidates.select(*columns(1), F.pmod(F.xxhash64("uid", F.lit(7)), F.lit(split)).cast("int").alias("share"))
     dealt = queries.unionByName(candidates).repartition(parts, "dims", "slab", "share").sortWithinPartitions("dims", "slab", "share", "kind")
