@@ -192,9 +192,14 @@ def char_grams(text: Column, n: int = 3) -> Column:
 
 
 def word_grams(text: Column, n: int = 2) -> Column:
+    """Distinct n-grams of white-space words; none under n words.  Shifted copies of the words are zipped, as a lambda
+    that sliced them would split the text anew for each gram."""
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    grams = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) < n, F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
+    size = F.greatest(F.size(words) - n + 1, F.lit(0))
+    grams = F.slice(words, F.lit(1), size)
+    for k in range(1, n):
+        grams = F.zip_with(grams, F.slice(words, F.lit(k + 1), size), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.array_distinct(grams)
 
 
 def jaccard(a: Column, b: Column, both_empty: float = 1.0) -> Column:

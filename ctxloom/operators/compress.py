@@ -110,7 +110,7 @@ def drop_near_copies(df: DataFrame, threshold: float = 0.85, n: int = 2) -> Data
     def kill(pdf: pd.DataFrame) -> pd.DataFrame:
         rank = {a: (w, s) for a, w, s in zip(pdf["a"], pdf["wa"], pdf["sa"])} | {b: (w, s) for b, w, s in zip(pdf["b"], pdf["wb"], pdf["sb"])}
         dead = sorted(sweep(list(zip(pdf["a"], pdf["b"])), rank))
-        return pd.DataFrame({REQUEST: pdf[REQUEST].iloc[0], "pos": dead})
+        return pd.DataFrame({REQUEST: [pdf[REQUEST].iloc[0]] * len(dead), "pos": dead})
 
     kind, place = df.schema[REQUEST].dataType.simpleString(), df.schema["pos"].dataType.simpleString()
     dead = with_ranks.groupBy(REQUEST).applyInPandas(kill, f"{REQUEST} {kind}, pos {place}")

@@ -113,7 +113,7 @@ def circular(edges: DataFrame) -> DataFrame:
         while free := [a for a, deps in needs.items() if not deps & needs.keys()]:
             for a in free:
                 del needs[a]
-        return pd.DataFrame({REQUEST: pdf[REQUEST].iloc[0], "segment_id": sorted(needs)})
+        return pd.DataFrame({REQUEST: [pdf[REQUEST].iloc[0]] * len(needs), "segment_id": pd.Series(sorted(needs), dtype=object)})
 
     kind = edges.schema[REQUEST].dataType.simpleString()
     return edges.groupBy(REQUEST).applyInPandas(peel, f"{REQUEST} {kind}, segment_id string")
