@@ -22,20 +22,17 @@ def eligible(least: int = 0, keep_must: bool = True) -> Column:
     return out & ~F.col("must_keep") if keep_must else out
 
 
-def _running(descending: bool = False) -> Window:
-    return Window.partitionBy(REQUEST).orderBy(F.desc("pos") if descending else F.asc("pos")).rowsBetween(Window.unboundedPreceding, 0)
-
-
-def _cut(df: DataFrame, target: Column, tail: bool) -> DataFrame:
-    """The head (or tail) of each request up to target tokens; the segment at the boundary is cut to the rest."""
-    upto = F.sum("token_count").over(_running(tail))
-    rest = target - (F.col("upto") - F.col("token_count"))
+def _cut(df: DataFrame, target: Column, tail: bool, active: Column | None = None) -> DataFrame:
+    """The head (or tail) of each request up to target tokens; the segment at the boundary is cut to the rest.  Rows that
+    aren't active stay as they are and don't count."""
+    df = df.withColumn("active", F.lit(True) if active is None else F.coalesce(active, F.lit(False))).withColumn("goal", target)
+    along = Window.partitionBy(REQUEST, "active").orderBy(F.desc("pos") if tail else F.asc("pos")).rowsBetween(Window.unboundedPreceding, 0)
+    out = df.withColumn("upto", F.sum("token_count").over(along)).withColumn("rest", F.col("goal") - (F.col("upto") - F.col("token_count")))
     size = F.floor(F.length("content") * F.col("rest") / F.col("token_count")).cast("int")
     part = F.right(F.col("content"), size) if tail else F.substring("content", F.lit(1), size)
-    over = F.col("upto") > target
-    out = df.withColumn("upto", upto).withColumn("rest", rest).filter("rest > 0")
-    out = out.withColumn("content", F.when(over, part).otherwise(F.col("content"))).withColumn("cut", over).withColumn("token_count", F.when(over, F.col("rest")).otherwise(F.col("token_count")).cast("int"))
-    return out.filter("length(content) > 0").drop("upto", "rest")
+    out = out.filter(~F.col("active") | (F.col("rest") > 0)).withColumn("cut", F.col("active") & (F.col("upto") > F.col("goal")))
+    out = out.withColumn("content", F.when(F.col("cut"), part).otherwise(F.col("content"))).withColumn("token_count", F.when(F.col("cut"), F.col("rest")).otherwise(F.col("token_count")).cast("int"))
+    return out.filter(~F.col("active") | (F.length("content") > 0)).drop("upto", "rest", "active", "goal")
 
 
 def keep_head(df: DataFrame, target: int) -> DataFrame:
@@ -101,8 +98,8 @@ def sweep(pairs: list[tuple[int, int]], rank: dict[int, tuple]) -> set[int]:
     return dead
 
 
-def drop_near_copies(df: DataFrame, threshold: float = 0.85, n: int = 2) -> DataFrame:
-    """df without near copies within a request: the lower priority goes, then the lower score, then the later one."""
+def near_copies(df: DataFrame, threshold: float = 0.85, n: int = 2) -> DataFrame:
+    """(request_id, pos) of near copies within a request: the lower priority goes, then the lower score, then the later."""
     pairs = duplicate_pairs(df, REQUEST, threshold, n)
     ranks = df.select(REQUEST, "pos", priority_weight().alias("weight"), F.coalesce("score", F.lit(0.0)).alias("s"))
     with_ranks = pairs.join(ranks.toDF(REQUEST, "a", "wa", "sa"), [REQUEST, "a"]).join(ranks.toDF(REQUEST, "b", "wb", "sb"), [REQUEST, "b"])
@@ -113,8 +110,11 @@ def drop_near_copies(df: DataFrame, threshold: float = 0.85, n: int = 2) -> Data
         return pd.DataFrame({REQUEST: [pdf[REQUEST].iloc[0]] * len(dead), "pos": dead})
 
     kind, place = df.schema[REQUEST].dataType.simpleString(), df.schema["pos"].dataType.simpleString()
-    dead = with_ranks.groupBy(REQUEST).applyInPandas(kill, f"{REQUEST} {kind}, pos {place}")
-    return df.join(dead, [REQUEST, "pos"], "left_anti")
+    return with_ranks.groupBy(REQUEST).applyInPandas(kill, f"{REQUEST} {kind}, pos {place}")
+
+
+def drop_near_copies(df: DataFrame, threshold: float = 0.85, n: int = 2) -> DataFrame:
+    return df.join(near_copies(df, threshold, n), [REQUEST, "pos"], "left_anti")
 
 
 def summarise(df: DataFrame, provider: Callable[[str], str]) -> DataFrame:
@@ -132,13 +132,11 @@ def cascade(df: DataFrame, available: int, threshold: float = 0.8) -> DataFrame:
     """Requests over threshold lose near copies; then low, medium and high priority segments are cut to what the others
     leave, each step only while the request is over."""
     over = F.sum("token_count").over(Window.partitionBy(REQUEST)) / available >= threshold if available else F.lit(False)
-    marked = df.withColumn("over", over)
-    out = marked.filter("not over").drop("over").unionByName(drop_near_copies(marked.filter("over").drop("over")))
+    out = df.join(near_copies(df.withColumn("over", over).filter("over")), [REQUEST, "pos"], "left_anti")
     for level in ("low", "medium", "high"):
         total = F.sum("token_count").over(Window.partitionBy(REQUEST))
         own = eligible() & (effective_priority() == level)
         others = F.coalesce(F.sum(F.when(~own, F.col("token_count"))).over(Window.partitionBy(REQUEST)), F.lit(0))
-        staged = out.withColumn("active", own & (total > available)).withColumn("target", F.greatest(F.lit(0), F.lit(available) - others).cast("long"))
-        cut = _cut(staged.filter("active"), F.col("target"), False).drop("cut")
-        out = staged.filter("not active").unionByName(cut).drop("active", "target")
+        target = F.greatest(F.lit(0), F.lit(available) - others).cast("long")
+        out = _cut(out, target, False, own & (total > available)).drop("cut")
     return out

@@ -13,7 +13,7 @@ from ctxloom.operators import assemble, budget, compress, inspect, rerank, routi
 from ctxloom.plans import pipeline
 from ctxloom.plans.base import FLAGGED, POLICY, SEGMENTS, flagged, messages, passages, segments, table
 from ctxloom.sources import ingest
-from ctxloom.streaming import stateful
+from ctxloom.streaming import run, stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -974,3 +974,32 @@ def cch3_least_recent(spark, sf):
 def cch5_two_level(spark, sf):
     rows, stored = _cache(spark, sf)
     return inspect.two_level(rows.select("key").distinct(), stored.filter("ttl is null"), stored.filter("ttl is not null"))
+
+
+# --- streams, run over what is there ---
+
+
+@query("""WITH r AS (SELECT conv_id, dense_rank() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations)
+ SELECT conv_id AS request_id, count(*) FILTER (k > 2) AS folded, count(*) FILTER (k <= 2) AS held FROM r GROUP BY 1""")
+def str1_rolling(spark, sf):
+    rows = run.stream_of(spark, sf, "conversations").select(F.col("conv_id").alias("request_id"), "turn", F.col("text").alias("content"))
+    return run.run_once(stateful.rolling_summaries(rows, lambda summary, text: (summary + " " + text)[-400:])).select("request_id", "folded", "held")
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k FROM events)
+ SELECT event_type AS agent, count(*) AS events, max(event_id) FILTER (k = 1) AS "last" FROM r WHERE k <= 100 GROUP BY 1""")
+def str3_history(spark, sf):
+    rows = run.stream_of(spark, sf, "events").select(F.col("event_type").alias("agent"), "event_id", "ts")
+    return run.run_once(stateful.recent_history(rows, 100))
+
+
+@query("SELECT DISTINCT user_id AS key FROM events")
+def str5_expiring(spark, sf):
+    rows = run.stream_of(spark, sf, "events").select(F.col("user_id").alias("key"), "ts")
+    return run.run_once(stateful.expiring_cache(rows, "36500 days"), "append").select("key")
+
+
+@query("SELECT conv_id AS request_id, turn, floor(turn / 2) AS age FROM conversations WHERE 3 - floor(turn / 2) < 3")
+def str2_turn_ages(spark, sf):
+    rows = run.stream_of(spark, sf, "conversations").select(F.col("conv_id").alias("request_id"), "turn", F.floor(F.col("turn") / 2).cast("double").alias("age"))
+    return run.run_once(rows.filter(3 - F.col("age") < 3), "append")
