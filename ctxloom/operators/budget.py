@@ -115,10 +115,10 @@ def allocate(df: DataFrame, policy: Policy) -> tuple[DataFrame, DataFrame]:
     place and rank, then rescued ones."""
     if policy.overflow == "error" and split_rigid(df, policy).filter(F.col("rigid_used") > policy.available).limit(1).count():
         raise BudgetError("rigid segments exceed the budget")
-    marked = split_rigid(df, policy)
-    decided = rescue(marked, elastic(marked, policy))
+    marked = split_rigid(df, policy).withColumn("rank", _ranked())
     first = F.min("pos").over(Window.partitionBy(REQUEST, "type"))
-    joined = marked.withColumn("rank", _ranked()).withColumn("type_first", first).join(decided, [REQUEST, "pos"], "left").withColumn("decision", F.coalesce("decision", F.lit("rigid")))
+    joined = marked.join(_decide(marked, policy), REQUEST, "left").withColumn("d", F.col("made")[F.col("pos").cast("int")]).withColumn("type_first", first)
+    joined = joined.withColumn("decision", F.coalesce("d.decision", F.lit("rigid"))).withColumn("tokens", F.col("d.tokens"))
     group = F.when(F.col("decision") == "rigid", 0).when(F.col("decision") == "rescue", 2).otherwise(1)
     by = Window.partitionBy(REQUEST).orderBy(group, F.when(group == 1, F.col("type_first")).otherwise(0), F.when(group == 0, F.col("pos")).otherwise(F.col("rank")))
     kept = joined.filter("decision <> 'drop'").withColumn("new_pos", (F.row_number().over(by) - 1).cast("int"))
@@ -127,6 +127,42 @@ def allocate(df: DataFrame, policy: Policy) -> tuple[DataFrame, DataFrame]:
     return kept.select(*[c for c in df.columns if c != "pos"], F.col("new_pos").alias("pos")), joined.select(REQUEST, "segment_id", "type", "decision", F.coalesce("tokens", F.col("token_count").cast("long")).alias("tokens"))
 
 
+def _decide(marked: DataFrame, policy: Policy) -> DataFrame:
+    """(request_id, made): elastic() and rescue() in one pass over a request's places and token counts.  Types don't
+    meet in the first phase, so one fold in rank order with a rest per type serves them all; the map of decisions joins
+    back by request alone."""
+    items = F.array_sort(F.collect_list(F.struct("rank", F.col("pos").cast("int").alias("pos"), F.col("token_count").cast("long").alias("tokens"), F.col("compressible").alias("shrinks"), "type")))
+    grouped = marked.filter(~F.col("rigid")).groupBy(REQUEST).agg(items.alias("items"), F.max("elastic").alias("elastic"))
+    kinds = list(policy.ratios)
+    quotas = F.map_from_arrays(F.array(*[F.lit(k) for k in kinds]), F.array(*[quota(policy, F.lit(k), F.col("elastic")) for k in kinds])) if kinds else F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
+    made = "array<struct<rank:int,pos:int,need:bigint,decision:string,tokens:bigint>>"
+    start = F.struct(quotas.alias("left"), F.array().cast(made).alias("made"))
+
+    def entry(item: Column, decision: Column, tokens: Column, need: Column) -> Column:
+        return F.array(F.struct(item["rank"].alias("rank"), item["pos"].alias("pos"), need.alias("need"), decision.alias("decision"), tokens.alias("tokens")))
+
+    def step(state: Column, item: Column) -> Column:
+        left = F.coalesce(state["left"][item["type"]], F.lit(0).cast("bigint"))
+        fits, cut = item["tokens"] <= left, (left >= policy.min_elastic) & item["shrinks"]
+        spent = F.when(fits, item["tokens"]).when(cut, left).otherwise(F.lit(0).cast("bigint"))
+        decision = F.when(fits, "keep").when(cut, "truncate").otherwise("drop")
+        after = F.transform_values(state["left"], lambda k, v: F.when(k == item["type"], v - spent).otherwise(v))
+        return F.struct(after.alias("left"), F.concat(state["made"], entry(item, decision, spent, item["tokens"])).alias("made"))
+
+    first = grouped.select(REQUEST, "elastic", F.aggregate("items", start, step)["made"].alias("made"))
+    used = F.aggregate("made", F.lit(0).cast("bigint"), lambda total, m: total + m["tokens"])
+    again = F.struct(F.greatest(F.lit(0), F.col("elastic") - used).cast("bigint").alias("left"), F.array().cast(made).alias("made"))
+
+    def back(state: Column, item: Column) -> Column:
+        fits = (item["decision"] == "drop") & (item["need"] <= state["left"])
+        spent = F.when(fits, item["need"]).otherwise(F.lit(0).cast("bigint"))
+        decision = F.when(fits, "rescue").otherwise(item["decision"])
+        return F.struct((state["left"] - spent).alias("left"), F.concat(state["made"], entry(item, decision, F.when(fits, item["need"]).otherwise(item["tokens"]), item["need"])).alias("made"))
+
+    second = first.select(REQUEST, F.aggregate("made", again, back)["made"].alias("made"))
+    return second.select(REQUEST, F.map_from_entries(F.transform("made", lambda m: F.struct(m["pos"], F.struct(m["decision"].alias("decision"), m["tokens"].alias("tokens"))))).alias("made"))
+
+
 def allocation(decisions: DataFrame, policy: Policy) -> DataFrame:
     """One row per request and type with what it uses, beside the request's totals."""
     used = F.when(F.col("decision") == "drop", 0).otherwise(F.col("tokens"))

@@ -173,12 +173,14 @@ def publish(segments: DataFrame, agents: DataFrame) -> DataFrame:
 
 def views(agents: DataFrame, segments: DataFrame) -> DataFrame:
     """(agent_id, segment_id): an agent sees its own namespace but what is internal, the default one as visible to it,
-    and of others what is global or handed downstream.  Three joins on keys instead of one on a disjunction."""
+    and of others what is global or handed downstream.  Two joins on keys instead of one on a disjunction; what is
+    shared with everyone is repeated for each agent from the registry, which is one short array."""
     own = agents.join(segments.filter("visibility <> 'INTERNAL'"), "namespace").select("agent_id", "segment_id")
     a = agents.select("agent_id", F.col("namespace").alias("view"))
     general = a.filter("view <> 'default'").withColumn("namespace", F.lit("default")).join(segments, "namespace").filter(visible_to(F.col("view"))).select("agent_id", "segment_id")
-    shared = segments.filter("visibility in ('GLOBAL', 'DOWNSTREAM') and namespace <> 'default'").withColumn("any", F.lit(1))
-    others = a.withColumn("any", F.lit(1)).join(shared, "any").filter("namespace <> view").select("agent_id", "segment_id")
+    registry = agents.agg(F.collect_list(F.struct("agent_id", "namespace")).alias("agents")).scalar()
+    shared = segments.filter("visibility in ('GLOBAL', 'DOWNSTREAM') and namespace <> 'default'")
+    others = shared.select("namespace", "segment_id", F.explode(registry).alias("a")).filter("a.namespace <> namespace").select("a.agent_id", "segment_id")
     return own.union(general).union(others).distinct()
 
 

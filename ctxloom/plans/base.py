@@ -23,10 +23,10 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents dealt to conversations by a hash of their text, so that equal texts meet."""
     docs = table(spark, sf_dir, "documents").withColumn("content", F.coalesce("text", F.lit("")))
-    n = F.broadcast(table(spark, sf_dir, "conversations").agg((F.max("conv_id") + 1).alias("n")))  # one row
-    request = F.conv(F.substring(F.md5(F.col("content").cast("binary")), 1, 6), 16, 10).cast("long") % F.col("n")
+    n = table(spark, sf_dir, "conversations").agg((F.max("conv_id") + 1).alias("n")).scalar()
+    request = F.conv(F.substring(F.md5(F.col("content").cast("binary")), 1, 6), 16, 10).cast("long") % n
     score = ((F.col("doc_id") * 7919) % 1000) / F.lit(1000.0)
-    return docs.join(n).select(request.alias("request_id"), F.col("doc_id").alias("at"), "content", score.alias("score"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("source_id"))
+    return docs.select(request.alias("request_id"), F.col("doc_id").alias("at"), "content", score.alias("score"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("source_id"))
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:

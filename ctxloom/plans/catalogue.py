@@ -511,7 +511,7 @@ def full_pipeline_usage(spark, sf):
 
 @query()
 def full_pipeline_audit(spark, sf):
-    _, rows = pipeline.run(segments(spark, sf), pipeline.Settings(most_per_type=20))
+    _, rows = pipeline.run(segments(spark, sf), pipeline.Settings(most_per_type=20), write=True)
     return rows.groupBy("stage", "decision", "reason").agg(F.count("*").alias("n"))
 
 
@@ -926,8 +926,8 @@ def bus6_stats(spark, sf):
 @query(f"WITH {FLAGGED}, {_AGENT_SQL} SELECT agent_id, namespace, ns = namespace OR namespace = 'default' AS allowed FROM (SELECT DISTINCT namespace FROM fl), ag")
 def bus7_access(spark, sf):
     spaces = flagged(segments(spark, sf)).select("namespace").distinct()
-    agents = F.broadcast(_agents(spark).withColumnRenamed("namespace", "ns"))  # three rows
-    return spaces.join(agents).select("agent_id", "namespace", ((F.col("ns") == F.col("namespace")) | (F.col("namespace") == "default")).alias("allowed"))
+    agent = F.explode(F.array(*[F.struct(F.lit(a).alias("agent_id"), F.lit(n).alias("ns")) for a, n in _AGENTS]))
+    return spaces.select("namespace", agent.alias("a")).select("a.agent_id", "namespace", ((F.col("a.ns") == F.col("namespace")) | (F.col("namespace") == "default")).alias("allowed"))
 
 
 # --- cache ---

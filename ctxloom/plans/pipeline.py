@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ctxloom.functions import text as T
 from ctxloom.operators import assemble, budget, rerank
+from ctxloom.sources.shared import shared_dir
 
 AUDIT = ("request_id", "segment_id", "stage", "decision", "reason", "tokens")
 
@@ -35,6 +37,13 @@ class Settings:
     merge: bool = False
 
 
+def written(df: DataFrame) -> DataFrame:
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/ctxloom-stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 Stage = Callable[[DataFrame, Settings], tuple[DataFrame, list[DataFrame]]]
 
 
@@ -83,14 +92,18 @@ def arrange(df: DataFrame, settings: Settings):
 STAGES: tuple[tuple[str, Stage], ...] = (("normalize", normalise), ("sanitize", sanitise), ("rerank", choose), ("allocate", fit), ("assemble", arrange))
 
 
-def run(segments: DataFrame, settings: Settings = Settings(), stages=STAGES, skip: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+def run(segments: DataFrame, settings: Settings = Settings(), stages=STAGES, skip: tuple[str, ...] = (), write: bool = False) -> tuple[DataFrame, DataFrame]:
     """(assembled segments, audit).  Stages may be replaced, added or skipped by name; windows of all stages are dealt
-    by request, so one shuffle carries through until rows are joined anew."""
+    by request, so one shuffle carries through until rows are joined anew.
+
+    With write each stage's rows go to the shared folder and are read again: worth it where the audit is wanted, as its
+    rows would otherwise compute each stage once more."""
     rows: list[DataFrame] = []
-    out = segments
+    out = written(segments) if write else segments
     for name, stage in stages:
         if name not in skip:
             out, found = stage(out, settings)
+            out = written(out) if write else out
             rows += found
     whole = rows[0]
     for more in rows[1:]:
