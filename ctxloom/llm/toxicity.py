@@ -266,7 +266,7 @@ def _landmarks(sample: DataFrame) -> list[str]:
     return [r["unit"] for r in marked.collect()]
 
 
-def labelled_sentences(held: Sentences, texts: list, labels: list, marked: list[str]) -> list[tuple[int, list[float]]]:
+def labelled_sentences(held: Sentences, texts: list, labels: list, marked: list[str]) -> list[tuple[int, bytes]]:
     """Kernel sums of a toxic document's sentences with a marked unit; of a clean one's first sentence and of that most
     like the marked ones."""
     out, marks = [], set(marked)
@@ -281,7 +281,7 @@ def labelled_sentences(held: Sentences, texts: list, labels: list, marked: list[
                 chosen = sorted({int(np.searchsorted(starts, i, side="right")) - 1 for i, w in enumerate(own) if marks.intersection(units_of(w))})[:8]
             else:
                 chosen = [0, int(sums.max(axis=1).argmax())]
-            out += [(int(toxic), sums[i].tolist()) for i in dict.fromkeys(chosen)]
+            out += [(int(toxic), sums[i].astype(np.float32).tobytes()) for i in dict.fromkeys(chosen)]
     return out
 
 
@@ -306,10 +306,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | float:
         for pdf in frames:
             yield pd.DataFrame(labelled_sentences(held, pdf["text"].tolist(), pdf["toxic"].tolist(), marked), columns=["toxic", "x"])
 
-    rows = sample.mapInPandas(sentences, "toxic int, x array<double>").toPandas()
+    rows = sample.mapInPandas(sentences, "toxic int, x binary").toPandas()
     if rows["toxic"].nunique() < 2:
         return float(rows["toxic"].mean()) if len(rows) else 0.5
-    model = fit(np.stack(rows["x"].to_numpy()), rows["toxic"].to_numpy(), marked)
+    x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(len(rows), -1)
+    model = fit(x, rows["toxic"].to_numpy(), marked)
     seen = sample.mapInPandas(_evidence(model), "toxic int, x array<double>").toPandas()
     model.logistic = logistic(np.stack(seen["x"].to_numpy()), seen["toxic"].to_numpy(float))
     return model
