@@ -19,9 +19,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the least id; equal rows are one document.  Rows without an id
-    stay where no document with an id is in their group."""
-    kept = nearjoin.near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    stay, one of each text, if any such row is in a group without ids.  Texts move once, by id: rows whose id came
+    several times are the only ones compared by text."""
+    groups = nearjoin.near_duplicates(docs)
+    kept = groups.filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("kept_rows"))
+    both = docs.join(kept, docs["doc_id"] == kept["kept_id"])
+    once = both.filter("kept_rows = 1").select(docs.columns)
+    out = once.unionByName(both.filter("kept_rows > 1").select(docs.columns).dropDuplicates(["doc_id", "text"]))
+    if docs.filter("doc_id is null").limit(1).count() and groups.filter("doc_id is null and component_id is null").limit(1).count():
+        out = out.unionByName(docs.filter("doc_id is null").dropDuplicates(["text"]))
+    return out
 
 
 def personal_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 _staged: list[tuple[SparkSession, str]] = []
 
 
+#: Rows of an Arrow batch: long texts would fill Python's memory with the default of 10,000.
+BATCH_ROWS = 2000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
