@@ -153,7 +153,8 @@ def mask_emails(text: Column, mark: str = "*") -> Column:
         stars = F.when(n <= 2, F.repeat(F.lit(mark), n)).otherwise(F.concat(F.substring(local, 1, 1), F.repeat(F.lit(mark), n - 2), F.right(local, F.lit(1))))
         return F.concat(stars, F.lit("@"), domain)
 
-    return F.array_join(F.flatten(F.zip_with(rest, F.transform(found, masked), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    out = F.array_join(F.flatten(F.zip_with(rest, F.transform(found, masked), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    return F.when(text.contains("@"), out).otherwise(text)
 
 
 def masked_counts(text: Column) -> dict[str, Column]:
