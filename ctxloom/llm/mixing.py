@@ -149,7 +149,7 @@ def apply_mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     """The rows of docs, with their columns, each as often as the mix takes it; equal rows as the one taken most."""
     taken = mix(docs, word_count("text"), seed).filter("copies > 0").groupBy(F.col("doc_id").alias("mixed_id"), F.col("draw").alias("mixed_draw")).agg(F.max("copies").alias("mixed_copies"))
     on = docs["doc_id"].eqNullSafe(taken["mixed_id"]) & (draw_of(seed) == taken["mixed_draw"])
-    return docs.join(taken, on).select(*docs.columns, F.explode(F.sequence(F.lit(1), "mixed_copies"))).drop("col")
+    return docs.join(taken, on).select(*docs.columns, F.explode(F.sequence(F.lit(1), "mixed_copies")).alias("mixed_copy")).drop("mixed_copy")
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

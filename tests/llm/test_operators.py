@@ -115,6 +115,12 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty, mixing.word_count("text")).count() == 0
 
 
+def test_mix_keeps_other_columns(docs):
+    more = docs.withColumn("col", docs["doc_id"] + 1).withColumn("size", docs["n_chars"])
+    out = mixing.apply_mix(more)
+    assert out.columns == more.columns and out.filter("col <> doc_id + 1").count() == 0 and out.count() > 0
+
+
 def test_targets_reshare_until_none_is_above():
     found = mixing.targets([10, 10, 100], [5, 2, 1], 180)
     assert found == pytest.approx([20, 20, 140])
