@@ -7,7 +7,9 @@ landmarks' own kernel matrix, is its Nystrom vector; a sentence's is the sum of
 kernel of sentences.  A squared-hinge machine learns on labelled sentences, and a document's score is the logistic,
 fitted on the sampled documents, of its greatest sentence margin.
 
-Landmarks are the units that mark toxic training documents most by log-likelihood ratio.
+Marked units are those over six times as frequent in toxic training documents whose log-likelihood ratio passes BAR,
+which is the same for every size of sample; landmarks are chosen among them, the most marking first, until each marked
+unit is alike to one.
 Training takes at most SAMPLE labelled documents of either class, chosen by hash; scoring covers all texts whole.
 """
 
@@ -27,7 +29,9 @@ from ctxloom.llm.common import held_out, stage, table
 FOLDS, HELD = 5, 0
 #: Labelled documents of either class that training takes at most.
 SAMPLE = 20_000
-MARKED = 96
+#: Least log-likelihood ratio of a marked unit: chance 1 in 5,000.  A unit of toxic documents only passes with 10 of them
+#: where the classes are of one size, with 4 where a ninth is toxic.
+BAR = 13.8
 DECAY, SPAN, SHARP = 0.6, 5, 2.0
 #: Likeness under this counts nothing.
 FLOOR = 0.6
@@ -35,6 +39,8 @@ FLOOR = 0.6
 SENTENCE = 32
 #: Units a worker remembers before it forgets them.
 CACHE = 400_000
+#: Units compared with the landmarks at once.
+BLOCK = 256
 LONGEST = 32
 
 # Letters that stand in for others.  Accents but those of e count as their letter.
@@ -98,19 +104,21 @@ class Kernel:
         self.landmarks = landmarks
         letters = codes(landmarks)
         found, weights = triples(letters)
-        table_ = np.zeros((1 << 15, len(landmarks)), np.float32)
-        for j, row in enumerate(found):
-            np.add.at(table_[:, j], row, weights)
-        table_[0] = 0
-        self.table = table_ / norms(found, weights)
-        self.most = self.table.max(axis=1)
-
-    def __call__(self, units: list[str]) -> np.ndarray:
-        out = np.zeros((len(units), len(self.landmarks)), np.float32)
+        rows, columns = np.nonzero(found)
+        keys, group = np.unique(found[rows, columns].astype(np.int64) * len(landmarks) + rows, return_inverse=True)
+        # By triple: the landmarks that have it, and its weight in each.
+        self.code, self.landmark = np.divmod(keys, max(1, len(landmarks)))
+        self.weight = (np.bincount(group, weights=weights[columns], minlength=len(keys)) / norms(found, weights)[self.landmark]).astype(np.float32)
+        self.begin = np.searchsorted(self.code, np.arange((1 << 15) + 1))
+        self.most = np.zeros(1 << 15, np.float32)
+        np.maximum.at(self.most, self.code, self.weight)
+
+    def blocks(self, units: list[str]):
+        """(places in units, landmarks, values) of the values other than 0."""
         length = np.fromiter(map(len, units), np.int64, len(units))
         order = np.argsort(length, kind="stable")
-        for low in range(0, len(units), 1024):
-            at = order[low : low + 1024]
+        for low in range(0, len(units), BLOCK):
+            at = order[low : low + BLOCK]
             letters = codes([units[i] for i in at])[:, : length[at[-1]] + 1]
             found, weights = triples(letters)
             # The rest are below the floor with every landmark.
@@ -119,23 +127,34 @@ class Kernel:
                 continue
             found = found[own]
             rows, columns = np.nonzero(self.most[found])
-            edges = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-            sums = np.add.reduceat(self.table[found[rows, columns]] * weights[columns][:, None], edges, axis=0)
-            value = sums / norms(found, weights)[:, None]
-            out[at[own]] = np.where(value >= FLOOR, value, 0) ** SHARP
+            code = found[rows, columns]
+            count = self.begin[code + 1] - self.begin[code]
+            each = np.repeat(np.arange(len(code)), count)
+            place = np.arange(len(each)) - (np.cumsum(count) - count - self.begin[code])[each]
+            cells = np.bincount(rows[each] * len(self.landmarks) + self.landmark[place], weights=self.weight[place] * weights[columns][each], minlength=len(found) * len(self.landmarks))
+            norm = norms(found, weights)
+            row, mark = np.nonzero(cells.reshape(len(found), -1) >= (FLOOR * norm)[:, None])
+            yield at[own[row]], mark, ((cells[row * len(self.landmarks) + mark] / norm[row]) ** SHARP).astype(np.float32)
+
+    def __call__(self, units: list[str]) -> np.ndarray:
+        out = np.zeros((len(units), len(self.landmarks)), np.float32)
+        for at, mark, value in self.blocks(units):
+            out[at, mark] = value
         return out
 
 
 class Sentences:
-    """Values of units, remembered, summed over the sentences of texts."""
+    """Values of units, remembered as places and values other than 0, summed over the sentences of texts."""
 
-    def __init__(self, value, width: int):
-        self.value, self.width = value, width
+    def __init__(self, kernel: Kernel, weights: np.ndarray | None = None):
+        """Values are the kernel's, or their sum by weights."""
+        self.kernel, self.weights, self.width = kernel, weights, len(kernel.landmarks) if weights is None else 1
         self.clear()
 
     def clear(self) -> None:
         self.places: dict[str, int] = {}
-        self.values = np.zeros((0, self.width))
+        self.starts = np.zeros(1, np.int64)
+        self.marks, self.values = np.zeros(0, np.int64), np.zeros(0, np.float32)
         self.ends = np.zeros(0, dtype=bool)
 
     def words(self, text: str) -> list[str]:
@@ -156,22 +175,36 @@ class Sentences:
             for u in units_of(w):
                 units.append(u)
                 owner.append(i)
-        values = np.zeros((len(new), self.width))
-        if units:
-            np.maximum.at(values, np.array(owner), self.value(units))
+        marks, values, counts = self.marks[:0], self.values[:0], np.zeros(len(new), np.int64)
+        found = list(self.kernel.blocks(units))
+        if found:
+            at, marks, values = (np.concatenate(part) for part in zip(*found))
+            if self.weights is not None:
+                at, group = np.unique(at, return_inverse=True)
+                marks, values = np.zeros(len(at), np.int64), np.bincount(group, values * self.weights[marks])
+            # The greatest value of a word's units; none is under 0.
+            keys, group = np.unique(np.array(owner)[at] * self.width + marks, return_inverse=True)
+            best = np.zeros(len(keys), np.float32)
+            np.maximum.at(best, group, values.astype(np.float32))
+            own, marks = np.divmod(keys, self.width)
+            counts, values = np.bincount(own, minlength=len(new)), best
         self.places.update(zip(new, range(len(self.places), len(self.places) + len(new))))
-        self.values = np.concatenate([self.values, values])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
+        self.marks, self.values = np.concatenate([self.marks, marks]), np.concatenate([self.values, values])
         self.ends = np.concatenate([self.ends, [w[-1] in ".!?" for w in new]])
 
-    def sums(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(sentences, width) and each sentence's first word."""
+    def sums(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Each sentence's first word; sentences, places and sums of the values other than 0, in order."""
         n = len(words)
         at = np.fromiter(map(self.places.__getitem__, words), np.int64, n)
         first = np.zeros(n, dtype=bool)
         first[::SENTENCE] = True
         first[1:] |= self.ends[at[:-1]]
-        starts = np.flatnonzero(first)
-        return np.add.reduceat(self.values[at], starts, axis=0), starts
+        count = self.starts[at + 1] - self.starts[at]
+        each = np.repeat(np.arange(n), count)
+        place = np.arange(len(each)) - (np.cumsum(count) - count - self.starts[at])[each]
+        keys, group = np.unique((np.cumsum(first) - 1)[each] * self.width + self.marks[place], return_inverse=True)
+        return np.flatnonzero(first), keys // self.width, keys % self.width, np.bincount(group, self.values[place], len(keys))
 
 
 #: A document's evidence: its three greatest sentence margins, and the sums of those above 0 and of those above half.
@@ -191,8 +224,7 @@ class Model:
         self.landmarks, self.weights, self.intercept, self.logistic = landmarks, weights, intercept, None
 
     def scorer(self):
-        kernel = Kernel(self.landmarks)
-        sentences = Sentences(lambda units: (kernel(units) @ self.weights)[:, None], 1)
+        sentences = Sentences(Kernel(self.landmarks), self.weights)
 
         def found(texts: list[str | None]) -> np.ndarray:
             out = np.zeros((len(texts), EVIDENCE))
@@ -200,8 +232,12 @@ class Model:
                 part = [sentences.words(t) if t else [] for t in texts[low : low + 256]]
                 sentences.learn(set().union(*part))
                 for i, words in enumerate(part, low):
-                    margins = sentences.sums(words)[0][:, 0] if words else np.zeros(1)
-                    out[i] = evidence(margins + self.intercept)
+                    margins = np.full(1, self.intercept)
+                    if words:
+                        starts, own, _, sums = sentences.sums(words)
+                        margins = np.full(len(starts), self.intercept)
+                        margins[own] += sums
+                    out[i] = evidence(margins)
             return out
 
         return found
@@ -210,16 +246,24 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(np.c_[x, np.ones(len(x))] @ self.logistic, -40, 40)))
 
 
-def machine(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """Squared-hinge support vector machine by Newton steps, both classes of equal weight; y is 1 or -1."""
-    x = np.c_[x, np.ones(len(x))]
-    cost = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    w = np.zeros(x.shape[1])
+def machine(x: np.ndarray, y: np.ndarray, times: np.ndarray, own: np.ndarray, ridge: float = 1e-2, rounds: int = 30) -> tuple[np.ndarray, float]:
+    """Squared-hinge support vector machine by Newton steps, both classes of equal weight; y is 1 or -1, a row counts
+    times.  own is the landmarks' kernel matrix: its form of the weights is their square in the Nystrom space."""
+    width = x.shape[1]
+    cost = times * np.where(y > 0, 0.5 / max(1, times[y > 0].sum()), 0.5 / max(1, times[y < 0].sum()))
+    form = np.eye(width + 1)
+    form[:-1, :-1] = own
+    form *= ridge / (width + 1)
+    w = np.zeros(width + 1)
     for _ in range(rounds):
-        active = y * (x @ w) < 1
-        xa, ca = x[active], cost[active]
-        hessian = (xa.T * ca) @ xa + ridge / len(w) * np.eye(len(w))
-        new = np.linalg.solve(hessian, xa.T @ (ca * y[active]))
+        hessian, aim = form.copy(), np.zeros(width + 1)
+        for low in range(0, len(x), 4096):
+            part = np.c_[x[low : low + 4096], np.ones(len(x[low : low + 4096]))]
+            active = y[low : low + 4096] * (part @ w) < 1
+            part, c = part[active], cost[low : low + 4096][active]
+            hessian += (part.T * c) @ part
+            aim += part.T @ (c * y[low : low + 4096][active])
+        new = np.linalg.solve(hessian, aim)
         if np.abs(new - w).max() < 1e-9:
             break
         w = new
@@ -245,7 +289,25 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return stage(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "sample")
 
 
-def _landmarks(sample: DataFrame) -> list[str]:
+def cover(units: list[str], batch: int = 256) -> list[str]:
+    """Units chosen in order until each one is at the floor or above with one of them."""
+    out: list[str] = []
+    while units:
+        head, units = units[:batch], units[batch:]
+        alike, left, chosen = Kernel(head)(head) > 0, np.ones(len(head), dtype=bool), []
+        for i, unit in enumerate(head):
+            if left[i]:
+                chosen.append(unit)
+                left &= ~alike[i]
+        reached = {int(i) for at, _, _ in Kernel(chosen).blocks(units) for i in at}
+        units = [u for i, u in enumerate(units) if i not in reached]
+        out += chosen
+    return out
+
+
+def _marked(sample: DataFrame) -> list[str]:
+    """Marked units, the most marking first."""
+
     def count(frames):
         found: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for pdf in frames:
@@ -260,10 +322,20 @@ def _landmarks(sample: DataFrame) -> list[str]:
     if not bad or not good:
         return []
     counts = sample.mapInPandas(count, "unit string, bad long, good long").groupBy("unit").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    counts = counts.filter(F.col("bad") >= max(2, bad // 500))
     rate = (F.col("bad") + 0.5) / (bad + 1.0) / ((F.col("good") + 0.5) / (good + 1.0))
-    marked = counts.withColumn("rate", rate).filter("rate > 6").orderBy(F.desc(F.col("bad") * F.log("rate")), "unit").limit(MARKED)
-    return [r["unit"] for r in marked.collect()]
+    both = F.col("bad") + F.col("good")
+    share = lambda k, n: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) * (bad + good) / (both * n))).otherwise(0.0)
+    counts = counts.withColumn("rate", rate).filter("rate > 6").filter(2 * (share("bad", bad) + share("good", good)) >= BAR)
+    return [r["unit"] for r in counts.orderBy(F.desc(F.col("bad") * F.log("rate")), "unit").select("unit").collect()]
+
+
+def unpacked(rows: list[bytes], width: int) -> np.ndarray:
+    """Rows of places and values other than 0, made whole."""
+    out = np.zeros((len(rows), width), np.float32)
+    for i, row in enumerate(rows):
+        half = len(row) // 8
+        out[i, np.frombuffer(row, np.int32, half)] = np.frombuffer(row, np.float32, half, 4 * half)
+    return out
 
 
 def labelled_sentences(held: Sentences, texts: list, labels: list, marked: list[str]) -> list[tuple[int, bytes]]:
@@ -276,41 +348,43 @@ def labelled_sentences(held: Sentences, texts: list, labels: list, marked: list[
         for own, toxic in zip(words, labels[low : low + 256]):
             if not own:
                 continue
-            sums, starts = held.sums(own)
+            starts, valued, places, sums = held.sums(own)
             if toxic:
                 chosen = sorted({int(np.searchsorted(starts, i, side="right")) - 1 for i, w in enumerate(own) if marks.intersection(units_of(w))})[:8]
             else:
-                chosen = [0, int(sums.max(axis=1).argmax())]
-            out += [(int(toxic), sums[i].astype(np.float32).tobytes()) for i in dict.fromkeys(chosen)]
+                chosen = [0, int(valued[sums.argmax()])] if len(valued) else [0]
+            for i in dict.fromkeys(chosen):
+                own = slice(*np.searchsorted(valued, [i, i + 1]))
+                out.append((int(toxic), places[own].astype(np.int32).tobytes() + sums[own].astype(np.float32).tobytes()))
     return out
 
 
-def fit(x: np.ndarray, toxic: np.ndarray, landmarks: list[str]) -> Model:
+def fit(x: np.ndarray, toxic: np.ndarray, times: np.ndarray, landmarks: list[str]) -> Model:
     own = Kernel(landmarks)(landmarks).astype(np.float64)
     value, vector = np.linalg.eigh((own + own.T) / 2)
-    root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-2))) @ vector.T
-    w, intercept = machine(x @ root, np.where(toxic == 1, 1.0, -1.0))
-    return Model(landmarks, root @ w, intercept)
+    return Model(landmarks, *machine(x, np.where(toxic == 1, 1.0, -1.0), times, (vector * np.maximum(value, 1e-2)) @ vector.T))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | float:
     """The model, or the share of label 1 (0.5 without labels) where the labels tell nothing apart."""
     sample = _sample(docs, labels)
-    marked = _landmarks(sample)
+    marked = _marked(sample)
     if not marked:
         rows = sample.agg(F.avg("toxic")).first()[0]
         return 0.5 if rows is None else float(rows)
 
+    landmarks = cover(marked)
+
     def sentences(frames):
-        held = Sentences(Kernel(marked), len(marked))
+        held = Sentences(Kernel(landmarks))
         for pdf in frames:
             yield pd.DataFrame(labelled_sentences(held, pdf["text"].tolist(), pdf["toxic"].tolist(), marked), columns=["toxic", "x"])
 
-    rows = sample.mapInPandas(sentences, "toxic int, x binary").toPandas()
+    rows = sample.mapInPandas(sentences, "toxic int, x binary").groupBy("toxic", "x").count().orderBy("toxic", "x").toPandas()
     if rows["toxic"].nunique() < 2:
         return float(rows["toxic"].mean()) if len(rows) else 0.5
-    x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(len(rows), -1)
-    model = fit(x, rows["toxic"].to_numpy(), marked)
+    times = rows["count"].to_numpy(float)
+    model = fit(unpacked(rows["x"].tolist(), len(landmarks)), rows["toxic"].to_numpy(), times, landmarks)
     seen = sample.mapInPandas(_evidence(model), "toxic int, x array<double>").toPandas()
     model.logistic = logistic(np.stack(seen["x"].to_numpy()), seen["toxic"].to_numpy(float))
     return model

@@ -347,6 +347,33 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.classify(empty, labels).count() == 0
 
 
+def toxic_table(spark, insults, times, commons=0, seed=7):
+    """Short texts, half of them toxic: each of the insults in so many documents, and more with one common insult."""
+    rng = random.Random(seed)
+    clean = ["river", "stone", "window", "garden", "paper", "music", "winter", "silver"]
+    found = [w for w in insults for _ in range(times)] + ["blorgon"] * commons
+    texts = [(" ".join([rng.choice(clean) for _ in range(12)] + [w]), 1) for w in found] + [(" ".join(rng.choice(clean) for _ in range(13)), 0) for _ in found]
+    ids = [i for i in range(3 * len(texts)) if zlib.crc32(str(i).encode()) % 5][: len(texts)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, (t, _) in zip(ids, texts)], SCHEMA)
+    return docs, spark.createDataFrame([(i, 1, k) for i, (_, k) in zip(ids, texts)], "doc_id long, quality int, toxic int"), " ".join(clean)
+
+
+def test_toxicity_learns_rare_insults_of_large_samples(spark):
+    docs, labels, plain = toxic_table(spark, ["zquimpf"], 10, 6000)
+    model = toxicity.train(docs, labels)
+    found = model.score(model.scorer()([plain, plain + " zquimpf", plain + " blorgon"]))
+    assert found[0] < 0.5 < min(found[1:])
+
+
+def test_toxicity_learns_all_marked_units(spark):
+    rng = random.Random(11)
+    insults = ["".join(rng.choice("bdfghjkqvxyz") for _ in range(8)) for _ in range(150)]
+    docs, labels, plain = toxic_table(spark, insults, 12)
+    model = toxicity.train(docs, labels)
+    found = model.score(model.scorer()([plain] + [f"{plain} {w}" for w in insults]))
+    assert found[0] < 0.5 < min(found[1:])
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 24)).astype(np.float32)
