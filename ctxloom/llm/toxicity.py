@@ -1,6 +1,7 @@
 """Toxicity by a gapped string-kernel machine with Nystrom landmarks.
 
-Two units of text (words, joined runs of spaced-out letters, and words with the marks inside them taken out) are alike
+Two units of text (words, joined runs of spaced-out letters, words with the marks inside them taken out, and the parts
+between such marks) are alike
 by the subsequences of three letters they share: one that spans r letters counts DECAY^r, spans over SPAN count
 nothing.  The normalised kernel, to the power SHARP and 0 under FLOOR, of a unit with the landmarks, times the inverse root of the
 landmarks' own kernel matrix, is its Nystrom vector; a sentence's is the sum of its units', which is the convolution
@@ -10,13 +11,16 @@ fitted on the sampled documents, of its greatest sentence margin.
 Marked units are those over six times as frequent in toxic training documents whose log-likelihood ratio passes BAR,
 which is the same for every size of sample; landmarks are chosen among them, the most marking first, until each marked
 unit is alike to one.
-Training takes at most SAMPLE labelled documents of either class, chosen by hash; scoring covers all texts whole.
+Training takes at most SAMPLE labelled documents of either class, chosen by hash, and of a toxic one the first
+TOXIC_SENTENCES sentences with a marked unit; scoring covers all texts whole.  A unit over the kernel's length, and a
+run of letters joined over marks or spaces, is scored by overlapping pieces, of which the greatest counts.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -42,6 +46,10 @@ CACHE = 400_000
 #: Units compared with the landmarks at once.
 BLOCK = 256
 LONGEST = 32
+#: Width and step of the pieces that a long unit is scored by.
+PIECES = ((4, 1), (6, 1), (9, 2), (13, 3), (19, 4), (31, 4))
+#: Sentences of a toxic document that training takes at most, the first with a marked unit.
+TOXIC_SENTENCES = 8
 
 # Letters that stand in for others.  Accents but those of e count as their letter.
 _STAND_IN = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "@": "a", "$": "s", "à": "a", "á": "a", "â": "a", "ã": "a", "ä": "a", "å": "a", "ç": "c", "ë": "e", "ì": "i", "í": "i", "î": "i", "ï": "i", "ñ": "n", "ò": "o", "ó": "o", "ô": "o", "õ": "o", "ö": "o", "ù": "u", "ú": "u", "û": "u", "ü": "u", "ý": "y", "ÿ": "y"}
@@ -60,12 +68,26 @@ _OFFSETS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
 
 
 def units_of(word: str) -> list[str]:
-    """The lower-cased word without marks at its edges, and without those inside where it has any."""
+    """The lower-cased word without marks at its edges; where it has any inside, without those, and the parts between."""
     bare = _EDGES.sub("", word)
     if not bare:
         return []
     inner = re.sub(r"[\W_]+", "", bare)
-    return [bare] if inner == bare or not inner else [bare, inner]
+    if inner == bare or not inner:
+        return [bare]
+    return list(dict.fromkeys([bare, inner, *(part for part in re.split(r"[\W_]+", bare) if len(part) > 2)]))
+
+
+def pieces(word: str) -> list[str]:
+    """What a word is scored by: its units; of those over the kernel's length, and of joined ones, overlapping pieces."""
+    units = units_of(word)
+    out = [u for u in units if len(u) < LONGEST]
+    for k, u in enumerate(units):
+        if len(u) >= LONGEST and (k or len(units) == 1) or k == 1 and len(u) > 8:
+            for width, step in PIECES:
+                if width < len(u):
+                    out += [u[i : i + width] for i in range(0, len(u) - width, step)] + [u[-width:]]
+    return list(dict.fromkeys(out))
 
 
 def codes(units: list[str]) -> np.ndarray:
@@ -161,7 +183,7 @@ class Sentences:
         text = text.lower()
         out = text.split()
         if _SPACED.search(text):
-            out += [m[0].replace(" ", "") for m in _SPACED.finditer(text)]
+            out += [m[0] for m in _SPACED.finditer(text)]
         return out
 
     def learn(self, words: set[str]) -> None:
@@ -170,20 +192,21 @@ class Sentences:
         new = [w for w in words if w not in self.places]
         if not new:
             return
-        units, owner = [], []
-        for i, w in enumerate(new):
-            for u in units_of(w):
-                units.append(u)
-                owner.append(i)
         marks, values, counts = self.marks[:0], self.values[:0], np.zeros(len(new), np.int64)
-        found = list(self.kernel.blocks(units))
+        pairs, found, total = ((i, u) for i, w in enumerate(new) for u in pieces(w)), [], 0
+        while part := list(islice(pairs, 50_000)):
+            owner, units = zip(*part)
+            owner = np.array(owner)
+            found += [(owner[at], at + total, mark, value) for at, mark, value in self.kernel.blocks(units)]
+            total += len(part)
         if found:
-            at, marks, values = (np.concatenate(part) for part in zip(*found))
+            owner, at, marks, values = (np.concatenate(part) for part in zip(*found))
             if self.weights is not None:
-                at, group = np.unique(at, return_inverse=True)
-                marks, values = np.zeros(len(at), np.int64), np.bincount(group, values * self.weights[marks])
+                at, first, group = np.unique(at, return_index=True, return_inverse=True)
+                owner, values = owner[first], np.bincount(group, values * self.weights[marks])
+                marks = np.zeros(len(at), np.int64)
             # The greatest value of a word's units; none is under 0.
-            keys, group = np.unique(np.array(owner)[at] * self.width + marks, return_inverse=True)
+            keys, group = np.unique(owner * self.width + marks, return_inverse=True)
             best = np.zeros(len(keys), np.float32)
             np.maximum.at(best, group, values.astype(np.float32))
             own, marks = np.divmod(keys, self.width)
@@ -350,7 +373,7 @@ def labelled_sentences(held: Sentences, texts: list, labels: list, marked: list[
                 continue
             starts, valued, places, sums = held.sums(own)
             if toxic:
-                chosen = sorted({int(np.searchsorted(starts, i, side="right")) - 1 for i, w in enumerate(own) if marks.intersection(units_of(w))})[:8]
+                chosen = sorted({int(np.searchsorted(starts, i, side="right")) - 1 for i, w in enumerate(own) if marks.intersection(units_of(w))})[:TOXIC_SENTENCES]
             else:
                 chosen = [0, int(valued[sums.argmax()])] if len(valued) else [0]
             for i in dict.fromkeys(chosen):

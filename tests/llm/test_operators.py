@@ -374,6 +374,15 @@ def test_toxicity_learns_all_marked_units(spark):
     assert found[0] < 0.5 < min(found[1:])
 
 
+def test_toxicity_sees_insults_within_long_units(spark):
+    docs, labels, plain = toxic_table(spark, ["blorgon", "snarfle"], 200)
+    model = toxicity.train(docs, labels)
+    front = "riverstonewindowgardenpapermusicwintersilver"
+    hidden = [" ".join(front + "blorgon"), "-".join(front + "blorgon"), "river-stone-window-garden-paper-music-blorgon", "river/snarfle/stone", front + "snarfle" + front, " ".join("garden" + "snarfle")]
+    found = model.score(model.scorer()([plain, plain + " " + front, plain + " " + " ".join(front)] + [f"{plain} {w}" for w in hidden]))
+    assert max(found[:3]) < 0.5 < min(found[3:])
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 24)).astype(np.float32)
