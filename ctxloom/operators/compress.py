@@ -70,8 +70,9 @@ def split_turns(df: DataFrame, recent: int = 2) -> DataFrame:
     return df.withColumn("recent", F.when(known > 0, F.col("turn").isNotNull() & (by_turn <= recent)).otherwise(by_place <= 2 * recent))
 
 
-def duplicate_pairs(df: DataFrame, key: str, threshold: float = 0.85, n: int = 2) -> DataFrame:
-    """(key, a, b, similarity), a before b: pairs of one group whose word n-grams are alike.
+def duplicate_pairs(df: DataFrame, key: str, threshold: float = 0.85, n: int = 2, bare: bool = True) -> DataFrame:
+    """(key, a, b, similarity), a before b: pairs of one group whose word n-grams are alike; texts without n-grams are
+    alike to each other, and left out without bare.
 
     An inverted index brings only rows together that share one of a row's rarest grams: of m grams two alike rows share
     some among the first m - ceil(threshold m) + 1 in any one order; the order here is by frequency."""
@@ -86,7 +87,11 @@ def duplicate_pairs(df: DataFrame, key: str, threshold: float = 0.85, n: int = 2
     met = left.join(right, [key, "gram"]).filter((F.col("a") < F.col("b")) & (F.least("ma", "mb") >= threshold * F.greatest("ma", "mb"))).select(key, "a", "b").distinct()
     sets = rows.select(key, "pos", "grams")
     both = met.join(sets.select(key, F.col("pos").alias("a"), F.col("grams").alias("ga")), [key, "a"]).join(sets.select(key, F.col("pos").alias("b"), F.col("grams").alias("gb")), [key, "b"])
-    return both.withColumn("similarity", F.size(F.array_intersect("ga", "gb")) / F.size(F.array_union("ga", "gb"))).filter(F.col("similarity") >= threshold).select(key, "a", "b", "similarity")
+    out = both.withColumn("similarity", F.size(F.array_intersect("ga", "gb")) / F.size(F.array_union("ga", "gb"))).filter(F.col("similarity") >= threshold).select(key, "a", "b", "similarity")
+    if not bare:
+        return out
+    none = rows.filter("m = 0")
+    return out.unionByName(none.select(key, F.col("pos").alias("a")).join(none.select(key, F.col("pos").alias("b")), key).filter("a < b").withColumn("similarity", F.lit(1.0)))
 
 
 def sweep(pairs: list[tuple[int, int]], rank: dict[int, tuple]) -> set[int]:

@@ -403,6 +403,13 @@ _KEYED = "lower(array_to_string(list_filter(string_split_regex(text, '\\s+'), la
 def cmp5_pairs(spark, sf):
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     rows = table(spark, sf, "documents").select(F.lower(F.array_join(F.slice(words, 1, 3), " ")).alias("k"), F.col("doc_id").alias("pos"), F.col("text").alias("content"))
+    return compress.duplicate_pairs(rows, "k", bare=False).select("a", "b", F.round("similarity", 9).alias("similarity"))
+
+
+@query()
+def cmp5_pairs_whole(spark, sf):
+    """As cmp5_pairs, over all documents as one group."""
+    rows = table(spark, sf, "documents").select(F.lit(0).alias("k"), F.col("doc_id").alias("pos"), F.coalesce("text", F.lit("")).alias("content"))
     return compress.duplicate_pairs(rows, "k").select("a", "b", F.round("similarity", 9).alias("similarity"))
 
 

@@ -101,6 +101,18 @@ def test_copies_keep_the_first(spark):
     assert places(rerank.drop_copies(df)) == ["s0", "s1"]
 
 
+def test_pairs_without_a_shared_beginning_or_ngrams(spark, tmp_path):
+    from ctxloom.plans.catalogue import QUERIES
+
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words), "front " + " ".join(words), "alone", "", None, "two words"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["a"], r["b"]) for r in QUERIES["cmp5_pairs_whole"](spark, str(tmp_path)).collect()}
+    assert got == {(0, 1), (2, 3), (2, 4), (3, 4)}
+    df = frame(spark, [segment(0, content="alone"), segment(1, content="alone"), segment(2, content="two words")])
+    assert places(compress.drop_near_copies(df)) == ["s0", "s2"]
+
+
 def test_diversity_matches_a_plain_loop():
     rng = random.Random(1)
     for _ in range(30):
