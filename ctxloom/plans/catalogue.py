@@ -211,6 +211,29 @@ def san15_strict(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.col("text").rlike(T.INJECTION["strict"][1][1]).alias("encoded"))
 
 
+# --- the same over all documents, with the literals ---
+
+
+def _whole(name: str, rows: list[str], columns: Callable[[], list]):
+    def run(spark, sf):
+        literals = _literals(spark, rows).select((-1 - F.col("id")).alias("id"), "t")
+        return literals.unionByName(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("t"))).select("id", *columns())
+
+    run.__name__ = name
+    query()(run)
+
+
+_whole("nrm1_nfc_whole", _TEXTS, lambda: [T.nfc(F.col("t")).alias("nfc")])
+_whole("nrm2_invisible_whole", _TEXTS, lambda: [T.strip_invisible(F.col("t")).alias("clean")])
+_whole("nrm3_blank_whole", _TEXTS, lambda: [T.is_blank(F.col("t")).alias("blank")])
+_whole("san4_markdown_whole", _MARKDOWN, lambda: [T.strip_markdown(F.col("t")).alias("plain")])
+_whole("san5_phone_whole", _PII, lambda: [T.mask_phone(F.col("t")).alias("masked")])
+_whole("san7_id_whole", _PII, lambda: [T.mask_id_card(F.col("t")).alias("masked")])
+_whole("san10_url_whole", _PII, lambda: [T.mask_url(F.col("t")).alias("masked")])
+_whole("san12_counts_whole", _PII, lambda: [n.alias(k) for k, n in T.masked_counts(F.col("t")).items()])
+_whole("san15_strict_whole", _ATTACKS, lambda: [F.array_join(T.injection_hits(F.col("t"), "strict"), ",").alias("hits")])
+
+
 @query(f"SELECT id, {_hits(list(_RULES))} = '' AS passed FROM {_ATTACKED}")
 def san16_verdict(spark, sf):
     return _attacked(spark, sf).select("id", (F.size(T.injection_hits(F.col("t"))) == 0).alias("passed"))
@@ -470,7 +493,7 @@ def cmp11_cut(spark, sf):
 
 @query()
 def cmp12_summary(spark, sf):
-    return compress.summarise(segments(spark, sf).filter("type <> 'rag'"), lambda text: text[:200]).select("request_id", "token_count", "tokens_before")
+    return compress.summarise(segments(spark, sf), lambda text: text[:200]).select("request_id", "token_count", "tokens_before")
 
 
 @query(f"WITH {FLAGGED} SELECT request_id, pos, dense_rank() OVER (PARTITION BY request_id ORDER BY turn DESC) <= 2 AS recent FROM fl")

@@ -56,6 +56,20 @@ def test_injection(spark, text, level, want):
     assert one(spark, lambda c: T.injection_hits(c, level), text) == want
 
 
+def test_text_queries_read_all_documents(spark, tmp_path):
+    from ctxloom.plans.catalogue import QUERIES
+
+    texts = ["# Title", "call 13800138000", "id 110101199001011234", "see https://a.b/c?d e", "pass\u200bword", "   ", "e\u0301", "spam and ham " * 6 + "!" * 12, "6222021234567890123 a@b.co 10.2.3.4", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = lambda name: {r[0]: r[1] for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert got("san4_markdown_whole")[0] == "Title" and got("san5_phone_whole")[1] == "call 138****8000"
+    assert got("san7_id_whole")[2] == "id 110101********1234" and got("san10_url_whole")[3] == "see [REDACTED_URL] e"
+    assert got("nrm2_invisible_whole")[4] == "password" and got("nrm3_blank_whole")[5] and got("nrm1_nfc_whole")[6] == "\u00e9"
+    assert got("san15_strict_whole")[7] == "repeat,special"
+    row = QUERIES["san12_counts_whole"](spark, str(tmp_path)).filter("id = 8").first().asDict()
+    assert row == {"id": 8, "phone": 0, "email": 1, "id_card": 0, "bank_card": 1, "ip": 1, "url": 0}
+
+
 def test_length_guard(spark):
     assert one(spark, lambda c: T.length_checks(c, 100, repeated=None), "a" * 200) == ["chars"]
     assert one(spark, lambda c: T.truncate(c, 100), "a" * 200) == "a" * 100
