@@ -41,7 +41,7 @@ ENDINGS = ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "inf
 _SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64}(?: at | ?[\[(] ?at ?[\])] ?)[A-Za-z0-9-]{1,64}(?:(?: dot | ?[\[(] ?dot ?[\])] ?)[A-Za-z0-9-]{1,32}){1,4}", re.IGNORECASE)
 _LOCAL_PHONE = re.compile(r"(?<![0-9+])(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])")
 _LONG = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9]){11,18}(?![0-9])")
-_SECRET = re.compile(r"(?i)(?<![A-Za-z])(?:token|key|secret|password|passwd)\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_/+=-]{8,512})")
+_SECRET = re.compile(r"(?i)(?<![A-Za-z])(?:token|key|secret|password|passwd)\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_/+=-]{8,})")
 
 
 def luhn(digits: str) -> bool:

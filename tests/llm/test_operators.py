@@ -229,6 +229,11 @@ def test_personal(spark, docs, empty):
     assert personal.personal_data(docs).count() == len(corpus()) and personal.personal_data(empty).count() == 0
 
 
+def test_long_secrets_are_found_to_their_end():
+    text = "key=" + "a1B2" * 200 + " end"
+    assert (4, 4, 804) in personal.candidates(text)
+
+
 def test_reliabilities_tell_labelers_apart():
     patterns = {(3, "yy-yy2s"): 90, (3, "nn-nn0j"): 80, (3, "y--yy2s"): 10, (3, "n--ny0j"): 10}
     found = personal.train(patterns)
