@@ -6,11 +6,12 @@ by the subsequences of three letters they share: one that spans r letters counts
 nothing.  The normalised kernel, to the power SHARP and 0 under FLOOR, of a unit with the landmarks, times the inverse root of the
 landmarks' own kernel matrix, is its Nystrom vector; a sentence's is the sum of its units', which is the convolution
 kernel of sentences.  A squared-hinge machine learns on labelled sentences, and a document's score is the logistic,
-fitted on the sampled documents, of its greatest sentence margin.
+fitted on the sampled documents, of its greatest sentence margins and of their sum, alone and by its length.
 
 Marked units are those over six times as frequent in toxic training documents whose log-likelihood ratio passes BAR,
 which is the same for every size of sample; landmarks are chosen among them, the most marking first, until each marked
-unit is alike to one.
+unit is alike to one.  A sentence that several documents of a class share counts in the first of them alone, as copies
+of a document say no more than the document.
 Training takes at most SAMPLE labelled documents of either class, chosen by hash, and of a toxic one the first
 TOXIC_SENTENCES sentences with a marked unit; scoring covers all texts whole.  A unit over the kernel's length, and a
 run of letters joined over marks or spaces, is scored by overlapping pieces, of which the greatest counts.
@@ -20,11 +21,13 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +57,8 @@ TOXIC_SENTENCES = 8
 # Letters that stand in for others.  Accents but those of e count as their letter.
 _STAND_IN = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "@": "a", "$": "s", "à": "a", "á": "a", "â": "a", "ã": "a", "ä": "a", "å": "a", "ç": "c", "ë": "e", "ì": "i", "í": "i", "î": "i", "ï": "i", "ñ": "n", "ò": "o", "ó": "o", "ô": "o", "õ": "o", "ö": "o", "ù": "u", "ú": "u", "û": "u", "ü": "u", "ý": "y", "ÿ": "y"}
 _BEGIN = "\x01"
+#: Letters are numbers of BITS bits: 1 to 31 those of Latin-1, from 32 on all others by their code point.
+BITS = 6
 _LETTERS = np.full(256, 28, np.int32)
 _LETTERS[0] = 0
 for _c in [_BEGIN, *"abcdefghijklmnopqrstuvwxyz"]:
@@ -64,36 +69,44 @@ for _c, _to in _STAND_IN.items():
     _LETTERS[ord(_c)] = _LETTERS[ord(_to)]
 _SPACED = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
 _EDGES = re.compile(r"^[^\w@$]+|[^\w]+$")
+_MARKS = re.compile(r"[\W_]+")
 _OFFSETS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
 
 
 def units_of(word: str) -> list[str]:
     """The lower-cased word without marks at its edges; where it has any inside, without those, and the parts between."""
-    bare = _EDGES.sub("", word)
-    if not bare:
-        return []
-    inner = re.sub(r"[\W_]+", "", bare)
-    if inner == bare or not inner:
+    bare = word if word.isalnum() else _EDGES.sub("", word)
+    if bare.isalnum():
         return [bare]
-    return list(dict.fromkeys([bare, inner, *(part for part in re.split(r"[\W_]+", bare) if len(part) > 2)]))
+    parts = [part for part in _MARKS.split(bare) if part]
+    if not parts:
+        return [bare] if bare else []
+    return list(dict.fromkeys([bare, "".join(parts), *(part for part in parts if len(part) > 2)]))
+
+
+def windows(unit: str, width: int, step: int) -> list[str]:
+    return [unit[i : i + width] for i in range(0, len(unit) - width, step)] + [unit[-width:]]
 
 
 def pieces(word: str) -> list[str]:
     """What a word is scored by: its units; of those over the kernel's length, and of joined ones, overlapping pieces."""
     units = units_of(word)
+    if len(units) < 2 and len(word) < LONGEST:
+        return units
     out = [u for u in units if len(u) < LONGEST]
     for k, u in enumerate(units):
         if len(u) >= LONGEST and (k or len(units) == 1) or k == 1 and len(u) > 8:
             for width, step in PIECES:
                 if width < len(u):
-                    out += [u[i : i + width] for i in range(0, len(u) - width, step)] + [u[-width:]]
+                    out += windows(u, width, step)
     return list(dict.fromkeys(out))
 
 
 def codes(units: list[str]) -> np.ndarray:
-    """(units, LONGEST) letters as 1 to 31 with a mark of the beginning, 0 beyond the end."""
-    text = "".join([(_BEGIN + u[: LONGEST - 1]).ljust(LONGEST, "\0") for u in units])
-    return _LETTERS[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)].reshape(len(units), LONGEST)
+    """(units, LONGEST) numbers of letters with a mark of the beginning, 0 beyond the end; units are under LONGEST."""
+    text = "".join([(_BEGIN + u).ljust(LONGEST, "\0") for u in units])
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(points < 256, _LETTERS[points & 255], 32 + (points & 31)).astype(np.int32).reshape(len(units), LONGEST)
 
 
 def triples(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +116,7 @@ def triples(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for i, j in _OFFSETS:
         if j < width:
             a, b, c = letters[:, : width - j], letters[:, i : width - j + i], letters[:, j:]
-            found.append(np.where(c > 0, (a << 10) | (b << 5) | c, 0))
+            found.append(np.where(c > 0, (a << 2 * BITS) | (b << BITS) | c, 0))
             weights.append(np.full(width - j, DECAY ** (j + 1), np.float32))
     return np.concatenate(found, axis=1), np.concatenate(weights)
 
@@ -114,9 +127,9 @@ NORMS = np.sqrt(np.maximum([sum(max(0, n - j) * DECAY ** (2 * j + 2) for _, j in
 
 def norms(found: np.ndarray, weights: np.ndarray) -> np.ndarray:
     rows, columns = np.nonzero(found)
-    keys, group = np.unique(rows * (1 << 15) + found[rows, columns], return_inverse=True)
+    keys, group = np.unique(rows * (1 << 3 * BITS) + found[rows, columns], return_inverse=True)
     sums = np.bincount(group, weights=weights[columns])
-    return np.sqrt(np.maximum(np.bincount(keys >> 15, weights=sums**2, minlength=len(found)), 1e-6)).astype(np.float32)
+    return np.sqrt(np.maximum(np.bincount(keys >> 3 * BITS, weights=sums**2, minlength=len(found)), 1e-6)).astype(np.float32)
 
 
 class Kernel:
@@ -131,8 +144,8 @@ class Kernel:
         # By triple: the landmarks that have it, and its weight in each.
         self.code, self.landmark = np.divmod(keys, max(1, len(landmarks)))
         self.weight = (np.bincount(group, weights=weights[columns], minlength=len(keys)) / norms(found, weights)[self.landmark]).astype(np.float32)
-        self.begin = np.searchsorted(self.code, np.arange((1 << 15) + 1))
-        self.most = np.zeros(1 << 15, np.float32)
+        self.begin = np.searchsorted(self.code, np.arange((1 << 3 * BITS) + 1))
+        self.most = np.zeros(1 << 3 * BITS, np.float32)
         np.maximum.at(self.most, self.code, self.weight)
 
     def blocks(self, units: list[str]):
@@ -216,28 +229,36 @@ class Sentences:
         self.marks, self.values = np.concatenate([self.marks, marks]), np.concatenate([self.values, values])
         self.ends = np.concatenate([self.ends, [w[-1] in ".!?" for w in new]])
 
-    def sums(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Each sentence's first word; sentences, places and sums of the values other than 0, in order."""
+    def sums(self, words: list[str]) -> tuple[np.ndarray, ...]:
+        """Each sentence's first word; sentences, places and sums of the values other than 0, in order; values of the
+        distinct words."""
         n = len(words)
         at = np.fromiter(map(self.places.__getitem__, words), np.int64, n)
-        first = np.zeros(n, dtype=bool)
-        first[::SENTENCE] = True
-        first[1:] |= self.ends[at[:-1]]
+        first = np.ones(n, dtype=bool)
+        first[1:] = self.ends[at[:-1]]
+        first |= (np.arange(n) - np.maximum.accumulate(np.where(first, np.arange(n), 0))) % SENTENCE == 0
         count = self.starts[at + 1] - self.starts[at]
         each = np.repeat(np.arange(n), count)
         place = np.arange(len(each)) - (np.cumsum(count) - count - self.starts[at])[each]
         keys, group = np.unique((np.cumsum(first) - 1)[each] * self.width + self.marks[place], return_inverse=True)
-        return np.flatnonzero(first), keys // self.width, keys % self.width, np.bincount(group, self.values[place], len(keys))
+        return np.flatnonzero(first), keys // self.width, keys % self.width, np.bincount(group, self.values[place], len(keys)), self.values[np.unique(place)]
 
 
-#: A document's evidence: its three greatest sentence margins, and the sums of those above 0 and of those above half.
-EVIDENCE = 5
+#: A document's evidence: its three greatest sentence margins, the sum of those above 0, and the sum of its distinct marked
+#: words' values, at most 1 each; both sums alone and for each thousand words.
+EVIDENCE = 7
 
 
-def evidence(margins: np.ndarray) -> list[float]:
+def evidence(margins: np.ndarray, values: np.ndarray, words: int) -> list[float]:
     best = np.sort(margins)[::-1][:3]
     best = np.r_[best, np.full(3 - len(best), -1.0)]
-    return [*best.clip(-1, 4), float(np.log1p(margins[margins > 0].sum())), float(np.log1p(margins[margins > 0.5].sum()))]
+    sums = np.array([margins[margins > 0].sum(), np.minimum(values, 1).sum()])
+    return [*best.clip(-1, 4), *np.log1p(sums), *np.log1p(1000 * sums / (words + 10))]
+
+
+@lru_cache(maxsize=1)
+def _memory(landmarks: tuple[str, ...], weights: bytes) -> Sentences:
+    return Sentences(Kernel(list(landmarks)), np.frombuffer(weights))
 
 
 class Model:
@@ -247,7 +268,8 @@ class Model:
         self.landmarks, self.weights, self.intercept, self.logistic = landmarks, weights, intercept, None
 
     def scorer(self):
-        sentences = Sentences(Kernel(self.landmarks), self.weights)
+        # A worker's next task finds what this one learned.
+        sentences = _memory(tuple(self.landmarks), np.asarray(self.weights, np.float64).tobytes())
 
         def found(texts: list[str | None]) -> np.ndarray:
             out = np.zeros((len(texts), EVIDENCE))
@@ -255,12 +277,12 @@ class Model:
                 part = [sentences.words(t) if t else [] for t in texts[low : low + 256]]
                 sentences.learn(set().union(*part))
                 for i, words in enumerate(part, low):
-                    margins = np.full(1, self.intercept)
+                    margins, values = np.full(1, self.intercept), np.zeros(0)
                     if words:
-                        starts, own, _, sums = sentences.sums(words)
+                        starts, own, _, sums, values = sentences.sums(words)
                         margins = np.full(len(starts), self.intercept)
                         margins[own] += sums
-                    out[i] = evidence(margins)
+                    out[i] = evidence(margins, values, len(words))
             return out
 
         return found
@@ -309,7 +331,7 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.filter("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int")).filter(~held_out("doc_id", FOLDS, HELD))
     parts = [known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for k in (0, 1)]
     chosen = stage(parts[0].unionByName(parts[1]), "chosen")
-    return stage(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "sample")
+    return stage(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.monotonically_increasing_id().alias("doc"), "text", "toxic"), "sample")
 
 
 def cover(units: list[str], batch: int = 256) -> list[str]:
@@ -328,23 +350,52 @@ def cover(units: list[str], batch: int = 256) -> list[str]:
     return out
 
 
+def sentences_of(text: str) -> list[list[str]]:
+    """Words of each sentence: up to an end mark, SENTENCE at most."""
+    out, held = [], []
+    for word in text.lower().split():
+        held.append(word)
+        if word[-1] in ".!?" or len(held) == SENTENCE:
+            out.append(held)
+            held = []
+    return [*out, held] if held else out
+
+
+def _owned(sample: DataFrame) -> DataFrame:
+    """(doc, places): which of its sentences a document is the first of its class to have; no row where none."""
+
+    def cut(frames):
+        for pdf in frames:
+            for doc, toxic, text in zip(pdf["doc"], pdf["toxic"], pdf["text"]):
+                names = [xxhash.xxh64_intdigest(" ".join(words)) - (1 << 63) for words in sentences_of(text or "")]
+                yield pd.DataFrame({"name": names, "toxic": toxic, "doc": doc, "place": range(len(names))})
+
+    first = sample.mapInPandas(cut, "name long, toxic int, doc long, place int").groupBy("name", "toxic").agg(F.min(F.struct("doc", "place")).alias("at"))
+    return first.groupBy(F.col("at.doc").alias("doc")).agg(F.collect_list("at.place").alias("places"))
+
+
 def _marked(sample: DataFrame) -> list[str]:
-    """Marked units, the most marking first."""
+    """Marked units, the most marking first; of a unit over the kernel's length its pieces."""
+    width, step = PIECES[-1]
 
     def count(frames):
         found: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for pdf in frames:
-            for text, toxic in zip(pdf["text"], pdf["toxic"]):
-                found[toxic].update({u for w in (text or "").lower().split() for u in units_of(w) if 3 <= len(u) <= LONGEST})
+            for text, toxic, places in zip(pdf["text"], pdf["toxic"], pdf["places"]):
+                sentences = sentences_of(text)
+                units = {u for w in set().union(*(sentences[i] for i in places)) for u in units_of(w) if len(u) > 2}
+                long = {u for u in units if len(u) >= LONGEST}
+                found[toxic].update(units - long | {part for u in long for part in windows(u, width, step)})
         units = list(found[0].keys() | found[1].keys())
         for low in range(0, len(units), 50_000):
             part = units[low : low + 50_000]
             yield pd.DataFrame({"unit": part, "bad": [found[1][u] for u in part], "good": [found[0][u] for u in part]})
 
-    bad, good = (sample.filter(F.col("toxic") == k).count() for k in (1, 0))
+    owned = stage(sample.join(_owned(sample), "doc").select("text", "toxic", "places"), "owned")
+    bad, good = (owned.filter(F.col("toxic") == k).count() for k in (1, 0))
     if not bad or not good:
         return []
-    counts = sample.mapInPandas(count, "unit string, bad long, good long").groupBy("unit").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counts = owned.mapInPandas(count, "unit string, bad long, good long").groupBy("unit").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     rate = (F.col("bad") + 0.5) / (bad + 1.0) / ((F.col("good") + 0.5) / (good + 1.0))
     both = F.col("bad") + F.col("good")
     share = lambda k, n: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) * (bad + good) / (both * n))).otherwise(0.0)
@@ -371,7 +422,7 @@ def labelled_sentences(held: Sentences, texts: list, labels: list, marked: list[
         for own, toxic in zip(words, labels[low : low + 256]):
             if not own:
                 continue
-            starts, valued, places, sums = held.sums(own)
+            starts, valued, places, sums, _ = held.sums(own)
             if toxic:
                 chosen = sorted({int(np.searchsorted(starts, i, side="right")) - 1 for i, w in enumerate(own) if marks.intersection(units_of(w))})[:TOXIC_SENTENCES]
             else:
