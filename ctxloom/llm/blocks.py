@@ -14,6 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ctxloom.llm.common import partitions
 from ctxloom.llm.wordhash import slices, text_buffer
 
 BLOCK = 2 << 20
@@ -46,8 +47,7 @@ def repeated(blocks: DataFrame, hashes: str) -> DataFrame:
     """(block, found, totals): which of the block's uint64 hashes (a binary column) occur more than once in all blocks,
     and how often (uint32; a block counts 255 times at most), as binary arrays of one order; blocks without any are
     missing."""
-    spark = blocks.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions(blocks)
     edges = np.array([(i << 64) // n for i in range(1, n)], np.uint64)
 
     def deal(batches):

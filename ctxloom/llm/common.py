@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -12,22 +13,28 @@ from pyspark.sql import functions as F
 #: A word is a run of bytes other than space and the controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_staged: list[tuple[SparkSession, str]] = []
-
-
 #: Rows of an Arrow batch: long texts would fill Python's memory with the default of 10,000.
 BATCH_ROWS = 2000
+#: Bytes of input for which a shuffle has a partition at least.
+PART_BYTES = 64 << 20
+
+_staged: list[tuple[SparkSession, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """A table of a folder, for a query.  Where the session has Spark's own size of Arrow batches, BATCH_ROWS is set."""
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(size) == "10000":
+        spark.conf.set(size, BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; only where it is unset, as in tests, a temporary folder of our own."""
+    """The cluster's spark.checkpoint.dir; only where it is unset on a single machine, a temporary folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='ctxloom-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -39,6 +46,15 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def partitions(df: DataFrame) -> int:
+    """How many partitions df's rows are dealt to: the session's number, or more where the files it reads ask for it."""
+    leaves, size = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator(), 0
+    while leaves.hasNext():
+        own = int(str(leaves.next().stats().sizeInBytes()))
+        size += own if own < 1 << 60 else 0  # unknown
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(100_000, -(-size // PART_BYTES)))
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: cuts the lineage, and every later job sees one
     version of the rows.  The files go when the driver ends."""
@@ -48,13 +64,16 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def stage_bucketed(df: DataFrame, label: str, key: str) -> tuple[DataFrame, int]:
-    """As stage(), in as many buckets of key as a shuffle has partitions: joins on key then leave these rows in place."""
+def stage_bucketed(df: DataFrame, label: str, key: str) -> DataFrame:
+    """As stage(), in buckets of key: joins on key leave these rows in place.  The catalogue has the table's name only
+    while it is opened."""
     spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"ctxloom_{label}_{uuid.uuid4().hex}"
-    df.write.bucketBy(n, key).format("parquet").option("path", new_path(spark, label)).saveAsTable(name)
-    return spark.table(name), n
+    df.write.bucketBy(partitions(df), key).format("parquet").option("path", new_path(spark, label)).saveAsTable(name)
+    found = spark.table(name)
+    found.schema  # resolved while the name is there
+    spark.sql(f"DROP TABLE {name}")
+    return found
 
 
 @atexit.register

@@ -98,7 +98,7 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 names=["block", "ids", "texts", "offsets", "short", "before", "after"],
             )
 
-    texts, _ = stage_bucketed(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(first, "block long, ids array<long>, texts binary, offsets binary, short binary, before binary, after binary"), "texts", "block")
+    texts = stage_bucketed(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(first, "block long, ids array<long>, texts binary, offsets binary, short binary, before binary, after binary"), "texts", "block")
 
     def second(batches):
         for batch in batches:
@@ -108,7 +108,7 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), pa.array([at.astype(np.uint32).tobytes()], pa.binary()), pa.array([np.r_[before[at], after[at]].tobytes()], pa.binary())], names=["block", "kept", "both"])
 
     level1 = texts.select("block", "short", "before", "after").join(repeated(texts, "short").drop("totals"), "block").mapInArrow(second, "block long, kept binary, both binary")
-    level1, _ = stage_bucketed(level1, "level1", "block")
+    level1 = stage_bucketed(level1, "level1", "block")
     level2 = level1.join(repeated(level1, "both").drop("totals"), "block").select("block", "kept", "both", "found")
 
     def third(batches):
@@ -143,7 +143,7 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 )
 
     level3 = texts.select("block", "ids", "texts", "offsets").join(level2, "block", "left").mapInArrow(third, f"block long, ids array<long>, texts binary, offsets binary, starts binary, full binary, done {DONE}")
-    level3, _ = stage_bucketed(level3, "level3", "block")
+    level3 = stage_bucketed(level3, "level3", "block")
 
     def last(batches):
         for batch in batches:
