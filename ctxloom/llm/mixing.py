@@ -27,6 +27,8 @@ CAP = 2.0
 DP_BUDGET = 1 << 16
 #: Ranges of the seeded hash.
 BINS = 1 << 12
+#: Sources whose plan is made on the driver and broadcast; the plan of more stays distributed.
+FEW = 10_000
 
 
 def word_count(text: str) -> Column:
@@ -106,25 +108,68 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_budget: int = DP_
     return taken + knapsack(sizes, counts - taken, rest)
 
 
-def draw_of(seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), "doc_id", "source", "text")
+def draws_of(seed: int) -> tuple[Column, Column]:
+    """Two hashes that name a row by its id, source and text."""
+    return F.xxhash64(F.lit(seed), "doc_id", "source", "text"), F.xxhash64(F.lit(seed + 1), "text", "source", "doc_id")
+
+
+def _weighed(per_source: DataFrame, weights) -> DataFrame:
+    """per_source with each source's weight by its place in code-point order, null last: sorted ranges are counted, and
+    a source's place is what came before its range and within it."""
+    n = int(per_source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("source").isNull(), F.col("source")]
+    ranged = per_source.repartitionByRange(n, *order).sortWithinPartitions(*order).select("source", "source_size", F.monotonically_increasing_id().alias("id"))
+    ranged = stage(ranged.withColumn("part", F.shiftright("id", 33)), "sources")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    counts = ranged.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).select("part", "before")
+    place = F.col("before") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
+    return ranged.join(counts, "part").select("source", "source_size", weight.alias("weight"))
+
+
+def _spread_targets(per_source: DataFrame, weights, share: float, cap: float) -> DataFrame:
+    """As targets(), for any number of sources: each round sums what is full and what isn't, and only the sums travel.
+    A source is full once the share of a weight of 1 passes cap times its size by its weight."""
+    rows = stage(_weighed(per_source, weights), "weighed")
+    total = share * (rows.agg(F.sum("source_size")).first()[0] or 0)
+    level = 0.0
+    while True:
+        full = F.col("weight") * level > cap * F.col("source_size")
+        found = rows.agg(F.sum(F.when(full, cap * F.col("source_size")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight")))).first()
+        new = (total - found[0]) / found[1] if found[1] else level
+        if new <= level:
+            break
+        level = new
+    return rows.select("source", "source_size", F.least(F.col("weight") * level, cap * F.col("source_size")).alias("target"))
+
+
+def plan_of(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """(source, source_size, target, base, budget) of each source of rows (source, size): every document base times, and
+    a second time documents of budget words."""
+    per_source = stage(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+    few = per_source.limit(FEW + 1).collect()
+    if len(few) > FEW:
+        plan = _spread_targets(per_source, weights, share, cap)
+    else:
+        few.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-32-be", "surrogatepass")))
+        whole = [r["source_size"] for r in few]
+        goal = targets(whole, [weights[i % len(weights)] for i in range(len(whole))], share * sum(whole), cap)
+        plan = rows.sparkSession.createDataFrame([(r["source"], s, t) for r, s, t in zip(few, whole, goal)], "source string, source_size long, target double")
+    base = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    plan = plan.withColumn("base", base.cast("int")).withColumn("budget", F.rint(F.col("target") - F.col("base") * F.col("source_size")).cast("long"))
+    return stage(plan, "plan") if len(few) > FEW else F.broadcast(plan)
 
 
 def mix(docs: DataFrame, size: Column, seed: int = 17, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """(doc_id, source, size, source_size, target, draw, copies): how often the mix takes each row of docs.
+    """(doc_id, source, size, source_size, target, draw, twin, copies): how often the mix takes each row of docs.
 
-    Sources are a short list by nature and come to the driver as (source, size) rows; all else stays distributed.  A
-    null source is a source of its own, the last.  Rows of size 0 are never taken.  Equal rows may differ in copies,
-    but their sum is fixed; reruns agree.  No rows: no rows.
+    A null source is a source of its own, the last.  Rows of size 0 (null, empty and wordless texts) are never taken; a
+    long text is counted whole.  Equal rows may differ in copies, but their sum is fixed; reruns agree.  No rows: no
+    rows.
     """
-    rows = stage(docs.select("doc_id", "source", size.alias("size"), draw_of(seed).alias("draw")), "mix")
-    spark = docs.sparkSession
-    per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size")).collect()
-    per_source.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-32-be")))
-    whole = [r["source_size"] for r in per_source]
-    goal = targets(whole, [weights[i % len(weights)] for i in range(len(whole))], share * sum(whole), cap)
-    plan = spark.createDataFrame([(r["source"], s, t, int(t // s) if s else 0, round(t - s * (t // s)) if s else 0) for r, s, t in zip(per_source, whole, goal)], "source string, source_size long, target double, base int, budget long")
-    plan = F.broadcast(plan)  # one row a source
+    draw, twin = draws_of(seed)
+    rows = stage(docs.select("doc_id", "source", size.alias("size"), draw.alias("draw"), twin.alias("twin")), "mix")
+    plan = plan_of(rows, weights, share, cap)
     counts = rows.groupBy("source", "size").agg(F.count("*").alias("docs"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -140,16 +185,24 @@ def mix(docs: DataFrame, size: Column, seed: int = 17, weights=WEIGHTS, share: f
     at = ends.join(solved.select(F.col("source").alias("s3"), F.col("size").alias("z3"), "more"), F.col("s2").eqNullSafe(F.col("s3")) & (F.col("z2") == F.col("z3")))
     quota = at.select("s2", "z2", F.col("bin").alias("b2"), F.greatest(F.lit(0), F.least("here", F.col("more") - F.col("before"))).alias("quota"), "here")
     dealt = binned.join(quota, binned["source"].eqNullSafe(F.col("s2")) & (binned["size"] == F.col("z2")) & (binned["bin"] == F.col("b2")), "left")
-    split = Window.partitionBy("source", "size", "bin").orderBy("draw", "doc_id")
+    split = Window.partitionBy("source", "size", "bin").orderBy("draw", "twin")
     chosen = dealt.withColumn("more", (F.row_number().over(split) <= F.col("quota")).cast("int"))
-    return chosen.join(plan.withColumnRenamed("source", "s4"), chosen["source"].eqNullSafe(F.col("s4"))).select("doc_id", "source", "size", "source_size", "target", "draw", F.when(F.col("size") > 0, F.col("base") + F.coalesce("more", F.lit(0))).otherwise(0).alias("copies"))
+    return chosen.join(plan.withColumnRenamed("source", "s4"), chosen["source"].eqNullSafe(F.col("s4"))).select("doc_id", "source", "size", "source_size", "target", "draw", "twin", F.when(F.col("size") > 0, F.col("base") + F.coalesce("more", F.lit(0))).otherwise(0).alias("copies"))
 
 
 def apply_mix(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """The rows of docs, with their columns, each as often as the mix takes it; equal rows as the one taken most."""
-    taken = mix(docs, word_count("text"), seed).filter("copies > 0").groupBy(F.col("doc_id").alias("mixed_id"), F.col("draw").alias("mixed_draw")).agg(F.max("copies").alias("mixed_copies"))
-    on = docs["doc_id"].eqNullSafe(taken["mixed_id"]) & (draw_of(seed) == taken["mixed_draw"])
-    return docs.join(taken, on).select(*docs.columns, F.explode(F.sequence(F.lit(1), "mixed_copies")).alias("mixed_copy")).drop("mixed_copy")
+    """The rows of docs, with all their columns whatever their names, each as often as the mix takes it.  Rows equal in
+    id, source and text share what the mix takes of them.  No rows: no rows."""
+    draw, twin = draws_of(seed)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), draw.alias("draw"), twin.alias("twin"))
+    taken = mix(docs, word_count("text"), seed).groupBy("draw", "twin").agg(F.sum("copies").alias("copies"), F.count("*").alias("equals")).filter("copies > 0")
+    both = rows.join(taken, ["draw", "twin"])
+    once = both.filter("equals = 1").select("row", F.col("copies").alias("times"))
+    place = F.row_number().over(Window.partitionBy("draw", "twin").orderBy("draw"))
+    several = both.filter("equals > 1").withColumn("place", place)
+    several = several.select("row", (F.floor(F.col("copies") / F.col("equals")) + (F.col("place") <= F.col("copies") % F.col("equals")).cast("int")).alias("times"))
+    dealt = once.unionByName(several).filter("times > 0")
+    return dealt.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times").cast("long"))).alias("time")).select("row.*")
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
