@@ -78,6 +78,14 @@ def statistics(column: pa.Array) -> np.ndarray:
     return np.concatenate([_of(data, offsets[i : j + 1]) for i, j in slices(offsets)] or [np.zeros((0, DIMS))])
 
 
+def forward(root: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """root^-1 z for a lower triangular root, row by row."""
+    out = np.empty_like(z)
+    for i in range(len(root)):
+        out[i] = (z[i] - root[i, :i] @ out[:i]) / root[i, i]
+    return out
+
+
 class Model:
     """Per class the mean, the Cholesky factor of the inverse's covariance and the constant of the log density."""
 
@@ -99,7 +107,7 @@ class Model:
             return np.full(len(x), self.rate)
         density = {}
         for k, (mean, root, constant) in self.classes.items():
-            density[k] = constant - (np.linalg.solve(root, (x - mean).T) ** 2).sum(axis=0) / 2
+            density[k] = constant - (forward(root, (x - mean).T) ** 2).sum(axis=0) / 2
         return 1 / (1 + np.exp(np.clip((density[0] - density[1]) / HEAT, -40, 40)))
 
 
@@ -125,6 +133,8 @@ def moments_of(labelled: DataFrame) -> dict[int, tuple[float, np.ndarray, np.nda
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
+    """docs, which has no column stats, with that column."""
+
     @F.pandas_udf("array<double>")
     def stats(texts: pd.Series) -> pd.Series:
         return pd.Series(list(statistics(pa.array(texts, pa.large_string(), from_pandas=True))))
@@ -150,15 +160,17 @@ def score_column(model: Model, stats: str = "stats"):
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted), one row per row of docs.
 
-    Statistics of null and empty texts are all 0 and are scored as any other.  Without labels of both classes the score
-    is the share of label 1, or 0.5."""
+    Statistics of null and empty texts are all 0 and are scored as any other; a long text is taken whole.  Rows that
+    repeat an id are scored each, by their texts.  Without labels of both classes the score is the share of label 1, or
+    0.5.  No rows: no rows."""
     rows = stage(with_statistics(docs.select("doc_id", "text")).select("doc_id", "stats"), "quality")
     model = learn(rows, labels)
     return rows.select("doc_id", held_out("doc_id", FOLDS, HELD).alias("held_out"), score_column(model).alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that aren't rejected, with their columns."""
+    """The rows of docs that aren't rejected, with all their columns, whatever their names; texts are scored as in
+    classify().  No rows: no rows."""
     rows = stage(with_statistics(docs.select("doc_id", "text")).select("doc_id", "stats"), "quality")
     model = learn(rows, labels)
 
