@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
@@ -38,7 +39,7 @@ _DIGIT = re.compile(r"[0-9]")
 NAMING = ("mail", "email", "e-mail", "contact", "phone", "tel", "mobile", "call", "fax", "card", "visa", "credit", "iban", "ip", "host", "server", "token", "key", "secret", "password", "passwd")
 ENDINGS = ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "info", "eu")
 
-_SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64}(?: at | ?[\[(] ?at ?[\])] ?)[A-Za-z0-9-]{1,64}(?:(?: dot | ?[\[(] ?dot ?[\])] ?)[A-Za-z0-9-]{1,32}){1,4}", re.IGNORECASE)
+_SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: at | ?[\[(] ?at ?[\])] ?)[A-Za-z0-9-]++(?:(?: dot | ?[\[(] ?dot ?[\])] ?)[A-Za-z0-9-]++)++", re.IGNORECASE)
 _LOCAL_PHONE = re.compile(r"(?<![0-9+])(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])")
 _LONG = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9]){11,18}(?![0-9])")
 _SECRET = re.compile(r"(?i)(?<![A-Za-z])(?:token|key|secret|password|passwd)\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_/+=-]{8,})")
@@ -203,12 +204,21 @@ def learn(found: DataFrame) -> dict[tuple[int, str], float]:
 
 
 def all_spans(base: list[tuple], more: list[tuple], model: dict) -> list[tuple[int, int, int]]:
-    """Base spans and those accepted that overlap none of the spans so far, in order."""
-    out, taken = list(base), [(s, e) for s, _, e in base]
+    """Base spans and those accepted, in order of more, that overlap none of the spans so far; all are given in order."""
+    starts, ends = [], []  # of the base spans, overlapping ones made one
+    for s, _, e in base:
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    out, last = list(base), 0
     for s, k, e, key in more:
-        if model.get((k, key), 0.0) >= 0.5 and not any(s < f and b < e for b, f in taken):
-            out.append((s, k, e))
-            taken.append((s, e))
+        if s >= last and model.get((k, key), 0.0) >= 0.5:
+            at = bisect_right(ends, s)
+            if at == len(ends) or starts[at] >= e:
+                out.append((s, k, e))
+                last = e
     return sorted(out)
 
 
@@ -220,8 +230,9 @@ RESULT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """One row per row of docs; offsets in code points, ends exclusive.  Null and empty texts have no spans; without
-    any candidate in docs nothing is learned and nothing added."""
+    """One row per row of docs, repeated ids and rows too; offsets in code points, ends exclusive.  Null and empty texts
+    have no spans; long ones are taken whole, in time linear in their length.  Without any candidate in docs nothing is
+    learned and nothing added.  No rows: no rows."""
     found = stage(extract(docs), "personal")
     model = learn(found)
 
@@ -239,7 +250,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mask: str = "<{}>") -> DataFrame:
-    """docs with every span's text replaced by its kind's mask, and n_chars following the text where both are there."""
+    """docs, with all its columns whatever their names, every span of its text replaced by its kind's mask, and n_chars
+    following the text where there is such a column.  Null texts stay null; no rows: no rows."""
     model = learn(stage(extract(docs), "personal"))
 
     @F.pandas_udf("string")
