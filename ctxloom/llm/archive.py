@@ -160,7 +160,7 @@ def chunks_of(source):
         fields = stream.header()
         kind, ident = fields["warc-type"], _ident(fields["warc-record-id"])
         refers = _ident(fields["warc-refers-to"]) if kind == "revisit" else None
-        left = int(fields["content-length"])
+        declared = fields["warc-payload-digest"].removeprefix("sha1:")
         stream.line()
         http = stream.header()
         size = int(http["content-length"])
@@ -169,14 +169,17 @@ def chunks_of(source):
         for number, (chunk, last) in enumerate(_whole_chunks(body)):
             digest.update(chunk)
             total += len(chunk)
-            yield ident, kind, refers, number, chunk, total, digest.hexdigest(), last, size, fields["warc-payload-digest"].removeprefix("sha1:")
-        assert left >= total
+            if last and kind == "response" and (total != size or digest.hexdigest() != declared):
+                raise ValueError(f"record {ident}: {total} bytes of SHA-1 {digest.hexdigest()}, where its header has {size} of {declared}")
+            yield ident, kind, refers, number, chunk, total, digest.hexdigest(), last, size, declared
 
 
 def read(spark: SparkSession, manifest: DataFrame, folder: str, batch: int = 64, payloads: bool = True) -> DataFrame:
-    """The chunked record table of the archives that manifest names.  Without payloads chunk is null, and the digests and sizes stay."""
-    paths = manifest.select("path").distinct()
+    """The chunked record table of the archives that manifest names.  Without payloads chunk is null, and the digests and
+    sizes stay.  A payload of another size or digest than its header names is an error.  Archives are dealt by ranges of
+    their paths, which adaptive execution doesn't join: about one a task while there are as many tasks."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    paths = manifest.select("path").distinct().repartitionByRange(n, "path")
 
     def run(batches):
         disk, _ = fs.FileSystem.from_uri(folder)
@@ -198,12 +201,13 @@ def read(spark: SparkSession, manifest: DataFrame, folder: str, batch: int = 64,
                 if held:
                     yield rows(held)
 
-    return paths.repartition(n, "path").mapInArrow(run, CHUNKS)
+    return paths.mapInArrow(run, CHUNKS)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a record, written and read back.  A response's size and digest are those of the bytes read; a
-    revisit's those of its header, which name the response's payload.  A null page_id is kept; no pages: no rows."""
+    revisit's those of its header, which name the response's payload.  A null page_id is kept; a null payload is empty;
+    rows that repeat a page_id are a record each; a long payload is streamed.  No pages: no rows."""
     pages = table(spark, sf_dir, "pages")
     folder = new_path(spark, "warc")
     manifest = write(decide(pages, "page_id", "html", "url"), folder)
