@@ -88,6 +88,12 @@ def windows(unit: str, width: int, step: int) -> list[str]:
     return [unit[i : i + width] for i in range(0, len(unit) - width, step)] + [unit[-width:]]
 
 
+def learned_of(word: str) -> list[str]:
+    """What a word may be marked by: its units, of those over the kernel's length the widest pieces."""
+    units = [u for u in units_of(word) if len(u) > 2]
+    return units if len(word) < LONGEST else [part for u in units for part in (windows(u, *PIECES[-1]) if len(u) >= LONGEST else [u])]
+
+
 def pieces(word: str) -> list[str]:
     """What a word is scored by: its units; of those over the kernel's length, and of joined ones, overlapping pieces."""
     units = units_of(word)
@@ -327,11 +333,17 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
 
 
 def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic): at most SAMPLE documents of either class.  The sample's ids are broadcast: 2 SAMPLE rows at most."""
+    """(doc, text, toxic): at most SAMPLE rows of either class, doc a number.  The sample's ids are broadcast: 2 SAMPLE
+    rows at most."""
     known = labels.filter("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int")).filter(~held_out("doc_id", FOLDS, HELD))
     parts = [known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for k in (0, 1)]
     chosen = stage(parts[0].unionByName(parts[1]), "chosen")
-    return stage(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.monotonically_increasing_id().alias("doc"), "text", "toxic"), "sample")
+    found = stage(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.monotonically_increasing_id().alias("doc"), "text", "toxic"), "sample")
+    if found.count() <= chosen.count():
+        return found
+    # Ids that come several times: the sample's size holds for rows as well.
+    parts = [found.filter(F.col("toxic") == k).orderBy(F.xxhash64("text"), "doc").limit(SAMPLE) for k in (0, 1)]
+    return stage(parts[0].unionByName(parts[1]), "sample")
 
 
 def cover(units: list[str], batch: int = 256) -> list[str]:
@@ -375,17 +387,14 @@ def _owned(sample: DataFrame) -> DataFrame:
 
 
 def _marked(sample: DataFrame) -> list[str]:
-    """Marked units, the most marking first; of a unit over the kernel's length its pieces."""
-    width, step = PIECES[-1]
+    """Marked units, the most marking first."""
 
     def count(frames):
         found: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for pdf in frames:
             for text, toxic, places in zip(pdf["text"], pdf["toxic"], pdf["places"]):
                 sentences = sentences_of(text)
-                units = {u for w in set().union(*(sentences[i] for i in places)) for u in units_of(w) if len(u) > 2}
-                long = {u for u in units if len(u) >= LONGEST}
-                found[toxic].update(units - long | {part for u in long for part in windows(u, width, step)})
+                found[toxic].update({u for w in set().union(*(sentences[i] for i in places)) for u in learned_of(w)})
         units = list(found[0].keys() | found[1].keys())
         for low in range(0, len(units), 50_000):
             part = units[low : low + 50_000]
@@ -424,7 +433,7 @@ def labelled_sentences(held: Sentences, texts: list, labels: list, marked: list[
                 continue
             starts, valued, places, sums, _ = held.sums(own)
             if toxic:
-                chosen = sorted({int(np.searchsorted(starts, i, side="right")) - 1 for i, w in enumerate(own) if marks.intersection(units_of(w))})[:TOXIC_SENTENCES]
+                chosen = sorted({int(np.searchsorted(starts, i, side="right")) - 1 for i, w in enumerate(own) if marks.intersection(learned_of(w))})[:TOXIC_SENTENCES]
             else:
                 chosen = [0, int(valued[sums.argmax()])] if len(valued) else [0]
             for i in dict.fromkeys(chosen):
@@ -476,8 +485,9 @@ def _evidence(model: Model):
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted), one row per row of docs.
 
-    Null and empty texts have the evidence of a sentence without units.  Where the labels don't tell the classes apart
-    every score is their share of 1, or 0.5."""
+    Null and empty texts have the evidence of a sentence without units; long ones are taken whole; rows that repeat an id
+    are scored each.  Where the labels don't tell the classes apart every score is their share of 1, or 0.5.  No rows: no
+    rows."""
     model = train(docs, labels)
 
     def run(batches):

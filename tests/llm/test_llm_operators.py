@@ -9,7 +9,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from ctxloom.llm import archive, blocks, fingerprint, mixing, nearjoin, neighbours, packing, personal, quality, substrings, toxicity
+from pyspark.sql import functions as F
+
+from ctxloom.llm import archive, blocks, fingerprint, mixing, nearjoin, neighbours, packing, personal, quality, substrings, toxicity, wordhash
 from ctxloom.llm.wordhash import gram_hashes, text_buffer, word_bounds, word_hashes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -60,36 +62,83 @@ def test_word_hashes_follow_words_alone():
     assert gram_hashes(h, 2)[1] == gram_hashes(h, 2)[3]
 
 
-def test_fingerprints(docs, empty):
-    rows = corpus()
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
-    got = sorted(map(tuple, fingerprint.edited_fingerprints(docs).collect()), key=lambda r: (r[0] is None, -(r[0] or 0)))
+def plain_mix(h):
+    h ^= h >> 30
+    h = h * 0xBF58476D1CE4E5B9 & MASK
+    h ^= h >> 27
+    h = h * 0x94D049BB133111EB & MASK
+    return h ^ h >> 31
+
+
+MASK = 2**64 - 1
+
+
+def plain_simhash(text):
+    """Votes of each pair of words, summed bit by bit."""
+    words = words_of(text)
+    table = [int(x) for x in wordhash._BYTES]
+    hashed = [plain_mix((sum(table[c] * pow(wordhash._P, j, 2**64) for j, c in enumerate(w)) + len(w)) & MASK) for w in words]
+    if len(words) == 1:
+        terms = [(plain_mix(hashed[0] * 0x2545F4914F6CDD1D & MASK), len(words[0]))]
+    else:
+        terms = [(plain_mix((a + b * wordhash._P + 2) & MASK), len(u) + len(v)) for a, b, u, v in zip(hashed, hashed[1:], words, words[1:])]
+    votes = [sum(min(n, 24) * (1 if h >> i & 1 else -1) for h, n in terms) for i in range(64)]
+    return sum(1 << i for i, v in enumerate(votes) if v > 0)
+
+
+def test_fingerprints_are_sums_of_votes():
+    texts = [r[1] for r in corpus()]
+    assert fingerprint.simhash(pa.array(texts)).tolist() == [plain_simhash(t) for t in texts]
+
+
+@pytest.mark.parametrize("heavy", [False, True])
+def test_fingerprints(spark, docs, empty, heavy):
+    rows = corpus() + ([(40, f"text {i} of one id", "en", "s", 0) for i in range(90)] if heavy else [])
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    named = {r[0]: r[1] for r in docs.selectExpr("coalesce(text, '') t", "xxhash64(coalesce(text, ''))").distinct().collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), -named[r[1] or ""], r[1] or ""))
+    got = [tuple(r) for r in fingerprint.edited_fingerprints(docs).collect()]
     assert len(got) == len(order)
-    prints = {}
+    want = Counter()
+    prints = {t: int(p) for t, p in zip(named, fingerprint.simhash(pa.array(list(named))))}
     for k, (doc_id, text, *_) in enumerate(order):
         text, following = text or "", order[(k + 1) % len(order)][1] or ""
         edited = text[: len(text) - len(text) // 2] + following[: len(text) // 2]
-        assert got[k][1] == len(text)
-        assert got[k][2] == hashlib.sha256(edited.encode()).hexdigest()
-        prints.setdefault(text, set()).add(got[k][3])
-        assert got[k][6] == 1 - (int(got[k][3], 16) ^ int(got[(k + 1) % len(order)][3], 16)).bit_count() / 64
-    assert all(len(p) == 1 for p in prints.values())
+        own, new, after = prints[text], int(fingerprint.simhash(pa.array([edited]))[0]), prints[following]
+        want[(doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), f"{own:016x}", f"{new:016x}", 1 - (own ^ new).bit_count() / 64, 1 - (own ^ after).bit_count() / 64)] += 1
+    assert Counter(got) == want
     assert fingerprint.edited_fingerprints(empty).count() == 0
 
 
-@pytest.mark.parametrize("radius", [1, 3])
-def test_near_pairs(spark, radius):
+@pytest.mark.parametrize("radius, tile", [(1, 2048), (3, 2048), (3, 4)])
+def test_near_pairs(spark, radius, tile, monkeypatch):
+    monkeypatch.setattr(fingerprint, "TILE", tile)
     rng = random.Random(5)
     base = [rng.getrandbits(64) for _ in range(30)]
     near = [b ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for b in base]
+    near += [base[0] ^ 1 << i for i in range(40)]
     values = [v - (1 << 64) if v >> 63 else v for v in base + near + base[:3]]
-    got = {tuple(r) for r in fingerprint.near_pairs(spark.createDataFrame([(v,) for v in values], "simhash long"), radius).collect()}
+    table = spark.createDataFrame([(v,) for v in values] + [(None,)], "simhash long")
+    got = Counter(tuple(r) for r in fingerprint.near_pairs(table, radius).collect())
     distinct = sorted(set(values))
     want = {(a, b, d) for i, a in enumerate(distinct) for b in distinct[i + 1 :] if (d := ((a ^ b) & (2**64 - 1)).bit_count()) <= radius}
-    assert got == want
+    assert got == Counter(want)
+    assert fingerprint.near_pairs(table.limit(0), radius).count() == 0
+
+
+def test_near_counts(spark, docs, empty, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    prints = [plain_simhash(r[1]) for r in corpus()]
+    want = Counter((r[0], sum(0 < (a ^ b).bit_count() <= fingerprint.RADIUS for b in set(prints))) for r, a in zip(corpus(), prints))
+    assert Counter((r["doc_id"], r["n_near"]) for r in fingerprint.op1_fingerprint(spark, str(tmp_path)).collect()) == want
+    assert sum(n for _, n in want) > 0 and fingerprint.near_counts(empty).count() == 0
+    with pytest.raises(ValueError):
+        fingerprint.fingerprints(docs.withColumnRenamed("lang", "simhash"))
 
 
-def test_mixing(docs, empty):
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_mixing(docs, empty, few, monkeypatch):
+    monkeypatch.setattr(mixing, "FEW", few)
     rows = corpus()
     got = mixing.mix(docs, mixing.word_count("text")).collect()
     assert len(got) == len(rows)
@@ -115,10 +164,29 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty, mixing.word_count("text")).count() == 0
 
 
-def test_mix_keeps_other_columns(docs):
-    more = docs.withColumn("col", docs["doc_id"] + 1).withColumn("size", docs["n_chars"])
+CLASHES = ["col", "size", "mixed_copy", "mixed_id", "draw", "twin", "copies", "equals", "times", "time", "place", "row", "kept_id", "ident", "name", "component", "own_ident", "own_name", "own_text", "stats", "score", "hash", "at", "part", "simhash", "a.b"]
+
+
+def clashing(docs):
+    """docs with a column of each name that the stages use inside, telling the row."""
+    return docs.select("*", *[F.concat(F.lit(f"{c}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in CLASHES])
+
+
+def unspoiled(out, docs):
+    assert out.columns == [*docs.columns, *CLASHES]
+    for r in out.collect():
+        assert all(r[c] == f"{c}-{'none' if r['doc_id'] is None else r['doc_id']}" for c in CLASHES)
+
+
+def test_mix_takes_equal_rows_no_more_than_it_says(docs):
+    more = clashing(docs.unionByName(docs.filter("doc_id in (7, 8, 9)")).unionByName(docs.filter("doc_id = 7")))
     out = mixing.apply_mix(more)
-    assert out.columns == more.columns and out.filter("col <> doc_id + 1").count() == 0 and out.count() > 0
+    unspoiled(out, docs)
+    want = Counter()
+    for r in mixing.mix(more, mixing.word_count("text")).collect():
+        want[r["doc_id"], r["draw"]] += r["copies"]
+    draw = mixing.draws_of(17)[0]
+    assert Counter((r[0], r[1]) for r in out.select("doc_id", draw).collect()) == +want
 
 
 def test_targets_reshare_until_none_is_above():
@@ -189,6 +257,24 @@ def test_cuts_are_least():
         assert cost(found) == best and pos[-1] - pos[found[-1] if found else 0] <= 10
 
 
+def plain_quality(rows, labels, got):
+    """Log densities by inverse and determinant of each class's shrunk covariance."""
+    x = {r[0]: quality.statistics(pa.array([r[1]]))[0] for r in rows}
+    known = [(r["doc_id"], r["quality"]) for r in labels if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1 and r["doc_id"] in x]
+    parts = {k: np.array([x[i] for i, q in known if q == k]) for k in (0, 1)}
+    scatter = {k: (p - p.mean(axis=0)).T @ (p - p.mean(axis=0)) for k, p in parts.items()}
+    pooled = sum(scatter.values()) / len(known) + 1e-6 * np.eye(quality.DIMS)
+    pooled = (1 - quality.GAMMA) * pooled + quality.GAMMA * np.diag(np.diag(pooled))
+    for r in got:
+        density = {}
+        for k, p in parts.items():
+            own = (1 - quality.ALPHA) * scatter[k] / len(p) + quality.ALPHA * pooled
+            z = x[r["doc_id"]] - p.mean(axis=0)
+            density[k] = np.log(len(p) / len(known)) - np.linalg.slogdet(own)[1] / 2 - z @ np.linalg.inv(own) @ z / 2
+        want = 1 / (1 + np.exp(np.clip((density[0] - density[1]) / quality.HEAT, -40, 40)))
+        assert r["score"] == pytest.approx(want, abs=1e-6) and r["predicted"] == int(r["score"] >= 0.5)
+
+
 def test_quality(spark, docs, empty):
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + ("###" if i % 2 else "") for _ in range(40)), "en", "s", 0) for i in range(300)]
@@ -199,6 +285,8 @@ def test_quality(spark, docs, empty):
     assert {r["doc_id"] for r in held} == {i for i in range(300) if zlib.crc32(str(i).encode()) % 3 == 1}
     assert np.mean([r["predicted"] == 1 - r["doc_id"] % 2 for r in held]) > 0.98
     assert quality.keep_good(many, labels).count() == sum(r["predicted"] for r in got)
+    plain_quality(rows, labels.filter("quality in (0, 1) and doc_id is not null").collect(), got)
+    unspoiled(quality.keep_good(clashing(docs), labels), docs)
     none = quality.classify(docs, labels.limit(0)).collect()
     assert {r["score"] for r in none} == {0.5} and len(none) == len(corpus())
     assert quality.classify(empty, labels).count() == 0
@@ -224,14 +312,57 @@ def test_personal(spark, docs, empty):
                 ok = {0: True, 1: all(int(x) <= 255 for x in m[0].split(".")) if kind == 1 else True, 2: 12 <= len(digits) <= 19 and personal.luhn(digits), 3: 9 <= len(digits) <= 15}[kind]
                 want += [(m.start(), kind, m.end())] * ok
         assert personal.base_spans(text) == sorted(want), text
+    unspoiled(personal.redact(clashing(docs)), docs)
     masked = {r["doc_id"]: r["text"] for r in personal.redact(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert masked[1] == "<phone> or <card>" and masked[4] is None
     assert personal.personal_data(docs).count() == len(corpus()) and personal.personal_data(empty).count() == 0
 
 
 def test_long_secrets_are_found_to_their_end():
-    text = "key=" + "a1B2" * 200 + " end"
-    assert (4, 4, 804) in personal.candidates(text)
+    text = "key=" + "a1B2" * 500 + " end"
+    assert (4, 4, 2004) in personal.candidates(text)
+    spelled = "a" * 500 + " at " + "b" * 500 + " dot " + " dot ".join(["c" * 100] * 9)
+    assert (0, 0, len(spelled)) in personal.candidates(spelled)
+
+
+def test_added_spans_overlap_nothing():
+    rng = random.Random(9)
+    span = lambda: ((s := rng.randint(0, 40)), rng.randint(0, 4), s + rng.randint(1, 6))
+    for _ in range(500):
+        base = sorted(span() for _ in range(rng.randint(0, 5)))
+        more = sorted((*span(), rng.choice("ab")) for _ in range(rng.randint(0, 9)))
+        want = list(base)
+        for s, k, e, key in more:
+            if key == "a" and not any(s < f and b < e for b, _, f in want):
+                want.append((s, k, e))
+        assert personal.all_spans(base, more, {(k, "a"): 0.9 for k in range(5)}) == sorted(want)
+
+
+def test_reliabilities_by_hand():
+    """EM in plain loops: labelers independent given the class, priors and rates with the same pseudo-counts."""
+    rng = random.Random(2)
+    patterns = {(k, "".join(rng.choice("yn-") for _ in range(5)) + "2s"): rng.randint(1, 90) for k in (0, 3, 3, 4, 4) for _ in range(4)}
+    p = {k: (k[1][:5].count("y") + 1) / (k[1][:5].count("y") + k[1][:5].count("n") + 2) for k in patterns}
+    for _ in range(50):
+        rate = {}
+        for j in range(5):
+            for label in (0, 1):
+                chance = lambda k, label=label: p[k] if label else 1 - p[k]
+                said = sum(n * chance(k) for k, n in patterns.items() if k[1][j] != "-")
+                yes = sum(n * chance(k) for k, n in patterns.items() if k[1][j] == "y")
+                no = sum(n * chance(k) for k, n in patterns.items() if k[1][j] == "n")
+                rate[j, label] = {"y": (yes + (4 if label else 1)) / (said + 5), "n": (no + (1 if label else 4)) / (said + 5), "-": 1.0}
+        new = {}
+        for k in patterns:
+            own = {x: n for x, n in patterns.items() if x[0] == k[0]}
+            prior = (sum(n * p[x] for x, n in own.items()) + 2) / (sum(own.values()) + 4)
+            true, false = prior, 1 - prior
+            for j in range(5):
+                true, false = true * rate[j, 1][k[1][j]], false * rate[j, 0][k[1][j]]
+            new[k] = true / (true + false)
+        p = new
+    found = personal.estimate(patterns)
+    assert found == pytest.approx(p, abs=1e-6)
 
 
 def test_reliabilities_tell_labelers_apart():
@@ -267,6 +398,21 @@ def test_archive(spark, tmp_path):
                 done += c["chunk"]
                 assert c["digest_so_far"] == hashlib.sha1(done).hexdigest()
     assert set(by) == set(texts)
+    payloads = archive.read(spark, manifest, folder, payloads=False)
+    assert payloads.rdd.getNumPartitions() > 1 and payloads.filter("last").count() == len(rows)
+    none = archive.write(archive.decide(pages.limit(0), "page_id", "html", "url"), f"file://{tmp_path}/none")
+    assert archive.read(spark, none, f"file://{tmp_path}/none").count() == 0
+
+
+def test_archives_with_other_payloads_are_refused():
+    import io
+
+    good = archive.head(1, "u", "response", None, 3, hashlib.sha1(b"abc").hexdigest())
+    assert [r[4] for r in archive.chunks_of(io.BytesIO(good + b"abc\r\n\r\n"))] == [b"abc"]
+    with pytest.raises(ValueError):
+        list(archive.chunks_of(io.BytesIO(good + b"abd\r\n\r\n")))
+    with pytest.raises(EOFError):
+        list(archive.chunks_of(io.BytesIO(good + b"a")))
 
 
 def shingles(text):
@@ -317,6 +463,38 @@ def test_near_duplicates(spark, docs, hot, monkeypatch):
 
 def test_near_duplicates_of_nothing(empty):
     assert nearjoin.near_duplicates(empty).count() == 0
+    links, members = nearjoin.near_links(empty)
+    assert links.count() == 0 and members.count() == 0
+
+
+def chained_corpus():
+    """Texts that share long passages in a chain: lists of one cluster that only neighbours have in common."""
+    rng = random.Random(12)
+    passages = [[f"p{k}x{i}" for i in range(60)] for k in range(6)]
+    rows = []
+    for k in range(5):
+        for i in range(12):
+            words = passages[k] + passages[k + 1]
+            for _ in range(rng.randint(0, 4)):
+                words[rng.randrange(len(words))] = f"e{rng.randrange(10**6)}"
+            rows.append((12 * k + i, " ".join(words[rng.randint(0, 3) :]), "en", "s", 0))
+    return rows
+
+
+@pytest.mark.parametrize("hot, rows", [(32, near_corpus()), (4, near_corpus()), (4, chained_corpus()), (4, corpus())])
+def test_all_links(spark, hot, rows, monkeypatch):
+    monkeypatch.setattr(nearjoin, "HOT", hot)
+    monkeypatch.setattr(nearjoin, "CHUNK", 8)
+    links, members = nearjoin.near_links(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    members = members.collect()
+    assert Counter((r["doc_id"], r["n_shingles"]) for r in members) == Counter((r[0], len(shingles(r[1]))) for r in rows)
+    texts = {r[0]: shingles(r[1]) for r in rows}
+    classes = {r["class_id"]: texts[r["doc_id"]] for r in members if r["n_shingles"]}
+    assert len(set(classes.values())) == len(classes)
+    ids = sorted(classes)
+    want = {(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if 100 * len(classes[a] & classes[b]) >= 80 * len(classes[a] | classes[b])}
+    assert Counter(map(tuple, links.collect())) == Counter(want)
+    assert Counter(map(tuple, nearjoin.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())) == components_of(rows)
 
 
 def test_chosen_prefixes_hold_the_matches():
@@ -328,6 +506,56 @@ def test_chosen_prefixes_hold_the_matches():
         assert 1 <= match <= max(1, nearjoin.overlap(n)) and length == max(0, n - nearjoin.overlap(n) + match - (n - len(counts)))
 
 
+def test_kernel_by_listing_subsequences():
+    rng = random.Random(3)
+    units = ["".join(rng.choice("abcé0@ж一") for _ in range(rng.randint(1, 12))) for _ in range(40)] + ["blorgon", "blxorgon", "bl0rgon"]
+    marks = units[:15] + ["blorgon", "a"]
+
+    def subsequences(unit):
+        letters = [int(c) for c in toxicity.codes([unit])[0] if c]
+        out = Counter()
+        for i in range(len(letters)):
+            for j in range(i + 1, len(letters)):
+                for k in range(j + 1, min(len(letters), i + toxicity.SPAN)):
+                    out[letters[i], letters[j], letters[k]] += toxicity.DECAY ** (k - i + 1)
+        return out
+
+    def plain(u, v):
+        a, b = subsequences(u), subsequences(v)
+        norm = lambda x: max(sum(w * w for w in x.values()), 1e-6) ** 0.5
+        value = sum(w * b[s] for s, w in a.items()) / norm(a) / norm(b)
+        return value**toxicity.SHARP if value >= toxicity.FLOOR else 0.0
+
+    found = toxicity.Kernel(list(dict.fromkeys(marks)))
+    values = found(units)
+    for i, u in enumerate(units):
+        for j, v in enumerate(found.landmarks):
+            assert values[i, j] == pytest.approx(plain(u, v), abs=2e-4)
+    assert plain("blorgon", "bl0rgon") == pytest.approx(1) and 0 < plain("blorgon", "blxorgon") < 1
+
+
+def test_letters_of_other_scripts_differ():
+    one, other = toxicity.codes(["блор", "жщыэ"])
+    assert (one != other).any() and len(set(one.tolist())) > 4
+
+
+def test_toxicity_counts_copies_once(spark):
+    rng = random.Random(21)
+    words = ["".join(rng.choice("bdfghjkqvxyz") for _ in range(8)) for _ in range(200)]
+    text = ". ".join(" ".join(words[i : i + 8]) for i in range(0, 200, 8))
+    docs = spark.createDataFrame([(i, text if i % 2 else f"{' '.join(rng.sample(words, 9))} river {i}", "en", "s", 0) for i in range(400)], SCHEMA)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(400)], "doc_id long, quality int, toxic int")
+    assert toxicity._marked(toxicity._sample(docs, labels)) == []
+
+
+def test_toxicity_learns_other_scripts_and_the_ends_of_long_units(spark):
+    front = "riverstonewindowgardenpapermusicwintersilverautumnvalley"
+    docs, labels, plain = toxic_table(spark, ["блоргон", front + "zquimpfx"], 60)
+    model = toxicity.train(docs, labels)
+    found = model.score(model.scorer()([plain, f"{plain} привет", f"{plain} блоргон", f"{plain} {front}zquimpfx"]))
+    assert max(found[:2]) < 0.5 < min(found[2:])
+
+
 def test_toxicity(spark, docs, empty):
     rng = random.Random(5)
     clean = ["river", "stone", "window", "garden", "paper", "music", "winter", "silver"]
@@ -440,21 +668,71 @@ def test_sliding():
         assert blocks.sliding(x, width, np.minimum, blocks.TOP).tolist() == [min(x[i : i + width]) for i in range(50)]
 
 
+PIPELINE_LABELS = [(i, int(i % 5 > 0), 0) for i in range(70)]
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
+    """Each stage's rows, on repeated ids, repeated rows and columns that clash with the stages' own names."""
     import corpus_pipeline
 
-    spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(70)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    held = docs
+    spark.createDataFrame(PIPELINE_LABELS, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    near = next(r[1] for r in corpus() if len(words_of(r[1])) > 100)
+    more = [(5, near + " one", "en", "s", 0), (3, near, "en", "s", 0), (5, "a second text of this id, mail a.b@c.de", "en", "s", 0), (None, "", "en", "s", 0)] * 2
+    whole = clashing(docs.unionByName(spark.createDataFrame(more, SCHEMA)))
+    held = whole
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, held, str(tmp_path))
         out.write.parquet(f"{tmp_path}/{name}")
         after = spark.read.parquet(f"{tmp_path}/{name}")
+        before = [tuple(r) for r in held.collect()]
+        rows = [tuple(r) for r in after.collect()]
         if name != "packing":
-            assert after.columns == docs.columns
+            unspoiled(after, docs)
+        if name == "quality":
+            scores = {r["doc_id"]: r for r in quality.classify(held, spark.read.parquet(f"{tmp_path}/labels.parquet")).collect()}
+            assert Counter(rows) <= Counter(before) and len(rows) == quality.classify(held, spark.read.parquet(f"{tmp_path}/labels.parquet")).filter("predicted = 1").count() and scores
         if name == "near_duplicates":
-            want = components_of([tuple(r) for r in held.collect()])
-            assert {r["doc_id"] for r in after.collect()} == {c for _, _, c in want}
+            assert sorted(map(str, rows)) == sorted(map(str, one_of_each(before, {r[0]: r[1] for r in held.select("text", F.xxhash64("text")).distinct().collect()})))
+        if name == "personal":
+            assert Counter((r[0], *r[5:]) for r in rows) == Counter((r[0], *r[5:]) for r in before)
+            assert all((r[1] is None) == (r[4] is None) and (r[1] is None or len(r[1]) == r[4]) for r in rows) and not any("@c.de" in (r[1] or "") for r in rows)
         if name == "mixing":
-            assert {tuple(r) for r in after.collect()} <= {tuple(r) for r in held.collect()}
+            taken = Counter()
+            for r in mixing.mix(held, mixing.word_count("text")).collect():
+                taken[r["doc_id"], r["size"]] += r["copies"]
+            assert Counter((r[0], len(words_of(r[1]))) for r in rows) == +taken and set(rows) <= set(before)
+        if name == "packing":
+            assert Counter((r[0], r[4]) for r in rows if r[1] == 0) == Counter((r[0], r[4]) for r in map(tuple, packing.pack(held).collect()) if r[1] == 0)
+            assert sum(r[1] == 0 for r in rows) == len(before)
         held = after
     assert held.count() > 0
+
+
+def one_of_each(rows, names):
+    """Of each component the row of least id, then text hash; of equal rows one; all rows without words."""
+    sets = [shingles(r[1]) for r in rows]
+    group = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]) and group[i] != group[j]:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    best = {}
+    for r, g in zip(rows, group):
+        key = (r[0] is None, r[0] or 0, names[r[1]])
+        if g not in best or key < best[g][0]:
+            best[g] = (key, r)
+    return [r for _, r in best.values()]
+
+
+def test_pipeline_of_nothing(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame(PIPELINE_LABELS, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_staged_tables_leave_no_names(spark, docs):
+    substrings.remove_repeated(docs).count()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("ctxloom")]
