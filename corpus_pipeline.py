@@ -18,30 +18,33 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the least id; equal rows are one document.  Rows without an id
-    stay, one of each text, if any such row is in a group without ids.  Texts move once, by id: rows whose id came
-    several times are the only ones compared by text."""
-    groups = nearjoin.near_duplicates(docs)
-    kept = groups.filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("kept_rows"))
-    both = docs.join(kept, docs["doc_id"] == kept["kept_id"])
-    once = both.filter("kept_rows = 1").select(docs.columns)
-    out = once.unionByName(both.filter("kept_rows > 1").select(docs.columns).dropDuplicates(["doc_id", "text"]))
-    if docs.filter("doc_id is null").limit(1).count() and groups.filter("doc_id is null and component_id is null").limit(1).count():
-        out = out.unionByName(docs.filter("doc_id is null").dropDuplicates(["text"]))
-    return out
+    """One document of each group stays, the one with the least id, of those the least text hash; rows equal in id and
+    text are one document.  Rows without words are linked with nothing and all stay.  Texts move once, to the keys that
+    stay; columns may have any name."""
+    rows = nearjoin.near_rows(docs)
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "name")).alias("first"))
+    kept = first.select(F.col("first.doc_id").alias("ident"), F.col("first.name").alias("name"))
+    times = rows.filter("n_shingles > 0").groupBy(F.col("doc_id").alias("ident"), "name").agg(F.count("*").alias("times"))
+    kept = kept.join(times, kept["ident"].eqNullSafe(times["ident"]) & (kept["name"] == times["name"]), "left").select(kept["ident"], kept["name"], F.coalesce("times", F.lit(1)).alias("times"))
+    kept = common.stage(kept.groupBy("ident", "name").agg(F.max("times").alias("times")), "kept")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("own_ident"), F.xxhash64("text").alias("own_name"))
+    both = held.join(kept, held["own_ident"].eqNullSafe(kept["ident"]) & (held["own_name"] == kept["name"]))
+    several = both.filter("times > 1").withColumn("own_text", F.col("row.text")).dropDuplicates(["own_ident", "own_text"])
+    return both.filter("times = 1").select("row").unionByName(several.select("row")).select("row.*")
 
 
 def personal_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every span of personal data gives way to its kind's mask."""
+    """Every span of personal data gives way to its kind's mask; a null text stays null."""
     return personal.redact(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; equal rows as often as the one taken most."""
+    """Each document as often as the mix takes it; rows equal in id, source and text share what it takes of them."""
     return mixing.apply_mix(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of sequences that hold all rows; see packing.pack for nulls, empty texts and repeated rows."""
     return packing.pack(docs)
 
 
@@ -53,11 +56,12 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: SQL can't express the discriminant; tests/llm compares each stage with a plain version.
+#: SQL can't express the discriminant; tests/llm compares the stages' rows with plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of documents; an empty table gives none."""
     docs = common.table(spark, sf_dir, "documents")
     for name, function in STAGES[:-1]:
         docs = common.stage(function(spark, docs, sf_dir), name)
