@@ -22,7 +22,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -32,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ctxloom.llm.common import held_out, stage, table
+from ctxloom.llm.wordhash import text_buffer, word_bounds, word_hashes
 
 FOLDS, HELD = 5, 0
 #: Labelled documents of either class that training takes at most.
@@ -44,8 +44,8 @@ DECAY, SPAN, SHARP = 0.6, 5, 2.0
 FLOOR = 0.6
 #: Longest sentence in words.
 SENTENCE = 32
-#: Units a worker remembers before it forgets them.
-CACHE = 400_000
+#: Words a worker remembers before it forgets them; letters of a run that is a word as well; texts read at a time.
+CACHE, SPACED, READ = 2_000_000, 4, 512
 #: Units compared with the landmarks at once.
 BLOCK = 256
 LONGEST = 32
@@ -67,7 +67,6 @@ for _k, _c in enumerate("éèê"):
     _LETTERS[ord(_c)] = 29 + _k
 for _c, _to in _STAND_IN.items():
     _LETTERS[ord(_c)] = _LETTERS[ord(_to)]
-_SPACED = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
 _EDGES = re.compile(r"^[^\w@$]+|[^\w]+$")
 _MARKS = re.compile(r"[\W_]+")
 _OFFSETS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
@@ -184,40 +183,54 @@ class Kernel:
         return out
 
 
+class Part:
+    """Words of several texts: each one's place, sentence and text, and the texts' and sentences' bounds."""
+
+    def __init__(self, words: np.ndarray, sentence: np.ndarray, of: np.ndarray, counts: np.ndarray):
+        self.words, self.sentence, self.of, self.counts = words, sentence, of, counts
+
+
 class Sentences:
-    """Values of units, remembered as places and values other than 0, summed over the sentences of texts."""
+    """Values of words, remembered as places and values other than 0, summed over the sentences of texts.  Words are told
+    by 64-bit hashes."""
 
-    def __init__(self, kernel: Kernel, weights: np.ndarray | None = None):
-        """Values are the kernel's, or their sum by weights."""
+    def __init__(self, kernel: Kernel, weights: np.ndarray | None = None, marked: tuple[str, ...] = ()):
+        """Values are the kernel's, or their sum by weights; words with a marked unit are told apart."""
         self.kernel, self.weights, self.width = kernel, weights, len(kernel.landmarks) if weights is None else 1
+        self.marked = frozenset(marked)
         self.clear()
 
     def clear(self) -> None:
-        self.places: dict[str, int] = {}
+        self.names, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.starts = np.zeros(1, np.int64)
         self.marks, self.values = np.zeros(0, np.int64), np.zeros(0, np.float32)
-        self.ends = np.zeros(0, dtype=bool)
+        #: Whether a word ends a sentence, is a single letter, has a marked unit.
+        self.kinds = np.zeros((0, 3), dtype=bool)
 
-    def words(self, text: str) -> list[str]:
-        text = text.lower()
-        out = text.split()
-        if _SPACED.search(text):
-            out += [m[0] for m in _SPACED.finditer(text)]
-        return out
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.places) > CACHE:
+    def learn(self, names: np.ndarray, word_of) -> np.ndarray:
+        """The words' places; names are sorted and distinct, word_of(i) is the i-th word."""
+        if len(self.names) > CACHE:
             self.clear()
-        new = [w for w in words if w not in self.places]
-        if not new:
-            return
-        marks, values, counts = self.marks[:0], self.values[:0], np.zeros(len(new), np.int64)
-        pairs, found, total = ((i, u) for i, w in enumerate(new) for u in pieces(w)), [], 0
-        while part := list(islice(pairs, 50_000)):
-            owner, units = zip(*part)
-            owner = np.array(owner)
-            found += [(owner[at], at + total, mark, value) for at, mark, value in self.kernel.blocks(units)]
-            total += len(part)
+        at = np.searchsorted(self.names, names)
+        new = np.flatnonzero(self.names[np.minimum(at, len(self.names) - 1)] != names) if len(self.names) else np.arange(len(names))
+        if len(new):
+            words = [word_of(i) for i in new.tolist()]
+            first = len(self.kinds)
+            self._values([pieces(w) for w in words], len(words))
+            marked = [not self.marked.isdisjoint(learned_of(w)) for w in words] if self.marked else [False] * len(words)
+            self.kinds = np.concatenate([self.kinds, np.array([[w[-1] in ".!?" for w in words], [len(w) == 1 for w in words], marked], dtype=bool).T])
+            self.names, self.at = np.insert(self.names, at[new], names[new]), np.insert(self.at, at[new], first + np.arange(len(new)))
+            at = np.searchsorted(self.names, names)
+        return self.at[at]
+
+    def _values(self, units: list[list[str]], n: int) -> None:
+        marks, values, counts = self.marks[:0], self.values[:0], np.zeros(n, np.int64)
+        flat = [u for part in units for u in part]
+        owners = np.repeat(np.arange(n), np.fromiter(map(len, units), np.int64, n))
+        found = []
+        for low in range(0, len(flat), 50_000):
+            part = flat[low : low + 50_000]
+            found += [(owners[low + at], low + at, mark, value) for at, mark, value in self.kernel.blocks(part)]
         if found:
             owner, at, marks, values = (np.concatenate(part) for part in zip(*found))
             if self.weights is not None:
@@ -229,25 +242,49 @@ class Sentences:
             best = np.zeros(len(keys), np.float32)
             np.maximum.at(best, group, values.astype(np.float32))
             own, marks = np.divmod(keys, self.width)
-            counts, values = np.bincount(own, minlength=len(new)), best
-        self.places.update(zip(new, range(len(self.places), len(self.places) + len(new))))
+            counts, values = np.bincount(own, minlength=n), best
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
         self.marks, self.values = np.concatenate([self.marks, marks]), np.concatenate([self.values, values])
-        self.ends = np.concatenate([self.ends, [w[-1] in ".!?" for w in new]])
-
-    def sums(self, words: list[str]) -> tuple[np.ndarray, ...]:
-        """Each sentence's first word; sentences, places and sums of the values other than 0, in order; values of the
-        distinct words."""
-        n = len(words)
-        at = np.fromiter(map(self.places.__getitem__, words), np.int64, n)
-        first = np.ones(n, dtype=bool)
-        first[1:] = self.ends[at[:-1]]
-        first |= (np.arange(n) - np.maximum.accumulate(np.where(first, np.arange(n), 0))) % SENTENCE == 0
-        count = self.starts[at + 1] - self.starts[at]
-        each = np.repeat(np.arange(n), count)
-        place = np.arange(len(each)) - (np.cumsum(count) - count - self.starts[at])[each]
-        keys, group = np.unique((np.cumsum(first) - 1)[each] * self.width + self.marks[place], return_inverse=True)
-        return np.flatnonzero(first), keys // self.width, keys % self.width, np.bincount(group, self.values[place], len(keys)), self.values[np.unique(place)]
+
+    def read(self, texts: list[str | None]) -> Part:
+        data, offsets = text_buffer(pa.array([(t or "").lower() for t in texts], pa.large_string()))
+        starts, ends, first = word_bounds(data, offsets)
+        names, index, place = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        word = lambda i: data[starts[i] : ends[i]].tobytes().decode()
+        words = self.learn(names, lambda i: word(index[i]))[place]
+        n, counts = len(words), np.diff(first)
+        text, order = np.repeat(np.arange(len(counts)), counts), np.arange(n)
+        head = np.zeros(n, dtype=bool)
+        head[first[:-1][counts > 0]] = True
+        head[1:] |= self.kinds[words[:-1], 0]
+        head |= (order - np.maximum.accumulate(np.where(head, order, 0))) % SENTENCE == 0
+        sentence = np.cumsum(head) - 1
+        # Runs of single letters are words as well, in the sentence of their first letter.
+        single = self.kinds[words, 1]
+        begin = single & np.r_[True, ~single[:-1] | (text[1:] != text[:-1])][:n]
+        stop = single & np.r_[~single[1:] | (text[1:] != text[:-1]), True][-n:] if n else single
+        low, high = np.flatnonzero(begin), np.flatnonzero(stop) + 1
+        long = high - low >= SPACED
+        runs = {}
+        for i, j in zip(low[long].tolist(), high[long].tolist()):
+            runs.setdefault(" ".join(word(k) for k in range(i, j)), []).append(sentence[i])
+        if runs:
+            named = sorted((xxhash.xxh64_intdigest(run), run) for run in runs)
+            places = self.learn(np.array([h for h, _ in named], np.uint64), lambda i: named[i][1])
+            # Learning may have forgotten the rest.
+            words = self.learn(names, lambda i: word(index[i]))[place] if len(self.kinds) <= words.max() else words
+            where = [runs[run] for _, run in named]
+            words = np.r_[words, np.repeat(places, list(map(len, where)))]
+            sentence = np.r_[sentence, np.concatenate(where)]
+        return Part(words, sentence, text[head], counts)
+
+    def entries(self, part: Part) -> tuple[np.ndarray, np.ndarray]:
+        """Of every value other than 0 of every word: its sentence and its place among the values."""
+        count = self.starts[part.words + 1] - self.starts[part.words]
+        some = np.flatnonzero(count)
+        count = count[some]
+        place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - self.starts[part.words[some]], count)
+        return np.repeat(part.sentence[some], count), place
 
 
 #: A document's evidence: its three greatest sentence margins, the sum of those above 0, and the sum of its distinct marked
@@ -255,11 +292,15 @@ class Sentences:
 EVIDENCE = 7
 
 
-def evidence(margins: np.ndarray, values: np.ndarray, words: int) -> list[float]:
-    best = np.sort(margins)[::-1][:3]
-    best = np.r_[best, np.full(3 - len(best), -1.0)]
-    sums = np.array([margins[margins > 0].sum(), np.minimum(values, 1).sum()])
-    return [*best.clip(-1, 4), *np.log1p(sums), *np.log1p(1000 * sums / (words + 10))]
+def evidence(margins: np.ndarray, of: np.ndarray, marked: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Of each text: margins and of (their texts, in order), the marked words' sums, the numbers of words."""
+    n = len(counts)
+    order = np.lexsort((-margins, of))
+    at = np.arange(len(of)) - np.searchsorted(of, of)
+    best = np.full((n, 3), -1.0)
+    best[of[at < 3], at[at < 3]] = margins[order][at < 3]
+    sums = np.stack([np.bincount(of, np.maximum(margins, 0), minlength=n), marked], axis=1)
+    return np.c_[best.clip(-1, 4), np.log1p(sums), np.log1p(1000 * sums / (counts[:, None] + 10))]
 
 
 @lru_cache(maxsize=1)
@@ -278,18 +319,21 @@ class Model:
         sentences = _memory(tuple(self.landmarks), np.asarray(self.weights, np.float64).tobytes())
 
         def found(texts: list[str | None]) -> np.ndarray:
-            out = np.zeros((len(texts), EVIDENCE))
-            for low in range(0, len(texts), 256):
-                part = [sentences.words(t) if t else [] for t in texts[low : low + 256]]
-                sentences.learn(set().union(*part))
-                for i, words in enumerate(part, low):
-                    margins, values = np.full(1, self.intercept), np.zeros(0)
-                    if words:
-                        starts, own, _, sums, values = sentences.sums(words)
-                        margins = np.full(len(starts), self.intercept)
-                        margins[own] += sums
-                    out[i] = evidence(margins, values, len(words))
-            return out
+            out = [np.zeros((0, EVIDENCE))]
+            for low in range(0, len(texts), READ):
+                part = sentences.read(texts[low : low + READ])
+                n, count = len(part.counts), len(part.of)
+                own, place = sentences.entries(part)
+                values = sentences.values[place].astype(np.float64)
+                margins = self.intercept + np.bincount(own, values, minlength=count)
+                _, first = np.unique(part.of[own] * len(sentences.values) + place, return_index=True)
+                marked = np.bincount(part.of[own[first]], np.minimum(values[first], 1), minlength=n)
+                # A text without words is a sentence without units.
+                none = np.flatnonzero(part.counts == 0)
+                of = np.r_[part.of, none]
+                order = np.argsort(of, kind="stable")
+                out.append(evidence(np.r_[margins, np.full(len(none), self.intercept)][order], of[order], marked, part.counts))
+            return np.concatenate(out)
 
         return found
 
@@ -421,24 +465,30 @@ def unpacked(rows: list[bytes], width: int) -> np.ndarray:
     return out
 
 
-def labelled_sentences(held: Sentences, texts: list, labels: list, marked: list[str]) -> list[tuple[int, bytes]]:
+def labelled_sentences(held: Sentences, texts: list, labels: list) -> list[tuple[int, bytes]]:
     """Kernel sums of a toxic document's sentences with a marked unit; of a clean one's first sentence and of that most
     like the marked ones."""
-    out, marks = [], set(marked)
-    for low in range(0, len(texts), 256):
-        words = [held.words(t or "") for t in texts[low : low + 256]]
-        held.learn(set().union(*words))
-        for own, toxic in zip(words, labels[low : low + 256]):
-            if not own:
+    out = []
+    for low in range(0, len(texts), READ):
+        part = held.read(texts[low : low + READ])
+        own, place = held.entries(part)
+        keys, group = np.unique(own * held.width + held.marks[place], return_inverse=True)
+        sums = np.bincount(group, held.values[place], len(keys)).astype(np.float32)
+        valued, marks = np.divmod(keys, held.width)
+        marked = np.unique(part.sentence[held.kinds[part.words, 2]])
+        bounds = np.searchsorted(part.of, np.arange(len(part.counts) + 1))
+        for i, toxic in enumerate(labels[low : low + READ]):
+            first, last = int(bounds[i]), int(bounds[i + 1])
+            if first == last:
                 continue
-            starts, valued, places, sums, _ = held.sums(own)
             if toxic:
-                chosen = sorted({int(np.searchsorted(starts, i, side="right")) - 1 for i, w in enumerate(own) if marks.intersection(learned_of(w))})[:TOXIC_SENTENCES]
+                chosen = marked[slice(*np.searchsorted(marked, [first, last]))][:TOXIC_SENTENCES].tolist()
             else:
-                chosen = [0, int(valued[sums.argmax()])] if len(valued) else [0]
-            for i in dict.fromkeys(chosen):
-                own = slice(*np.searchsorted(valued, [i, i + 1]))
-                out.append((int(toxic), places[own].astype(np.int32).tobytes() + sums[own].astype(np.float32).tobytes()))
+                a, b = np.searchsorted(valued, [first, last])
+                chosen = [first, int(valued[a + sums[a:b].argmax()])] if a < b else [first]
+            for k in dict.fromkeys(chosen):
+                at = slice(*np.searchsorted(valued, [k, k + 1]))
+                out.append((int(toxic), marks[at].astype(np.int32).tobytes() + sums[at].tobytes()))
     return out
 
 
@@ -459,9 +509,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | float:
     landmarks = cover(marked)
 
     def sentences(frames):
-        held = Sentences(Kernel(landmarks))
+        held = Sentences(Kernel(landmarks), marked=tuple(marked))
         for pdf in frames:
-            yield pd.DataFrame(labelled_sentences(held, pdf["text"].tolist(), pdf["toxic"].tolist(), marked), columns=["toxic", "x"])
+            yield pd.DataFrame(labelled_sentences(held, pdf["text"].tolist(), pdf["toxic"].tolist()), columns=["toxic", "x"])
 
     rows = sample.mapInPandas(sentences, "toxic int, x binary").groupBy("toxic", "x").count().orderBy("toxic", "x").toPandas()
     if rows["toxic"].nunique() < 2:
