@@ -1,9 +1,14 @@
-"""Column functions on text: cleaning, masking, detection, counting.  All stay in the JVM but nfc() and unescape()."""
+"""Column functions on text: cleaning, masking, detection, counting.  All stay in the JVM but nfc(), unescape() and
+redact(), which send only the texts that may change to Python."""
 
 from __future__ import annotations
 
 import html
+import json
+import re
+import sys
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -29,8 +34,8 @@ INJECTION = {
     ],
     "strict": [
         ("repeat", r"(?i)(.{10,}?)\1{3,}"),
-        ("encoded", r"\b[A-Za-z0-9+/]{20,}={0,2}\b"),
-        ("special", r"[^\w\s\x{4E00}-\x{9FFF}]{10,}"),
+        ("encoded", r"(?U)\b[A-Za-z0-9+/]{20,}={0,2}\b"),
+        ("special", r"(?U)[^\p{L}\p{N}_\s\x{4E00}-\x{9FFF}]{10,}"),
     ],
 }
 LEVELS = {"basic": ["basic"], "standard": ["basic", "standard"], "strict": ["basic", "standard", "strict"]}
@@ -60,14 +65,29 @@ def is_blank(text: Column) -> Column:
     return F.coalesce(text.rlike(r"(?U)^\s*$"), F.lit(True))
 
 
+@lru_cache
+def _unstable(form: str) -> str:
+    """A pattern of the characters that a normal form changes, or that may join with the one before."""
+    found, at = [], None
+    for i in range(0x80, sys.maxunicode + 2):
+        c = chr(i) if i <= sys.maxunicode else ""
+        hit = c != "" and not 0xD800 <= i < 0xE000 and (0x1100 <= i < 0x1200 or unicodedata.category(c)[0] == "M" or unicodedata.normalize(form, c) != c)
+        if hit and at is None:
+            at = i
+        if not hit and at is not None:
+            found.append(f"\\x{{{at:X}}}-\\x{{{i - 1:X}}}")
+            at = None
+    return f"[{''.join(found)}]"
+
+
 def nfc(text: Column, form: str = "NFC") -> Column:
-    """Unicode normal form; plain ASCII columns are best left without it, as it runs in Python."""
+    """Unicode normal form.  It runs in Python, for texts with a character that the form may change."""
 
     @F.pandas_udf("string")
     def normal(values: pd.Series) -> pd.Series:
         return values.map(lambda v: unicodedata.normalize(form, v), na_action="ignore")
 
-    return normal(text)
+    return F.coalesce(normal(F.when(text.rlike(_unstable(form)), text)), text)
 
 
 def normalise_unicode(text: Column, form: str = "NFC", control: bool = True, zero_width: bool = True) -> Column:
@@ -77,16 +97,29 @@ def normalise_unicode(text: Column, form: str = "NFC", control: bool = True, zer
 
 
 def unescape(text: Column) -> Column:
+    """HTML's entities, in Python, for texts with an ampersand."""
+
     @F.pandas_udf("string")
     def plain(values: pd.Series) -> pd.Series:
         return values.map(html.unescape, na_action="ignore")
 
-    return plain(text)
+    return F.coalesce(plain(F.when(text.contains("&"), text)), text)
+
+
+def indented(value: Column) -> Column:
+    """JSON, laid out with two spaces a level."""
+
+    @F.pandas_udf("string")
+    def laid_out(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: json.dumps(json.loads(v), ensure_ascii=False, indent=2), na_action="ignore")
+
+    return laid_out(value)
 
 
 def strip_html(text: Column, spaced: bool = True, entities: dict[str, str] | None = None) -> Column:
     """Script and style blocks, comments and tags go, entities are read, white space collapses.  With `entities` given
     only those are read, in the JVM; else all, in Python."""
+    # What is taken out, in this order.
     out = F.regexp_replace(text, r"(?is)<(script|style)[^>]*>.*?</\1>", "")
     out = F.regexp_replace(out, r"(?s)<!--.*?-->", "")
     out = F.regexp_replace(out, r"<[^>]+>", " " if spaced else "")
@@ -107,6 +140,7 @@ def escape_html(text: Column) -> Column:
 
 def strip_markdown(text: Column, keep_code: bool = True) -> Column:
     """Marks go in a fixed order; links come before images, so an image leaves its exclamation mark."""
+    # The marks and their order.
     steps = [
         (r"(?s)```[^\n]*\n(.*?)```", "$1" if keep_code else ""), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"!\[([^\]]*)\]\([^)]+\)", "$1"),
         (r"(?m)^#+\s*", ""), (r"(\*\*|__)(.*?)\1|\*|_", "$2"), (r"`([^`]+)`", "$1"), (r"(?m)^>\s*", ""),
@@ -161,6 +195,45 @@ def masked_counts(text: Column) -> dict[str, Column]:
     return {k: F.regexp_count(text, F.lit(p)) for k, p in MASKED.items()}
 
 
+def _mask_of(kind: str, found: str, mark: str) -> str:
+    n = len(found)
+    if kind == "phone":
+        return found[:3] + mark * 4 + found[-4:]
+    if kind in ("id_card", "bank_card"):
+        return found[:6] + mark * (n - 10) + found[-4:]
+    if kind == "ip":
+        return ".".join([found.split(".")[0], *[mark] * 3])
+    if kind == "url":
+        return "[REDACTED_URL]"
+    local, _, domain = found.partition("@")
+    return (mark * len(local) if len(local) < 3 else local[0] + mark * (len(local) - 2) + local[-1]) + "@" + domain
+
+
+def redact(text: Column, kinds: tuple[str, ...] = tuple(MASKED), mark: str = "*") -> Column:
+    """struct(content, counts): all matches of all kinds masked from the last to the first by where they start, each in
+    the text as it is by then, so of two that overlap the earlier one's mask is written over the later's; of two that
+    start together the kind listed later wins.  Counts are by kind, without those of 0."""
+    patterns = [(k, re.compile(MASKED[k])) for k in MASKED if k in kinds]
+
+    @F.pandas_udf("content string, counts map<string,int>")
+    def masked(values: pd.Series) -> pd.DataFrame:
+        texts, counts = [], []
+        for value in values:
+            own: dict[str, int] = {}
+            if value is not None:
+                hits = [(m.start(), m.end(), k, m[0]) for k, p in patterns for m in p.finditer(value)]
+                for start, end, kind, found in sorted(hits, key=lambda h: -h[0]):
+                    value = value[:start] + _mask_of(kind, found, mark) + value[end:]
+                    own[kind] = own.get(kind, 0) + 1
+            texts.append(value)
+            counts.append(own)
+        return pd.DataFrame({"content": texts, "counts": counts})
+
+    may = text.rlike(r"[0-9]{11}|[0-9]\.[0-9]|@|https?://|[^\x00-\x7F][0-9]|[0-9][^\x00-\x7F]")
+    found = masked(F.when(may, text))
+    return F.struct(F.coalesce(found["content"], text).alias("content"), found["counts"].alias("counts"))
+
+
 def injection_hits(text: Column, level: str = "standard") -> Column:
     found = [F.when(text.rlike(p), F.lit(name)) for part in LEVELS[level] for name, p in INJECTION[part]]
     return F.array_compact(F.array(*found))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,55 +56,90 @@ def split_rigid(df: DataFrame, policy: Policy) -> DataFrame:
     return df.withColumn("rigid", rigid(policy)).withColumn("rigid_used", used.cast("long")).withColumn("elastic", F.greatest(F.lit(0), F.lit(policy.available) - F.col("rigid_used")).cast("long"))
 
 
-_ITEM = "struct<rank:int,pos:int,tokens:long,shrinks:boolean>"
-_STATE = "struct<used:long,made:array<struct<pos:int,decision:string,tokens:long>>>"
+RANK = ("weight", "relevance")
 
 
-def _ranked() -> Column:
-    return F.row_number().over(Window.partitionBy(REQUEST).orderBy(F.desc(priority_weight()), F.desc(score()), "pos")).cast("int")
+def _slim(df: DataFrame) -> DataFrame:
+    """What the decisions need of df's rows: no texts."""
+    return df.select(REQUEST, "pos", "type", "token_count", "compressible", "rigid", "rigid_used", "elastic", priority_weight().alias("weight"), score().alias("relevance"))
 
 
-def _fold(items: Column, limit: Column, decide) -> Column:
-    """Folds sorted items; decide(used, tokens, shrinks) gives (decision, tokens used)."""
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<pos:int,decision:string,tokens:long>>").alias("made"))
+def _folded(df: DataFrame, order: list[Column], schema: str, fold) -> DataFrame:
+    """Streams the rows of each request in order through fold, a generator over Arrow batches: a task holds one request's
+    state, not its rows."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, REQUEST).sortWithinPartitions(REQUEST, *order).mapInArrow(fold, schema)
 
-    def step(state: Column, item: Column) -> Column:
-        decision, tokens = decide(limit - state["used"], item)
-        return F.struct((state["used"] + tokens).alias("used"), F.concat(state["made"], F.array(F.struct(item["pos"].alias("pos"), decision.alias("decision"), tokens.alias("tokens")))).alias("made"))
 
-    return F.aggregate(items, start, step)
+def _schema(df: DataFrame, *more: str) -> str:
+    return ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields] + list(more))
 
 
-def _items() -> Column:
-    return F.array_sort(F.collect_list(F.struct("rank", F.col("pos").cast("int").alias("pos"), F.col("token_count").cast("long").alias("tokens"), F.col("compressible").alias("shrinks"))))
+def _by_rank() -> list[Column]:
+    return [F.desc("weight"), F.desc("relevance"), F.asc("pos")]
 
 
-def elastic(df: DataFrame, policy: Policy) -> DataFrame:
-    """(request_id, pos, decision, tokens) of the segments that aren't rigid: per type by priority and score what fits
-    its quota is kept; what doesn't is cut to the rest if that is at least min_elastic; else dropped."""
-    rest = df.filter(~F.col("rigid")).withColumn("rank", _ranked()).withColumn("quota", quota(policy, F.col("type"), F.col("elastic")))
-    grouped = rest.groupBy(REQUEST, "type", "quota").agg(_items().alias("items"))
+def _first_phase(slim: DataFrame, policy: Policy) -> DataFrame:
+    """slim with decision and tokens: per type by priority and score what fits its quota is kept; what doesn't is cut to
+    the rest if that is at least min_elastic and it may shrink; else dropped."""
+    rows = slim.withColumn("quota", quota(policy, F.col("type"), F.col("elastic")))
+    least = policy.min_elastic
+    at = {name: i for i, name in enumerate(rows.columns)}
+
+    def fold(batches):
+        key, left = None, 0
+        for batch in batches:
+            decisions, spent = [], []
+            for request, kind, need, shrinks, rigid_, most in zip(*(batch.column(at[c]).to_pylist() for c in (REQUEST, "type", "token_count", "compressible", "rigid", "quota"))):
+                if (request, kind) != key:
+                    key, left = (request, kind), most
+                if rigid_:
+                    decision, tokens = "rigid", need
+                elif need <= left:
+                    decision, tokens = "keep", need
+                elif left >= least and shrinks:
+                    decision, tokens = "truncate", left
+                else:
+                    decision, tokens = "drop", 0
+                left -= 0 if rigid_ else tokens
+                decisions.append(decision)
+                spent.append(tokens)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decisions, pa.string()), pa.array(spent, pa.int64())], names=[*batch.schema.names, "decision", "tokens"])
+
+    return _folded(rows, [F.asc("type"), *_by_rank()], _schema(rows, "decision string", "tokens long"), fold)
 
-    def decide(left, item):
-        fits, cut = item["tokens"] <= left, (left >= policy.min_elastic) & item["shrinks"]
-        return F.when(fits, "keep").when(cut, "truncate").otherwise("drop"), F.when(fits, item["tokens"]).when(cut, left).otherwise(F.lit(0).cast("long"))
 
-    return grouped.select(REQUEST, F.explode(_fold(F.col("items"), F.col("quota"), decide)["made"]).alias("d")).select(REQUEST, "d.*")
+def _second_phase(decided: DataFrame) -> DataFrame:
+    """decided with dropped rows taken back (rescue) by priority and score while they fit what the request has left."""
+    used = F.sum(F.when(F.col("rigid"), 0).otherwise(F.col("tokens"))).over(Window.partitionBy(REQUEST))
+    rows = decided.withColumn("room", F.greatest(F.lit(0), F.col("elastic") - used).cast("long"))
+    at = {name: i for i, name in enumerate(rows.columns)}
 
+    def fold(batches):
+        key, left = None, 0
+        for batch in batches:
+            decisions, spent = [], []
+            for request, need, decision, tokens, room in zip(*(batch.column(at[c]).to_pylist() for c in (REQUEST, "token_count", "decision", "tokens", "room"))):
+                if request != key:
+                    key, left = request, room
+                if decision == "drop" and need <= left:
+                    decision, tokens, left = "rescue", need, left - need
+                decisions.append(decision)
+                spent.append(tokens)
+            columns = dict(zip(batch.schema.names, batch.columns)) | {"decision": pa.array(decisions, pa.string()), "tokens": pa.array(spent, pa.int64())}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-def rescue(df: DataFrame, decided: DataFrame) -> DataFrame:
-    """decided with dropped segments taken back (rescue) while they fit what the request has left."""
-    both = df.filter(~F.col("rigid")).withColumn("rank", _ranked()).join(decided, [REQUEST, "pos"])
-    used = F.sum("tokens").over(Window.partitionBy(REQUEST))
-    left = both.withColumn("left", F.greatest(F.lit(0), F.col("elastic") - used)).filter("decision = 'drop'")
-    grouped = left.groupBy(REQUEST, "left").agg(_items().alias("items"))
+    return _folded(rows, _by_rank(), _schema(rows), fold)
+
+
+def elastic(df: DataFrame, policy: Policy) -> DataFrame:
+    """(request_id, pos, decision, tokens) of the segments of split_rigid() that aren't rigid, by the first phase alone."""
+    return _first_phase(_slim(df).filter(~F.col("rigid")), policy).select(REQUEST, "pos", "decision", "tokens")
 
-    def decide(room, item):
-        fits = item["tokens"] <= room
-        return F.when(fits, "rescue").otherwise("drop"), F.when(fits, item["tokens"]).otherwise(F.lit(0).cast("long"))
 
-    again = grouped.select(REQUEST, F.explode(_fold(F.col("items"), F.col("left"), decide)["made"]).alias("d")).select(REQUEST, "d.*")
-    return decided.filter("decision <> 'drop'").unionByName(again)
+def rescue(df: DataFrame, policy: Policy) -> DataFrame:
+    """(request_id, pos, decision, tokens) of the segments of split_rigid() that aren't rigid, by both phases."""
+    return _second_phase(_first_phase(_slim(df).filter(~F.col("rigid")), policy)).select(REQUEST, "pos", "decision", "tokens")
 
 
 def truncated(text: Column, tokens: Column, target: Column) -> Column:
@@ -112,63 +148,30 @@ def truncated(text: Column, tokens: Column, target: Column) -> Column:
 
 def allocate(df: DataFrame, policy: Policy) -> tuple[DataFrame, DataFrame]:
     """(kept segments in their new order, decisions).  Rigid ones first in order, then kept ones by their type's first
-    place and rank, then rescued ones."""
-    if policy.overflow == "error" and split_rigid(df, policy).filter(F.col("rigid_used") > policy.available).limit(1).count():
+    place and rank, then rescued ones.  Decisions and places are found on rows without texts; texts move once, to be
+    joined with them.  Rigid segments over the budget are all kept, unless the policy's overflow is "error"."""
+    marked = split_rigid(df.select(REQUEST, "pos", "segment_id", "type", "priority", "token_count", "compressible", "score", "rerank_score"), policy)
+    if policy.overflow == "error" and marked.filter(F.col("rigid_used") > policy.available).limit(1).count():
         raise BudgetError("rigid segments exceed the budget")
-    marked = split_rigid(df, policy).withColumn("rank", _ranked())
     first = F.min("pos").over(Window.partitionBy(REQUEST, "type"))
-    joined = marked.join(_decide(marked, policy), REQUEST, "left").withColumn("d", F.col("made")[F.col("pos").cast("int")]).withColumn("type_first", first)
-    joined = joined.withColumn("decision", F.coalesce("d.decision", F.lit("rigid"))).withColumn("tokens", F.col("d.tokens"))
-    group = F.when(F.col("decision") == "rigid", 0).when(F.col("decision") == "rescue", 2).otherwise(1)
-    by = Window.partitionBy(REQUEST).orderBy(group, F.when(group == 1, F.col("type_first")).otherwise(0), F.when(group == 0, F.col("pos")).otherwise(F.col("rank")))
-    kept = joined.filter("decision <> 'drop'").withColumn("new_pos", (F.row_number().over(by) - 1).cast("int"))
+    slim = marked.select(*_slim(marked).columns[:8], priority_weight().alias("weight"), score().alias("relevance"), "segment_id", first.alias("type_first"))
+    decided = _second_phase(_first_phase(slim, policy))
+    group = F.when(F.col("decision") == "rigid", 0).when(F.col("decision") == "rescue", 2).when(F.col("decision") == "drop", 3).otherwise(1)
+    by = Window.partitionBy(REQUEST).orderBy(group, F.when(group == 1, F.col("type_first")).otherwise(0), F.when(group == 0, F.col("pos")).otherwise(0), F.desc("weight"), F.desc("relevance"), "pos")
+    placed = decided.select(REQUEST, F.col("pos").alias("__from"), "decision", F.col("tokens").alias("__tokens"), (F.row_number().over(by) - 1).cast("int").alias("__to")).filter("decision <> 'drop'")
+    joined = df.join(placed.withColumnRenamed(REQUEST, "__request"), (df[REQUEST] == F.col("__request")) & (df["pos"] == F.col("__from")))
     cut = F.col("decision") == "truncate"
-    kept = kept.withColumn("content", F.when(cut, truncated(F.col("content"), F.col("token_count"), F.col("tokens"))).otherwise(F.col("content"))).withColumn("token_count", F.when(cut, F.col("tokens")).otherwise(F.col("token_count")).cast("int"))
-    return kept.select(*[c for c in df.columns if c != "pos"], F.col("new_pos").alias("pos")), joined.select(REQUEST, "segment_id", "type", "decision", F.coalesce("tokens", F.col("token_count").cast("long")).alias("tokens"))
-
-
-def _decide(marked: DataFrame, policy: Policy) -> DataFrame:
-    """(request_id, made): elastic() and rescue() in one pass over a request's places and token counts.  Types don't
-    meet in the first phase, so one fold in rank order with a rest per type serves them all; the map of decisions joins
-    back by request alone."""
-    items = F.array_sort(F.collect_list(F.struct("rank", F.col("pos").cast("int").alias("pos"), F.col("token_count").cast("long").alias("tokens"), F.col("compressible").alias("shrinks"), "type")))
-    grouped = marked.filter(~F.col("rigid")).groupBy(REQUEST).agg(items.alias("items"), F.max("elastic").alias("elastic"))
-    kinds = list(policy.ratios)
-    quotas = F.map_from_arrays(F.array(*[F.lit(k) for k in kinds]), F.array(*[quota(policy, F.lit(k), F.col("elastic")) for k in kinds])) if kinds else F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
-    made = "array<struct<rank:int,pos:int,need:bigint,decision:string,tokens:bigint>>"
-    start = F.struct(quotas.alias("left"), F.array().cast(made).alias("made"))
-
-    def entry(item: Column, decision: Column, tokens: Column, need: Column) -> Column:
-        return F.array(F.struct(item["rank"].alias("rank"), item["pos"].alias("pos"), need.alias("need"), decision.alias("decision"), tokens.alias("tokens")))
-
-    def step(state: Column, item: Column) -> Column:
-        left = F.coalesce(state["left"][item["type"]], F.lit(0).cast("bigint"))
-        fits, cut = item["tokens"] <= left, (left >= policy.min_elastic) & item["shrinks"]
-        spent = F.when(fits, item["tokens"]).when(cut, left).otherwise(F.lit(0).cast("bigint"))
-        decision = F.when(fits, "keep").when(cut, "truncate").otherwise("drop")
-        after = F.transform_values(state["left"], lambda k, v: F.when(k == item["type"], v - spent).otherwise(v))
-        return F.struct(after.alias("left"), F.concat(state["made"], entry(item, decision, spent, item["tokens"])).alias("made"))
-
-    first = grouped.select(REQUEST, "elastic", F.aggregate("items", start, step)["made"].alias("made"))
-    used = F.aggregate("made", F.lit(0).cast("bigint"), lambda total, m: total + m["tokens"])
-    again = F.struct(F.greatest(F.lit(0), F.col("elastic") - used).cast("bigint").alias("left"), F.array().cast(made).alias("made"))
-
-    def back(state: Column, item: Column) -> Column:
-        fits = (item["decision"] == "drop") & (item["need"] <= state["left"])
-        spent = F.when(fits, item["need"]).otherwise(F.lit(0).cast("bigint"))
-        decision = F.when(fits, "rescue").otherwise(item["decision"])
-        return F.struct((state["left"] - spent).alias("left"), F.concat(state["made"], entry(item, decision, F.when(fits, item["need"]).otherwise(item["tokens"]), item["need"])).alias("made"))
-
-    second = first.select(REQUEST, F.aggregate("made", again, back)["made"].alias("made"))
-    return second.select(REQUEST, F.map_from_entries(F.transform("made", lambda m: F.struct(m["pos"], F.struct(m["decision"].alias("decision"), m["tokens"].alias("tokens"))))).alias("made"))
+    kept = joined.withColumn("content", F.when(cut, truncated(F.col("content"), F.col("token_count"), F.col("__tokens"))).otherwise(F.col("content"))).withColumn("token_count", F.when(cut, F.col("__tokens")).otherwise(F.col("token_count")).cast("int"))
+    return kept.select(*[c for c in df.columns if c != "pos"], F.col("__to").alias("pos")), decided.select(REQUEST, "segment_id", "type", "decision", "tokens")
 
 
 def allocation(decisions: DataFrame, policy: Policy) -> DataFrame:
-    """One row per request and type with what it uses, beside the request's totals."""
+    """One row per request and type with what it uses, beside the request's totals and whether it is saturated."""
     used = F.when(F.col("decision") == "drop", 0).otherwise(F.col("tokens"))
-    per_type = decisions.groupBy(REQUEST, "type").agg(F.sum(used).alias("used"), F.sum(F.when(F.col("decision") == "drop", 1).otherwise(0)).alias("dropped"))
+    per_type = decisions.groupBy(REQUEST, "type").agg(F.sum(used).alias("used"), F.sum(F.when(F.col("decision") == "drop", 1).otherwise(0)).alias("dropped"), F.sum(F.when(F.col("decision") == "rigid", F.col("tokens")).otherwise(0)).alias("rigid_used"))
     total = F.sum("used").over(Window.partitionBy(REQUEST))
-    return per_type.withColumn("total_used", total).withColumn("saturation", F.col("total_used") / policy.available).withColumn("over", F.col("total_used") > policy.available)
+    rate = F.col("total_used") / policy.available if policy.available else F.lit(0.0)
+    return per_type.withColumn("total_used", total).withColumns({"saturation": rate, "saturated": rate > policy.saturation, "over": F.col("total_used") > policy.available})
 
 
 def invalid(df: DataFrame) -> DataFrame:
@@ -186,17 +189,23 @@ def bids(df: DataFrame, policy: Policy, alpha: float = 1.0, beta: float = 0.5, g
 def greedy(df: DataFrame, policy: Policy) -> DataFrame:
     """(request_id, pos, kept): in bid order a segment is kept if it fits the request's rest and its type's; a type
     without a quota has the request's."""
-    rows = bids(df, policy).withColumn("rank", F.row_number().over(Window.partitionBy(REQUEST).orderBy(F.desc("bid"), "pos")).cast("int"))
-    items = F.array_sort(F.collect_list(F.struct("rank", F.col("pos").cast("int").alias("pos"), F.col("token_count").cast("long").alias("tokens"), "type")))
-    left = {k: max(int(policy.available * r), policy.min_elastic) if r > 0 else 0 for k, r in policy.ratios.items()}
-    quotas = F.map_from_arrays(F.array(*[F.lit(k) for k in left]), F.array(*[F.lit(v).cast("long") for v in left.values()]))
-    start = F.struct(F.lit(policy.available).cast("long").alias("left"), quotas.alias("quotas"), F.array().cast("array<struct<pos:int,kept:boolean>>").alias("made"))
-
-    def step(state: Column, item: Column) -> Column:
-        own = F.coalesce(state["quotas"][item["type"]], state["left"])
-        fits = (state["left"] > 0) & (item["tokens"] <= state["left"]) & (item["tokens"] <= own)
-        spent = F.when(fits, item["tokens"]).otherwise(F.lit(0).cast("long"))
-        after = F.transform_values(state["quotas"], lambda k, v: F.when(k == item["type"], v - spent).otherwise(v))
-        return F.struct((state["left"] - spent).alias("left"), after.alias("quotas"), F.concat(state["made"], F.array(F.struct(item["pos"].alias("pos"), fits.alias("kept")))).alias("made"))
-
-    return rows.groupBy(REQUEST).agg(items.alias("items")).select(REQUEST, F.explode(F.aggregate("items", start, step)["made"]).alias("d")).select(REQUEST, "d.*")
+    rows = bids(df, policy).select(REQUEST, "pos", "type", "token_count", "bid")
+    quotas = {k: max(int(policy.available * r), policy.min_elastic) if r > 0 else 0 for k, r in policy.ratios.items()}
+    available = policy.available
+
+    def fold(batches):
+        key, left, own = None, 0, {}
+        for batch in batches:
+            kept = []
+            for request, kind, need in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
+                if request != key:
+                    key, left, own = request, available, dict(quotas)
+                fits = left > 0 and need <= left and need <= own.get(kind, left)
+                if fits:
+                    left -= need
+                    if kind in own:
+                        own[kind] -= need
+                kept.append(fits)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.bool_())], names=[REQUEST, "pos", "kept"])
+
+    return _folded(rows, [F.desc("bid"), F.asc("pos")], _schema(rows.select(REQUEST, "pos"), "kept boolean"), fold)

@@ -16,6 +16,10 @@ def saturation(df: DataFrame, available: int) -> DataFrame:
     return df.groupBy(REQUEST).agg(F.sum("token_count").alias("tokens")).withColumn("saturation", F.col("tokens") / available if available > 0 else F.lit(0.0))
 
 
+class CompressionError(ValueError):
+    """Nothing that may be shrunk is left, and a request is still over its budget."""
+
+
 def eligible(least: int = 0, keep_must: bool = True) -> Column:
     size = F.coalesce("token_count", F.lit(0))
     out = (effective_priority() != "critical") & F.col("compressible") & ((size == 0) | (size >= least))
@@ -30,9 +34,10 @@ def _cut(df: DataFrame, target: Column, tail: bool, active: Column | None = None
     out = df.withColumn("upto", F.sum("token_count").over(along)).withColumn("rest", F.col("goal") - (F.col("upto") - F.col("token_count")))
     size = F.floor(F.length("content") * F.col("rest") / F.col("token_count")).cast("int")
     part = F.right(F.col("content"), size) if tail else F.substring("content", F.lit(1), size)
-    out = out.filter(~F.col("active") | (F.col("rest") > 0)).withColumn("cut", F.col("active") & (F.col("upto") > F.col("goal")))
+    fits = F.col("upto") <= F.col("goal")
+    out = out.filter(~F.col("active") | fits | (F.col("rest") > 0)).withColumn("cut", F.col("active") & ~fits)
     out = out.withColumn("content", F.when(F.col("cut"), part).otherwise(F.col("content"))).withColumn("token_count", F.when(F.col("cut"), F.col("rest")).otherwise(F.col("token_count")).cast("int"))
-    return out.filter(~F.col("active") | (F.length("content") > 0)).drop("upto", "rest", "active", "goal")
+    return out.filter(~F.col("cut") | (F.length("content") > 0)).drop("upto", "rest", "active", "goal")
 
 
 def keep_head(df: DataFrame, target: int) -> DataFrame:
@@ -70,28 +75,40 @@ def split_turns(df: DataFrame, recent: int = 2) -> DataFrame:
     return df.withColumn("recent", F.when(known > 0, F.col("turn").isNotNull() & (by_turn <= recent)).otherwise(by_place <= 2 * recent))
 
 
-def duplicate_pairs(df: DataFrame, key: str, threshold: float = 0.85, n: int = 2, bare: bool = True) -> DataFrame:
-    """(key, a, b, similarity), a before b: pairs of one group whose word n-grams are alike; texts without n-grams are
-    alike to each other, and left out without bare.
+def duplicate_classes(df: DataFrame, key: str, threshold: float = 0.85, n: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Rows of one group (key) with equal word n-grams are a class, named by its least pos.  (key, pos, rep) of each row,
+    and (key, a, b, similarity), a < b: pairs of classes that are alike.  Texts without n-grams are alike to each other.
 
-    An inverted index brings only rows together that share one of a row's rarest grams: of m grams two alike rows share
-    some among the first m - ceil(threshold m) + 1 in any one order; the order here is by frequency."""
+    An inverted index brings only classes together that share one of a class's rarest grams: of m grams two alike ones
+    share some among the first m - ceil(threshold m) + 1 in any one order; the order here is by frequency."""
     from ctxloom.functions.text import word_grams
 
-    rows = df.select(key, "pos", word_grams(F.col("content"), n).alias("grams")).withColumn("m", F.size("grams"))
-    each = rows.filter("m > 0").select(key, "pos", "m", F.explode("grams").alias("gram"))
+    rows = df.select(key, "pos", word_grams(F.col("content"), n).alias("grams"))
+    name = F.md5(F.array_join(F.array_sort("grams"), "\n"))
+    named = rows.select(key, "pos", name.alias("name"), "grams")
+    members = named.select(key, "pos", "name").withColumn("rep", F.min("pos").over(Window.partitionBy(key, "name"))).select(key, "pos", "rep")
+    classes = named.groupBy(key, "name").agg(F.min("pos").alias("pos"), F.first("grams").alias("grams")).select(key, "pos", "grams", F.size("grams").alias("m")).filter("m > 0")
+    each = classes.select(key, "pos", "m", F.explode("grams").alias("gram"))
     counts = each.groupBy(key, "gram").agg(F.count("*").alias("df"))
     order = Window.partitionBy(key, "pos").orderBy("df", "gram")
     prefix = each.join(counts, [key, "gram"]).withColumn("at", F.row_number().over(order)).filter((F.col("at") <= F.col("m") - F.ceil(threshold * F.col("m")) + 1) & (F.col("df") > 1))
     left, right = (prefix.select(key, "gram", F.col("pos").alias(s), F.col("m").alias(f"m{s}")) for s in "ab")
     met = left.join(right, [key, "gram"]).filter((F.col("a") < F.col("b")) & (F.least("ma", "mb") >= threshold * F.greatest("ma", "mb"))).select(key, "a", "b").distinct()
-    sets = rows.select(key, "pos", "grams")
+    sets = classes.select(key, "pos", "grams")
     both = met.join(sets.select(key, F.col("pos").alias("a"), F.col("grams").alias("ga")), [key, "a"]).join(sets.select(key, F.col("pos").alias("b"), F.col("grams").alias("gb")), [key, "b"])
-    out = both.withColumn("similarity", F.size(F.array_intersect("ga", "gb")) / F.size(F.array_union("ga", "gb"))).filter(F.col("similarity") >= threshold).select(key, "a", "b", "similarity")
-    if not bare:
-        return out
-    none = rows.filter("m = 0")
-    return out.unionByName(none.select(key, F.col("pos").alias("a")).join(none.select(key, F.col("pos").alias("b")), key).filter("a < b").withColumn("similarity", F.lit(1.0)))
+    pairs = both.withColumn("similarity", F.size(F.array_intersect("ga", "gb")) / F.size(F.array_union("ga", "gb"))).filter(F.col("similarity") >= threshold).select(key, "a", "b", "similarity")
+    return members, pairs
+
+
+def duplicate_pairs(df: DataFrame, key: str, threshold: float = 0.85, n: int = 2) -> DataFrame:
+    """(key, a, b, similarity), a before b: every pair of alike rows of a group.  A class of equal rows has its square in
+    pairs here, so this is for groups as small as a request; duplicate_classes() is for large ones."""
+    members, pairs = duplicate_classes(df, key, threshold, n)
+    a, b = (members.select(key, F.col("rep").alias(f"r{s}"), F.col("pos").alias(s)) for s in "ab")
+    pairs = pairs.select(key, F.col("a").alias("ra"), F.col("b").alias("rb"), "similarity")
+    across = pairs.join(a, [key, "ra"]).join(b, [key, "rb"]).select(key, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
+    own = a.join(b.withColumnRenamed("rb", "ra"), [key, "ra"]).filter("a < b").select(key, "a", "b", F.lit(1.0).alias("similarity"))
+    return across.unionByName(own)
 
 
 def sweep(pairs: list[tuple[int, int]], rank: dict[int, tuple]) -> set[int]:
@@ -118,30 +135,96 @@ def near_copies(df: DataFrame, threshold: float = 0.85, n: int = 2) -> DataFrame
     return with_ranks.groupBy(REQUEST).applyInPandas(kill, f"{REQUEST} {kind}, pos {place}")
 
 
-def drop_near_copies(df: DataFrame, threshold: float = 0.85, n: int = 2) -> DataFrame:
-    return df.join(near_copies(df, threshold, n), [REQUEST, "pos"], "left_anti")
+def traced(after: DataFrame, before: DataFrame, method: str, prefix: str) -> DataFrame:
+    """after with source_id, method and parents telling that it was made of all of before's segments of its request."""
+    parents = before.groupBy(REQUEST).agg(F.array_sort(F.collect_list(F.struct("pos", "segment_id"))).alias("__parents"))
+    parents = parents.select(F.col(REQUEST).alias("__request"), F.col("__parents.segment_id").alias("parents"))
+    out = after.join(parents, F.col(REQUEST) == F.col("__request"), "left").drop("__request")
+    return out.withColumn("source_id", F.concat(F.lit(prefix), "segment_id")).withColumn("method", F.lit(method))
 
 
-def summarise(df: DataFrame, provider: Callable[[str], str]) -> DataFrame:
-    """One summary segment per request by provider, a function of its contents in order."""
+def drop_near_copies(df: DataFrame, threshold: float = 0.85, n: int = 2, trace: bool = False) -> DataFrame:
+    out = df.join(near_copies(df, threshold, n), [REQUEST, "pos"], "left_anti")
+    return traced(out, df, f"dedup_jaccard_{n}gram", "dedup_") if trace else out
 
-    @F.pandas_udf("string")
-    def told(values: pd.Series) -> pd.Series:
-        return values.map(provider)
 
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "content"))), lambda x: x["content"]), "\n\n")
-    return df.groupBy(REQUEST).agg(whole.alias("content"), F.sum("token_count").alias("tokens_before")).withColumn("content", told("content")).withColumn("type", F.lit("summary")).withColumn("token_count", F.floor(F.length("content") / 4).cast("int"))
+def truncate(df: DataFrame, target: int, strategy: str = "tail", head: float = 0.5, trace: bool = False) -> DataFrame:
+    """Requests over target cut to it, by what is given up: the tail, the head or the middle."""
+    cuts = {"tail": lambda: keep_head(df, target), "head": lambda: keep_tail(df, target), "middle": lambda: keep_ends(df, target, head)}
+    if strategy not in cuts:
+        raise ValueError(f"unknown strategy {strategy}")
+    out = cuts[strategy]()
+    if not trace:
+        return out
+    over = df.groupBy(REQUEST).agg(F.sum("token_count").alias("n")).filter(F.col("n") > target).select(REQUEST)
+    whole = out.join(over, REQUEST, "left_anti").withColumn("method", F.lit(None).cast("string")).withColumn("parents", F.lit(None).cast("array<string>"))
+    return whole.unionByName(traced(out.join(over, REQUEST, "left_semi"), df, f"truncation_{strategy}", "compressed_").select(whole.columns))
+
 
+def summarise(df: DataFrame, provider: Callable[[str], str] | None, target: int | None = None, most: int | None = None) -> DataFrame:
+    """One summary segment per request by provider, a function of its contents in order, each behind its type; the rest
+    of its columns are the first segment's.  Where there is no provider, or it raises, and target is given, the request
+    is cut to target tokens instead, else it is an error.  most: characters of a summary at most."""
 
-def cascade(df: DataFrame, available: int, threshold: float = 0.8) -> DataFrame:
-    """Requests over threshold lose near copies; then low, medium and high priority segments are cut to what the others
-    leave, each step only while the request is over."""
-    over = F.sum("token_count").over(Window.partitionBy(REQUEST)) / available >= threshold if available else F.lit(False)
-    out = df.join(near_copies(df.withColumn("over", over).filter("over")), [REQUEST, "pos"], "left_anti")
+    @F.pandas_udf("string")
+    def told(values: pd.Series) -> pd.Series:
+        def one(value: str) -> str | None:
+            try:
+                if provider is None:
+                    raise ValueError("no provider")
+                return provider(value).strip()[:most]
+            except Exception:  # a provider's failure is the request's
+                if target is None:
+                    raise
+                return None
+
+        return values.map(one)
+
+    each = F.concat(F.lit("["), F.upper("type"), F.lit("] "), "content")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", each.alias("text")))), lambda x: x["text"]), "\n\n")
+    first = F.min_by(F.struct(*df.columns), "pos").alias("first")
+    grouped = df.groupBy(REQUEST).agg(whole.alias("whole"), first, F.sum("token_count").alias("tokens_before")).withColumn("summary", told("whole"))
+    made = {"content": F.col("summary"), "type": F.lit("summary"), "role": F.lit("assistant"), "source_id": F.concat(F.lit("summary_"), F.col("first.segment_id")), "token_count": F.floor(F.length("summary") / 4).cast("int"), "pos": F.lit(0)}
+    done = grouped.filter("summary is not null").select(*[(made[c].cast(df.schema[c].dataType) if c in made else F.col(f"first.{c}")).alias(c) for c in df.columns], "tokens_before")
+    if target is None:
+        return done
+    failed = grouped.filter("summary is null").select(REQUEST, "tokens_before")
+    return done.unionByName(keep_head(df.join(failed.select(REQUEST), REQUEST, "left_semi"), target).drop("cut").join(failed, REQUEST).select(done.columns))
+
+
+def _reordered(df: DataFrame, last: Column, active: Column) -> DataFrame:
+    """df with the active requests' rows numbered anew, those for which last holds behind the others."""
+    by = Window.partitionBy(REQUEST).orderBy(F.when(active & last, 1).otherwise(0), "pos")
+    return df.withColumn("pos", F.when(active, F.row_number().over(by) - 1).otherwise(F.col("pos")).cast(df.schema["pos"].dataType))
+
+
+def cascade(df: DataFrame, available: int, threshold: float = 0.85, least: int = 50, on_over: str = "error", keep_must: bool = True) -> DataFrame:
+    """df, and whether a segment was cut.  Requests at or over threshold lose near copies among the segments that may be
+    compressed (see eligible()); then low, medium and high priority ones of these are cut to what the others leave, each
+    step only while the request is over.  Protected segments are never touched and come first after a step.
+
+    A request still over in the end is an error (CompressionError's message, from the executor), unless on_over is
+    "keep"."""
+    w = Window.partitionBy(REQUEST)
+    may = eligible(least, keep_must)
+    held = df.withColumns({"__may": F.coalesce(may, F.lit(False)), "__total": F.sum("token_count").over(w)})
+    saturated = F.col("__total") / available >= threshold if available > 0 else F.lit(False)
+    held = held.withColumn("__active", F.coalesce(saturated, F.lit(False)))
+    out = held.join(near_copies(held.filter("__active and __may")), [REQUEST, "pos"], "left_anti")
+    any_may = F.max(F.col("__may").cast("int")).over(w) == 1
+    out = _reordered(out, F.col("__may"), F.col("__active") & any_may).withColumn("cut", F.lit(False))
     for level in ("low", "medium", "high"):
-        total = F.sum("token_count").over(Window.partitionBy(REQUEST))
-        own = eligible() & (effective_priority() == level)
-        others = F.coalesce(F.sum(F.when(~own, F.col("token_count"))).over(Window.partitionBy(REQUEST)), F.lit(0))
+        own = F.col("__may") & (effective_priority() == level)
+        step = out.withColumns({"__own": own, "__over": F.col("__active") & (F.sum("token_count").over(w) > available)})
+        step = step.withColumn("__over", F.col("__over") & (F.max(F.col("__own").cast("int")).over(w) == 1))
+        others = F.coalesce(F.sum(F.when(~F.col("__own"), F.col("token_count"))).over(w), F.lit(0))
         target = F.greatest(F.lit(0), F.lit(available) - others).cast("long")
-        out = _cut(out, target, False, own & (total > available)).drop("cut")
-    return out
+        step = step.withColumn("__cut", F.col("cut")).drop("cut")
+        step = _cut(step, target, False, F.col("__own") & F.col("__over"))
+        step = step.withColumn("cut", F.col("cut") | F.col("__cut"))
+        out = _reordered(step, F.col("__own"), F.col("__over")).drop("__own", "__over", "__cut")
+    if on_over == "error":
+        total = F.sum("token_count").over(w)
+        message = F.concat(F.lit("CompressionError: request "), F.col(REQUEST).cast("string"), F.lit(f" is over {available} tokens after all steps"))
+        out = out.withColumn("token_count", F.when(F.col("__active") & (total > available), F.raise_error(message).cast("int")).otherwise(F.col("token_count")))
+    return out.drop("__may", "__total", "__active")

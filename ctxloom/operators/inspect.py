@@ -4,10 +4,15 @@ Segments and audits are plain DataFrames; findings come as rows."""
 
 from __future__ import annotations
 
+import json
+import warnings
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ctxloom.operators.rerank import REQUEST, visible_to
+from ctxloom.sources.shared import written
 
 CHANGES = ("added", "removed", "modified", "reordered", "budget", "metadata")
 
@@ -42,6 +47,42 @@ def diff_summary(changes: DataFrame) -> DataFrame:
     return kinds.join(changes.groupBy("change").agg(F.count("*").alias("n")), "change", "left").select("change", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def diff_sets(old: DataFrame, new: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, change, value): members of an array column that came or went, as warnings do."""
+    both = old.select(key, F.col(column).alias("__a")).join(new.select(key, F.col(column).alias("__b")), key, "full")
+    none = F.array().cast(old.schema[column].dataType)
+    a, b = F.coalesce("__a", none), F.coalesce("__b", none)
+    rows = F.concat(F.transform(F.array_except(b, a), lambda v: F.struct(F.lit("added").alias("change"), v.alias("value"))), F.transform(F.array_except(a, b), lambda v: F.struct(F.lit("removed").alias("change"), v.alias("value"))))
+    return both.select(key, F.explode(rows).alias("d")).select(key, "d.*")
+
+
+def diff_amounts(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(key, field, delta): how much each number grew; a missing side counts as 0."""
+    a, b = (df.select(key, *[F.col(f).alias(f"{f}_{s}") for f in fields]) for df, s in ((old, "old"), (new, "new")))
+    rows = F.array(*[F.struct(F.lit(f).alias("field"), (F.coalesce(f"{f}_new", F.lit(0)) - F.coalesce(f"{f}_old", F.lit(0))).alias("delta")) for f in fields])
+    return a.join(b, key, "full").select(key, F.explode(rows).alias("d")).select(key, "d.*")
+
+
+COLOURS = {"added": "green", "removed": "red", "modified": "yellow", "reordered": "blue", "budget": "magenta", "metadata": "cyan"}
+
+
+def render(changes: DataFrame, form: str = "text", most: int = 50) -> str:
+    """A report of counts by kind and of the first `most` changes by segment: text, json, or text with colour marks
+    (rich).  Only these rows come to the driver."""
+    counts = {r["change"]: r["n"] for r in diff_summary(changes).collect()}
+    rows = [r.asDict() for r in changes.orderBy("segment_id", "change").limit(most).collect()]
+    if form == "json":
+        return json.dumps({"summary": counts, "entries": rows}, ensure_ascii=False, indent=2)
+    if form not in ("text", "rich"):
+        raise ValueError(f"unknown form {form}")
+    shown = lambda kind, text: f"[{COLOURS[kind]}]{text}[/{COLOURS[kind]}]" if form == "rich" else text
+    lines = ["Summary", *[f"  {shown(k, f'{k}: {n}')}" for k, n in sorted(counts.items()) if n]]
+    if rows:
+        lines += ["Changes", *[f"  {shown(r['change'], r['change'])} {r['segment_id']}: {r['old_value']} -> {r['new_value']}" for r in rows]]
+    more = sum(counts.values()) - len(rows)
+    return "\n".join(lines + ([f"  and {more} more"] if more > 0 else []))
+
+
 # --- golden checks ---
 
 
@@ -49,12 +90,27 @@ def within(expected: Column, actual: Column, tolerance: float = 0.05) -> Column:
     return F.when(expected == 0, True).otherwise(F.abs(expected - actual) / expected <= tolerance)
 
 
-def golden(expected: DataFrame, actual: DataFrame, key: str, exact: list[str], near: list[str], tolerance: float = 0.05) -> DataFrame:
-    """(key, check, passed): equality of `exact` columns, tolerance for `near` ones; a missing side fails."""
+def golden(expected: DataFrame, actual: DataFrame, key: str, exact: list[str], near: list[str], tolerance: float = 0.05, custom: dict[str, Callable[[DataFrame], Column]] | None = None) -> DataFrame:
+    """(key, check, passed): equality of `exact` columns, tolerance for `near` ones, and conditions of one's own on the
+    actual rows; a missing side fails, and so does a condition that can't be built or is null."""
     both = expected.select(key, *[F.col(c).alias(f"{c}_e") for c in exact + near]).join(actual.select(key, *[F.col(c).alias(f"{c}_a") for c in exact + near]), key, "full")
     checks = [F.struct(F.lit(c).alias("check"), F.coalesce(F.col(f"{c}_e") == F.col(f"{c}_a"), F.lit(False)).alias("passed")) for c in exact]
     checks += [F.struct(F.lit(c).alias("check"), F.coalesce(within(F.col(f"{c}_e"), F.col(f"{c}_a"), tolerance), F.lit(False)).alias("passed")) for c in near]
-    return both.select(key, F.explode(F.array(*checks)).alias("c")).select(key, "c.*")
+    none = F.array().cast("array<struct<check:string,passed:boolean>>")
+    out = both.select(key, F.explode(F.array(*checks) if checks else none).alias("c")).select(key, "c.*")
+    for name, condition in (custom or {}).items():
+        try:
+            own = actual.select(key, F.lit(name).alias("check"), F.coalesce(condition(actual).cast("boolean"), F.lit(False)).alias("passed"))
+        except Exception as error:  # the condition's own failure
+            warnings.warn(f"check {name}: {error}", stacklevel=2)
+            own = actual.select(key, F.lit(name).alias("check"), F.lit(False).alias("passed"))
+        out = out.unionByName(own)
+    return out
+
+
+def same_as_snapshot(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """One row: whether two builds' segments differ in nothing, and how many changes there are."""
+    return diff_segments(expected, actual).agg((F.count("*") == 0).alias("passed"), F.count("*").alias("changes"))
 
 
 def golden_run(checks: DataFrame, key: str) -> DataFrame:
@@ -70,10 +126,72 @@ def ring(points: DataFrame, most: int, name: str = "name", at: tuple[str, ...] =
     return points.withColumn("age", F.row_number().over(order)).filter(F.col("age") <= most).drop("age")
 
 
+def percentiles(points: DataFrame, by: list[str], shares: dict[str, float], value: str = "value") -> DataFrame:
+    """(by, one column per share): percentiles with linear interpolation, exact.
+
+    Values are counted first and dealt to ranges of (by, value), so a group with most of the rows is many tasks; a range
+    knows its first rank from the counts of those before it, and only the values around a wanted rank go on."""
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [*by, value]
+    counts = points.filter(F.col(value).isNotNull()).groupBy(*order).agg(F.count("*").alias("__n"))
+    ranged = written(counts.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()))
+    totals = ranged.groupBy(*by, "__part").agg(F.sum("__n").alias("__own"))  # a row for each group and range it lies in
+    w = Window.partitionBy(*by).orderBy("__part")
+    totals = totals.withColumn("__before", F.coalesce(F.sum("__own").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("__all", F.sum("__own").over(Window.partitionBy(*by)))
+    upto = F.sum("__n").over(Window.partitionBy(*by, "__part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    ranks = ranged.withColumn("__upto", upto).join(totals, [*by, "__part"])
+    last = F.col("__before") + F.col("__upto") - 1
+    first = last - F.col("__n") + 1
+    picked = []
+    for name, share in shares.items():
+        at = F.lit(share) * (F.col("__all") - 1)
+        low, high, part = F.floor(at), F.ceil(at), at - F.floor(at)
+        picked += [F.max(F.when((first <= low) & (low <= last), F.col(value))).alias(f"__{name}_low"), F.max(F.when((first <= high) & (high <= last), F.col(value))).alias(f"__{name}_high"), F.max(part).alias(f"__{name}_part")]
+    found = ranks.groupBy(*by).agg(*picked)
+    return found.select(*by, *[(F.col(f"__{n}_low") + (F.col(f"__{n}_high") - F.col(f"__{n}_low")) * F.col(f"__{n}_part")).alias(n) for n in shares])
+
+
 def summary(points: DataFrame, by: list[str], value: str = "value") -> DataFrame:
     """Count, least, greatest, mean and interpolated percentiles."""
-    p = {f"p{k}": F.percentile(value, k / 100).alias(f"p{k}") for k in (50, 95, 99)}
-    return points.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("greatest"), F.avg(value).alias("mean"), *p.values())
+    basic = points.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("greatest"), F.avg(value).alias("mean"))
+    own = percentiles(points, by, {f"p{k}": k / 100 for k in (50, 95, 99)}, value)
+    on = [basic[c].eqNullSafe(own[c]) for c in by]
+    condition = on[0]
+    for more in on[1:]:
+        condition = condition & more
+    return basic.join(own, condition, "left").select(*[basic[c] for c in by], "n", "least", "greatest", "mean", "p50", "p95", "p99")
+
+
+def package_metrics(segments: DataFrame, audit: DataFrame, available: int) -> DataFrame:
+    """(request_id, name, value) points of a build: tokens, segments, drops, utilisation where there is a budget, and
+    truncations where there are any."""
+    used = segments.groupBy(REQUEST).agg(F.sum("token_count").cast("double").alias("total_tokens"), F.count("*").cast("double").alias("segment_count"))
+    counts = audit.groupBy(REQUEST).agg(*[F.sum((F.col("decision") == d).cast("int")).cast("double").alias(n) for d, n in (("drop", "dropped_count"), ("truncate", "truncated_count"))])
+    rows = used.join(counts, REQUEST, "left").withColumn("dropped_count", F.coalesce("dropped_count", F.lit(0.0)))
+    names = ["total_tokens", "segment_count", "dropped_count", "truncated_count"]
+    if available > 0:
+        rows, names = rows.withColumn("token_utilization", F.col("total_tokens") / available), [*names, "token_utilization"]
+    points = rows.unpivot(REQUEST, names, "name", "value").filter("value is not null")
+    return points.filter("name <> 'truncated_count' or value > 0")
+
+
+def names(points: DataFrame, name: str = "name") -> DataFrame:
+    return points.groupBy(F.col(name).alias("name")).agg(F.count("*").alias("n"))
+
+
+def export(points: DataFrame, path: str, name: str = "name") -> None:
+    """All points as JSON lines, a folder for each name."""
+    points.write.partitionBy(name).json(path)
+
+
+def by_model(segments: DataFrame, model: str = "model") -> DataFrame:
+    """Builds, tokens and tokens a build of each model."""
+    rows = segments.groupBy(F.col(model).alias("model")).agg(F.countDistinct(REQUEST).alias("snapshots"), F.sum("token_count").alias("tokens"))
+    return rows.withColumn("mean", F.col("tokens") / F.col("snapshots"))
+
+
+def decisions(audit: DataFrame) -> DataFrame:
+    return audit.groupBy("decision").agg(F.count("*").alias("n"))
 
 
 def tagged(tags: Column, wanted: dict[str, str]) -> Column:
@@ -162,9 +280,87 @@ def detect(*findings: DataFrame) -> DataFrame:
     return out.withColumn("severity_rank", F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "warning", 1).otherwise(2))
 
 
+SEVERITIES = ("critical", "warning", "info")
+
+
+class Rules:
+    """Named rules: functions of a context (any object) to findings."""
+
+    def __init__(self):
+        self._rules: dict[str, tuple[str, Callable]] = {}
+
+    def register(self, name: str, severity: str, rule: Callable) -> None:
+        if severity not in SEVERITIES:
+            raise ValueError(f"unknown severity {severity}")
+        self._rules[name] = (severity, rule)
+
+    def unregister(self, name: str) -> None:
+        self._rules.pop(name, None)
+
+    @property
+    def names(self) -> list[str]:
+        """The most severe first."""
+        return sorted(self._rules, key=lambda n: SEVERITIES.index(self._rules[n][0]))
+
+    def detect(self, context, apart: bool = True) -> DataFrame | None:
+        """The findings of all rules.  One that fails is left out with a warning; apart runs each by itself, so that this
+        holds for failures on rows as well."""
+        found = []
+        for name in self.names:
+            try:
+                rows = self._rules[name][1](context)
+                found.append(written(rows) if apart else rows)
+            except Exception as error:  # the rule's own failure
+                warnings.warn(f"rule {name}: {error}", stacklevel=2)
+        return detect(*found) if found else None
+
+
+def default_rules(available: int, critical: float = 0.5, rigid: float = 0.7, ratio: float = 0.1, days: int = 30, now: Column | None = None) -> Rules:
+    """Rules on a context with segments, audit and target; those that need more columns are for the caller to add."""
+    out = Rules()
+    out.register("missing_token_count", "critical", lambda c: missing_tokens(c.segments))
+    out.register("namespace_leak", "critical", lambda c: namespace_leak(c.segments, getattr(c, "target", "default")))
+    out.register("too_many_critical", "warning", lambda c: too_many_critical(c.segments, critical))
+    out.register("rigid_too_large", "warning", lambda c: rigid_too_large(c.segments, available, rigid))
+    out.register("over_compressed", "warning", lambda c: over_compressed(c.audit, ratio))
+    out.register("shared_source", "info", lambda c: shared_sources(c.segments))
+    out.register("unsanitised", "info", lambda c: unsanitised(c.segments, c.audit))
+    if now is not None:
+        out.register("outdated", "warning", lambda c: outdated(c.segments, now, days))
+    return out
+
+
+def report(findings: DataFrame, form: str = "text", most: int = 50) -> str:
+    """Counts by severity and the first `most` findings, as text or json; only these rows come to the driver."""
+    counts = {r["severity"]: r["n"] for r in findings.groupBy("severity").agg(F.count("*").alias("n")).collect()}
+    rows = [r.asDict() for r in findings.orderBy("severity_rank", "rule", REQUEST).limit(most).collect()]
+    if form == "json":
+        return json.dumps({"total": sum(counts.values()), "by_severity": {s: counts.get(s, 0) for s in SEVERITIES}, "results": rows}, ensure_ascii=False, indent=2)
+    if not rows:
+        return "nothing found"
+    return "\n".join([*[f"{s}: {counts.get(s, 0)}" for s in SEVERITIES], *[f"  [{r['severity']}] {r['rule']} in {r[REQUEST]}: {r['n']}" for r in rows]])
+
+
 # --- agents ---
 
 
+def register(agents: DataFrame, more: DataFrame) -> DataFrame:
+    """agents (agent_id, namespace, ...) with more of them; an agent that is there is replaced."""
+    return agents.join(more.select("agent_id"), "agent_id", "left_anti").unionByName(more)
+
+
+def unregister(agents: DataFrame, agent_id: str) -> DataFrame:
+    return agents.filter(F.col("agent_id") != agent_id)
+
+
+def may_see(agents: DataFrame, spaces: DataFrame) -> DataFrame:
+    """(agent_id, namespace, allowed): an agent has its own namespace and the default one.  Both are short lists, but the
+    pairs come from an array of the agents, so no join is made."""
+    registry = agents.agg(F.collect_list(F.struct("agent_id", F.col("namespace").alias("own"))).alias("agents")).scalar()
+    return spaces.select("namespace", F.explode(registry).alias("a")).select("a.agent_id", "namespace", ((F.col("a.own") == F.col("namespace")) | (F.col("namespace") == "default")).alias("allowed"))
+
+
+
 def publish(segments: DataFrame, agents: DataFrame) -> DataFrame:
     """segments (with agent_id): those of the default namespace go to their agent's."""
     named = segments.join(agents.select("agent_id", F.col("namespace").alias("own")), "agent_id")
@@ -185,10 +381,30 @@ def views(agents: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def hand_off(requests: DataFrame, segments: DataFrame) -> DataFrame:
-    """requests (source, target, segment_ids or null): copies, in the target's namespace, of the listed or all
-    segments of the source that aren't internal."""
-    rows = segments.filter("visibility <> 'INTERNAL'").withColumnRenamed("namespace", "source").join(requests, "source")
-    return rows.filter(F.col("segment_ids").isNull() | F.array_contains("segment_ids", F.col("segment_id"))).select("segment_id", F.col("target").alias("namespace"), "source", "token_count")
+    """requests (source, target, segment_ids or null): copies, in the target's namespace, of the source's listed segments,
+    or of all that aren't internal."""
+    rows = segments.withColumnRenamed("namespace", "source").join(requests, "source")
+    wanted = F.when(F.col("segment_ids").isNull(), F.col("visibility") != "INTERNAL").otherwise(F.array_contains("segment_ids", F.col("segment_id")))
+    return rows.filter(wanted).select("segment_id", F.col("target").alias("namespace"), "source", "token_count")
+
+
+def hand_off_agents(requests: DataFrame, agents: DataFrame, segments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """requests (from_agent, to_agent, segment_ids or null, reason): the copies of hand_off(), and an event for each
+    request (event_type, publisher_id, to_agent, segment_count, reason).  An agent that isn't registered is an error."""
+    for side in ("from_agent", "to_agent"):
+        unknown = requests.select(F.col(side).alias("agent_id")).join(agents, "agent_id", "left_anti").limit(1).collect()
+        if unknown:
+            raise KeyError(f"agent {unknown[0][0]} isn't registered")
+    spaces = agents.select("agent_id", "namespace")
+    named = requests.join(spaces.toDF("from_agent", "source"), "from_agent").join(spaces.toDF("to_agent", "target"), "to_agent")
+    copies = hand_off(named.select("source", "target", "segment_ids"), segments)
+    counted = copies.groupBy("source", F.col("namespace").alias("target")).agg(F.count("*").alias("segment_count"))
+    events = named.join(counted, ["source", "target"], "left").select(F.lit("context_handoff").alias("event_type"), F.col("from_agent").alias("publisher_id"), "to_agent", F.coalesce("segment_count", F.lit(0)).alias("segment_count"), "reason")
+    return copies, events
+
+
+def clear_namespace(segments: DataFrame, namespace: str) -> DataFrame:
+    return segments.filter(F.col("namespace") != namespace)
 
 
 def recent_events(events: DataFrame, most: int = 10, kind: str | None = None) -> DataFrame:
@@ -204,7 +420,7 @@ def namespace_stats(segments: DataFrame) -> DataFrame:
 
 def lookup(requests: DataFrame, cache: DataFrame, now: Column) -> DataFrame:
     """requests (key) with hit and value: entries (key, value, created, ttl in seconds or null) that haven't expired."""
-    live = cache.filter(F.col("ttl").isNull() | (F.unix_timestamp("created") + F.col("ttl") > F.unix_timestamp(now)))
+    live = prune(cache, now)
     return requests.join(live.select("key", "value"), "key", "left").withColumn("hit", F.col("value").isNotNull())
 
 
@@ -214,9 +430,24 @@ def two_level(requests: DataFrame, first: DataFrame, second: DataFrame) -> DataF
     return requests.join(a, "key", "left").join(b, "key", "left").select("key", F.coalesce("v1", "v2").alias("value"), F.when(F.col("v1").isNotNull(), "L1").when(F.col("v2").isNotNull(), "L2").otherwise("miss").alias("level"))
 
 
-def cache_stats(looked_up: DataFrame) -> DataFrame:
+def cache_stats(looked_up: DataFrame, sets: int = 0, evictions: int = 0) -> DataFrame:
     hits = F.sum(F.col("hit").cast("int"))
-    return looked_up.agg(hits.alias("hits"), (F.count("*") - hits).alias("misses"), F.coalesce(hits / F.nullif(F.count("*"), F.lit(0)), F.lit(0.0)).alias("hit_rate"))
+    rows = looked_up.agg(F.coalesce(hits, F.lit(0)).alias("hits"), (F.count("*") - F.coalesce(hits, F.lit(0))).alias("misses"), F.coalesce(hits / F.nullif(F.count("*"), F.lit(0)), F.lit(0.0)).alias("hit_rate"))
+    return rows.withColumns({"sets": F.lit(sets), "evictions": F.lit(evictions), "eviction_rate": F.lit(evictions / sets if sets else 0.0)})
+
+
+def put(cache: DataFrame, entries: DataFrame) -> DataFrame:
+    """cache with entries set; a key that is there is replaced."""
+    return cache.join(entries.select("key"), "key", "left_anti").unionByName(entries)
+
+
+def forget(cache: DataFrame, keys: DataFrame) -> DataFrame:
+    return cache.join(keys.select("key"), "key", "left_anti")
+
+
+def prune(cache: DataFrame, now: Column) -> DataFrame:
+    """The entries that haven't expired."""
+    return cache.filter(F.col("ttl").isNull() | (F.unix_timestamp("created") + F.col("ttl") > F.unix_timestamp(now)))
 
 
 def least_recent(cache: DataFrame, most: int) -> DataFrame:

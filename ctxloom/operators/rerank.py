@@ -78,13 +78,14 @@ def similarity(a: set[str], b: set[str]) -> float:
     return len(a & b) / len(a | b) if a and b else 0.0
 
 
-def select_diverse(contents: list[str], scores: list[float], locked: list[bool], weight: float = 0.7, threshold: float = 0.85, most: int = 500) -> list[int]:
+def select_diverse(contents: list[str], scores: list[float], locked: list[bool], weight: float = 0.7, threshold: float = 0.85, most: int | None = 500) -> list[int]:
     """Places in order of selection: locked ones first, then by weighted relevance less the greatest similarity to those
-    selected; what is too similar to a selected one is never taken.  Over `most` segments all are kept as they are."""
+    selected; what is too similar to a selected one is never taken.  Over `most` segments all are kept as they are; None
+    is no such limit."""
     n = len(contents)
     free = [i for i in range(n) if not locked[i]]
     fixed = [i for i in range(n) if locked[i]]
-    if n > most or not free:
+    if most is not None and n > most or not free:
         return list(range(n))
     grams = {i: grams_of(contents[i]) for i in free}
     left = sorted(free, key=lambda i: (-scores[i], i))
@@ -94,7 +95,7 @@ def select_diverse(contents: list[str], scores: list[float], locked: list[bool],
         left = [i for i in left if nearest[i] <= threshold]
         if not left:
             break
-        best = max(left, key=lambda i: (weight * scores[i] - (1 - weight) * nearest[i], -free.index(i)))
+        best = max(left, key=lambda i: (weight * scores[i] - (1 - weight) * nearest[i], -i))
         left.remove(best)
         chosen.append(best)
         for i in left:
@@ -102,9 +103,15 @@ def select_diverse(contents: list[str], scores: list[float], locked: list[bool],
     return fixed + chosen
 
 
-def diversify(df: DataFrame, weight: float = 0.7, threshold: float = 0.85, most: int = 500) -> DataFrame:
-    """Maximal marginal relevance within each request; only keys travel back, texts stay in Spark."""
+def diversify(df: DataFrame, weight: float = 0.7, threshold: float = 0.85, most: int | None = 500) -> DataFrame:
+    """Maximal marginal relevance within each request; only keys travel back, texts stay in Spark.  Requests of over
+    `most` segments stay as they are and don't go to Python at all; with None all are compared."""
+    df = df.withColumn("pos", F.col("pos").cast("int"))
     slim = df.select(REQUEST, "pos", "content", score().alias("s"), "locked")
+    large = df.limit(0).select(REQUEST)
+    if most is not None:
+        large = df.groupBy(REQUEST).agg(F.count("*").alias("n")).filter(F.col("n") > most).select(REQUEST)
+        slim = slim.join(large, REQUEST, "left_anti")
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos").reset_index(drop=True)
@@ -115,4 +122,5 @@ def diversify(df: DataFrame, weight: float = 0.7, threshold: float = 0.85, most:
 
     kind = df.schema[REQUEST].dataType.simpleString()
     picked = slim.groupBy(REQUEST).applyInPandas(pick, f"{REQUEST} {kind}, pos int, new_pos int")
-    return df.withColumn("pos", F.col("pos").cast("int")).join(picked, [REQUEST, "pos"]).drop("pos").withColumnRenamed("new_pos", "pos")
+    chosen = df.join(picked, [REQUEST, "pos"]).drop("pos").withColumnRenamed("new_pos", "pos")
+    return chosen if most is None else chosen.unionByName(df.join(large, REQUEST, "left_semi"))

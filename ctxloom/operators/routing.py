@@ -161,7 +161,7 @@ def resolve_names(df: DataFrame, name: str = "name") -> DataFrame:
     """df with model: as resolve(), by a chain of the registry's few entries."""
     low = F.lower(name)
     by_prefix = F.lit(None).cast("string")
-    for m in sorted((m[0] for m in MODELS), key=len):
+    for m in reversed(sorted((m[0] for m in MODELS), key=lambda m: -len(m))):  # of one length the first counts
         by_prefix = F.when(low.startswith(m.lower()) | F.lit(m.lower()).startswith(low), m).otherwise(by_prefix)
     exact = F.when(F.col(name).isin([m[0] for m in MODELS]), F.col(name))
     alias = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])[F.col(name)]
@@ -179,8 +179,9 @@ def mock_level(text: Column) -> Column:
     return F.when(n < 50, "simple").when(n < 150, "moderate").when(n < 400, "complex").otherwise("expert")
 
 
-def llm_levels(df: DataFrame, provider, text: str = "query") -> DataFrame:
-    """df with level by provider (prompt to JSON); each distinct query is asked once, bad answers give simple."""
+def llm_answers(df: DataFrame, provider, text: str = "query", known: DataFrame | None = None) -> DataFrame:
+    """(text, level) of each distinct query: from known, what was answered before, else by provider (prompt to JSON),
+    which is asked once; no level where it fails or its answer is bad.  Keep the rows with a level for the next run."""
 
     @F.pandas_udf("string")
     def ask(values: pd.Series) -> pd.Series:
@@ -192,8 +193,16 @@ def llm_levels(df: DataFrame, provider, text: str = "query") -> DataFrame:
 
         return values.map(one)
 
-    answers = df.select(text).distinct().withColumn("answer", ask(text))
-    plain = F.regexp_replace("answer", r"(?s)^\s*```(?:json)?|```\s*$", "")
+    asked = df.select(text).distinct()
+    new = asked if known is None else asked.join(known.select(text), text, "left_anti")
+    plain = F.regexp_replace(ask(text), r"(?s)^\s*```(?:json)?|```\s*$", "")
     level = F.lower(F.get_json_object(plain, "$.complexity"))
-    valid = F.when(level.isin("simple", "moderate", "complex", "expert"), level).otherwise("simple")
-    return df.join(answers.select(text, valid.alias("level")), text)
+    found = new.select(text, F.when(level.isin("simple", "moderate", "complex", "expert"), level).alias("level"))
+    return found if known is None else found.unionByName(known.select(text, "level").join(asked, text, "left_semi"))
+
+
+def llm_levels(df: DataFrame, provider, text: str = "query", known: DataFrame | None = None) -> DataFrame:
+    """df with level as answered (see llm_answers); where there is no answer by the rules' own estimate."""
+    own = complexity(signals(df.select(text).distinct(), text)).select(text, F.col("level").alias("__estimate"))
+    answers = llm_answers(df, provider, text, known).join(own, text)
+    return df.join(answers.select(text, F.coalesce("level", "__estimate").alias("level")), text)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,13 @@ from pyspark.sql import functions as F
 
 from ctxloom.functions import keys as K
 from ctxloom.functions import text as T
+from ctxloom.functions import tokenizers
 from ctxloom.operators import assemble, budget, compress, inspect, rerank, routing
+from ctxloom.operators import sanitize as chains
 from ctxloom.plans import pipeline
-from ctxloom.plans.base import FLAGGED, POLICY, SEGMENTS, flagged, messages, passages, segments, table
-from ctxloom.sources import ingest
+from ctxloom.plans.base import FLAGGED, POLICY, SEGMENTS, TOKENS, flagged, messages, passages, segments, table
+from ctxloom.sources import ingest, store
+from ctxloom.sources.shared import shared_dir
 from ctxloom.streaming import run, stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +54,37 @@ def src1_ingest(spark, sf):
     return segments(spark, sf).select("request_id", "pos", "segment_id", "type", "role", "source_id", "turn", "score", "token_count", F.md5(F.col("content").cast("binary")).alias("digest"))
 
 
+@query("SELECT n_nationkey AS request_id, 'tool_' || n_name AS source_id, 'high' AS priority, 'tools' AS namespace, '{' || chr(10) || '  \"name\": \"' || n_name || '\",' || chr(10) || '  \"key\": ' || n_nationkey || chr(10) || '}' AS content FROM nation")
+def src1c_tools(spark, sf):
+    tool = F.struct(F.col("n_name").alias("name"), F.col("n_nationkey").alias("key"))
+    rows = ingest.tools(table(spark, sf, "nation").select(F.col("n_nationkey").alias("request_id"), F.lit(0).alias("at"), tool.alias("tool")))
+    return rows.select("request_id", "source_id", "priority", "namespace", "content")
+
+
+@query("SELECT r_regionkey AS request_id, 'state_anchor' AS source_id, TRUE AS must_keep, 'Current state:' || chr(10) || '{' || chr(10) || '  \"region\": \"' || r_name || '\"' || chr(10) || '}' AS content FROM region")
+def src1f_state(spark, sf):
+    rows = table(spark, sf, "region").select(F.col("r_regionkey").alias("request_id"), F.struct(F.col("r_name").alias("region")).alias("state"))
+    return ingest.state(rows).select("request_id", "source_id", "must_keep", "content")
+
+
+@query("SELECT conv_id AS request_id, CASE WHEN turn = 0 THEN 'system_prompt' ELSE 'few_shot_' || turn END AS source_id, CASE WHEN turn = 0 THEN 'critical' ELSE 'high' END AS priority, turn <> 0 AS compressible FROM conversations WHERE turn < 2 AND length(text) > 0")
+def src1a_src1b_fixed(spark, sf):
+    rows = messages(spark, sf).filter("length(content) > 0")
+    parts = [ingest.system(rows.filter("at = 0").withColumnRenamed("content", "system_prompt")), ingest.few_shot(rows.filter("at = 1"))]
+    return parts[0].unionByName(parts[1]).select("request_id", "source_id", "priority", "compressible")
+
+
+@query("SELECT 'snap_20240101_' || substr(CAST(conv_id AS VARCHAR), 1, 8) AS snapshot_id, CAST(sum(greatest(1, CAST(floor(length(text) / 4.0) AS INTEGER))) AS BIGINT) AS tokens, count(*) AS segments FROM conversations WHERE conv_id <> 1 GROUP BY 1")
+def src4_src7_snapshots(spark, sf):
+    path = f"{shared_dir(spark)}/ctxloom-snapshots-{uuid.uuid4().hex}"
+    rows = ingest.segments(ingest.messages(messages(spark, sf)))
+    store.save(rows, path, "gpt-4o", "20240101", {"env": "a"})
+    store.save(rows.filter("request_id < 3"), path, "o1", "20230101")
+    store.clean_up(spark, path, "20240101")
+    store.delete(spark, path, "snap_20240101_1")
+    return store.list_all(spark, path).select("snapshot_id", "tokens", "segments")
+
+
 @query("SELECT conv_id AS request_id, turn AS \"at\", role, 'message_' || turn AS source_id, CAST(floor(turn / 2) AS INTEGER) AS turn, 'medium' AS priority FROM conversations")
 def src1d_messages(spark, sf):
     return ingest.messages(messages(spark, sf)).select("request_id", "at", "role", "source_id", "turn", "priority")
@@ -79,23 +114,61 @@ def tok1_counter(spark, sf):
 
 @query("SELECT conv_id, CAST(sum(greatest(1, CAST(floor(length(text) / 4.0) AS INTEGER)) + greatest(1, CAST(floor(length(role) / 4.0) AS INTEGER)) + 4) + 3 AS BIGINT) AS tokens FROM conversations GROUP BY 1")
 def tok2_message_counter(spark, sf):
-    rows = table(spark, sf, "conversations")
-    return rows.groupBy("conv_id").agg((F.sum(T.token_count(F.col("text")) + T.token_count(F.col("role")) + 4) + 3).alias("tokens"))
+    return tokenizers.count_messages(table(spark, sf, "conversations"), "conv_id", ["text", "role"])
 
 
-@query(f"SELECT id, regexp_replace(t, '[\\x{{0}}-\\x{{8}}\\x{{B}}\\x{{C}}\\x{{E}}-\\x{{1F}}\\x{{7F}}\\x{{200B}}-\\x{{200F}}\\x{{2028}}\\x{{2029}}\\x{{202A}}-\\x{{202E}}\\x{{2060}}-\\x{{2064}}\\x{{FEFF}}\\x{{FFF9}}-\\x{{FFFB}}]', '', 'g') AS clean FROM (VALUES {_values(_TEXTS)}) v(id, t)")
+def _byte_pairs() -> tokenizers.BytePairs:
+    import public_tokenizers
+
+    return tokenizers.Registry({"o200k_base": public_tokenizers.path("byte_bpe_50k.tiktoken")}).resolve("gpt-4o-2024")
+
+
+@query()
+def tok3_byte_pairs(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", _byte_pairs().count(F.col("text")).alias("tokens"))
+
+
+@query()
+def tok4_truncated(spark, sf):
+    counter = _byte_pairs()
+    short = table(spark, sf, "documents").select("doc_id", counter.truncate(F.col("text"), 20).alias("short"))
+    return short.select("doc_id", "short", counter.count(F.col("short")).alias("tokens"))
+
+
+def _digest(column: str) -> str:
+    return f"md5({column}) AS digest"
+
+
+def _md5(column) -> F.Column:
+    return F.md5(column.cast("binary")).alias("digest")
+
+
+def _with(rows: list[str]) -> str:
+    """The literals, by negative ids, and all documents."""
+    return f"(SELECT -1 - id AS id, t FROM (VALUES {_values(rows)}) v(id, t) UNION ALL SELECT doc_id, text FROM documents)"
+
+
+def _over(spark, sf, rows: list[str]) -> DataFrame:
+    return _literals(spark, rows).select((-1 - F.col("id")).alias("id"), "t").unionByName(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("t")))
+
+
+_INVISIBLE = "[\\x{0}-\\x{8}\\x{B}\\x{C}\\x{E}-\\x{1F}\\x{7F}\\x{200B}-\\x{200F}\\x{2028}\\x{2029}\\x{202A}-\\x{202E}\\x{2060}-\\x{2064}\\x{FEFF}\\x{FFF9}-\\x{FFFB}]"
+_BLANKS = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
+
+
+@query(f"SELECT id, md5(regexp_replace(t, '{_INVISIBLE}', '', 'g')) AS digest FROM {_with(_TEXTS)}")
 def nrm2_invisible(spark, sf):
-    return _literals(spark, _TEXTS).select("id", T.strip_invisible(F.col("t")).alias("clean"))
+    return _over(spark, sf, _TEXTS).select("id", _md5(T.strip_invisible(F.col("t"))))
 
 
-@query(f"SELECT id, trim(t, ' \t\r\n') = '' AS blank FROM (VALUES {_values(_TEXTS)}) v(id, t)")
+@query(f"SELECT id, trim(t, {_BLANKS}) = '' AS blank FROM {_with(_TEXTS)}")
 def nrm3_blank(spark, sf):
-    return _literals(spark, _TEXTS).select("id", T.is_blank(F.col("t")).alias("blank"))
+    return _over(spark, sf, _TEXTS).select("id", T.is_blank(F.col("t")).alias("blank"))
 
 
-@query(f"SELECT id, nfc_normalize(t) AS nfc FROM (VALUES {_values(_TEXTS)}) v(id, t)")
+@query(f"SELECT id, md5(nfc_normalize(t)) AS digest FROM {_with(_TEXTS)}")
 def nrm1_nfc(spark, sf):
-    return _literals(spark, _TEXTS).select("id", T.nfc(F.col("t")).alias("nfc"))
+    return _over(spark, sf, _TEXTS).select("id", _md5(T.nfc(F.col("t"))))
 
 
 @query("SELECT doc_id, md5(nfc_normalize(text)) AS digest FROM documents")
@@ -105,7 +178,11 @@ def san1_unicode(spark, sf):
 
 # --- HTML and markdown ---
 
-_HTML = """regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '<[^>]+>', ' ', 'g')"""
+def _tags(html: str) -> str:
+    return f"""regexp_replace(regexp_replace(regexp_replace(regexp_replace({html}, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '<[^>]+>', ' ', 'g')"""
+
+
+_HTML = _tags("html")
 _ENTITIES = {"&copy;": "\u00a9", "&middot;": "\u00b7", "&quot;": '"', "&lt;": "<", "&gt;": ">", "&amp;": "&"}
 
 
@@ -119,12 +196,19 @@ def san3_escape(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.md5(T.escape_html(F.col("html")).cast("binary")).alias("digest"))
 
 
-_MARKDOWN = ["# Title\n**bold** _it_", "see [here](http://x) and ![pic](y)", "> quote\n- item\n1. one", "```py\nx = 1\n```", "a `b` c\n\n\n\nd  e", "---\nplain"]
+_MARKDOWN = ["# Title\n**bold** _it_", "see [here](http://x) and ![pic](y)", "> quote\n- item\n1. one", "```py\nx = 1\n```", "a `b` c\n\n\n\nd  e", "---\nplain", "**a*b** __c_d__ e*f"]
+_STEPS = [("(?s)```[^\\n]*\\n(.*?)```", "'\\1'"), ("\\[([^\\]]+)\\]\\([^)]+\\)", "'\\1'"), ("!\\[([^\\]]*)\\]\\([^)]+\\)", "'\\1'"), ("(?m)^#+\\s*", "''"), ("\\*\\*(.*?)\\*\\*|__(.*?)__|\\*|_", "'\\1\\2'"), ("`([^`]+)`", "'\\1'"), ("(?m)^>\\s*", "''"), ("(?m)^\\s*[-*+]\\s+|^\\s*\\d+\\.\\s+", "''"), ("(?m)^(?:-{3,}|\\*{3,}|_{3,})$", "''"), ("\\n{3,}", "chr(10) || chr(10)"), (" {2,}", "' '")]
+
 
+def _steps(column: str) -> str:
+    for pattern, to in _STEPS:
+        column = f"regexp_replace({column}, '{pattern}', {to}, 'g')"
+    return f"trim({column}, {_BLANKS})"
 
-@query("SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?s)```[^\\n]*\\n(.*?)```', '\\1', 'g'), '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g'), '!\\[([^\\]]*)\\]\\([^)]+\\)', '\\1', 'g'), '(?m)^#+\\s*', '', 'g'), '\\*\\*(.*?)\\*\\*', '\\1', 'g'), '\\*|_', '', 'g'), '`([^`]+)`', '\\1', 'g'), '(?m)^>\\s*', '', 'g'), '(?m)^\\s*[-*+]\\s+|^\\s*\\d+\\.\\s+', '', 'g'), '(?m)^-{3,}$', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' {2,}', ' ', 'g'), E' \\n\\t') AS plain FROM (VALUES " + _values(_MARKDOWN) + ") v(id, t)")
+
+@query(f"SELECT id, md5({_steps('t')}) AS digest FROM {_with(_MARKDOWN)}")
 def san4_markdown(spark, sf):
-    return _literals(spark, _MARKDOWN).select("id", T.strip_markdown(F.col("t")).alias("plain"))
+    return _over(spark, sf, _MARKDOWN).select("id", _md5(T.strip_markdown(F.col("t"))))
 
 
 # --- personal data ---
@@ -132,43 +216,83 @@ def san4_markdown(spark, sf):
 _PII = ["call 13800138000 now", "a@b.co and someone@example.com", "id 110101199001011234.", "card 6222021234567890123", "at 10.20.30.40, 8.8.8.8", "see https://a.b.com:80/x?y=1 now", "nothing", "12345678901234567890"]
 
 
-@query(f"SELECT id, regexp_replace(t, '(^|[^0-9])(1[3-9][0-9])[0-9]{{4}}([0-9]{{4}})($|[^0-9])', '\\1\\2****\\3\\4', 'g') AS masked FROM (VALUES {_values(_PII)}) v(id, t)")
+def _twice(column: str, pattern: str, to: str) -> str:
+    """Neighbours may share the character between them, which a pattern without lookaround takes."""
+    return f"regexp_replace(regexp_replace({column}, '(^|[^0-9]){pattern}($|[^0-9])', '{to}', 'g'), '(^|[^0-9]){pattern}($|[^0-9])', '{to}', 'g')"
+
+
+_ID = "(?:19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])"
+_MAIL = "\\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}\\b"
+_LINK = "\\bhttps?://(?:[a-zA-Z0-9-]+\\.)*[a-zA-Z0-9-]+(?:\\.[a-zA-Z]{2,})?(?::[0-9]+)?(?:/[^\\s]*)?\\b"
+_ADDRESS = "\\b([0-9]{1,3})(?:\\.[0-9]{1,3}){3}\\b"
+
+
+def _no_phone(column: str) -> str:
+    return _twice(column, "(1[3-9][0-9])[0-9]{4}([0-9]{4})", "\\1\\2****\\3\\4")
+
+
+def _no_id(column: str) -> str:
+    return _twice(column, f"([1-9][0-9]{{5}}){_ID}([0-9]{{3}}[0-9Xx])", "\\1\\2********\\3\\4")
+
+
+def _no_card(column: str) -> str:
+    for n in range(13, 20):
+        column = _twice(column, f"([0-9]{{6}})[0-9]{{{n - 10}}}([0-9]{{4}})", "\\1\\2" + "*" * (n - 10) + "\\3\\4")
+    return column
+
+
+_HIDDEN = "CASE WHEN length(split_part(x, '@', 1)) <= 2 THEN repeat('*', length(split_part(x, '@', 1))) ELSE substr(x, 1, 1) || repeat('*', length(split_part(x, '@', 1)) - 2) || right(split_part(x, '@', 1), 1) END || '@' || split_part(x, '@', 2)"
+
+
+def _no_mail(column: str) -> str:
+    parts, masked = f"string_split_regex({column}, '{_MAIL}')", f"list_transform(regexp_extract_all({column}, '{_MAIL}'), lambda x: {_HIDDEN})"
+    return f"CASE WHEN contains({column}, '@') THEN array_to_string(list_transform(list_zip({parts}, {masked}), lambda p: p[1] || coalesce(p[2], '')), '') ELSE {column} END"
+
+
+@query(f"SELECT id, md5({_no_phone('t')}) AS digest FROM {_with(_PII)}")
 def san5_phone(spark, sf):
-    return _literals(spark, _PII).select("id", T.mask_phone(F.col("t")).alias("masked"))
+    return _over(spark, sf, _PII).select("id", _md5(T.mask_phone(F.col("t"))))
 
 
-@query("""WITH m AS (SELECT doc_id, text, regexp_extract_all(text, '\\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}\\b') AS found FROM documents)
- SELECT doc_id, array_to_string(list_transform(found, lambda x: CASE WHEN length(split_part(x, '@', 1)) <= 2 THEN repeat('*', length(split_part(x, '@', 1))) ELSE substr(x, 1, 1) || repeat('*', length(split_part(x, '@', 1)) - 2) || right(split_part(x, '@', 1), 1) END || '@' || split_part(x, '@', 2)), ',') AS masked FROM m WHERE len(found) > 0""")
+@query(f"SELECT id, md5({_no_mail('t')}) AS digest FROM {_with(_PII)}")
 def san6_email(spark, sf):
-    found = F.regexp_extract_all("text", F.lit(T.EMAIL), F.lit(0))
-    rows = table(spark, sf, "documents").filter(F.col("text").contains("@")).select("doc_id", found.alias("m")).filter("size(m) > 0")
-    return rows.select("doc_id", F.explode("m").alias("mail"), F.monotonically_increasing_id().alias("at")).select("doc_id", "at", T.mask_emails(F.col("mail")).alias("mail")).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "mail"))), lambda x: x["mail"]), ",").alias("masked"))
+    return _over(spark, sf, _PII).select("id", _md5(T.mask_emails(F.col("t"))))
 
 
-@query(f"SELECT id, regexp_replace(t, '(^|[^0-9])([1-9][0-9]{{5}})(?:19|20)[0-9]{{2}}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])([0-9]{{3}}[0-9Xx])($|[^0-9])', '\\1\\2********\\3\\4', 'g') AS masked FROM (VALUES {_values(_PII)}) v(id, t)")
+@query(f"SELECT id, md5({_no_id('t')}) AS digest FROM {_with(_PII)}")
 def san7_id(spark, sf):
-    return _literals(spark, _PII).select("id", T.mask_id_card(F.col("t")).alias("masked"))
+    return _over(spark, sf, _PII).select("id", _md5(T.mask_id_card(F.col("t"))))
 
 
-@query("SELECT doc_id, CAST(len(list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: length(x) BETWEEN 13 AND 19)) AS INTEGER) AS cards FROM documents")
+@query(f"SELECT id, md5({_no_card('t')}) AS digest FROM {_with(_PII)}")
 def san8_card(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.regexp_count(T.mask_bank_card(F.col("text")), F.lit(r"(?<!\d)\d{6}\*+\d{4}(?!\d)")).alias("cards"))
+    return _over(spark, sf, _PII).select("id", _md5(T.mask_bank_card(F.col("t"))))
 
 
-@query("SELECT doc_id, md5(regexp_replace(text, '\\b([0-9]{1,3})(?:\\.[0-9]{1,3}){3}\\b', '\\1.*.*.*', 'g')) AS digest FROM documents")
+@query(f"SELECT id, md5(regexp_replace(t, '{_ADDRESS}', '\\1.*.*.*', 'g')) AS digest FROM {_with(_PII)}")
 def san9_ip(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(T.mask_ip(F.col("text")).cast("binary")).alias("digest"))
+    return _over(spark, sf, _PII).select("id", _md5(T.mask_ip(F.col("t"))))
 
 
-@query(f"SELECT id, regexp_replace(t, '\\bhttps?://(?:[a-zA-Z0-9-]+\\.)*[a-zA-Z0-9-]+(?:\\.[a-zA-Z]{{2,}})?(?::[0-9]+)?(?:/[^\\s]*)?\\b', '[REDACTED_URL]', 'g') AS masked FROM (VALUES {_values(_PII)}) v(id, t)")
+@query(f"SELECT id, md5(regexp_replace(t, '{_LINK}', '[REDACTED_URL]', 'g')) AS digest FROM {_with(_PII)}")
 def san10_url(spark, sf):
-    return _literals(spark, _PII).select("id", T.mask_url(F.col("t")).alias("masked"))
+    return _over(spark, sf, _PII).select("id", _md5(T.mask_url(F.col("t"))))
+
+
+@query(f"""WITH a AS (SELECT id, {_no_card(_no_id(_no_phone("regexp_replace(t, '" + _LINK + "', '[REDACTED_URL]', 'g')")))} AS t FROM {_with(_PII)}), b AS (SELECT id, {_no_mail('t')} AS t FROM a)
+ SELECT id, md5(regexp_replace(t, '{_ADDRESS}', '\\1.*.*.*', 'g')) AS digest FROM b""")
+def san11_driver(spark, sf):
+    return _over(spark, sf, _PII).select("id", _md5(T.redact(F.col("t"))["content"]))
+
+
+_RUNS = "regexp_extract_all(t, '[0-9]+')"
 
 
-@query("SELECT doc_id, CAST(len(regexp_extract_all(text, '\\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}\\b')) AS INTEGER) AS emails, CAST(len(regexp_extract_all(text, '\\b([0-9]{1,3})(?:\\.[0-9]{1,3}){3}\\b')) AS INTEGER) AS ips FROM documents")
+@query(f"""SELECT id, CAST(len(list_filter({_RUNS}, lambda x: regexp_full_match(x, '1[3-9][0-9]{{9}}'))) AS INTEGER) AS phone, CAST(len(regexp_extract_all(t, '{_MAIL}')) AS INTEGER) AS email,
+ CAST(len(list_filter(list_concat({_RUNS}, regexp_extract_all(t, '[0-9]+[Xx]')), lambda x: regexp_full_match(x, '[1-9][0-9]{{5}}{_ID}[0-9]{{3}}[0-9Xx]'))) AS INTEGER) AS id_card,
+ CAST(len(list_filter({_RUNS}, lambda x: length(x) BETWEEN 13 AND 19)) AS INTEGER) AS bank_card, CAST(len(regexp_extract_all(t, '{_ADDRESS}')) AS INTEGER) AS ip, CAST(len(regexp_extract_all(t, '{_LINK}')) AS INTEGER) AS url FROM {_with(_PII)}""")
 def san12_counts(spark, sf):
-    counts = T.masked_counts(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", counts["email"].alias("emails"), counts["ip"].alias("ips"))
+    return _over(spark, sf, _PII).select("id", *[n.alias(k) for k, n in T.masked_counts(F.col("t")).items()])
 
 
 # --- injection ---
@@ -189,11 +313,11 @@ def _hits(names) -> str:
     return "concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(t, '{_RULES[n]}') THEN '{n}' END" for n in names) + ")"
 
 
-_ATTACKED = f"(SELECT -1 - id AS id, t FROM (VALUES {_values(_ATTACKS)}) v(id, t) UNION ALL SELECT doc_id, text FROM documents)"
+_ATTACKED = _with(_ATTACKS)
 
 
 def _attacked(spark, sf) -> DataFrame:
-    return _literals(spark, _ATTACKS).select((-1 - F.col("id")).alias("id"), "t").unionByName(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("t")))
+    return _over(spark, sf, _ATTACKS)
 
 
 @query(f"SELECT id, {_hits(['override', 'role', 'leak', 'jailbreak'])} AS hits FROM {_ATTACKED}")
@@ -206,37 +330,55 @@ def san14_standard(spark, sf):
     return _attacked(spark, sf).select("id", F.array_join(T.injection_hits(F.col("t"), "standard"), ",").alias("hits"))
 
 
-@query("SELECT doc_id, regexp_matches(text, '\\b[A-Za-z0-9+/]{20,}={0,2}\\b') AS encoded FROM documents")
+@query(f"SELECT id, regexp_matches(t, '(?:^|[^\\p{{L}}\\p{{N}}_])[A-Za-z0-9+/]{{20,}}={{0,2}}(?:$|[^\\p{{L}}\\p{{N}}_])') AS encoded, regexp_matches(t, '[^\\p{{L}}\\p{{N}}_\\s\\x{{4E00}}-\\x{{9FFF}}]{{10,}}') AS special FROM {_ATTACKED}")
 def san15_strict(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.col("text").rlike(T.INJECTION["strict"][1][1]).alias("encoded"))
+    """The rules that SQL has; san15_strict_whole runs all."""
+    patterns = dict(T.INJECTION["strict"])
+    return _attacked(spark, sf).select("id", *[F.col("t").rlike(patterns[n]).alias(n) for n in ("encoded", "special")])
 
 
-# --- the same over all documents, with the literals ---
+@query()
+def san15_strict_whole(spark, sf):
+    return _attacked(spark, sf).select("id", F.array_join(T.injection_hits(F.col("t"), "strict"), ",").alias("hits"))
+
 
+@query(f"SELECT id, {_hits(list(_RULES))} = '' AS passed FROM {_ATTACKED}")
+def san16_verdict(spark, sf):
+    return _attacked(spark, sf).select("id", (F.size(T.injection_hits(F.col("t"))) == 0).alias("passed"))
 
-def _whole(name: str, rows: list[str], columns: Callable[[], list]):
-    def run(spark, sf):
-        literals = _literals(spark, rows).select((-1 - F.col("id")).alias("id"), "t")
-        return literals.unionByName(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("t"))).select("id", *columns())
 
-    run.__name__ = name
-    query()(run)
+def _uni(column: str) -> str:
+    return f"regexp_replace(regexp_replace(nfc_normalize({column}), '[\\x{{0}}-\\x{{8}}\\x{{B}}\\x{{C}}\\x{{E}}-\\x{{1F}}\\x{{7F}}-\\x{{9F}}]', '', 'g'), '[\\x{{200B}}-\\x{{200D}}\\x{{FEFF}}]', '', 'g')"
 
 
-_whole("nrm1_nfc_whole", _TEXTS, lambda: [T.nfc(F.col("t")).alias("nfc")])
-_whole("nrm2_invisible_whole", _TEXTS, lambda: [T.strip_invisible(F.col("t")).alias("clean")])
-_whole("nrm3_blank_whole", _TEXTS, lambda: [T.is_blank(F.col("t")).alias("blank")])
-_whole("san4_markdown_whole", _MARKDOWN, lambda: [T.strip_markdown(F.col("t")).alias("plain")])
-_whole("san5_phone_whole", _PII, lambda: [T.mask_phone(F.col("t")).alias("masked")])
-_whole("san7_id_whole", _PII, lambda: [T.mask_id_card(F.col("t")).alias("masked")])
-_whole("san10_url_whole", _PII, lambda: [T.mask_url(F.col("t")).alias("masked")])
-_whole("san12_counts_whole", _PII, lambda: [n.alias(k) for k, n in T.masked_counts(F.col("t")).items()])
-_whole("san15_strict_whole", _ATTACKS, lambda: [F.array_join(T.injection_hits(F.col("t"), "strict"), ",").alias("hits")])
+def _plain(column: str) -> str:
+    out = _tags(column)
+    for name, value in (*_ENTITIES.items(),):
+        out = f"replace({out}, '{name}', '{value}')"
+    return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
 
 
-@query(f"SELECT id, {_hits(list(_RULES))} = '' AS passed FROM {_ATTACKED}")
-def san16_verdict(spark, sf):
-    return _attacked(spark, sf).select("id", (F.size(T.injection_hits(F.col("t"))) == 0).alias("passed"))
+def _injected(column: str) -> str:
+    return "(" + " OR ".join(f"regexp_matches({column}, '{r}')" for r in _RULES.values()) + ")"
+
+
+_REPEATED = "CASE WHEN length(u) < 100 THEN 0.0 ELSE 50.0 * (length(u) - 49 - len(list_distinct(list_transform(range(1, length(u) - 48), lambda i: substr(u, i, 50))))) / length(u) END"
+
+
+@query(f"""WITH a AS (SELECT id, {_uni('t')} AS u FROM {_ATTACKED}), b AS (SELECT id, u, length(u) > 100000 OR len(string_split(u, chr(10))) > 10000 OR list_max(list_transform(string_split(u, chr(10)), lambda x: length(x))) > 10000 OR {_REPEATED} > 0.8 AS long FROM a),
+ c AS (SELECT id, long, CASE WHEN long THEN u ELSE {_plain('u')} END AS h FROM b), d AS (SELECT id, long, h, NOT long AND {_injected('h')} AS bad FROM c)
+ SELECT id, NOT long AND NOT bad AS passed, CASE WHEN long THEN 'LengthGuard' WHEN bad THEN 'InjectionDetector' END AS refused_by, md5(h) AS digest FROM d""")
+def san20_chain(spark, sf):
+    out = chains.chain(_attacked(spark, sf).withColumnRenamed("t", "content"), chains.standalone_chain(masks=False))
+    return out.select("id", "passed", "refused_by", _md5(F.col("content")))
+
+
+@query(f"""WITH a AS (SELECT id, {_plain(_uni('t'))} AS h FROM {_ATTACKED}) SELECT id, NOT {_injected('h')} AS blocking, TRUE AS logging, {_injected('h')} AS warned, md5(substr(h, 1, 10000)) AS digest FROM a""")
+def san22_actions(spark, sf):
+    rows = _attacked(spark, sf).withColumnRenamed("t", "content")
+    block = chains.chain(rows, chains.pipeline_chain(), quiet=True).select("id", F.col("passed").alias("blocking"))
+    log = chains.chain(rows, chains.pipeline_chain(on_injection="log_only", level="classifier")).select("id", F.col("passed").alias("logging"), F.coalesce(F.col("warning").contains("injection"), F.lit(False)).alias("warned"), _md5(F.col("content")))
+    return block.join(log, "id")
 
 
 @query("SELECT doc_id, concat_ws(',', CASE WHEN length(text) > 2000 THEN 'chars' END, CASE WHEN len(string_split(text, chr(10))) > 10 THEN 'lines' END, CASE WHEN list_max(list_transform(string_split(text, chr(10)), lambda x: length(x))) > 500 THEN 'line_length' END) AS failed FROM documents")
@@ -288,7 +430,19 @@ def rrk5_char_jaccard(spark, sf):
     return rows.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.round(T.jaccard(F.col("g"), F.col("h"), 0.0), 9).alias("similarity"))
 
 
-@query()
+_MMR = f"""WITH RECURSIVE {SEGMENTS}, sg AS (SELECT request_id, pos, segment_id, coalesce(nullif(rerank_score, 0), nullif(score, 0), 0.0) AS s, CASE WHEN length(content) < 3 THEN [content] ELSE list_distinct(list_transform(range(1, length(content) - 1), lambda i: substr(content, i, 3))) END AS g FROM seg),
+ sm AS (SELECT a.request_id, a.pos AS i, b.pos AS j, len(list_intersect(a.g, b.g)) AS n, len(a.g) + len(b.g) AS m FROM sg a JOIN sg b ON a.request_id = b.request_id AND a.pos <> b.pos),
+ sv AS (SELECT request_id, i, map_from_entries(list((j, n / (m - n)))) AS sims FROM sm GROUP BY 1, 2),
+ c AS (SELECT sg.request_id, sg.pos, sg.s, sv.sims FROM sg LEFT JOIN sv ON sg.request_id = sv.request_id AND sg.pos = sv.i),
+ st AS (SELECT request_id, 0 AS k, [max((s, -pos))[2] * -1] AS chosen FROM c GROUP BY 1
+  UNION ALL
+  SELECT request_id, any_value(k) + 1, list_append(any_value(chosen), max((0.7 * s - (1 - 0.7) * worst, -pos))[2] * -1) FROM (
+   SELECT st.request_id, st.k, st.chosen, c.pos, c.s, list_max(list_transform(st.chosen, lambda p: c.sims[p])) AS worst FROM st JOIN c ON c.request_id = st.request_id WHERE NOT list_contains(st.chosen, c.pos)) WHERE worst <= 0.6 GROUP BY request_id),
+ fin AS (SELECT request_id, max_by(chosen, k) AS chosen FROM st GROUP BY 1)
+ SELECT f.request_id, CAST(list_position(f.chosen, sg.pos) - 1 AS INTEGER) AS pos, sg.segment_id FROM fin f JOIN sg ON sg.request_id = f.request_id WHERE list_contains(f.chosen, sg.pos)"""
+
+
+@query(_MMR)
 def rrk6_mmr(spark, sf):
     return rerank.diversify(segments(spark, sf), threshold=0.6).select("request_id", "pos", "segment_id")
 
@@ -315,12 +469,18 @@ def rrk9_score(spark, sf):
 
 _AVAILABLE = POLICY.available
 _QUOTA = "CASE type WHEN 'rag' THEN greatest(CAST(floor(avail * 0.35) AS BIGINT), 256) WHEN 'user' THEN greatest(CAST(floor(avail * 0.15) AS BIGINT), 256) WHEN 'assistant' THEN greatest(CAST(floor(avail * 0.25) AS BIGINT), 256) ELSE 0 END"
-_RIGID = f"""{FLAGGED},
- rg AS (SELECT *, priority = 'critical' OR type IN ('system', 'schema') AS rigid FROM fw),
+
+
+def _rigid_sql(base: str, source: str) -> str:
+    return f"""{base},
+ rg AS (SELECT *, priority = 'critical' OR type IN ('system', 'schema') AS rigid FROM {source}),
  el AS (SELECT *, CAST(coalesce(sum(CASE WHEN rigid THEN token_count END) OVER (PARTITION BY request_id), 0) AS BIGINT) AS rigid_used FROM rg),
  ea AS (SELECT *, greatest(0, {_AVAILABLE} - rigid_used) AS avail FROM el),
  er AS (SELECT *, {_QUOTA} AS quota, row_number() OVER (PARTITION BY request_id, type ORDER BY weight DESC, s DESC, pos) AS rn FROM ea WHERE NOT rigid)"""
-_FOLD = f"""WITH RECURSIVE {_RIGID},
+
+
+def _fold_sql(base: str, source: str) -> str:
+    return f"""{_rigid_sql(base, source)},
  st AS (SELECT request_id, type, 0 AS rn, CAST(0 AS BIGINT) AS used, CAST(NULL AS INTEGER) AS pos, '' AS decision, CAST(0 AS BIGINT) AS tokens FROM (SELECT DISTINCT request_id, type FROM er)
   UNION ALL
   SELECT e.request_id, e.type, CAST(e.rn AS INTEGER), st.used + CASE WHEN e.token_count <= e.quota - st.used THEN e.token_count WHEN e.quota - st.used >= 256 AND e.compressible THEN e.quota - st.used ELSE 0 END, e.pos,
@@ -330,6 +490,22 @@ _FOLD = f"""WITH RECURSIVE {_RIGID},
  dec AS (SELECT request_id, pos, decision, tokens FROM st WHERE rn > 0)"""
 
 
+def _rescue_sql(base: str, source: str) -> str:
+    return f"""{_fold_sql(base, source)},
+ bo AS (SELECT e.*, d.decision, d.tokens, e.avail - sum(d.tokens) OVER (PARTITION BY e.request_id) AS room FROM er e JOIN dec d USING (request_id, pos)),
+ dr AS (SELECT *, greatest(0, room) AS room2, row_number() OVER (PARTITION BY request_id ORDER BY weight DESC, s DESC, pos) AS k FROM bo WHERE decision = 'drop'),
+ re AS (SELECT request_id, 0 AS k, CAST(0 AS BIGINT) AS used, CAST(NULL AS INTEGER) AS pos, '' AS decision, CAST(0 AS BIGINT) AS tokens FROM (SELECT DISTINCT request_id FROM dr)
+  UNION ALL
+  SELECT d.request_id, CAST(d.k AS INTEGER), re.used + CASE WHEN d.token_count <= d.room2 - re.used THEN d.token_count ELSE 0 END, d.pos,
+   CASE WHEN d.token_count <= d.room2 - re.used THEN 'rescue' ELSE 'drop' END, CASE WHEN d.token_count <= d.room2 - re.used THEN d.token_count ELSE 0 END
+  FROM re JOIN dr d ON d.request_id = re.request_id AND d.k = re.k + 1),
+ final AS (SELECT request_id, pos, decision, tokens FROM dec WHERE decision <> 'drop' UNION ALL SELECT request_id, pos, decision, tokens FROM re WHERE k > 0)"""
+
+
+_RIGID = _rigid_sql(FLAGGED, "fw")
+_FOLD = f"WITH RECURSIVE {_fold_sql(FLAGGED, 'fw')}"
+
+
 @query(f"SELECT conv_id AS request_id, greatest(0, {_AVAILABLE} - CAST(sum(greatest(1, CAST(floor(length(text) / 4.0) AS INTEGER))) AS BIGINT)) AS room FROM conversations GROUP BY 1")
 def bud1_reserve(spark, sf):
     rows = ingest.segments(ingest.messages(messages(spark, sf)))
@@ -349,7 +525,7 @@ def bud3_quota(spark, sf):
 
 @query(f"{_FOLD} SELECT request_id, pos, decision, CAST(tokens AS BIGINT) AS tokens FROM dec")
 def bud4_elastic(spark, sf):
-    return budget.elastic(budget.split_rigid(flagged(segments(spark, sf)), POLICY), POLICY).select("request_id", "pos", "decision", "tokens")
+    return budget.elastic(budget.split_rigid(flagged(segments(spark, sf)), POLICY), POLICY)
 
 
 @query("SELECT doc_id, md5(substr(text, 1, CAST(floor(length(text) * 100.0 / greatest(1, CAST(floor(length(text) / 4.0) AS INTEGER))) AS INTEGER)) || '...[truncated]') AS digest FROM documents")
@@ -357,21 +533,12 @@ def bud5_truncate(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(budget.truncated(F.col("text"), T.token_count(F.col("text")), F.lit(100)).cast("binary")).alias("digest"))
 
 
-_RESCUE = f"""{_FOLD},
- bo AS (SELECT e.*, d.decision, d.tokens, e.avail - sum(d.tokens) OVER (PARTITION BY e.request_id) AS room FROM er e JOIN dec d USING (request_id, pos)),
- dr AS (SELECT *, greatest(0, room) AS room2, row_number() OVER (PARTITION BY request_id ORDER BY weight DESC, s DESC, pos) AS k FROM bo WHERE decision = 'drop'),
- re AS (SELECT request_id, 0 AS k, CAST(0 AS BIGINT) AS used, CAST(NULL AS INTEGER) AS pos, '' AS decision, CAST(0 AS BIGINT) AS tokens FROM (SELECT DISTINCT request_id FROM dr)
-  UNION ALL
-  SELECT d.request_id, CAST(d.k AS INTEGER), re.used + CASE WHEN d.token_count <= d.room2 - re.used THEN d.token_count ELSE 0 END, d.pos,
-   CASE WHEN d.token_count <= d.room2 - re.used THEN 'rescue' ELSE 'drop' END, CASE WHEN d.token_count <= d.room2 - re.used THEN d.token_count ELSE 0 END
-  FROM re JOIN dr d ON d.request_id = re.request_id AND d.k = re.k + 1),
- final AS (SELECT request_id, pos, decision, tokens FROM dec WHERE decision <> 'drop' UNION ALL SELECT request_id, pos, decision, tokens FROM re WHERE k > 0)"""
+_RESCUE = f"WITH RECURSIVE {_rescue_sql(FLAGGED, 'fw')}"
 
 
 @query(f"{_RESCUE} SELECT request_id, pos, decision, CAST(tokens AS BIGINT) AS tokens FROM final")
 def bud6_rescue(spark, sf):
-    marked = budget.split_rigid(flagged(segments(spark, sf)), POLICY)
-    return budget.rescue(marked, budget.elastic(marked, POLICY)).select("request_id", "pos", "decision", "tokens")
+    return budget.rescue(budget.split_rigid(flagged(segments(spark, sf)), POLICY), POLICY)
 
 
 @query(f"""{_RESCUE},
@@ -382,6 +549,13 @@ def bud8_alloc(spark, sf):
     return budget.allocation(decisions, POLICY).select("request_id", "type", F.col("used").cast("long"), F.col("dropped").cast("long"))
 
 
+@query(f"""{_RESCUE}, kp AS (SELECT e.*, coalesce(f.decision, 'rigid') AS decision, f.tokens AS ftok, min(pos) OVER (PARTITION BY request_id, type) AS type_first FROM ea e LEFT JOIN final f USING (request_id, pos))
+ SELECT request_id, segment_id, decision, CAST(CASE WHEN decision = 'truncate' THEN ftok ELSE token_count END AS INTEGER) AS token_count, CAST(row_number() OVER (PARTITION BY request_id ORDER BY CASE decision WHEN 'rigid' THEN 0 WHEN 'rescue' THEN 2 ELSE 1 END, CASE WHEN decision IN ('keep', 'truncate') THEN type_first ELSE 0 END, CASE WHEN decision = 'rigid' THEN pos ELSE 0 END, weight DESC, s DESC, pos) - 1 AS INTEGER) AS pos FROM kp WHERE decision <> 'drop'""")
+def bud7_allocate(spark, sf):
+    kept, decisions = budget.allocate(flagged(segments(spark, sf)), POLICY)
+    return kept.join(decisions.select("request_id", "segment_id", "decision"), ["request_id", "segment_id"]).select("request_id", "segment_id", "decision", "token_count", "pos")
+
+
 @query(f"WITH {SEGMENTS} SELECT count(*) AS bad FROM seg WHERE token_count IS NULL OR token_count < 0")
 def bud9_validate(spark, sf):
     return budget.invalid(segments(spark, sf)).agg(F.count("*").alias("bad"))
@@ -395,7 +569,16 @@ def bud10_bid(spark, sf):
     return budget.bids(flagged(segments(spark, sf)), POLICY).select("request_id", "pos", F.round("bid", 9).alias("bid"))
 
 
-@query()
+_BID_ROOM = "{left} > 0 AND b.token_count <= {left} AND b.token_count <= CASE b.type WHEN 'rag' THEN qr WHEN 'user' THEN qu WHEN 'assistant' THEN qa ELSE {left} END"
+_FITS = _BID_ROOM.format(left="w.room")
+
+
+@query(f"""WITH RECURSIVE {_BIDS}, b AS (SELECT request_id, pos, type, CAST(token_count AS BIGINT) AS token_count, row_number() OVER (PARTITION BY request_id ORDER BY bid DESC, pos) AS k FROM bd),
+ w AS (SELECT DISTINCT request_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS INTEGER) AS pos, FALSE AS kept, CAST({_AVAILABLE} AS BIGINT) AS room, CAST(1254 AS BIGINT) AS qr, CAST(537 AS BIGINT) AS qu, CAST(896 AS BIGINT) AS qa FROM b
+  UNION ALL
+  SELECT b.request_id, b.k, b.pos, {_FITS}, w.room - CASE WHEN {_FITS} THEN b.token_count ELSE 0 END, qr - CASE WHEN b.type = 'rag' AND {_FITS} THEN b.token_count ELSE 0 END, qu - CASE WHEN b.type = 'user' AND {_FITS} THEN b.token_count ELSE 0 END, qa - CASE WHEN b.type = 'assistant' AND {_FITS} THEN b.token_count ELSE 0 END
+  FROM w JOIN b ON b.request_id = w.request_id AND b.k = w.k + 1)
+ SELECT request_id, pos, kept FROM w WHERE k > 0""")
 def bud11_greedy(spark, sf):
     return budget.greedy(flagged(segments(spark, sf)), POLICY)
 
@@ -415,28 +598,40 @@ def cmp3_eligible(spark, sf):
 
 _WORDS = "list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')"
 _GRAMS = f"CASE WHEN len({_WORDS}) < 2 THEN CAST([] AS VARCHAR[]) ELSE list_distinct(list_transform(range(1, len({_WORDS})), lambda i: {_WORDS}[i] || ' ' || {_WORDS}[i + 1])) END"
-_KEYED = "lower(array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')[1:3], ' '))"
 
 
-@query(f"""WITH w AS (SELECT doc_id, {_WORDS} AS w, {_KEYED} AS k FROM documents),
- e AS (SELECT doc_id, k, unnest(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS g FROM w),
- c AS (SELECT doc_id, count(*) AS m FROM e GROUP BY 1),
- p AS (SELECT a.k, a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM e a JOIN e b ON a.k = b.k AND a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2, 3)
- SELECT a, b, round(n / (x.m + y.m - n), 9) AS similarity FROM p JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE n / (x.m + y.m - n) >= 0.85""")
+def _swept(base: str, source: str) -> str:
+    """Of rows (request_id, pos, content, weight, score): dp, the pairs of alike ones; dd, the places that go."""
+    words = "list_filter(string_split_regex(content, '\\s+'), lambda x: x <> '')"
+    grams = f"CASE WHEN len({words}) < 2 THEN CAST([] AS VARCHAR[]) ELSE list_distinct(list_transform(list_zip({words}[1:len({words}) - 1], {words}[2:]), lambda p: p[1] || ' ' || p[2])) END"
+    return f"""{base},
+ dg AS (SELECT request_id, pos, weight, coalesce(score, 0.0) AS ps, {grams} AS g FROM {source}),
+ di AS (SELECT a.request_id, a.pos AS a, b.pos AS b, a.weight AS wa, b.weight AS wb, a.ps AS sa, b.ps AS sb, len(a.g) AS la, len(b.g) AS lb, len(list_intersect(a.g, b.g)) AS n FROM dg a JOIN dg b ON a.request_id = b.request_id AND a.pos < b.pos AND (least(len(a.g), len(b.g)) >= 0.85 * greatest(len(a.g), len(b.g)))),
+ dp AS (SELECT *, CASE WHEN la + lb = 0 THEN 1.0 ELSE n / (la + lb - n) END AS similarity, row_number() OVER (PARTITION BY request_id ORDER BY a, b) AS k FROM di WHERE CASE WHEN la + lb = 0 THEN 1.0 ELSE n / (la + lb - n) END >= 0.85),
+ ds AS (SELECT DISTINCT request_id, CAST(0 AS BIGINT) AS k, CAST([] AS INTEGER[]) AS dead FROM dp
+  UNION ALL
+  SELECT p.request_id, p.k, CASE WHEN list_contains(ds.dead, p.a) OR list_contains(ds.dead, p.b) THEN ds.dead ELSE list_append(ds.dead, CASE WHEN (p.wb, p.sb) > (p.wa, p.sa) THEN p.a ELSE p.b END) END FROM ds JOIN dp p ON p.request_id = ds.request_id AND p.k = ds.k + 1),
+ dd AS (SELECT request_id, unnest(dead) AS pos FROM (SELECT request_id, max_by(dead, k) AS dead FROM ds GROUP BY 1))"""
+
+
+_PAIRS = f"WITH RECURSIVE {_swept(SEGMENTS + ', sw AS (SELECT *, 10 AS weight FROM seg)', 'sw')}"
+
+
+@query(f"{_PAIRS} SELECT request_id, a, b, round(similarity, 9) AS similarity FROM dp")
 def cmp5_pairs(spark, sf):
-    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    rows = table(spark, sf, "documents").select(F.lower(F.array_join(F.slice(words, 1, 3), " ")).alias("k"), F.col("doc_id").alias("pos"), F.col("text").alias("content"))
-    return compress.duplicate_pairs(rows, "k", bare=False).select("a", "b", F.round("similarity", 9).alias("similarity"))
+    return compress.duplicate_pairs(segments(spark, sf), "request_id").select("request_id", "a", "b", F.round("similarity", 9).alias("similarity"))
 
 
 @query()
 def cmp5_pairs_whole(spark, sf):
-    """As cmp5_pairs, over all documents as one group."""
+    """All documents as one group: pairs of alike classes by their least ids, and each class's other rows with it."""
     rows = table(spark, sf, "documents").select(F.lit(0).alias("k"), F.col("doc_id").alias("pos"), F.coalesce("text", F.lit("")).alias("content"))
-    return compress.duplicate_pairs(rows, "k").select("a", "b", F.round("similarity", 9).alias("similarity"))
+    members, pairs = compress.duplicate_classes(rows, "k")
+    own = members.filter("pos <> rep").select(F.col("rep").alias("a"), F.col("pos").alias("b"), F.lit(1.0).alias("similarity"))
+    return pairs.select("a", "b", F.round("similarity", 9).alias("similarity")).unionByName(own)
 
 
-@query()
+@query(f"{_PAIRS} SELECT s.request_id, s.pos, s.segment_id FROM seg s ANTI JOIN dd USING (request_id, pos)")
 def cmp5_dedup(spark, sf):
     return compress.drop_near_copies(segments(spark, sf)).select("request_id", "pos", "segment_id")
 
@@ -491,9 +686,9 @@ def cmp11_cut(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(F.right(F.col("text"), size).cast("binary")).alias("digest"))
 
 
-@query()
+@query(f"WITH {SEGMENTS}, j AS (SELECT request_id, trim(string_agg('[' || upper(type) || '] ' || content, chr(10) || chr(10) ORDER BY pos), {_BLANKS}) AS whole, CAST(sum(token_count) AS BIGINT) AS tokens_before, arg_min(segment_id, pos) AS first FROM seg GROUP BY 1) SELECT request_id, 'summary_' || first AS source_id, CAST(floor(length(rtrim(substr(whole, 1, 200), {_BLANKS})) / 4) AS INTEGER) AS token_count, tokens_before FROM j")
 def cmp12_summary(spark, sf):
-    return compress.summarise(segments(spark, sf), lambda text: text[:200]).select("request_id", "token_count", "tokens_before")
+    return compress.summarise(segments(spark, sf), lambda text: text[:200]).select("request_id", "source_id", "token_count", "tokens_before")
 
 
 @query(f"WITH {FLAGGED} SELECT request_id, pos, dense_rank() OVER (PARTITION BY request_id ORDER BY turn DESC) <= 2 AS recent FROM fl")
@@ -508,9 +703,33 @@ def cmp15_ratio(spark, sf):
     return sums.select("request_id", F.round(compress.ratio(F.col("before"), F.col("after")), 9).alias("ratio"), compress.saved(F.col("before"), F.col("after")).alias("saved"))
 
 
-@query()
+def _cut_step(level: str, source: str, available: int) -> str:
+    """One priority cut to what the others leave, in requests that are over."""
+    n = level[0]
+    return f"""
+ {n}1 AS (SELECT *, may AND priority = '{level}' AS own, sum(token_count) OVER (PARTITION BY request_id) AS total FROM {source}),
+ {n}2 AS (SELECT *, active AND total > {available} AND bool_or(own) OVER (PARTITION BY request_id) AS step, greatest(0, {available} - coalesce(sum(CASE WHEN NOT own THEN token_count END) OVER (PARTITION BY request_id), 0)) AS goal FROM {n}1),
+ {n}3 AS (SELECT *, sum(token_count) OVER (PARTITION BY request_id, own AND step ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM {n}2),
+ {n}4 AS (SELECT * REPLACE (CASE WHEN own AND step AND upto > goal THEN substr(content, 1, CAST(floor(length(content) * (goal - upto + token_count) / token_count) AS INTEGER)) ELSE content END AS content,
+   CAST(CASE WHEN own AND step AND upto > goal THEN goal - upto + token_count ELSE token_count END AS INTEGER) AS token_count), own AND step AND upto > goal AS cut FROM {n}3 WHERE NOT (own AND step) OR upto <= goal OR goal - upto + token_count > 0),
+ {n}5 AS (SELECT * EXCLUDE (own, step, goal, upto, total, cut) REPLACE (CAST(CASE WHEN step THEN row_number() OVER (PARTITION BY request_id ORDER BY CASE WHEN step AND own THEN 1 ELSE 0 END, pos) - 1 ELSE pos END AS INTEGER) AS pos) FROM {n}4 WHERE NOT cut OR length(content) > 0)"""
+
+
+def _cascade_sql(base: str, source: str, available: int) -> str:
+    """c5: rows of source (with weight) after the cascade."""
+    ready = f"""{base},
+ c1 AS (SELECT *, priority <> 'critical' AND compressible AND NOT must_keep AND (token_count = 0 OR token_count >= 50) AS may, sum(token_count) OVER (PARTITION BY request_id) / {available}.0 >= 0.85 AS active FROM {source}),
+ c2 AS (SELECT * FROM c1 WHERE active AND may)"""
+    return f"""{_swept(ready, 'c2')},
+ c3 AS (SELECT c1.*, bool_or(may) OVER (PARTITION BY request_id) AS anyone FROM c1 ANTI JOIN dd USING (request_id, pos)),
+ c4 AS (SELECT * EXCLUDE (anyone) REPLACE (CAST(CASE WHEN active AND anyone THEN row_number() OVER (PARTITION BY request_id ORDER BY CASE WHEN active AND anyone AND may THEN 1 ELSE 0 END, pos) - 1 ELSE pos END AS INTEGER) AS pos) FROM c3),
+ {_cut_step('low', 'c4', available)},{_cut_step('medium', 'l5', available)},{_cut_step('high', 'm5', available)},
+ c5 AS (SELECT * FROM h5)"""
+
+
+@query(f"WITH RECURSIVE {_cascade_sql(FLAGGED, 'fw', 1500)} SELECT request_id, pos, segment_id, token_count, md5(content) AS digest FROM c5")
 def cmp2_cascade(spark, sf):
-    return compress.cascade(segments(spark, sf), 1500).groupBy("request_id").agg(F.sum("token_count").alias("tokens"), F.count("*").alias("segments"))
+    return compress.cascade(flagged(segments(spark, sf)), 1500, on_over="keep").select("request_id", "pos", "segment_id", "token_count", _md5(F.col("content")))
 
 
 # --- assembly ---
@@ -533,18 +752,65 @@ def asm5_usage(spark, sf):
     return assemble.usage(segments(spark, sf), "type")
 
 
-@query()
+def _whole(cap: int | None) -> str:
+    """The whole assembly: p0 to p6 clean and choose, ea and final allocate, q2 is allocated, c5 compressed."""
+    capped = f" QUALIFY count(*) OVER (PARTITION BY request_id, type ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < {cap}" if cap else ""
+    base = f"""{SEGMENTS},
+ p0 AS (SELECT *, regexp_replace(nfc_normalize(content), '{_INVISIBLE}', '', 'g') AS c1 FROM seg),
+ p1 AS (SELECT *, {_plain(_uni('c1'))} AS h FROM p0 WHERE trim(c1, {_BLANKS}) <> ''),
+ p2 AS (SELECT * REPLACE (substr(h, 1, 10000) AS content), {_injected('h')} AS bad FROM p1),
+ p3 AS (SELECT * REPLACE ({TOKENS} AS token_count), 10 AS weight, coalesce(nullif(score, 0), 0.0) AS s FROM p2 WHERE NOT bad),
+ p4 AS (SELECT * FROM p3 QUALIFY row_number() OVER (PARTITION BY request_id, substr(md5(content), 1, 16) ORDER BY pos) = 1),
+ p5 AS (SELECT * FROM p4{capped}),
+ p6 AS (SELECT * REPLACE (CAST(row_number() OVER (PARTITION BY request_id ORDER BY weight DESC, s DESC, pos) - 1 AS INTEGER) AS pos) FROM p5)"""
+    kept = f"""{_rescue_sql(base, 'p6')},
+ q1 AS (SELECT e.*, coalesce(f.decision, 'rigid') AS decision, f.tokens AS ftok, min(pos) OVER (PARTITION BY request_id, type) AS type_first FROM ea e LEFT JOIN final f USING (request_id, pos)),
+ q2 AS (SELECT * REPLACE (CASE WHEN decision = 'truncate' THEN substr(content, 1, CAST(floor(length(content) * ftok / token_count) AS INTEGER)) || '...[truncated]' ELSE content END AS content, CAST(CASE WHEN decision = 'truncate' THEN ftok ELSE token_count END AS INTEGER) AS token_count,
+   CAST(row_number() OVER (PARTITION BY request_id ORDER BY CASE decision WHEN 'rigid' THEN 0 WHEN 'rescue' THEN 2 ELSE 1 END, CASE WHEN decision IN ('keep', 'truncate') THEN type_first ELSE 0 END, CASE WHEN decision = 'rigid' THEN pos ELSE 0 END, weight DESC, s DESC, pos) - 1 AS INTEGER) AS pos) FROM q1 WHERE decision <> 'drop')"""
+    return f"WITH RECURSIVE {_cascade_sql(kept, 'q2', _AVAILABLE)}"
+
+
+@query(f"{_whole(None)} SELECT request_id, type, CAST(sum(token_count) AS BIGINT) AS tokens, count(*) AS segments FROM c5 GROUP BY 1, 2")
 def full_pipeline_usage(spark, sf):
     kept, _ = pipeline.run(segments(spark, sf))
     return assemble.usage(kept, "type")
 
 
-@query()
+@query(f"{_whole(None)} SELECT request_id, segment_id, token_count, md5(content) AS digest, CAST(row_number() OVER (PARTITION BY request_id ORDER BY CASE WHEN type = 'system' THEN 0 ELSE 1 END, pos) - 1 AS INTEGER) AS pos FROM c5")
+def full_pipeline_segments(spark, sf):
+    kept, _ = pipeline.run(segments(spark, sf))
+    return kept.select("request_id", "segment_id", "token_count", _md5(F.col("content")), "pos")
+
+
+@query(f"""{_whole(20)}, au AS (SELECT 'normalize' AS stage, 'sanitize' AS decision, 'unicode_normalized' AS reason FROM p0 WHERE c1 <> content
+  UNION ALL SELECT 'normalize', 'drop', 'blank' FROM p0 WHERE trim(c1, {_BLANKS}) = '' UNION ALL SELECT 'sanitize', 'sanitize', 'cleaned' FROM p2 WHERE NOT bad AND content <> c1 UNION ALL SELECT 'sanitize', 'drop', 'injection' FROM p2 WHERE bad
+  UNION ALL SELECT 'rerank', 'drop', 'copy' FROM p3 ANTI JOIN p4 USING (request_id, segment_id) UNION ALL SELECT 'rerank', 'drop', 'cap' FROM p4 ANTI JOIN p5 USING (request_id, segment_id)
+  UNION ALL SELECT 'allocate', decision, 'budget_exceeded' FROM q1 WHERE decision IN ('drop', 'truncate') UNION ALL SELECT 'assemble', 'keep', 'budget_exceeded' FROM c5
+  UNION ALL SELECT 'compress', 'compress', 'window_saturation' FROM (SELECT request_id, sum(token_count) AS n FROM q2 GROUP BY 1) b LEFT JOIN (SELECT request_id, sum(token_count) AS m FROM c5 GROUP BY 1) c USING (request_id) WHERE n <> coalesce(m, 0))
+ SELECT stage, decision, reason, count(*) AS n FROM au GROUP BY ALL""")
 def full_pipeline_audit(spark, sf):
     _, rows = pipeline.run(segments(spark, sf), pipeline.Settings(most_per_type=20), write=True)
     return rows.groupBy("stage", "decision", "reason").agg(F.count("*").alias("n"))
 
 
+@query(f"{_whole(None)} SELECT request_id, type, CAST(sum(CASE WHEN coalesce(f.decision, '') = 'drop' THEN 0 ELSE coalesce(f.tokens, e.token_count) END) AS BIGINT) AS used FROM ea e LEFT JOIN final f USING (request_id, pos) GROUP BY 1, 2")
+def bud12_stage(spark, sf):
+    return pipeline.build(segments(spark, sf)).allocation.select("request_id", "type", "used")
+
+
+@query("SELECT conv_id AS request_id, conv_id % 2 = 0 AS hit FROM conversations GROUP BY 1")
+def cch7_cached_build(spark, sf):
+    """Even requests have an entry, every third one that doesn't read back; of these the odd ones' is their only one."""
+    rows = ingest.segments(ingest.messages(messages(spark, sf)))
+    keys = rows.groupBy("request_id").agg(K.build_key(model=F.lit("m"), messages=F.array_sort(F.collect_list(F.struct("pos", "content")))).alias("key"))
+    now = F.to_timestamp(F.lit("2024-01-01 00:05:00"))
+    first, entries, _ = pipeline.build_cached(rows, keys, keys.limit(0).select("key", F.lit("").alias("value"), now.alias("created"), F.lit(None).cast("long").alias("ttl")), now)
+    good = entries.join(keys, "key").filter("request_id % 2 = 0").select("key", "value")
+    bad = keys.filter("request_id % 2 = 1 and request_id % 3 = 0").select("key", F.lit("{").alias("value"))
+    cache = good.unionByName(bad).select("key", "value", F.to_timestamp(F.lit("2024-01-01 00:00:00")).alias("created"), F.lit(3600).cast("long").alias("ttl"))
+    return pipeline.build_cached(rows, keys, cache, now)[2].select("request_id", "hit")
+
+
 # --- routing ---
 
 _LOW = "lower(text)"
@@ -600,24 +866,35 @@ def rte6_cost(spark, sf):
     return routing.Router().route(_signals(spark, sf)).select("request_id", "turn", F.round("cost", 9).alias("cost"))
 
 
-_NAMES = ["gpt-4o", "opus", "claude-sonnet", "o1-preview", "gemini", "llama-3.1", "unknown", "GPT-4O-MINI-2024"]
-_FOUND = ["gpt-4o", "claude-opus-4-20250115", "claude-sonnet-4-5-20250514", "o1", "gemini-2.0-flash", "llama-3.1-70b", None, "gpt-4o-mini"]
+_REGISTRY = "rg AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{m[0]}', CAST({m[7]} AS DOUBLE), CAST({m[8]} AS DOUBLE))" for i, m in enumerate(routing.MODELS)) + ") v(i, model, cost_in, cost_out))"
+_ALIAS = "al AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{a}', '{m}')" for i, (a, m) in enumerate(routing.ALIASES.items())) + ") v(i, alias, target))"
+_ASKED = "nm AS (SELECT d.doc_id AS id, CASE d.doc_id % 5 WHEN 0 THEN r.model WHEN 1 THEN upper(r.model) || '-2024' WHEN 2 THEN substr(r.model, 1, 4 + d.doc_id % 7) WHEN 3 THEN a.alias ELSE 'x' || r.model END AS name FROM documents d JOIN rg r ON r.i = d.doc_id % 13 JOIN al a ON a.i = d.doc_id % 15)"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join("(CAST({} AS BIGINT), '{}', {})".format(i, n, "'" + m + "'" if m else "CAST(NULL AS VARCHAR)") for i, (n, m) in enumerate(zip(_NAMES, _FOUND))) + ") v(id, name, model)")
+@query(f"""WITH {_REGISTRY}, {_ALIAS}, {_ASKED}, pf AS (SELECT n.id, r.model, row_number() OVER (PARTITION BY n.id ORDER BY length(r.model) DESC, r.i) AS k FROM nm n JOIN rg r ON starts_with(lower(n.name), lower(r.model)) OR starts_with(lower(r.model), lower(n.name)))
+ SELECT n.id, n.name, coalesce(r.model, a.target, p.model) AS model FROM nm n LEFT JOIN rg r ON r.model = n.name LEFT JOIN al a ON a.alias = n.name LEFT JOIN pf p ON p.id = n.id AND p.k = 1""")
 def rte7_resolve(spark, sf):
-    return routing.resolve_names(_literals(spark, _NAMES).withColumnRenamed("t", "name")).select("id", "name", "model")
+    models = F.array(*[F.lit(m[0]) for m in routing.MODELS])
+    aliases = F.array(*[F.lit(a) for a in routing.ALIASES])
+    at = lambda a, n: F.get(a, (F.col("doc_id") % n).cast("int"))
+    k, model = F.col("doc_id") % 5, at(models, len(routing.MODELS))
+    name = F.when(k == 0, model).when(k == 1, F.concat(F.upper(model), F.lit("-2024"))).when(k == 2, F.substring(model, F.lit(1), (4 + F.col("doc_id") % 7).cast("int"))).when(k == 3, at(aliases, len(routing.ALIASES))).otherwise(F.concat(F.lit("x"), model))
+    return routing.resolve_names(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), name.alias("name"))).select("id", "name", "model")
 
 
-@query("SELECT 13 AS n, 6 AS thinking")
+@query(f"WITH {_REGISTRY}, t AS (SELECT sum(greatest(1, CAST(floor(length(text) / 4.0) AS INTEGER))) AS tokens, count(*) AS n FROM conversations) SELECT model, round(tokens / 1e6 * cost_in + n * 100 / 1e6 * cost_out, 6) AS cost FROM rg, t")
 def rte8_registry(spark, sf):
-    return routing.models(spark).agg(F.count("*").cast("int").alias("n"), F.sum(F.col("thinking").cast("int")).cast("int").alias("thinking"))
+    """What all conversations would cost on each model, at 100 tokens an answer."""
+    used = messages(spark, sf).agg(F.sum(T.token_count(F.col("content"))).alias("tokens"), F.count("*").alias("n"))
+    costs = F.array(*[F.struct(F.lit(m[0]).alias("model"), F.lit(m[7]).alias("cost_in"), F.lit(m[8]).alias("cost_out")) for m in routing.MODELS])
+    return used.select("tokens", "n", F.explode(costs).alias("m")).select("m.model", F.round(F.col("tokens") / 1e6 * F.col("m.cost_in") + F.col("n") * 100 / 1e6 * F.col("m.cost_out"), 6).alias("cost"))
 
 
-@query()
+@query(f"WITH {_SIGNALS} SELECT request_id, turn, CASE WHEN query_length % 7 = 0 THEN level WHEN query_length < 100 THEN 'simple' ELSE 'complex' END AS level FROM sl")
 def rte9_llm(spark, sf):
     rows = messages(spark, sf).select("request_id", F.col("at").alias("turn"), F.col("content").alias("query"))
-    return routing.llm_levels(rows, lambda q: '```json\n{"complexity": "' + ("simple" if len(q) < 100 else "complex") + '"}\n```').select("request_id", "turn", "level")
+    answer = lambda q: "none" if len(q) % 7 == 0 else '```json\n{"complexity": "' + ("simple" if len(q) < 100 else "complex") + '"}\n```'
+    return routing.llm_levels(rows, answer).select("request_id", "turn", "level")
 
 
 @query("SELECT conv_id AS request_id, turn, CASE WHEN length(text) < 50 THEN 'simple' WHEN length(text) < 150 THEN 'moderate' WHEN length(text) < 400 THEN 'complex' ELSE 'expert' END AS level FROM conversations")
@@ -634,45 +911,51 @@ def rte12_query_text(spark, sf):
 
 # --- keys ---
 
-_US = "chr(31)"
+_SPACES = "trim(regexp_replace(nfc_normalize({}), '\\s+', ' ', 'g'))"
 
 
-@query(f"SELECT conv_id, turn, sha256(role || {_US} || text) AS key FROM conversations")
+@query("SELECT conv_id, turn, sha256(CAST(json_object('model', CASE WHEN turn % 3 = 0 THEN NULL ELSE 'm' END, 'role', role, 'text', text) AS VARCHAR)) AS key FROM conversations")
 def key1_build(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", K.build_key(F.col("role"), F.col("text")).alias("key"))
+    model = F.when(F.col("turn") % 3 != 0, "m")
+    return table(spark, sf, "conversations").select("conv_id", "turn", K.build_key(text=F.col("text"), role=F.col("role"), model=model).alias("key"))
 
 
-@query("SELECT conv_id, turn, 'segment:gpt-4o:' || sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS key FROM conversations")
+@query(f"SELECT doc_id, 'segment:gpt-4o:' || sha256({_SPACES.format('text')}) AS key, 'segment:gpt-4o:' || sha256(text) AS exact FROM documents")
 def key2_segment(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", K.segment_key(F.lit("gpt-4o"), F.col("text")).alias("key"))
+    return table(spark, sf, "documents").select("doc_id", K.segment_key(F.lit("gpt-4o"), F.col("text")).alias("key"), K.segment_key(F.lit("gpt-4o"), F.col("text"), False).alias("exact"))
 
 
 def _texts(spark, sf) -> DataFrame:
     return table(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("m"))
 
 
-@query(f"SELECT conv_id, 'prefix:gpt-4o:default:' || sha256(string_agg(text, {_US} ORDER BY turn)) AS key FROM conversations GROUP BY 1")
+@query("SELECT conv_id, 'prefix:gpt-4o:default:' || sha256(CAST(to_json(list(text ORDER BY turn)) AS VARCHAR)) AS key FROM conversations GROUP BY 1")
 def key3_prefix(spark, sf):
     return _texts(spark, sf).select("conv_id", K.prefix_key(F.lit("gpt-4o"), F.col("m")).alias("key"))
 
 
-@query(f"SELECT conv_id, turn, 'context:gpt-4o:v2:' || sha256(role || {_US} || turn) AS key FROM conversations")
+@query("SELECT conv_id, 'context:gpt-4o:v2:' || sha256(CAST(to_json(list({'content': text, 'type': role} ORDER BY turn)) AS VARCHAR)) AS key FROM conversations GROUP BY 1")
 def key4_context(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", K.context_key(F.lit("gpt-4o"), F.lit("v2"), F.col("role"), F.col("turn")).alias("key"))
+    rows = table(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text", "role"))), lambda x: F.struct(x["text"].alias("content"), x["role"].alias("type"))).alias("m"))
+    return rows.select("conv_id", K.context_key(F.lit("gpt-4o"), F.lit("v2"), F.col("m")).alias("key"))
 
 
-@query(f"""WITH a AS (SELECT conv_id, text, turn, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations)
- SELECT conv_id, 'prefix_match:gpt-4o:v2:' || substr(sha256(array_to_string(list_concat(['sys'], coalesce(list(text ORDER BY turn) FILTER (k < n), [])), {_US})), 1, 16) AS key FROM a GROUP BY 1""")
+@query("""WITH a AS (SELECT conv_id, text, turn, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations)
+ SELECT conv_id, 'prefix_match:gpt-4o:v2:' || substr(sha256(CAST(to_json(list_concat(['sys'], coalesce(list(text ORDER BY turn) FILTER (k < n), []))) AS VARCHAR)), 1, 16) AS key FROM a GROUP BY 1""")
 def key5_prefix_match(spark, sf):
     return _texts(spark, sf).select("conv_id", K.prefix_match_key(F.lit("gpt-4o"), F.lit("v2"), F.lit("sys"), F.col("m")).alias("key"))
 
 
-_KEYS = ["segment:m:h1", "prefix:m:v:h2", "context:m:v:h3", "prefix_match:m:v:h4", "what:is:this"]
+_MADE = "CASE conv_id % 5 WHEN 0 THEN 'segment:m:h' WHEN 1 THEN 'prefix:m:v:h' WHEN 2 THEN 'context:m:v:h' WHEN 3 THEN 'prefix_match:m:v:h' ELSE 'what:is:' END || conv_id || CASE WHEN turn % 4 = 3 THEN ':more' ELSE '' END"
 
 
-@query("SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'segment', 'm', NULL, 'h1'), (1, 'prefix', 'm', 'v', 'h2'), (2, 'context', 'm', 'v', 'h3'), (3, 'prefix_match', 'm', 'v', 'h4'), (4, 'raw', NULL, NULL, 'what:is:this')) v(id, kind, model, version, hash)")
+@query(f"""WITH k AS (SELECT conv_id, turn, {_MADE} AS k FROM conversations), p AS (SELECT *, string_split(k, ':') AS x FROM k), q AS (SELECT *, (x[1] = 'segment' AND len(x) = 3) AS two, (x[1] IN ('prefix', 'context', 'prefix_match') AND len(x) = 4) AS three FROM p)
+ SELECT conv_id, turn, CASE WHEN two OR three THEN x[1] ELSE 'raw' END AS kind, CASE WHEN two OR three THEN x[2] END AS model, CASE WHEN three THEN x[3] END AS version, CASE WHEN two THEN x[3] WHEN three THEN x[4] ELSE k END AS hash FROM q""")
 def key6_parse(spark, sf):
-    return _literals(spark, _KEYS).select("id", K.parse_key(F.col("t")).alias("k")).select("id", "k.*")
+    k = F.col("conv_id") % 5
+    start = F.when(k == 0, "segment:m:h").when(k == 1, "prefix:m:v:h").when(k == 2, "context:m:v:h").when(k == 3, "prefix_match:m:v:h").otherwise("what:is:")
+    key = F.concat(start, F.col("conv_id").cast("string"), F.when(F.col("turn") % 4 == 3, ":more").otherwise(""))
+    return table(spark, sf, "conversations").select("conv_id", "turn", K.parse_key(key).alias("k")).select("conv_id", "turn", "k.*")
 
 
 # --- metrics ---
@@ -683,11 +966,12 @@ def obs1_ring(spark, sf):
     return inspect.ring(table(spark, sf, "events"), 100, "event_type", ("ts", "event_id")).select("event_id", "event_type")
 
 
-@query(f"""WITH {SEGMENTS}, a AS (SELECT request_id, CAST(sum(token_count) AS DOUBLE) AS tokens, CAST(count(*) AS DOUBLE) AS segments, round(sum(token_count) / {_AVAILABLE}.0, 9) AS utilisation FROM seg GROUP BY 1)
- UNPIVOT a ON tokens, segments, utilisation INTO NAME name VALUE value""")
+@query(f"""{_RESCUE}, al AS (SELECT e.request_id, coalesce(f.decision, 'rigid') AS decision, CASE WHEN f.decision = 'truncate' THEN f.tokens ELSE e.token_count END AS tok FROM ea e LEFT JOIN final f USING (request_id, pos)),
+ a AS (SELECT request_id, CAST(sum(tok) FILTER (decision <> 'drop') AS DOUBLE) AS total_tokens, CAST(count(*) FILTER (decision <> 'drop') AS DOUBLE) AS segment_count, CAST(count(*) FILTER (decision = 'drop') AS DOUBLE) AS dropped_count, CAST(nullif(count(*) FILTER (decision = 'truncate'), 0) AS DOUBLE) AS truncated_count, round(sum(tok) FILTER (decision <> 'drop') / {_AVAILABLE}.0, 9) AS token_utilization FROM al GROUP BY 1)
+ UNPIVOT a ON total_tokens, segment_count, dropped_count, truncated_count, token_utilization INTO NAME name VALUE value""")
 def obs2_package(spark, sf):
-    rows = segments(spark, sf).groupBy("request_id").agg(F.sum("token_count").cast("double").alias("tokens"), F.count("*").cast("double").alias("segments"), F.round(F.sum("token_count") / POLICY.available, 9).alias("utilisation"))
-    return rows.unpivot("request_id", ["tokens", "segments", "utilisation"], "name", "value")
+    kept, decided = budget.allocate(flagged(segments(spark, sf)), POLICY)
+    return inspect.package_metrics(kept, decided, POLICY.available).withColumn("value", F.round("value", 9))
 
 
 _SUMMARY = "count(value) AS n, min(value) AS least, max(value) AS greatest, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99"
@@ -701,7 +985,7 @@ def obs3_summary(spark, sf):
 
 @query("SELECT user_id, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY 1")
 def obs4_percentile(spark, sf):
-    return table(spark, sf, "events").groupBy("user_id").agg(F.round(F.percentile("value", 0.9), 6).alias("p90"))
+    return inspect.percentiles(table(spark, sf, "events"), ["user_id"], {"p90": 0.9}).select("user_id", F.round("p90", 6).alias("p90"))
 
 
 @query("SELECT event_type, count(*) AS n FROM events WHERE event_type = 'click' AND user_id % 2 = 0 GROUP BY 1")
@@ -712,22 +996,22 @@ def obs5_tags(spark, sf):
 
 @query("SELECT event_type AS name, count(*) AS n FROM events GROUP BY 1")
 def obs6_names(spark, sf):
-    return table(spark, sf, "events").groupBy(F.col("event_type").alias("name")).agg(F.count("*").alias("n"))
+    return inspect.names(table(spark, sf, "events"), "event_type")
 
 
-@query(f"WITH {SEGMENTS} SELECT request_id % 3 AS model, count(DISTINCT request_id) AS snapshots, CAST(sum(token_count) AS BIGINT) AS tokens FROM seg GROUP BY 1")
+@query(f"WITH {SEGMENTS} SELECT request_id % 3 AS model, count(DISTINCT request_id) AS snapshots, CAST(sum(token_count) AS BIGINT) AS tokens, round(sum(token_count) / count(DISTINCT request_id), 6) AS mean FROM seg GROUP BY 1")
 def obs7_models(spark, sf):
-    return segments(spark, sf).groupBy((F.col("request_id") % 3).alias("model")).agg(F.countDistinct("request_id").alias("snapshots"), F.sum("token_count").alias("tokens"))
+    return inspect.by_model(segments(spark, sf).withColumn("model", F.col("request_id") % 3)).withColumn("mean", F.round("mean", 6))
 
 
 @query(f"{_RESCUE} SELECT coalesce(f.decision, 'rigid') AS decision, count(*) AS n FROM ea e LEFT JOIN final f USING (request_id, pos) GROUP BY 1")
 def obs8_decisions(spark, sf):
-    return budget.allocate(flagged(segments(spark, sf)), POLICY)[1].groupBy("decision").agg(F.count("*").alias("n"))
+    return inspect.decisions(budget.allocate(flagged(segments(spark, sf)), POLICY)[1])
 
 
 @query("SELECT CAST(time_bucket(INTERVAL '5 minutes', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
 def str4_windows(spark, sf):
-    return stateful.windowed_metrics(table(spark, sf, "events")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
+    return run.run_once(stateful.windowed_metrics(run.stream_of(spark, sf, "events"))).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
 
 
 # --- differences and golden checks ---
@@ -791,10 +1075,20 @@ def dif6_summary(spark, sf):
     return inspect.diff_summary(inspect.diff_segments(*_variants(spark, sf)))
 
 
-@query(f"WITH {_USAGE} SELECT request_id, CAST(CASE WHEN request_id % 3 = 0 THEN 9 ELSE 0 END AS BIGINT) AS token_delta FROM us")
+@query(f"""WITH {SEGMENTS}, us AS (SELECT request_id, CAST(sum(token_count) AS BIGINT) AS t, count(*) AS n, CAST(sum(token_count) FILTER (pos % 7 <> 4) AS BIGINT) AS t2, count(*) FILTER (pos % 7 <> 4) AS n2 FROM seg GROUP BY 1)
+ SELECT request_id, 'tokens' AS field, coalesce(t2, 0) - t AS delta FROM us UNION ALL SELECT request_id, 'segments', n2 - n FROM us""")
 def dif8_delta(spark, sf):
-    a, b = _usage(spark, sf, 0), _usage(spark, sf, 9)
-    return a.join(b.select("request_id", F.col("tokens").alias("after")), "request_id").select("request_id", (F.col("after") - F.col("tokens")).alias("token_delta"))
+    seg = segments(spark, sf)
+    total = lambda df: df.groupBy("request_id").agg(F.sum("token_count").alias("tokens"), F.count("*").alias("segments"))
+    return inspect.diff_amounts(total(seg), total(seg.filter("pos % 7 <> 4")), "request_id", ["tokens", "segments"])
+
+
+@query(f"""WITH {SEGMENTS}, a AS (SELECT DISTINCT request_id, type || token_count % 3 AS w FROM seg WHERE pos % 2 = 0), b AS (SELECT DISTINCT request_id, type || token_count % 3 AS w FROM seg WHERE pos % 2 = 1)
+ SELECT request_id, 'added' AS change, w AS value FROM b ANTI JOIN a USING (request_id, w) UNION ALL SELECT request_id, 'removed', w FROM a ANTI JOIN b USING (request_id, w)""")
+def dif8_warnings(spark, sf):
+    seg = segments(spark, sf).withColumn("w", F.concat("type", (F.col("token_count") % 3).cast("string")))
+    own = lambda k: seg.filter(F.col("pos") % 2 == k).groupBy("request_id").agg(F.collect_set("w").alias("w"))
+    return inspect.diff_sets(own(0), own(1), "request_id", "w")
 
 
 _CHECKS = f"""{_USAGE}, ck AS (SELECT request_id, 'segments' AS "check", TRUE AS passed FROM us UNION ALL SELECT request_id, 'model', request_id % 3 <> 0 FROM us UNION ALL
@@ -815,11 +1109,25 @@ def gld2_counts(spark, sf):
     return _checks(spark, sf).filter("check = 'segments'").select("request_id", "passed")
 
 
-@query(f"WITH {SEGMENTS}, t AS (SELECT request_id, type, count(*) AS n FROM seg GROUP BY 1, 2) SELECT request_id, string_agg(type || '=' || n, ',' ORDER BY type) AS types, TRUE AS passed FROM t GROUP BY 1")
+_TYPES = "string_agg(type || '=' || n, ',' ORDER BY type)"
+
+
+@query(f"""WITH {SEGMENTS}, t AS (SELECT request_id, type, count(*) AS n FROM seg GROUP BY 1, 2), u AS (SELECT request_id, type, count(*) AS n FROM seg WHERE pos <> 9 GROUP BY 1, 2), e AS (SELECT request_id, {_TYPES} AS types FROM t GROUP BY 1), a AS (SELECT request_id, {_TYPES} AS types FROM u GROUP BY 1)
+ SELECT request_id, coalesce(e.types = a.types, FALSE) AS passed FROM e FULL JOIN a USING (request_id)""")
 def gld3_types(spark, sf):
-    counts = segments(spark, sf).groupBy("request_id", "type").agg(F.count("*").alias("n"))
-    types = counts.groupBy("request_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat("type", F.lit("="), F.col("n").cast("string")))), ",").alias("types"))
-    return types.select("request_id", "types", (F.col("types") == F.col("types")).alias("passed"))
+    def types(df):
+        counts = df.groupBy("request_id", "type").agg(F.count("*").alias("n"))
+        return counts.groupBy("request_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat("type", F.lit("="), F.col("n").cast("string")))), ",").alias("types"))
+
+    seg = segments(spark, sf)
+    return inspect.golden(types(seg), types(seg.filter("pos <> 9")), "request_id", ["types"], []).select("request_id", "passed")
+
+
+@query(f"WITH {_USAGE} SELECT request_id, tokens > 2000 AS passed FROM us")
+def gld4_custom(spark, sf):
+    rows = _usage(spark, sf, 0)
+    checks = inspect.golden(rows, rows, "request_id", ["segments"], [], custom={"long": lambda df: F.col("tokens") > 2000})
+    return checks.filter("check = 'long'").select("request_id", "passed")
 
 
 @query(f"WITH {_CHECKS} SELECT request_id, bool_and(passed) AS passed, CAST(count(*) FILTER (NOT passed) AS BIGINT) AS failed FROM ck GROUP BY 1")
@@ -827,10 +1135,9 @@ def gld5_run(spark, sf):
     return inspect.golden_run(_checks(spark, sf), "request_id")
 
 
-@query("SELECT TRUE AS passed")
+@query(f"WITH {_DIFF} SELECT count(*) = 0 AS passed, count(*) AS changes FROM df")
 def gld6_snapshot(spark, sf):
-    old, _ = _variants(spark, sf)
-    return inspect.diff_segments(old, old).agg((F.count("*") == 0).alias("passed"))
+    return inspect.same_as_snapshot(*_variants(spark, sf))
 
 
 # --- lint ---
@@ -875,11 +1182,11 @@ def ap5_rigid(spark, sf):
     return inspect.rigid_too_large(segments(spark, sf), POLICY.available, 0.01).withColumn("worst", F.round("worst", 9))
 
 
-@query(f"WITH {SEGMENTS}, b AS (SELECT request_id, count(*) AS k, max(pos) AS w FROM seg WHERE pos > 30 GROUP BY 1) " + _lint("outdated", "warning", "k", "w", "b"))
+@query(f"WITH {SEGMENTS}, b AS (SELECT request_id, count(*) AS k, max(pos) AS w FROM seg WHERE pos > 5 GROUP BY 1) " + _lint("outdated", "warning", "k", "w", "b"))
 def ap6_outdated(spark, sf):
     now = F.to_timestamp(F.lit("2024-06-01 00:00:00"))
     rows = segments(spark, sf).withColumn("injected_at", F.timestamp_seconds(F.unix_timestamp(now) - F.col("pos") * 86400))
-    return inspect.outdated(rows, now)
+    return inspect.outdated(rows, now, 5)
 
 
 @query(f"WITH {SEGMENTS}, b AS (SELECT request_id, count(*) AS k, min((pos % 20) / 100.0) AS w FROM seg WHERE pos % 20 < 10 AND pos % 2 = 0 GROUP BY 1) " + _lint("over_compressed", "warning", "k", "w", "b"))
@@ -908,7 +1215,12 @@ def ap10_unsanitised(spark, sf):
 @query(f"WITH {FLAGGED}, b AS (SELECT namespace FROM fl WHERE namespace NOT IN ('default', 'global') GROUP BY request_id, namespace) SELECT 'namespace_leak' AS rule, 'critical' AS severity, count(*) AS findings FROM b")
 def ap11_detect(spark, sf):
     seg = flagged(segments(spark, sf))
-    found = inspect.detect(inspect.namespace_leak(seg), inspect.missing_tokens(seg.filter("token_count > 0")), inspect.too_many_critical(seg, 2.0))
+    rules = inspect.Rules()
+    rules.register("failing", "info", lambda c: c.select(F.raise_error(F.lit("no"))))
+    rules.register("critical", "warning", lambda c: inspect.too_many_critical(c, 2.0))
+    rules.register("leak", "critical", inspect.namespace_leak)
+    rules.register("missing", "critical", lambda c: inspect.missing_tokens(c.filter("token_count > 0")))
+    found = rules.detect(seg)
     return found.groupBy("rule", "severity").agg(F.count("*").alias("findings"))
 
 
@@ -955,9 +1267,13 @@ def bus6_stats(spark, sf):
 
 @query(f"WITH {FLAGGED}, {_AGENT_SQL} SELECT agent_id, namespace, ns = namespace OR namespace = 'default' AS allowed FROM (SELECT DISTINCT namespace FROM fl), ag")
 def bus7_access(spark, sf):
-    spaces = flagged(segments(spark, sf)).select("namespace").distinct()
-    agent = F.explode(F.array(*[F.struct(F.lit(a).alias("agent_id"), F.lit(n).alias("ns")) for a, n in _AGENTS]))
-    return spaces.select("namespace", agent.alias("a")).select("a.agent_id", "namespace", ((F.col("a.ns") == F.col("namespace")) | (F.col("namespace") == "default")).alias("allowed"))
+    return inspect.may_see(_agents(spark), flagged(segments(spark, sf)).select("namespace").distinct())
+
+
+@query(f"WITH {FLAGGED}, sp AS (SELECT namespace, count(*) AS k FROM fl WHERE visibility <> 'INTERNAL' GROUP BY 1) SELECT 'context_handoff' AS event_type, 'coder' AS publisher_id, 'reader' AS to_agent, k AS segment_count, 'r' AS reason FROM sp WHERE namespace = 'tools'")
+def bus4_event(spark, sf):
+    requests = spark.createDataFrame([("coder", "reader", None, "r")], "from_agent string, to_agent string, segment_ids array<string>, reason string")
+    return inspect.hand_off_agents(requests, _agents(spark), flagged(segments(spark, sf)))[1]
 
 
 # --- cache ---
@@ -970,7 +1286,7 @@ def _cache(spark, sf) -> tuple[DataFrame, DataFrame]:
     return rows, stored
 
 
-_CACHED = """rw AS (SELECT 'segment:m:' || sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS key, conv_id, turn FROM conversations),
+_CACHED = """rw AS (SELECT 'segment:m:' || sha256(trim(regexp_replace(nfc_normalize(text), '\\s+', ' ', 'g'))) AS key, conv_id, turn FROM conversations),
  en AS (SELECT key, CAST(min(conv_id) AS VARCHAR) AS value, min(turn) AS t FROM rw WHERE turn % 2 = 0 GROUP BY 1)"""
 
 
@@ -989,10 +1305,10 @@ def cch2_ttl(spark, sf):
     return inspect.lookup(rows, stored, F.to_timestamp(F.lit("2024-01-01 00:05:00"))).select("conv_id", "turn", "hit")
 
 
-@query(f"WITH {_CACHED} SELECT CAST(count(e.key) AS BIGINT) AS hits, CAST(count(*) - count(e.key) AS BIGINT) AS misses, round(count(e.key) / count(*), 9) AS hit_rate FROM rw {_LIVE}")
+@query(f"WITH {_CACHED} SELECT CAST(count(e.key) AS BIGINT) AS hits, CAST(count(*) - count(e.key) AS BIGINT) AS misses, round(count(e.key) / count(*), 9) AS hit_rate, 8 AS sets, 2 AS evictions, 0.25 AS eviction_rate FROM rw {_LIVE}")
 def cch4_stats(spark, sf):
     rows, stored = _cache(spark, sf)
-    return inspect.cache_stats(inspect.lookup(rows, stored, F.to_timestamp(F.lit("2024-01-01 00:05:00")))).withColumn("hit_rate", F.round("hit_rate", 9))
+    return inspect.cache_stats(inspect.lookup(rows, stored, F.to_timestamp(F.lit("2024-01-01 00:05:00"))), 8, 2).withColumn("hit_rate", F.round("hit_rate", 9))
 
 
 @query("SELECT event_id AS key FROM events ORDER BY ts DESC, event_id LIMIT 50")
@@ -1023,13 +1339,14 @@ def str3_history(spark, sf):
     return run.run_once(stateful.recent_history(rows, 100))
 
 
-@query("SELECT DISTINCT user_id AS key FROM events")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT user_id AS key, ts FROM events), r AS (SELECT key, min(ts) AS created FROM e GROUP BY 1 UNION ALL SELECT e.key, min(e.ts) FROM r JOIN e ON e.key = r.key AND e.ts >= r.created + INTERVAL 12 HOURS GROUP BY e.key, r.created)
+ SELECT key, CAST(epoch_us(created) AS BIGINT) AS created FROM r""")
 def str5_expiring(spark, sf):
     rows = run.stream_of(spark, sf, "events").select(F.col("user_id").alias("key"), "ts")
-    return run.run_once(stateful.expiring_cache(rows, "36500 days"), "append").select("key")
+    return run.run_once(stateful.expiring_cache(rows, 12 * 3600), "append").select("key", F.unix_micros("created").alias("created"))
 
 
-@query("SELECT conv_id AS request_id, turn, floor(turn / 2) AS age FROM conversations WHERE 3 - floor(turn / 2) < 3")
+@query("SELECT conv_id AS request_id, turn, CAST(3 - floor(turn / 2) AS BIGINT) AS age FROM conversations WHERE 3 - floor(turn / 2) < 3")
 def str2_turn_ages(spark, sf):
-    rows = run.stream_of(spark, sf, "conversations").select(F.col("conv_id").alias("request_id"), "turn", F.floor(F.col("turn") / 2).cast("double").alias("age"))
-    return run.run_once(rows.filter(3 - F.col("age") < 3), "append")
+    rows = run.stream_of(spark, sf, "conversations").select(F.col("conv_id").alias("request_id"), "turn")
+    return run.run_once(stateful.turn_ages(rows, 3, 3), "append")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ctxloom.functions.text import token_count
+from ctxloom.functions.text import indented, token_count
 
 KINDS = ("system", "few_shot", "tool", "message", "rag", "state", "extra")
 COLUMNS = ("request_id", "kind", "at", "type", "role", "content", "priority", "must_keep", "locked", "compressible", "ttl", "namespace", "visibility", "source_id", "score", "rerank_score", "turn")
@@ -34,7 +34,11 @@ def few_shot(df: DataFrame) -> DataFrame:
 
 
 def tools(df: DataFrame) -> DataFrame:
-    """df: (request_id, at, name, content), content the tool's JSON."""
+    """df: (request_id, at, name, content), content the tool's JSON; or (request_id, at, tool), a struct or map, whose name
+    is its own and whose JSON is made, indented."""
+    if "tool" in df.columns:
+        name = F.get_json_object(F.to_json("tool"), "$.name")
+        df = df.select("request_id", "at", name.alias("name"), indented(F.to_json("tool")).alias("content"))
     return _rows(df, "tool", at=F.col("at"), type=F.lit("tool_definition"), role=F.lit("system"), content=F.col("content"), priority=F.lit("high"), namespace=F.lit("tools"), source_id=F.concat(F.lit("tool_"), F.coalesce("name", F.col("at").cast("string"))))
 
 
@@ -50,7 +54,10 @@ def rag(df: DataFrame, current_turn: int = 0) -> DataFrame:
 
 
 def state(df: DataFrame, prefix: str = "Current state:\n") -> DataFrame:
-    """df: (request_id, content), content the state's JSON."""
+    """df: (request_id, content), content the state's JSON; or (request_id, state), a struct or map, whose JSON is made,
+    indented.  An empty state gives no segment."""
+    if "state" in df.columns:
+        df = df.select("request_id", indented(F.to_json("state")).alias("content"))
     return _rows(df.filter(F.length("content") > 2), "state", at=F.lit(0), type=F.lit("state"), role=F.lit("system"), content=F.concat(F.lit(prefix), F.col("content")), priority=F.lit("high"), must_keep=F.lit(True), source_id=F.lit("state_anchor"))
 
 

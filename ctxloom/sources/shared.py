@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -17,3 +18,11 @@ def shared_dir(spark: SparkSession) -> str:
         found = f"file://{tempfile.mkdtemp(prefix='ctxloom-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df's rows, written to the shared folder and read again."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/ctxloom-stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

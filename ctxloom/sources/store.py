@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,19 +38,64 @@ def save(segments: DataFrame, path: str, model: str, at: str, tags: dict[str, st
     segments.withColumn("snapshot_id", ident).withColumn("taken", F.lit(at)).withColumn("tags", tag).withColumn("model", F.lit(model)).write.mode("append").partitionBy("model").parquet(path)
 
 
+class SnapshotMissing(KeyError):
+    """There is no snapshot of an id."""
+
+
+def _deleted(path: str) -> str:
+    return path.rstrip("/") + ".deleted"
+
+
+def _live(spark: SparkSession, path: str) -> DataFrame:
+    """Snapshots but the deleted ones, whose ids are a table beside them."""
+    rows = spark.read.parquet(path)
+    try:
+        gone = spark.read.schema("snapshot_id string").parquet(_deleted(path))
+    except AnalysisException:
+        return rows
+    return rows.join(gone.distinct(), "snapshot_id", "left_anti")
+
+
 def load(spark: SparkSession, path: str, snapshot_id: str) -> DataFrame:
-    return spark.read.parquet(path).filter(F.col("snapshot_id") == snapshot_id)
+    rows = _live(spark, path).filter(F.col("snapshot_id") == snapshot_id)
+    if not rows.limit(1).count():
+        raise SnapshotMissing(snapshot_id)
+    return rows
 
 
-def search(spark: SparkSession, path: str, tags: dict[str, str] | None = None, model: str | None = None, most: int = 100) -> DataFrame:
+def search(spark: SparkSession, path: str, tags: dict[str, str] | None = None, model: str | None = None, most: int | None = 100) -> DataFrame:
     """The latest snapshots that carry all tags, one row each."""
-    rows = spark.read.parquet(path)
+    rows = _live(spark, path)
     rows = rows.filter(F.col("model") == model) if model else rows
     for k, v in (tags or {}).items():
         rows = rows.filter(F.col("tags")[k] == v)
-    return rows.groupBy("snapshot_id", "taken", "model").agg(F.sum("token_count").alias("tokens"), F.count("*").alias("segments")).orderBy(F.desc("snapshot_id")).limit(most)
+    found = rows.groupBy("snapshot_id", "taken", "model").agg(F.sum("token_count").alias("tokens"), F.count("*").alias("segments"))
+    return found.orderBy(F.desc("snapshot_id")).limit(most) if most is not None else found
+
+
+def list_all(spark: SparkSession, path: str) -> DataFrame:
+    return search(spark, path, most=None)
+
+
+def delete(spark: SparkSession, path: str, snapshot_id: str) -> bool:
+    """Whether there was such a snapshot; its rows go when the store is compacted."""
+    rows = _live(spark, path).filter(F.col("snapshot_id") == snapshot_id).select("snapshot_id").limit(1)
+    if not rows.count():
+        return False
+    rows.write.mode("append").parquet(_deleted(path))
+    return True
+
+
+def clean_up(spark: SparkSession, path: str, before: str) -> None:
+    """Deletes snapshots taken before a time."""
+    old = _live(spark, path).filter(F.col("taken") < before).select("snapshot_id").distinct()
+    old.write.mode("append").parquet(_deleted(path))
+
+
+def compact(spark: SparkSession, path: str, to: str) -> None:
+    """Writes what is live to a new place; switch readers over to it."""
+    _live(spark, path).write.partitionBy("model").parquet(to)
 
 
 def newer(spark: SparkSession, path: str, since: str) -> DataFrame:
-    """What a clean-up keeps; write it to a new place and switch readers over."""
-    return spark.read.parquet(path).filter(F.col("taken") >= since)
+    return _live(spark, path).filter(F.col("taken") >= since)

@@ -35,9 +35,29 @@ def rolling_summaries(messages: DataFrame, provider: Callable[[str, str], str],
     return messages.groupBy("request_id").applyInPandasWithState(fold, f"request_id {kind}, summary string, folded long, held long", "summary string, folded long, turns array<long>, texts array<string>", "update", "NoTimeout")
 
 
-def expiring_cache(puts: DataFrame, ttl: str = "10 minutes") -> DataFrame:
-    """The first put of each key within the time to live; state older than the watermark goes."""
-    return puts.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["key"])
+def turn_ages(messages: DataFrame, current_turn: int, ttl: int) -> DataFrame:
+    """Streams of (request_id, turn, ...): rows with the age of their turn, two messages a turn, while it is under ttl."""
+    return messages.withColumn("age", F.lit(current_turn) - F.floor(F.col("turn") / 2)).filter(F.col("age") < ttl)
+
+
+def expiring_cache(puts: DataFrame, seconds: int = 600) -> DataFrame:
+    """Streams of (key, ts), in order for each key: (key, created) of each entry made: the first put of a key, and each
+    first one after the entry before has lived for so many seconds."""
+
+    def keep(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        created = state.get[0] if state.exists else None
+        made = []
+        for ts in sorted(int(t) for pdf in frames for t in pdf["at"]):
+            if created is None or ts >= created + seconds * 1_000_000:
+                created = ts
+                made.append(ts)
+        state.update((created,))
+        yield pd.DataFrame({"key": [key[0]] * len(made), "at": pd.Series(made, dtype="int64")})
+
+    kind = puts.schema["key"].dataType.simpleString()
+    rows = puts.select("key", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    found = rows.groupBy("key").applyInPandasWithState(keep, f"key {kind}, at long", "created long", "append", "NoTimeout")
+    return found.select("key", F.timestamp_micros("at").alias("created"))
 
 
 def recent_history(events: DataFrame, most: int = 100) -> DataFrame:
