@@ -1,15 +1,14 @@
-"""Column functions on text: cleaning, masking, detection, counting.  All stay in the JVM but nfc(), unescape() and
-redact(), which send only the texts that may change to Python."""
+"""Column functions on text: cleaning, masking, detection, counting.  All stay in the JVM but nfc(), unescape(), redact()
+and repetition(), which send only the texts that they may concern to Python."""
 
 from __future__ import annotations
 
 import html
 import json
 import re
-import sys
 import unicodedata
-from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -65,29 +64,16 @@ def is_blank(text: Column) -> Column:
     return F.coalesce(text.rlike(r"(?U)^\s*$"), F.lit(True))
 
 
-@lru_cache
-def _unstable(form: str) -> str:
-    """A pattern of the characters that a normal form changes, or that may join with the one before."""
-    found, at = [], None
-    for i in range(0x80, sys.maxunicode + 2):
-        c = chr(i) if i <= sys.maxunicode else ""
-        hit = c != "" and not 0xD800 <= i < 0xE000 and (0x1100 <= i < 0x1200 or unicodedata.category(c)[0] == "M" or unicodedata.normalize(form, c) != c)
-        if hit and at is None:
-            at = i
-        if not hit and at is not None:
-            found.append(f"\\x{{{at:X}}}-\\x{{{i - 1:X}}}")
-            at = None
-    return f"[{''.join(found)}]"
-
-
 def nfc(text: Column, form: str = "NFC") -> Column:
-    """Unicode normal form.  It runs in Python, for texts with a character that the form may change."""
+    """Unicode normal form.  It runs in Python, for texts with a character that the form may change: no form changes
+    ASCII, and NFC none before the first combining mark, U+0300."""
+    may = r"[\x{300}-\x{10FFFF}]" if form == "NFC" else r"[^\x{0}-\x{7F}]"
 
     @F.pandas_udf("string")
     def normal(values: pd.Series) -> pd.Series:
         return values.map(lambda v: unicodedata.normalize(form, v), na_action="ignore")
 
-    return F.coalesce(normal(F.when(text.rlike(_unstable(form)), text)), text)
+    return F.coalesce(normal(F.when(text.rlike(may), text)), text)
 
 
 def normalise_unicode(text: Column, form: str = "NFC", control: bool = True, zero_width: bool = True) -> Column:
@@ -123,6 +109,7 @@ def strip_html(text: Column, spaced: bool = True, entities: dict[str, str] | Non
     out = F.regexp_replace(text, r"(?is)<(script|style)[^>]*>.*?</\1>", "")
     out = F.regexp_replace(out, r"(?s)<!--.*?-->", "")
     out = F.regexp_replace(out, r"<[^>]+>", " " if spaced else "")
+    out = F.when(text.contains("<"), out).otherwise(text)
     if entities is None:
         out = unescape(out)
     else:
@@ -239,11 +226,25 @@ def injection_hits(text: Column, level: str = "standard") -> Column:
     return F.array_compact(F.array(*found))
 
 
+def _repeated(text: str, window: int) -> float:
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    n = len(codes) - window + 1
+    hashed = np.zeros(n, np.uint64)
+    for k in range(window):
+        hashed = (hashed ^ (hashed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + codes[k : k + n]
+    return window * (n - len(np.unique(hashed))) / len(codes)
+
+
 def repetition(text: Column, window: int = 50, least: int = 100) -> Column:
-    """Share of characters in sliding windows seen before, counted each time; may exceed 1.  0 under `least` characters."""
-    n = F.length(text) - window + 1
-    windows = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(text, i, F.lit(window)))
-    return F.when(F.length(text) < least, 0.0).otherwise(window * (n - F.size(F.array_distinct(windows))) / F.length(text))
+    """Share of characters in sliding windows seen before, counted each time; may exceed 1.  0 under `least` characters.
+    Windows are told by 64-bit hashes in numpy, in time and memory linear in the text: substrings by place would each be
+    sought from the text's beginning."""
+
+    @F.pandas_udf("double")
+    def share(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: _repeated(v, window), na_action="ignore")
+
+    return F.coalesce(share(F.when(F.length(text) >= max(least, window), text)), F.lit(0.0))
 
 
 def length_checks(text: Column, chars: int = 100_000, lines: int = 10_000, line: int = 10_000, repeated: float | None = 0.8) -> Column:

@@ -120,19 +120,55 @@ def sweep(pairs: list[tuple[int, int]], rank: dict[int, tuple]) -> set[int]:
     return dead
 
 
+#: Segments of a request that are compared within one task; a larger request's go through the index of
+#: duplicate_classes().
+TOGETHER = 500
+
+
+def _alike(texts: list[str], threshold: float, n: int) -> list[tuple[int, int]]:
+    """Places of the pairs of texts that are alike, by their word n-grams."""
+    grams = []
+    for text in texts:
+        words = text.split()
+        grams.append(set(zip(*(words[k:] for k in range(n)))))
+    out = []
+    for j, b in enumerate(grams):
+        for i, a in enumerate(grams[:j]):
+            if min(len(a), len(b)) >= threshold * max(len(a), len(b)):
+                shared = len(a & b)
+                if not a and not b or shared >= threshold * (len(a) + len(b) - shared):
+                    out.append((i, j))
+    return out
+
+
 def near_copies(df: DataFrame, threshold: float = 0.85, n: int = 2) -> DataFrame:
     """(request_id, pos) of near copies within a request: the lower priority goes, then the lower score, then the later."""
-    pairs = duplicate_pairs(df, REQUEST, threshold, n)
-    ranks = df.select(REQUEST, "pos", priority_weight().alias("weight"), F.coalesce("score", F.lit(0.0)).alias("s"))
-    with_ranks = pairs.join(ranks.toDF(REQUEST, "a", "wa", "sa"), [REQUEST, "a"]).join(ranks.toDF(REQUEST, "b", "wb", "sb"), [REQUEST, "b"])
+    kind, place = df.schema[REQUEST].dataType.simpleString(), df.schema["pos"].dataType.simpleString()
+    schema = f"{REQUEST} {kind}, pos {place}"
+    rows = df.select(REQUEST, "pos", F.coalesce("content", F.lit("")).alias("content"), priority_weight().alias("weight"), F.coalesce("score", F.lit(0.0)).alias("s"))
+    large = rows.groupBy(REQUEST).agg(F.count("*").alias("n")).filter(F.col("n") > TOGETHER).select(REQUEST)
+
+    def dead(request, pos, pairs, weight, s) -> pd.DataFrame:
+        gone = sorted(sweep([(pos[i], pos[j]) for i, j in pairs], {p: (w, x) for p, w, x in zip(pos, weight, s)}))
+        return pd.DataFrame({REQUEST: [request] * len(gone), "pos": gone})
+
+    def together(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        return dead(pdf[REQUEST].iloc[0], pdf["pos"].tolist(), _alike(pdf["content"].tolist(), threshold, n), pdf["weight"], pdf["s"])
+
+    if not large.limit(1).count():
+        return rows.groupBy(REQUEST).applyInPandas(together, schema)
+    small = rows.join(large, REQUEST, "left_anti").groupBy(REQUEST).applyInPandas(together, schema)
+    most = rows.join(large, REQUEST, "left_semi")
+    ranks = most.select(REQUEST, "pos", "weight", "s")
+    with_ranks = duplicate_pairs(most, REQUEST, threshold, n).join(ranks.toDF(REQUEST, "a", "wa", "sa"), [REQUEST, "a"]).join(ranks.toDF(REQUEST, "b", "wb", "sb"), [REQUEST, "b"])
 
     def kill(pdf: pd.DataFrame) -> pd.DataFrame:
         rank = {a: (w, s) for a, w, s in zip(pdf["a"], pdf["wa"], pdf["sa"])} | {b: (w, s) for b, w, s in zip(pdf["b"], pdf["wb"], pdf["sb"])}
-        dead = sorted(sweep(list(zip(pdf["a"], pdf["b"])), rank))
-        return pd.DataFrame({REQUEST: [pdf[REQUEST].iloc[0]] * len(dead), "pos": dead})
+        gone = sorted(sweep(list(zip(pdf["a"], pdf["b"])), rank))
+        return pd.DataFrame({REQUEST: [pdf[REQUEST].iloc[0]] * len(gone), "pos": gone})
 
-    kind, place = df.schema[REQUEST].dataType.simpleString(), df.schema["pos"].dataType.simpleString()
-    return with_ranks.groupBy(REQUEST).applyInPandas(kill, f"{REQUEST} {kind}, pos {place}")
+    return small.unionByName(with_ranks.groupBy(REQUEST).applyInPandas(kill, schema))
 
 
 def traced(after: DataFrame, before: DataFrame, method: str, prefix: str) -> DataFrame:
@@ -198,6 +234,23 @@ def _reordered(df: DataFrame, last: Column, active: Column) -> DataFrame:
     return df.withColumn("pos", F.when(active, F.row_number().over(by) - 1).otherwise(F.col("pos")).cast(df.schema["pos"].dataType))
 
 
+def _step(slim: DataFrame, level: str, available: int) -> DataFrame:
+    """One priority's segments cut to what the others leave, in requests that are over, by token and character counts."""
+    w = Window.partitionBy(REQUEST)
+    own = F.col("may") & (F.col("level") == level)
+    out = slim.withColumns({"own": own, "step": F.col("active") & (F.sum("tokens").over(w) > available)})
+    out = out.withColumns({"step": F.col("step") & (F.max(F.col("own").cast("int")).over(w) == 1), "goal": F.greatest(F.lit(0), F.lit(available) - F.coalesce(F.sum(F.when(~F.col("own"), F.col("tokens"))).over(w), F.lit(0)))})
+    out = out.withColumn("within", F.col("own") & F.col("step"))
+    along = Window.partitionBy(REQUEST, "within").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    out = out.withColumn("upto", F.sum("tokens").over(along)).withColumn("rest", F.col("goal") - F.col("upto") + F.col("tokens"))
+    over = F.col("within") & (F.col("upto") > F.col("goal"))
+    out = out.withColumn("now", over).filter(~F.col("now") | (F.col("rest") > 0))
+    size = F.floor(F.col("chars") * F.col("rest") / F.col("tokens"))
+    out = out.withColumn("chars", F.when(F.col("now"), size).otherwise(F.col("chars")).cast("long")).filter(~F.col("now") | (F.col("chars") > 0))
+    out = out.withColumns({"tokens": F.when(F.col("now"), F.col("rest")).otherwise(F.col("tokens")).cast("long"), "cut": F.col("cut") | F.col("now")})
+    return _reordered(out, F.col("own"), F.col("step")).select(*slim.columns)
+
+
 def cascade(df: DataFrame, available: int, threshold: float = 0.85, least: int = 50, on_over: str = "error", keep_must: bool = True) -> DataFrame:
     """df, and whether a segment was cut.  Requests at or over threshold lose near copies among the segments that may be
     compressed (see eligible()); then low, medium and high priority ones of these are cut to what the others leave, each
@@ -206,25 +259,21 @@ def cascade(df: DataFrame, available: int, threshold: float = 0.85, least: int =
     A request still over in the end is an error (CompressionError's message, from the executor), unless on_over is
     "keep"."""
     w = Window.partitionBy(REQUEST)
-    may = eligible(least, keep_must)
-    held = df.withColumns({"__may": F.coalesce(may, F.lit(False)), "__total": F.sum("token_count").over(w)})
-    saturated = F.col("__total") / available >= threshold if available > 0 else F.lit(False)
-    held = held.withColumn("__active", F.coalesce(saturated, F.lit(False)))
-    out = held.join(near_copies(held.filter("__active and __may")), [REQUEST, "pos"], "left_anti")
-    any_may = F.max(F.col("__may").cast("int")).over(w) == 1
-    out = _reordered(out, F.col("__may"), F.col("__active") & any_may).withColumn("cut", F.lit(False))
+    may = F.coalesce(eligible(least, keep_must), F.lit(False))
+    saturated = F.coalesce(F.sum("token_count").over(w) / available >= threshold, F.lit(False)) if available > 0 else F.lit(False)
+    slim = df.select(REQUEST, "pos", F.col("pos").alias("place"), F.coalesce("token_count", F.lit(0)).cast("long").alias("tokens"), F.length("content").cast("long").alias("chars"), may.alias("may"), effective_priority().alias("level"), F.lit(False).alias("cut"), saturated.alias("active"))
+    busy = slim.filter("active and may").select(F.col(REQUEST).alias("__request"), F.col("place").alias("__place"))
+    gone = near_copies(df.join(busy, (F.col(REQUEST) == F.col("__request")) & (F.col("pos") == F.col("__place")), "left_semi"))
+    out = slim.join(gone.withColumnRenamed("pos", "place"), [REQUEST, "place"], "left_anti").select(*slim.columns)
+    out = out.withColumn("some", F.col("active") & (F.max(F.col("may").cast("int")).over(w) == 1))
+    out = _reordered(out, F.col("may"), F.col("some")).drop("some")
     for level in ("low", "medium", "high"):
-        own = F.col("__may") & (effective_priority() == level)
-        step = out.withColumns({"__own": own, "__over": F.col("__active") & (F.sum("token_count").over(w) > available)})
-        step = step.withColumn("__over", F.col("__over") & (F.max(F.col("__own").cast("int")).over(w) == 1))
-        others = F.coalesce(F.sum(F.when(~F.col("__own"), F.col("token_count"))).over(w), F.lit(0))
-        target = F.greatest(F.lit(0), F.lit(available) - others).cast("long")
-        step = step.withColumn("__cut", F.col("cut")).drop("cut")
-        step = _cut(step, target, False, F.col("__own") & F.col("__over"))
-        step = step.withColumn("cut", F.col("cut") | F.col("__cut"))
-        out = _reordered(step, F.col("__own"), F.col("__over")).drop("__own", "__over", "__cut")
+        out = _step(out, level, available)
     if on_over == "error":
-        total = F.sum("token_count").over(w)
+        total = F.sum("tokens").over(w)
         message = F.concat(F.lit("CompressionError: request "), F.col(REQUEST).cast("string"), F.lit(f" is over {available} tokens after all steps"))
-        out = out.withColumn("token_count", F.when(F.col("__active") & (total > available), F.raise_error(message).cast("int")).otherwise(F.col("token_count")))
-    return out.drop("__may", "__total", "__active")
+        out = out.withColumn("tokens", F.when(F.col("active") & (total > available), F.raise_error(message).cast("long")).otherwise(F.col("tokens")))
+    found = out.select(F.col(REQUEST).alias("__request"), F.col("place").alias("__place"), F.col("pos").alias("__pos"), F.col("tokens").alias("__tokens"), F.col("chars").alias("__chars"), "cut")
+    both = df.drop("cut").join(found, (F.col(REQUEST) == F.col("__request")) & (F.col("pos") == F.col("__place")))
+    made = {"pos": F.col("__pos").cast(df.schema["pos"].dataType), "content": F.when(F.col("cut"), F.substring("content", F.lit(1), F.col("__chars").cast("int"))).otherwise(F.col("content")), "token_count": F.when(F.col("cut") | F.lit(on_over == "error"), F.col("__tokens")).otherwise(F.col("token_count")).cast("int")}
+    return both.select(*[made[c].alias(c) if c in made else F.col(c) for c in df.columns if c != "cut"], "cut")

@@ -18,15 +18,20 @@ from ctxloom.functions import text as T
 
 @dataclass(frozen=True)
 class Sanitizer:
-    """apply: text to text, or to a struct with text content and more fields; passed and warning: of (before, applied)."""
+    """apply: text to text, or to a struct with text content and more fields.  finding, of (before, applied), is what it
+    has to say, or null; with blocks a row with a finding is refused."""
 
     name: str
     apply: Callable[[Column], Column]
-    passed: Callable[[Column, Column], Column] | None = None
-    warning: Callable[[Column, Column], Column] | None = None
+    finding: Callable[[Column, Column], Column] | None = None
+    blocks: bool = False
     struct: bool = False
 
 
+def _listed(label: str, found: Column) -> Column:
+    return F.concat(F.lit(label), F.nullif(F.array_join(found, ","), F.lit("")))
+
+
 def unicode(form: str = "NFC", control: bool = True, zero_width: bool = True) -> Sanitizer:
     return Sanitizer("UnicodeNormalizer", lambda c: T.normalise_unicode(c, form, control, zero_width))
 
@@ -48,29 +53,22 @@ def personal(kinds: tuple[str, ...] = (), mark: str = "*") -> Sanitizer:
         python_warnings.warn(f"unknown kinds of personal data: {', '.join(unknown)}", stacklevel=2)
     own = tuple(k for k in kinds if k in T.MASKED) or tuple(T.MASKED)
 
-    def warning(before: Column, after: Column) -> Column:
-        many = F.aggregate(F.map_values(after["counts"]), F.lit(0), lambda total, n: total + n)
-        return F.when(many > 0, F.concat(F.lit("masked "), many.cast("string"), F.lit(": "), F.array_join(F.transform(F.array_sort(F.map_entries(after["counts"])), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")))
+    def finding(before: Column, after: Column) -> Column:
+        return _listed("masked ", F.transform(F.array_sort(F.map_entries(after["counts"])), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))))
 
-    return Sanitizer("PIIRedactor", lambda c: T.redact(c, own, mark), warning=warning, struct=True)
+    return Sanitizer("PIIRedactor", lambda c: T.redact(c, own, mark), finding, struct=True)
 
 
 def injection(level: str = "standard", block: bool = True) -> Sanitizer:
-    hits = lambda before, after: T.injection_hits(before, level)
-    passed = lambda before, after: F.size(hits(before, after)) == 0
-    warning = lambda before, after: F.when(F.size(hits(before, after)) > 0, F.concat(F.lit("injection: "), F.array_join(hits(before, after), ",")))
-    return Sanitizer("InjectionDetector", lambda c: c, passed if block else None, warning)
+    return Sanitizer("InjectionDetector", lambda c: c, lambda before, after: _listed("injection: ", T.injection_hits(before, level)), block)
 
 
 def length(chars: int = 100_000, lines: int = 10_000, line: int = 10_000, repeated: float | None = 0.8, cut: bool = False) -> Sanitizer:
     """Refuses what is over a limit, or cuts it."""
     if min(chars, lines, line) <= 0 or repeated is not None and not 0 <= repeated <= 1:
         raise ValueError("limits must be above 0, the share of repetition between 0 and 1")
-    checks = lambda before, after: T.length_checks(before, chars, lines, line, repeated)
-    warning = lambda before, after: F.when(F.size(checks(before, after)) > 0, F.concat(F.lit("over limits: "), F.array_join(checks(before, after), ",")))
-    if cut:
-        return Sanitizer("LengthGuard", lambda c: T.truncate(c, chars, lines, line), warning=warning)
-    return Sanitizer("LengthGuard", lambda c: c, lambda before, after: F.size(checks(before, after)) == 0, warning)
+    apply = (lambda c: T.truncate(c, chars, lines, line)) if cut else (lambda c: c)
+    return Sanitizer("LengthGuard", apply, lambda before, after: _listed("over limits: ", T.length_checks(before, chars, lines, line, repeated)), not cut)
 
 
 def of_function(name: str, function: Callable[[str], str]) -> Sanitizer:
@@ -86,32 +84,32 @@ def of_function(name: str, function: Callable[[str], str]) -> Sanitizer:
                 rows.append((value, f"failed: {error}"))
         return pd.DataFrame(rows, columns=["content", "error"])
 
-    return Sanitizer(name, run, lambda before, after: after["error"].isNull(), lambda before, after: after["error"], struct=True)
+    return Sanitizer(name, run, lambda before, after: after["error"], True, struct=True)
 
 
 def chain(df: DataFrame, sanitizers: list[Sanitizer], column: str = "content", quiet: bool = False) -> DataFrame:
-    """df with the column sanitized, passed, refused_by (a sanitizer's name), and warning: all of them, each behind its
-    sanitizer's name, of a refused row the refusing one's alone.  quiet leaves warnings of rows that pass empty, which
-    saves finding them.  An empty chain passes everything."""
+    """df with the column sanitized, passed, refused_by (a sanitizer's name), and warning: all findings, each behind its
+    sanitizer's name, of a refused row the refusing one's alone.  quiet leaves the findings of sanitizers that refuse
+    nothing out, which saves looking for them.  An empty chain passes everything."""
     if not sanitizers:
         python_warnings.warn("an empty chain passes everything", stacklevel=2)
-    text, applied, warned = f"__{column}", "__applied", "__warnings"
-    out = df.withColumns({"passed": F.lit(True), "refused_by": F.lit(None).cast("string"), warned: F.array().cast("array<string>")})
+    applied, found, warned = "__applied", "__found", "__warnings"
+    out = df.withColumns({"refused_by": F.lit(None).cast("string"), warned: F.array().cast("array<string>")})
     for s in sanitizers:
-        before = F.col(column)
+        before, going = F.col(column), F.col("refused_by").isNull()
+        looks = s.finding is not None and (s.blocks or not quiet)
         out = out.withColumn(applied, s.apply(before))
         after = F.col(applied)
-        ok = F.coalesce(s.passed(before, after), F.lit(True)) if s.passed else F.lit(True)
-        named = F.concat(F.lit(f"[{s.name}] "), s.warning(before, after)) if s.warning and (s.passed or not quiet) else F.lit(None).cast("string")
-        more = F.array_compact(F.array(named))
-        out = out.withColumns({
-            text: F.when(F.col("passed"), after["content"] if s.struct else after).otherwise(before),
-            warned: F.when(F.col("passed"), F.when(ok, F.concat(warned, F.array().cast("array<string>") if quiet else more)).otherwise(more)).otherwise(F.col(warned)),
-            "refused_by": F.when(F.col("passed") & ~ok, s.name).otherwise(F.col("refused_by")),
-            "passed": F.col("passed") & ok,
-        })
-        out = out.drop(column, applied).withColumnRenamed(text, column)
-    return out.withColumn("warning", F.when(F.size(warned) > 0, F.array_join(warned, "; "))).drop(warned)
+        if looks:
+            out = out.withColumn(found, F.when(going, s.finding(before, after)))
+            named = F.array_compact(F.array(F.concat(F.lit(f"[{s.name}] "), found)))
+            notes = F.when(F.col(found).isNull(), F.col(warned)).otherwise(named if s.blocks else F.concat(warned, named))
+        text = after["content"] if s.struct else after
+        changed = {column: F.when(going, text).otherwise(before)}
+        if looks:
+            changed |= {warned: notes} | ({"refused_by": F.when(F.col(found).isNotNull(), s.name).otherwise(F.col("refused_by"))} if s.blocks else {})
+        out = out.withColumns(changed).drop(applied, found)
+    return out.withColumns({"passed": F.col("refused_by").isNull(), "warning": F.when(F.size(warned) > 0, F.array_join(warned, "; "))}).drop(warned)
 
 
 def standalone_chain(masks: bool = True, detects: bool = True, level: str = "standard", chars: int = 100_000) -> list[Sanitizer]:

@@ -73,11 +73,13 @@ def normalise(df: DataFrame, settings: Settings):
 
 def sanitise(df: DataFrame, settings: Settings):
     chain = list(settings.chain) if settings.chain is not None else chains.pipeline_chain(settings.strip_html, settings.masks, settings.detects, settings.on_injection, settings.level, settings.most_chars)
-    out = chains.chain(df.withColumn("raw", F.col("content")), chain, quiet=True)
+    # Written, as the rows that pass and the audit would clean every text anew.
+    cleaned = chains.chain(df.withColumn("raw", F.col("content")), chain, quiet=True).withColumn("changed", F.col("raw") != F.col("content"))
+    out = written(cleaned.drop("raw"))
     kept = out.filter("passed").withColumn("token_count", T.token_count(F.col("content")))
     reason = F.when(F.col("refused_by") == "InjectionDetector", "injection").when(F.col("refused_by") == "LengthGuard", "length").otherwise("sanitize_failed")
-    audits = [audit(out.filter("passed and raw <> content"), "sanitize", "sanitize", "cleaned"), audit(out.filter("not passed"), "sanitize", "drop", reason)]
-    return kept.drop("raw", "passed", "refused_by", "warning"), audits
+    audits = [audit(out.filter("passed and changed"), "sanitize", "sanitize", "cleaned"), audit(out.filter("not passed"), "sanitize", "drop", reason)]
+    return kept.drop("changed", "passed", "refused_by", "warning"), audits
 
 
 def choose(df: DataFrame, settings: Settings):
@@ -123,8 +125,8 @@ def arrange(df: DataFrame, settings: Settings):
 
 
 STAGES: tuple[tuple[str, Stage], ...] = (("normalize", normalise), ("sanitize", sanitise), ("rerank", choose), ("allocate", fit), ("compress", shrink), ("assemble", arrange))
-#: Stages that read their rows several times: these are written first, so that texts are cleaned once.
-REREAD = ("allocate", "compress")
+#: Stages that read their rows' texts several times: these are written first.
+REREAD = ("compress",)
 
 
 def inserted(name: str, stage: Stage, before: str | None = None, stages=STAGES) -> tuple[tuple[str, Stage], ...]:
