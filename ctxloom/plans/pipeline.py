@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -147,11 +148,20 @@ def removed(name: str, stages=STAGES) -> tuple[tuple[str, Stage], ...]:
 
 @dataclass(frozen=True)
 class Package:
-    """What a build gives: assembled segments, audit rows, and the allocation by request and type where the stage ran."""
+    """What a build gives: assembled segments, audit rows, and the allocation by request and type where the stage ran,
+    which is planned when it is asked for."""
 
     segments: DataFrame
     audit: DataFrame
-    allocation: DataFrame | None
+    allocated: Callable[[], DataFrame] | None
+
+    @property
+    def allocation(self) -> DataFrame | None:
+        return self.allocated() if self.allocated else None
+
+
+def _allocation(df: DataFrame, policy: budget.Policy) -> DataFrame:
+    return budget.allocation(budget.allocate(df, policy)[1], policy)
 
 
 def build(segments: DataFrame, settings: Settings = Settings(), stages=STAGES, skip: tuple[str, ...] = (), write: bool = False) -> Package:
@@ -167,7 +177,7 @@ def build(segments: DataFrame, settings: Settings = Settings(), stages=STAGES, s
         if name in REREAD and not write:
             out = written(out)
         if name == "allocate" and stage is fit:
-            allocation = budget.allocation(budget.allocate(out, settings.policy)[1], settings.policy)
+            allocation = partial(_allocation, out, settings.policy)
         try:
             out, found = stage(out, settings)
             out = written(out) if write else out
