@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import nullcontext
 from dataclasses import dataclass, replace
 from functools import partial
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ctxloom.functions import text as T
@@ -164,28 +165,33 @@ def _allocation(df: DataFrame, policy: budget.Policy) -> DataFrame:
     return budget.allocation(budget.allocate(df, policy)[1], policy)
 
 
-def build(segments: DataFrame, settings: Settings = Settings(), stages=STAGES, skip: tuple[str, ...] = (), write: bool = False) -> Package:
+def build(segments: DataFrame, settings: Settings = Settings(), stages=STAGES, skip: tuple[str, ...] = (), write: bool = False, spans=None) -> Package:
     """Stages may be replaced, added or skipped by name.  What a stage named in REREAD takes is written to the shared
     folder and read again; with write every stage's rows are, which is worth it where the audit is wanted, as its rows
-    would otherwise compute each stage once more."""
+    would otherwise compute each stage once more.
+
+    spans (see suite.Spans) gets a span for the build and each stage; of written stages with rows and tokens, observed as
+    they are written."""
     rows: list[DataFrame] = []
     allocation = None
-    out = written(segments) if write else segments
-    for name, stage in stages:
-        if name in skip or name == "compress" and not settings.compress and stage is shrink:
-            continue
-        if name in REREAD and not write:
-            out = written(out)
-        if name == "allocate" and stage is fit:
-            allocation = partial(_allocation, out, settings.policy)
-        try:
-            out, found = stage(out, settings)
-            out = written(out) if write else out
-        except (budget.BudgetError, compress.CompressionError):
-            raise
-        except Exception as error:
-            raise StageError(f"stage {name}: {error}") from error
-        rows += found
+    with spans.span("build", stages=",".join(n for n, _ in stages)) if spans else nullcontext({}):
+        out = written(segments) if write else segments
+        for name, stage in stages:
+            if name in skip or name == "compress" and not settings.compress and stage is shrink:
+                continue
+            with spans.span(name) if spans else nullcontext({}) as noted:
+                if name in REREAD and not write:
+                    out = written(out)
+                if name == "allocate" and stage is fit:
+                    allocation = partial(_allocation, out, settings.policy)
+                try:
+                    out, found = stage(out, settings)
+                    out = _observed(out, noted) if write else out
+                except (budget.BudgetError, compress.CompressionError):
+                    raise
+                except Exception as error:
+                    raise StageError(f"stage {name}: {error}") from error
+            rows += found
     whole = None
     for more in rows:
         whole = more if whole is None else whole.unionByName(more)
@@ -194,6 +200,13 @@ def build(segments: DataFrame, settings: Settings = Settings(), stages=STAGES, s
     return Package(assemble.merge_adjacent(out) if settings.merge else out, whole, allocation)
 
 
+def _observed(df: DataFrame, noted: dict) -> DataFrame:
+    seen = Observation()
+    out = written(df.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("tokens")))
+    noted.update(seen.get)
+    return out
+
+
 def run(segments: DataFrame, settings: Settings = Settings(), stages=STAGES, skip: tuple[str, ...] = (), write: bool = False) -> tuple[DataFrame, DataFrame]:
     """(assembled segments, audit) of build()."""
     package = build(segments, settings, stages, skip, write)

@@ -11,7 +11,7 @@ from ctxloom.functions import keys as K
 from ctxloom.functions import text as T
 from ctxloom.functions import tokenizers
 from ctxloom.operators import assemble, budget, compress, inspect, rerank, routing, sanitize
-from ctxloom.plans import pipeline
+from ctxloom.plans import pipeline, suite
 from ctxloom.sources import ingest, policy, store
 from ctxloom.streaming import stateful
 
@@ -494,6 +494,24 @@ def test_pipeline_stages_are_data(spark):
     assert allocation["used"] > 0 and not allocation["saturated"]
 
 
+def test_spans_and_suites(spark, tmp_path):
+    seen = []
+    spans = suite.Spans(seen.append)
+    kept, _ = pipeline.run(frame(spark, [segment(0), segment(1, content=" ")]))
+    package = pipeline.build(frame(spark, [segment(0), segment(1, content=" ")]), write=True, spans=spans)
+    rows = {r["name"]: r for r in spans.table(spark).collect()}
+    assert set(rows) == {"build", *[n for n, _ in pipeline.STAGES]} and rows["assemble"]["parent"] == "build" and seen[-1]["name"] == "build"
+    assert rows["normalize"]["attributes"]["rows"] == "1" and rows["normalize"]["status"] == "ok" and package.segments.count() == kept.count() == 1
+    with pytest.raises(pipeline.StageError):
+        pipeline.build(frame(spark, [segment(0)]), stages=pipeline.replaced("rerank", lambda df, settings: 1 / 0), spans=spans)
+    assert spans.rows[-1]["status"].startswith("error") and spans.rows[-2]["name"] == "rerank"
+    own = suite.Suite(spark, f"{tmp_path}/snapshots", spans)
+    own.save(frame(spark, [segment(0), segment(1)]), "m", "20240101")
+    own.save(frame(spark, [segment(0, content="new")]), "m", "20240102", {"a": "b"})
+    assert own.search({"a": "b"}).count() == 1 and {r["change"] for r in own.diff("snap_20240101_1", "snap_20240102_1").collect()} == {"modified", "removed"}
+    assert own.golden("snap_20240101_1", "snap_20240101_1").first()["passed"] and own.metrics(spark.createDataFrame([("x", 1.0), ("x", 3.0)], "name string, value double")).first()["p50"] == 2.0
+
+
 def test_pipeline_compresses_saturated_requests(spark):
     text = " ".join(f"word{i}" for i in range(120))
     rows = [segment(i, content=text + f" tail{i}", token_count=200, score=0.1 * i) for i in range(4)]
