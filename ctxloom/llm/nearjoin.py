@@ -34,8 +34,9 @@ from ctxloom.llm.wordhash import gram_hashes, mix, word_bounds, word_hashes
 
 SHINGLE = 5
 PERCENT = 80
-#: Rounds of stars before the remaining pairs, index entries of a long list, classes of a chunk.
-STARS, HOT, CHUNK = 2, 32, 1024
+#: Rounds of stars before the remaining pairs, index entries of a long list, classes of a chunk, pairs of one class that
+#: are verified together.
+STARS, HOT, CHUNK, SPREAD = 2, 32, 1024, 256
 #: Cost of verifying a pair, in index entries, for each member of a set.
 VERIFY = 0.05
 #: Lengths of match tried.
@@ -188,14 +189,18 @@ def linked(x: bytes, y: bytes) -> bool:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link; sets: (cid, members)."""
+    """The pairs (a, b) that link; sets: (cid, members).  A class may be the a of most pairs, as a star's pivot is: its
+    set goes to a part for each SPREAD of them."""
 
     @F.pandas_udf("boolean")
     def link(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([linked(*both) for both in zip(x, y)], dtype=bool)
 
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("parts"))
+    pairs = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"))
+    own = sets.select(F.col("cid").alias("a"), F.col("members").alias("ma")).join(parts, "a").select("a", "ma", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     with_b = pairs.join(sets.select(F.col("cid").alias("b"), F.col("members").alias("mb")), "b")
-    return with_b.join(sets.select(F.col("cid").alias("a"), F.col("members").alias("ma")), "a").filter(link("ma", "mb")).select("a", "b")
+    return with_b.join(own, ["a", "part"]).filter(link("ma", "mb")).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -456,6 +456,7 @@ def near_corpus(n=150):
 def test_near_duplicates(spark, docs, hot, monkeypatch):
     monkeypatch.setattr(nearjoin, "HOT", hot)
     monkeypatch.setattr(nearjoin, "CHUNK", 16)
+    monkeypatch.setattr(nearjoin, "SPREAD", 5)
     for rows in (corpus(), near_corpus()):
         got = Counter(map(tuple, nearjoin.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()))
         assert got == components_of(rows)
