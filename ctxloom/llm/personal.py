@@ -226,13 +226,13 @@ def spelled(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-RESULT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+RESULT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """One row per row of docs, repeated ids and rows too; offsets in code points, ends exclusive.  Null and empty texts
     have no spans; long ones are taken whole, in time linear in their length.  Without any candidate in docs nothing is
-    learned and nothing added.  No rows: no rows."""
+    learned and nothing added.  n_spans counts all spans, added ones too.  No rows: no rows."""
     found = stage(extract(docs), "personal")
     model = learn(found)
 
@@ -243,7 +243,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
             for doc_id, base, more in zip(ids, bases, mores):
                 own = [(x["start"], x["kind"], x["stop"]) for x in base]
                 spans = all_spans(own, [(x["start"], x["kind"], x["stop"], x["key"]) for x in more], model) if more else own
-                rows.append({"doc_id": doc_id} | {f"n_{k}": sum(x[1] == i for x in own) for i, k in enumerate(KINDS[:BASE])} | {"base_sha256": hashlib.sha256(spelled(own).encode()).hexdigest(), "spans": spelled(spans)})
+                rows.append({"doc_id": doc_id} | {f"n_{k}": sum(x[1] == i for x in own) for i, k in enumerate(KINDS[:BASE])} | {"base_sha256": hashlib.sha256(spelled(own).encode()).hexdigest(), "spans": spelled(spans), "n_spans": len(spans)})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([(n, pa.string() if t == "string" else pa.int64()) for n, t in (x.split() for x in RESULT.split(", "))]))
 
     return found.mapInArrow(run, RESULT)

@@ -299,6 +299,7 @@ def test_personal(spark, docs, empty):
     assert [got[0][f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [1, 2, 0, 0]
     assert [got[1][f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [0, 0, 1, 1]
     assert got[2]["n_email"] == 1 and got[4]["spans"] == "" and got[4]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert all(r["n_spans"] == len([s for s in r["spans"].split(",") if s]) >= sum(r[f"n_{k}"] for k in ("email", "ip", "card", "phone")) for r in got.values())
     import re
 
     plain = {0: r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", 1: r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", 2: r"[0-9]([\x20-]?[0-9])+", 3: r"\+[0-9][\x20().0-9-]+[0-9]"}
