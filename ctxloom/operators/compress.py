@@ -85,7 +85,8 @@ def duplicate_classes(df: DataFrame, key: str, threshold: float = 0.85, n: int =
 
     rows = df.select(key, "pos", word_grams(F.col("content"), n).alias("grams"))
     name = F.md5(F.array_join(F.array_sort("grams"), "\n"))
-    named = rows.select(key, "pos", name.alias("name"), "grams")
+    # Grams travel as 64-bit hashes.
+    named = rows.select(key, "pos", name.alias("name"), F.transform("grams", lambda g: F.xxhash64(g)).alias("grams"))
     members = named.select(key, "pos", "name").withColumn("rep", F.min("pos").over(Window.partitionBy(key, "name"))).select(key, "pos", "rep")
     classes = named.groupBy(key, "name").agg(F.min("pos").alias("pos"), F.first("grams").alias("grams")).select(key, "pos", "grams", F.size("grams").alias("m")).filter("m > 0")
     each = classes.select(key, "pos", "m", F.explode("grams").alias("gram"))
