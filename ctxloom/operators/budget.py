@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -44,12 +45,19 @@ def rigid(policy: Policy) -> Column:
 
 
 def quota(policy: Policy, kind: Column, available: Column) -> Column:
-    """A type's share, at least min_elastic where it has any share; a type without one has 0."""
-    ratio = F.coalesce(F.create_map(*[F.lit(x) for kv in policy.ratios.items() for x in kv])[kind], F.lit(0.0)) if policy.ratios else F.lit(0.0)
-    share = F.floor(available * ratio)
+    """A type's share, at least min_elastic where it has any share; a type without one has 0.  Ratios count as the decimals
+    they are written as: 0.35 of 2880 is 1008, which doubles would miss by one."""
+    exact = [F.lit(Decimal(repr(r))).cast("decimal(19,18)") for r in policy.ratios.values()]
+    ratio = F.coalesce(F.create_map(*[x for k, r in zip(policy.ratios, exact) for x in (F.lit(k), r)])[kind], F.lit(0)) if policy.ratios else F.lit(0)
+    share = F.floor(available.cast("decimal(18,0)") * ratio)
     return F.when(ratio > 0, F.greatest(share, F.lit(policy.min_elastic))).otherwise(share).cast("long")
 
 
+def _quotas(policy: Policy) -> dict[str, int]:
+    """quota() of each type that has a ratio, where everything is available."""
+    return {k: max(int(policy.available * Decimal(repr(r))), policy.min_elastic) if r > 0 else 0 for k, r in policy.ratios.items()}
+
+
 def split_rigid(df: DataFrame, policy: Policy) -> DataFrame:
     """df with rigid, rigid_used and elastic (what is left for the others)."""
     used = F.coalesce(F.sum(F.when(rigid(policy), F.col("token_count"))).over(Window.partitionBy(REQUEST)), F.lit(0))
@@ -181,7 +189,7 @@ def invalid(df: DataFrame) -> DataFrame:
 def bids(df: DataFrame, policy: Policy, alpha: float = 1.0, beta: float = 0.5, gamma: float = 0.3) -> DataFrame:
     """df with bid: priority, relevance and the type's share of all quotas, weighed."""
     own = quota(policy, F.col("type"), F.lit(policy.available))
-    total = sum(max(int(policy.available * r), policy.min_elastic) if r > 0 else 0 for r in policy.ratios.values())
+    total = sum(_quotas(policy).values())
     share = own / total if total else F.lit(0.0)
     return df.withColumn("bid", priority_weight() * alpha + score() * beta + share * gamma)
 
@@ -190,7 +198,7 @@ def greedy(df: DataFrame, policy: Policy) -> DataFrame:
     """(request_id, pos, kept): in bid order a segment is kept if it fits the request's rest and its type's; a type
     without a quota has the request's."""
     rows = bids(df, policy).select(REQUEST, "pos", "type", "token_count", "bid")
-    quotas = {k: max(int(policy.available * r), policy.min_elastic) if r > 0 else 0 for k, r in policy.ratios.items()}
+    quotas = _quotas(policy)
     available = policy.available
 
     def fold(batches):

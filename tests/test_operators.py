@@ -269,6 +269,18 @@ def test_allocation_matches_a_plain_loop(spark):
         budget.allocate(frame(spark, [segment(0, type="system", token_count=9999)]), budget.Policy(overflow="error"))
 
 
+#: 0.35 of 2880 is 1008, in doubles a little less.
+SHARE = budget.Policy(max_context=2880, output_reserved=0, ratios={"rag": 0.35})
+
+
+def test_quota_is_the_exact_share(spark):
+    df = spark.createDataFrame([("rag", 2880), ("rag", 20), ("user", 2880)], "type string, elastic long")
+    assert [r[0] for r in df.select(budget.quota(SHARE, F.col("type"), F.col("elastic"))).collect()] == [1008, 256, 0]
+    third = budget.Policy(ratios={"rag": 1 / 3, "user": 0.0123456789012345678})
+    assert [r[0] for r in df.select(budget.quota(third, F.col("type"), F.lit(10**12))).collect()] == [333333333333, 333333333333, 12345678901]
+    assert budget._quotas(SHARE) == {"rag": 1008}
+
+
 def test_greedy_matches_a_plain_loop(spark):
     rng = random.Random(4)
     policy = budget.Policy(max_context=700, output_reserved=0, ratios={"rag": 0.5, "user": 0.2}, min_elastic=50)
