@@ -286,6 +286,11 @@ def test_first_phase_cuts_to_the_exact_quota(spark):
     assert [tuple(r) for r in budget.elastic(df, SHARE).select("decision", "tokens").collect()] == [("truncate", 1008)]
 
 
+def test_rescue_leaves_what_fills_the_exact_quota(spark):
+    df = budget.split_rigid(frame(spark, [segment(0, token_count=1008)]), SHARE)
+    assert [tuple(r) for r in budget.rescue(df, SHARE).select("decision", "tokens").collect()] == [("keep", 1008)]
+
+
 def test_greedy_matches_a_plain_loop(spark):
     rng = random.Random(4)
     policy = budget.Policy(max_context=700, output_reserved=0, ratios={"rag": 0.5, "user": 0.2}, min_elastic=50)
