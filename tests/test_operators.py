@@ -296,6 +296,11 @@ def test_allocated_text_has_the_exact_quota(spark):
     assert [r["token_count"] for r in kept.collect()] == [1008]
 
 
+def test_allocation_counts_the_exact_quota(spark):
+    _, decided = budget.allocate(frame(spark, [segment(0, token_count=2000)]), SHARE)
+    assert [(r["used"], r["dropped"]) for r in budget.allocation(decided, SHARE).collect()] == [(1008, 0)]
+
+
 def test_greedy_matches_a_plain_loop(spark):
     rng = random.Random(4)
     policy = budget.Policy(max_context=700, output_reserved=0, ratios={"rag": 0.5, "user": 0.2}, min_elastic=50)
