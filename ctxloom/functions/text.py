@@ -222,10 +222,83 @@ def redact(text: Column, kinds: tuple[str, ...] = tuple(MASKED), mark: str = "*"
 
 
 def injection_hits(text: Column, level: str = "standard") -> Column:
-    found = [F.when(text.rlike(p), F.lit(name)) for part in LEVELS[level] for name, p in INJECTION[part]]
+    """Names of the rules that text meets.  The rule for repeats is asked by fourfold(), as its pattern costs the square of
+    a line's length."""
+    found = [F.when(fourfold(text) if name == "repeat" else text.rlike(p), F.lit(name)) for part in LEVELS[level] for name, p in INJECTION[part]]
     return F.array_compact(F.array(*found))
 
 
+#: Code points of texts, and places in them, that are compared at once.
+_TOGETHER, _PLACES = 1 << 18, 1 << 18
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _fourfold_lines(codes: np.ndarray, line: np.ndarray, lines: int, longest: int, least: int) -> np.ndarray:
+    """Which of the lines in codes hold something of `least` codes or more four times in a row; each line ends in a code
+    of its own.  Something of p codes four times fills three places in a row of the grid of p, so for each p the places
+    that equal the next two are sought by hashes, and compared code by code with what is around them."""
+    n, found = len(codes), np.zeros(lines, dtype=bool)
+    powers = np.r_[np.uint64(1), np.cumprod(np.full(n, _BASE))]
+    sums = np.r_[np.uint64(0), np.cumsum(codes * powers[:-1])]
+    at = least
+    while at <= longest // 4 and not found.all():
+        periods = np.arange(at, min(longest // 4, at + max(1, _PLACES * at // n)) + 1)
+        at = int(periods[-1]) + 1
+        count = np.maximum(n // periods - 2, 0)
+        period = np.repeat(periods, count)
+        place = (np.arange(len(period)) - np.repeat(np.cumsum(count) - count, count)) * period
+        for k in (1, 2):
+            same = codes[place] == codes[place + k * period]
+            place, period = place[same], period[same]
+        first, second, third = (sums[place + (k + 1) * period] - sums[place + k * period] for k in range(3))
+        same = (first * powers[period] == second) & (second * powers[period] == third) & ~found[line[place]]
+        for i, p in zip(place[same].tolist(), period[same].tolist()):
+            if not found[line[i]]:
+                low, high = max(0, i - p), min(i + 3 * p, n - p)
+                other = np.flatnonzero(codes[low:high] != codes[low + p : high + p])
+                found[line[i]] = np.diff(np.r_[-1, other, high - low]).max() > 3 * p
+    return found
+
+
+def _fourfold(texts: list[str], least: int) -> np.ndarray:
+    """Whether each text has such a line.  Lines are taken together by the powers of two of their lengths."""
+    codes = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    codes[(codes >= 65) & (codes <= 90)] += np.uint64(32)
+    ends = np.r_[np.flatnonzero(np.isin(codes, [0x0A, 0x0D, 0x85, 0x2028, 0x2029])), len(codes)]
+    starts = np.r_[0, ends[:-1] + 1]
+    long = ends - starts >= 4 * least
+    starts, sizes = starts[long], (ends - starts)[long]
+    text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, side="right")
+    out = np.zeros(len(texts), dtype=bool)
+    power = np.frexp(sizes)[1]
+    for k in np.unique(power):
+        own = np.flatnonzero(power == k)
+        size = sizes[own] + 1
+        line = np.repeat(np.arange(len(own)), size)
+        inside = np.arange(len(line)) - np.repeat(np.cumsum(size) - size, size)
+        last = inside == sizes[own][line]
+        part = np.where(last, line.astype(np.uint64) + np.uint64(1 << 32), codes[np.minimum(starts[own][line] + inside, len(codes) - 1)])
+        out[text[own[_fourfold_lines(part, line, len(own), int(sizes[own].max()), least)]]] = True
+    return out
+
+
+def fourfold(text: Column, least: int = 10) -> Column:
+    """Whether a line of text holds `least` or more characters four times in a row, ASCII letters of either case alike:
+    the pattern (?i)(.{10,}?)\\1{3,}, in n log n of a line's length n."""
+
+    @F.pandas_udf("boolean")
+    def holds(values: pd.Series) -> pd.Series:
+        texts, out, low, held = values.fillna("").tolist(), [], 0, 0
+        for i, t in enumerate(texts):
+            if i > low and held + len(t) > _TOGETHER:
+                out.append(_fourfold(texts[low:i], least))
+                low, held = i, 0
+            held += len(t)
+        return pd.Series(np.concatenate([*out, _fourfold(texts[low:], least)]) if texts else [], dtype=bool)
+
+    return F.coalesce(holds(F.when(F.length(text) >= 4 * least, text)), F.lit(False))
+
+
 def _repeated(text: str, window: int) -> float:
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     n = len(codes) - window + 1

@@ -1,6 +1,7 @@
 """Operators on literals: the cases whose results are fixed, and plain versions of the greedy ones."""
 
 import random
+import time
 from collections import defaultdict
 
 import pandas as pd
@@ -57,6 +58,28 @@ def test_injection(spark, text, level, want):
     assert one(spark, lambda c: T.injection_hits(c, level), text) == want
 
 
+def test_repeats_are_those_of_the_pattern(spark):
+    dice, texts = random.Random(5), [None, "", "a" * 39, "a" * 40, "aB" * 20, "é" * 20 + "É" * 20, "x" * 20 + "\n" + "x" * 20, "x" * 20 + "\u2028" + "x" * 39]
+    for k in range(400):
+        unit = "".join(dice.choice("abAB \r"[: dice.choice([2, 4, 5, 6])]) for _ in range(dice.randint(1, 25)))
+        whole = list("".join(dice.choice("ab\n") for _ in range(dice.randint(0, 30))) + unit * dice.randint(2, 9) + "abc"[: k % 4] * 40)
+        if k % 2 and whole:
+            whole[dice.randrange(len(whole))] = "z"
+        texts.append("".join(whole))
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = rows.select("t", T.fourfold(F.col("t")).alias("x"), F.coalesce(F.col("t").rlike(dict(T.INJECTION["strict"])["repeat"]), F.lit(False)).alias("y")).collect()
+    assert [r["t"] for r in found if r["x"] != r["y"]] == [] and 20 < sum(r["x"] for r in found) < 380
+
+
+def test_repeats_of_a_long_line_take_no_square(spark):
+    """The pattern took the square of 300,000 characters; it stays true where the repeat is long and at the end."""
+    dice, begun = random.Random(6), time.monotonic()
+    plain = "".join(dice.choice("abcdefgh ") for _ in range(300_000))
+    df = spark.createDataFrame([(plain,), (plain + plain[:9000] * 4,), (plain + plain[:9000] * 3,)], "t string")
+    assert ["repeat" in r[0] for r in df.select(T.injection_hits(F.col("t"), "strict")).collect()] == [False, True, False]
+    assert time.monotonic() - begun < 60
+
+
 def test_masks_of_all_kinds_at_once(spark):
     cases = {
         "call 13800138000, a@b.co": ("call 138****8000, *@b.co", {"phone": 1, "email": 1}),
