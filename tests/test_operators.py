@@ -324,6 +324,14 @@ def test_allocation_counts_the_exact_quota(spark):
     assert [(r["used"], r["dropped"]) for r in budget.allocation(decided, SHARE).collect()] == [(1008, 0)]
 
 
+def test_nothing_is_dropped_that_fits_the_exact_quota(spark):
+    """The other type has a share that leaves no room for a rescue."""
+    policy = budget.Policy(max_context=2880, output_reserved=0, ratios={"rag": 0.35, "user": 0.66})
+    rows = [segment(0, token_count=1005), segment(1, token_count=3, compressible=False), segment(2, type="user", token_count=1900)]
+    decided = budget.allocate(frame(spark, rows), policy)[1]
+    assert {r["segment_id"]: r["decision"] for r in decided.collect()} == {"s0": "keep", "s1": "keep", "s2": "keep"}
+
+
 def test_greedy_matches_a_plain_loop(spark):
     rng = random.Random(4)
     policy = budget.Policy(max_context=700, output_reserved=0, ratios={"rag": 0.5, "user": 0.2}, min_elastic=50)
