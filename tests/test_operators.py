@@ -332,6 +332,11 @@ def test_nothing_is_dropped_that_fits_the_exact_quota(spark):
     assert {r["segment_id"]: r["decision"] for r in decided.collect()} == {"s0": "keep", "s1": "keep", "s2": "keep"}
 
 
+def test_package_metrics_count_the_exact_quota(spark):
+    points = inspect.package_metrics(*budget.allocate(frame(spark, [segment(0, token_count=2000)]), SHARE), SHARE.available)
+    assert {r["name"]: r["value"] for r in points.collect()} == {"total_tokens": 1008, "segment_count": 1, "dropped_count": 0, "truncated_count": 1, "token_utilization": 0.35}
+
+
 def test_greedy_matches_a_plain_loop(spark):
     rng = random.Random(4)
     policy = budget.Policy(max_context=700, output_reserved=0, ratios={"rag": 0.5, "user": 0.2}, min_elastic=50)
