@@ -337,6 +337,11 @@ def test_package_metrics_count_the_exact_quota(spark):
     assert {r["name"]: r["value"] for r in points.collect()} == {"total_tokens": 1008, "segment_count": 1, "dropped_count": 0, "truncated_count": 1, "token_utilization": 0.35}
 
 
+def test_decisions_follow_the_exact_quota(spark):
+    rows = [segment(0, token_count=1005), segment(1, token_count=3, compressible=False)]
+    assert [tuple(r) for r in inspect.decisions(budget.allocate(frame(spark, rows), SHARE)[1]).collect()] == [("keep", 2)]
+
+
 def test_greedy_matches_a_plain_loop(spark):
     rng = random.Random(4)
     policy = budget.Policy(max_context=700, output_reserved=0, ratios={"rag": 0.5, "user": 0.2}, min_elastic=50)
