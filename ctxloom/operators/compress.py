@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ctxloom.functions.grams import gram_sets, mix
 from ctxloom.operators.rerank import REQUEST
 from ctxloom.sources.ingest import effective_priority, priority_weight
+from ctxloom.sources.shared import written
 
 
 def saturation(df: DataFrame, available: int) -> DataFrame:
@@ -75,29 +79,231 @@ def split_turns(df: DataFrame, recent: int = 2) -> DataFrame:
     return df.withColumn("recent", F.when(known > 0, F.col("turn").isNotNull() & (by_turn <= recent)).otherwise(by_place <= 2 * recent))
 
 
+#: Bits of the tally of n-grams, and its slices; members and classes that are verified together; pairs a task makes at a time,
+#: and shared entries asked for beyond one.
+_PLACES, _SLICES, _TILE, _CHUNK, _MET, _MORE = 22, 16, 1 << 20, 256, 1 << 20, 2
+
+
+def _least(threshold: float, a, b):
+    """Members that alike sets of a and b members share at least, a rounding error less rather than more."""
+    return np.ceil(threshold / (1 + threshold) * (a + b) - 1e-6).astype(np.int64)
+
+
+def _tally(rows: DataFrame, n: int) -> np.ndarray:
+    """How often n-grams occur, by the first bits of their hashes: rare ones come first in an index, and which count as rare
+    decides on its cost only."""
+    wide = (1 << _PLACES) // _SLICES
+
+    def count(batches):
+        total = np.zeros(1 << _PLACES, np.int64)
+        for batch in batches:
+            for _, sets in gram_sets(batch.column(1), _salts(batch.column(0)), n):
+                total += np.bincount((np.concatenate(sets) >> np.uint64(64 - _PLACES)).astype(np.int64), minlength=1 << _PLACES)
+        if total.any():
+            parts = np.minimum(total, 65535).astype(np.uint16).reshape(_SLICES, wide)
+            yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array([pa.Codec("zstd").compress(p.tobytes(), asbytes=True) for p in parts], pa.binary())], names=["slice", "counts"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, data in zip(*(c.to_pylist() for c in batch.columns)):
+                own = np.frombuffer(pa.Codec("zstd").decompress(data, 2 * wide, asbytes=True), np.uint16)
+                sums[k] = sums.get(k, np.zeros(wide, np.uint32)) + own
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["slice", "counts"])
+
+    parts = rows.select("__salt", "content").mapInArrow(count, "slice int, counts binary").repartition(_SLICES, "slice")
+    out = np.zeros((_SLICES, wide), np.uint32)
+    for row in parts.mapInArrow(add, "slice int, counts binary").collect():
+        out[row["slice"]] = np.frombuffer(row["counts"], np.uint32)
+    return out.reshape(-1)
+
+
+def _salts(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+def _indexed(rows: DataFrame, key: str, threshold: float, n: int) -> DataFrame:
+    """(key, pos, name, cid, m, index) of each row: its text's hash, its class, the size of its set of n-grams and the rarest
+    of these, of which alike sets share one."""
+    spark = rows.sparkSession
+    tally = spark.sparkContext.broadcast(_tally(rows, n))
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (key, "pos", "__name"))
+
+    def index(batches):
+        for batch in batches:
+            ids, salts = [batch.column(k) for k in range(3)], _salts(batch.column(3))
+            for i, sets in gram_sets(batch.column(4), salts, n):
+                own_salts, size, sums, rare = salts[i : i + len(sets)], np.array([len(s) for s in sets], np.int64), [], []
+                for own, salt in zip(sets, own_salts):
+                    sums.append(mix(own + salt).sum(dtype=np.uint64))
+                    length = len(own) - int(np.ceil(threshold * len(own) - 1e-6)) + 1 if len(own) else 0
+                    often = tally.value[(own >> np.uint64(64 - _PLACES)).astype(np.int64)]
+                    rare.append(own[np.lexsort((own, often))[:length]].view(np.int64))
+                cid = mix(np.array(sums) + size.astype(np.uint64) * np.uint64(3) + mix(own_salts)).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(r) for r in rare])], pa.int32()), pa.array(np.concatenate(rare)))
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, len(sets)) for c in ids), pa.array(cid, pa.int64()), pa.array(size), lists], names=[key, "pos", "__name", "cid", "m", "index"])
+
+    return rows.select(key, "pos", "__name", "__salt", "content").mapInArrow(index, f"{kinds}, cid long, m long, index array<long>")
+
+
+def _met(index: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b), a < b, of classes that may be alike, from index entries (gram, cid, m, place), places by the order of the
+    index.  Sets of p and q members that are alike share s, so of the first p - s + l and q - s + l they share l."""
+
+    def pairs(batches):
+        last, held, made, count = None, [], [], 0
+
+        def packed():
+            a, b, m, k = (np.concatenate(x) for x in zip(*made))
+            order = np.lexsort((b, a))
+            a, b, m, k = a[order], b[order], m[order], k[order]
+            at = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+            return pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(m[at]), pa.array(np.add.reduceat(k, at))], names=["a", "b", "need", "met"])
+
+        def paired(x, y, m, larger, place, other):
+            both = _least(threshold, m, larger)
+            more = np.clip(both - np.ceil(threshold * larger - 1e-6).astype(np.int64), 0, _MORE)
+            ok = (place <= m - both + more) & (other <= larger - both + more)
+            x, y = np.broadcast_to(x, len(ok))[ok], y[ok]
+            return np.minimum(x, y), np.maximum(x, y), more[ok] + 1, np.ones(len(x), np.int64)
+
+        def lists(grams, cids, sizes, places):
+            """Of lists of the same length together, of long ones one class with the rest."""
+            order = np.lexsort((cids, sizes, grams))
+            order = order[np.r_[True, (grams[order][1:] != grams[order][:-1]) | (cids[order][1:] != cids[order][:-1])]]
+            grams, cids, sizes, places = grams[order], cids[order], sizes[order], places[order]
+            at = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1], True])
+            many, first = np.diff(at), at[:-1]
+            for size in np.unique(many[(many > 1) & (many <= 32)]):
+                i, j = (first[many == size][:, None] + k for k in np.triu_indices(size, 1))
+                fits = sizes[j] <= sizes[i] / threshold + 1e-6
+                i, j = i[fits], j[fits]
+                if len(i):
+                    yield paired(cids[i], cids[j], sizes[i], sizes[j], places[i], places[j])
+            for low, high in zip(first[many > 32].tolist(), (first + many)[many > 32].tolist()):
+                most = low + np.searchsorted(sizes[low:high], sizes[low:high] / threshold + 1e-6, side="right")
+                for i in range(low, high - 1):
+                    j = slice(i + 1, int(most[i - low]))
+                    if j.start < j.stop:
+                        yield paired(cids[i], cids[j], sizes[i], sizes[j], places[i], places[j])
+
+        def whole(rest):
+            """The held rows' lists, the last one stays behind unless rest."""
+            columns = [np.concatenate(x) for x in zip(*held)]
+            grams = columns[0]
+            end = len(grams) if rest else int(np.searchsorted(grams, grams[-1]))
+            held[:] = [[x[end:] for x in columns]]
+            yield from lists(*(x[:end] for x in columns)) if end else ()
+
+        for batch in batches:
+            own = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if not len(own[0]):
+                continue
+            held.append(own)
+            if last is None or own[0][-1] != last:
+                last = own[0][-1]
+                for x in whole(False):
+                    made.append(x)
+                    count += len(x[0])
+                    if count >= _MET:
+                        yield packed()
+                        made, count = [], 0
+        if held:
+            for x in whole(True):
+                made.append(x)
+                count += len(x[0])
+                if count >= _MET:
+                    yield packed()
+                    made, count = [], 0
+        if made:
+            yield packed()
+
+    dealt = index.repartition("gram").sortWithinPartitions("gram").mapInArrow(pairs, "a long, b long, need long, met long")
+    return dealt.groupBy("a", "b").agg(F.sum("met").alias("met"), F.min("need").alias("need")).filter("met >= need").select("a", "b")
+
+
+def _compared(met: DataFrame, texts: DataFrame, found: DataFrame, threshold: float, n: int) -> DataFrame:
+    """(a, b, similarity) of the pairs met that are alike.  Classes whose least partner is the same are compared together, as
+    many as _TILE members or _CHUNK classes at a time: no set moves for each of its pairs.  found: (pos, __name, cid, m) of each row."""
+    both = met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    unit = both.groupBy(F.col("a").alias("cid")).agg(F.least(F.min("b"), F.col("cid")).alias("unit"))
+    own = F.min(F.struct("pos", "__name", "m")).alias("row")
+    placed = written(found.join(unit, "cid").groupBy("cid", "unit").agg(own).select("cid", "unit", "row.*"))
+    parts = placed.groupBy("unit").agg(F.ceil(F.greatest(F.sum("m") / _TILE, F.count("*") / _CHUNK)).alias("parts"))
+    spot = F.xxhash64("unit", F.pmod(F.xxhash64("cid"), "parts"))
+    placed = placed.join(parts, "unit").select("cid", "pos", "__name", spot.alias("spot"))
+    a, b = (placed.select(F.col("cid").alias(s), F.col("spot").alias(f"s{s}")) for s in "ab")
+    tile = F.xxhash64(F.least("sa", "sb"), F.greatest("sa", "sb")).alias("tile")
+    pairs = written(met.join(a, "a").join(b, "b").select(tile, "a", "b"))
+    tiles = pairs.select("tile", F.col("a").alias("cid")).unionByName(pairs.select("tile", F.col("b").alias("cid"))).groupBy("cid").agg(F.collect_set("tile").alias("tiles"))
+    wanted = placed.join(tiles, "cid").select(F.col("pos").alias("__pos"), F.col("__name").alias("__text"), "cid", "tiles")
+    held = texts.join(wanted, F.col("pos").eqNullSafe(F.col("__pos")) & (F.col("__name") == F.col("__text"))).select("__salt", "content", "cid", "tiles")
+
+    def sets(batches):
+        for batch in batches:
+            for i, some in gram_sets(batch.column(1), _salts(batch.column(0)), n):
+                for cid, where, own in zip(batch.column(2)[i : i + len(some)].to_pylist(), batch.column(3)[i : i + len(some)].to_pylist(), some):
+                    yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), pa.array([cid] * len(where), pa.int64()), pa.nulls(len(where), pa.int64()), pa.array([own.tobytes()] * len(where), pa.binary())], names=["tile", "a", "b", "members"])
+
+    def compare(batches):
+        at, ids, members, pairs_ = None, {}, [], {}
+
+        def alike():
+            size = np.array([len(x) for x in members])
+            whole, owner = np.concatenate(members), np.repeat(np.arange(len(members)), size)
+            order = np.argsort(whole, kind="stable")
+            whole, owner = whole[order], owner[order]
+            out = []
+            for x, others in pairs_.items():
+                i, js = ids[x], np.array([ids[y] for y in others])
+                if len(js) < 8:
+                    shared = np.array([np.isin(members[i], members[j], assume_unique=True).sum() for j in js])
+                else:
+                    low, high = np.searchsorted(whole, members[i]), np.searchsorted(whole, members[i], side="right")
+                    count = high - low
+                    hit = owner[np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())]
+                    shared = np.bincount(hit, minlength=len(members))[js]
+                likeness = shared / (size[i] + size[js] - shared)
+                ok = likeness >= threshold
+                out.append((np.full(ok.sum(), x), np.array(others)[ok], likeness[ok]))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((np.concatenate(c) for c in zip(*out)), (pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "similarity"])
+
+        for batch in batches:
+            for tile_, x, y, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if tile_ != at:
+                    if pairs_:
+                        yield alike()
+                    at, ids, members, pairs_ = tile_, {}, [], {}
+                if y is not None:
+                    pairs_.setdefault(x, []).append(y)
+                elif x not in ids:
+                    ids[x] = len(members)
+                    members.append(np.frombuffer(data, np.uint64))
+        if pairs_:
+            yield alike()
+
+    moved = held.mapInArrow(sets, "tile long, a long, b long, members binary").unionByName(pairs.withColumn("members", F.lit(None).cast("binary")))
+    return moved.repartition("tile").sortWithinPartitions("tile", F.col("b").isNotNull()).mapInArrow(compare, "a long, b long, similarity double")
+
+
 def duplicate_classes(df: DataFrame, key: str, threshold: float = 0.85, n: int = 2) -> tuple[DataFrame, DataFrame]:
     """Rows of one group (key) with equal word n-grams are a class, named by its least pos.  (key, pos, rep) of each row,
     and (key, a, b, similarity), a < b: pairs of classes that are alike.  Texts without n-grams are alike to each other.
 
-    An inverted index brings only classes together that share one of a class's rarest grams: of m grams two alike ones
-    share some among the first m - ceil(threshold m) + 1 in any one order; the order here is by frequency."""
-    from ctxloom.functions.text import word_grams
-
-    rows = df.select(key, "pos", word_grams(F.col("content"), n).alias("grams"))
-    name = F.md5(F.array_join(F.array_sort("grams"), "\n"))
-    named = rows.select(key, "pos", name.alias("name"), "grams")
-    members = named.select(key, "pos", "name").withColumn("rep", F.min("pos").over(Window.partitionBy(key, "name"))).select(key, "pos", "rep")
-    classes = named.groupBy(key, "name").agg(F.min("pos").alias("pos"), F.first("grams").alias("grams")).select(key, "pos", "grams", F.size("grams").alias("m")).filter("m > 0")
-    each = classes.select(key, "pos", "m", F.explode("grams").alias("gram"))
-    counts = each.groupBy(key, "gram").agg(F.count("*").alias("df"))
-    order = Window.partitionBy(key, "pos").orderBy("df", "gram")
-    prefix = each.join(counts, [key, "gram"]).withColumn("at", F.row_number().over(order)).filter((F.col("at") <= F.col("m") - F.ceil(threshold * F.col("m")) + 1) & (F.col("df") > 1))
-    left, right = (prefix.select(key, "gram", F.col("pos").alias(s), F.col("m").alias(f"m{s}")) for s in "ab")
-    met = left.join(right, [key, "gram"]).filter((F.col("a") < F.col("b")) & (F.least("ma", "mb") >= threshold * F.greatest("ma", "mb"))).select(key, "a", "b").distinct()
-    sets = classes.select(key, "pos", "grams")
-    both = met.join(sets.select(key, F.col("pos").alias("a"), F.col("grams").alias("ga")), [key, "a"]).join(sets.select(key, F.col("pos").alias("b"), F.col("grams").alias("gb")), [key, "b"])
-    pairs = both.withColumn("similarity", F.size(F.array_intersect("ga", "gb")) / F.size(F.array_union("ga", "gb"))).filter(F.col("similarity") >= threshold).select(key, "a", "b", "similarity")
-    return members, pairs
+    N-grams and sets of them are 64-bit hashes.  An inverted index brings only classes together that share one of a class's
+    rarest grams: of m grams two alike ones share some among the first m - ceil(threshold m) + 1 in any one order; the order
+    here is by a tally of hashes.  Those that share as many of the first there as alike ones must are compared by their whole sets, which
+    are made anew from the texts, so that only index entries of all texts move."""
+    texts = df.select(key, "pos", F.coalesce("content", F.lit("")).alias("content")).withColumns({"__salt": F.xxhash64(key), "__name": F.xxhash64("content")})
+    found = written(_indexed(texts, key, threshold, n))
+    classes = found.groupBy("cid").agg(F.min("pos").alias("rep"), F.first(key).alias(key))
+    members = found.select(key, "pos", "cid").join(classes.select("cid", "rep"), "cid").select(key, "pos", "rep")
+    met = written(_met(found.select(F.posexplode("index").alias("place", "gram"), "cid", "m").select("gram", "cid", "m", "place"), threshold))
+    alike = _compared(met, texts, found.select("pos", "__name", "cid", "m"), threshold, n)
+    a, b = (classes.select(F.col("cid").alias(s), F.col("rep").alias(f"r{s}"), F.col(key).alias(f"k{s}")) for s in "ab")
+    pairs = alike.join(a, "a").join(b, "b").filter(F.col("ka").eqNullSafe(F.col("kb")))
+    return members, pairs.select(F.col("ka").alias(key), F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "similarity")
 
 
 def duplicate_pairs(df: DataFrame, key: str, threshold: float = 0.85, n: int = 2) -> DataFrame:

@@ -223,6 +223,46 @@ def test_pairs_without_a_shared_beginning_or_ngrams(spark, tmp_path):
     assert places(compress.drop_near_copies(df)) == ["s0", "s2"]
 
 
+def test_pairs_of_a_group_match_a_plain_loop(spark, monkeypatch):
+    monkeypatch.setattr(compress, "_CHUNK", 4)
+    rng = random.Random(5)
+    base = [[f"w{rng.randint(0, 300)}" for _ in range(rng.choice([1, 2, 3, 10, 40, 100]))] for _ in range(30)]
+    rows = []
+    for pos in range(500):
+        words = list(rng.choice(base))
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(len(words))] = f"v{rng.randint(0, 50)}"
+        if rng.random() < 0.2:
+            words = words[: max(1, len(words) - rng.randint(0, 20))]
+        rows.append(("ab"[pos % 7 == 0], pos, rng.choice([" ", "\t", "\n ", "\x0b"]).join(words) if rng.random() < 0.97 else rng.choice([None, "", "  "])))
+    rows += [("a", 500, "é " + "x" * (3 << 20)), ("a", 501, "é\n" + "x" * (3 << 20)), ("a", 502, "é " + "x" * (3 << 20) + "y")]
+    classes = {}
+    for key, pos, text in rows:
+        words = (text or "").split()
+        classes.setdefault((key, frozenset(zip(words, words[1:]))), []).append(pos)
+    sets, want = [(key, grams, min(pos)) for (key, grams), pos in classes.items() if grams], {}
+    for i, (key, x, a) in enumerate(sets):
+        for other, y, b in sets[:i]:
+            if key == other and len(x & y) >= 0.85 * len(x | y):
+                want[key, min(a, b), max(a, b)] = len(x & y) / len(x | y)
+    members, pairs = compress.duplicate_classes(spark.createDataFrame(rows, "k string, pos int, content string"), "k")
+    assert {tuple(r) for r in members.collect()} == {(key, p, min(pos)) for (key, _), pos in classes.items() for p in pos}
+    assert {(r["k"], r["a"], r["b"]): r["similarity"] for r in pairs.collect()} == want and len(want) > 100
+
+
+def test_pairs_of_a_group_move_less_than_its_texts_twice(spark):
+    rng = random.Random(7)
+    rows = [(0, i, " ".join(f"{rng.randrange(1 << 20):x}" for _ in range(800))) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k int, pos int, content string").repartition(2).cache()
+    df.count()
+    moved = lambda: sum(x.totalShuffleWrite() for x in (lambda found: [found.apply(i) for i in range(found.size())])(spark.sparkContext._jsc.sc().statusStore().executorList(True)))
+    before = moved()
+    members, pairs = compress.duplicate_classes(df, "k")
+    assert pairs.count() == 0
+    assert 0 < moved() - before < 2 * sum(len(r[2]) for r in rows)
+    df.unpersist()
+
+
 def test_diversity_matches_a_plain_loop():
     rng = random.Random(1)
     for _ in range(30):
