@@ -225,7 +225,8 @@ def _met(index: DataFrame, threshold: float) -> DataFrame:
 
 def _compared(met: DataFrame, texts: DataFrame, found: DataFrame, threshold: float, n: int) -> DataFrame:
     """(a, b, similarity) of the pairs met that are alike.  Classes whose least partner is the same are compared together, as
-    many as _TILE members or _CHUNK classes at a time: no set moves for each of its pairs.  found: (pos, __name, cid, m) of each row."""
+    many as _TILE members or _CHUNK classes at a time: no set moves for each of its pairs.  found: (pos, __name, cid, m)
+    of each row."""
     both = met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b")))
     unit = both.groupBy(F.col("a").alias("cid")).agg(F.least(F.min("b"), F.col("cid")).alias("unit"))
     own = F.min(F.struct("pos", "__name", "m")).alias("row")
