@@ -43,6 +43,26 @@ def test_query(spark, duck, name):
     assert plain(rows) == plain(want.project(chosen).fetchall())
 
 
+#: Queries on decisions, on a request where 1300 tokens are left: 0.35 of them are 455, in doubles a little less.
+EXACT = ["dif5_audit"]
+
+
+@pytest.mark.parametrize("name", EXACT)
+def test_query_where_the_exact_quota_decides(spark, tmp_path, name):
+    """Passages of 300 and 155 tokens fill the quota, and one of 200 is rescued.  By a quota one short the second is
+    dropped, the rescue goes to the user's 400 tokens, and two are left out instead of one."""
+    con = duckdb.connect()
+    con.sql("CREATE TABLE conversations AS SELECT * REPLACE (repeat('m', 4 * text) AS text) FROM (VALUES (0::BIGINT, 0::BIGINT, 'user', 2284), (0, 1, 'user', 200), (0, 2, 'assistant', 300), (0, 3, 'user', 400)) v(conv_id, turn, role, text)")
+    con.sql("CREATE TABLE documents AS SELECT doc_id::BIGINT AS doc_id, repeat('d', CASE doc_id WHEN 1 THEN 4 * 300 WHEN 2 THEN 4 * 155 WHEN 6 THEN 4 * 200 ELSE 0 END) AS text FROM range(7) v(doc_id)")
+    for table in ("conversations", "documents"):
+        con.sql(f"COPY {table} TO '{tmp_path}/{table}.parquet'")
+    want = con.sql(ORACLE_SQL[name])
+    columns = sorted(want.columns)
+    chosen = ", ".join(f'"{c}"' for c in columns)
+    rows = plain(tuple(r) for r in QUERIES[name](spark, str(tmp_path)).select(*columns).collect())
+    assert rows and rows == plain(want.project(chosen).fetchall())
+
+
 def test_flagship(spark):
     rows = flagship(spark, str(SF))
     assert rows.columns[:2] == ["request_id", "pos"] and rows.count() > 0
