@@ -44,7 +44,7 @@ def test_query(spark, duck, name):
 
 
 #: Queries on decisions, on a request where 1300 tokens are left: 0.35 of them are 455, in doubles a little less.
-EXACT = ["dif5_audit", "bud4_elastic", "bud6_rescue", "bud7_allocate", "bud8_alloc", "obs2_package"]
+EXACT = ["dif5_audit", "bud4_elastic", "bud6_rescue", "bud7_allocate", "bud8_alloc", "obs2_package", "obs8_decisions"]
 
 
 @pytest.mark.parametrize("name", EXACT)
